@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import line_dedup, mixing
+from lectern.llm import decontamination, line_dedup, mixing, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

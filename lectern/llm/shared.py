@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,8 +47,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text) if text else []
+def with_fields(rows: DataFrame, column: str, extra: str) -> T.StructType:
+    """The schema of ``column`` of ``rows`` followed by the fields ``extra`` (as DDL)."""
+    return T.StructType([rows.schema[column], *T.StructType.fromDDL(extra).fields])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,7 +80,7 @@ class WordHashes:
     def __init__(self, seed: int = 0):
         self.seed, self.known = seed, {}
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
         import xxhash
 
         known, seed, h64 = self.known, self.seed, xxhash.xxh3_64_intdigest
@@ -91,19 +90,16 @@ class WordHashes:
         if -1 in out:
             for i, v in enumerate(out):
                 if v < 0:
-                    out[i] = known[tokens[i]] = h64(tokens[i].encode("utf-8", "surrogatepass"), seed)
+                    out[i] = known[tokens[i]] = h64(tokens[i], seed)
         return np.array(out, np.uint64)
 
 
-def windows(h: np.ndarray, n: int, base: int = 0x100000001B3) -> np.ndarray:
+def runs(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of every run of ``n`` values of ``h`` (empty if there are fewer)."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    b = np.uint64(base | 1)
+    m = max(0, len(h) - n + 1)
+    out = np.full(m, n, np.uint64)
     for i in range(n):
-        out = out * b + h[i : i + m]
+        out = out * np.uint64(0x5851F42D4C957F2D) + h[i : i + m]
     return mix(out)
 
 
