@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, line_dedup, mixing, substring_dedup
+from lectern.llm import decontamination, line_dedup, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
