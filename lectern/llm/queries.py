@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from lectern.llm import decontamination, line_dedup, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
