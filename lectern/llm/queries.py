@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, line_dedup, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
+from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_personal_data": personal_data.op8_personal_data,
+    "op9_html_text": html_text.op9_html_text,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
