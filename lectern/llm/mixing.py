@@ -74,6 +74,24 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("source", F.col("prefix").alias("edge"), nearer.alias("with_edge"))
 
 
+def order_key(ident: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def planned(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """``s, source_size, target, edge, with_edge``: a small row a source; ``s`` is the source."""
+    budgets = table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
+    edges = thresholds(sized.select("source", "h", "size"), budgets)
+    return table(budgets.withColumnRenamed("source", "s").join(edges, F.col("s").eqNullSafe(F.col("source")), "left").drop("source"))
+
+
+def times_taken() -> Column:
+    """How often the mix takes a row that has h and its source's plan."""
+    passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    extra = F.when(F.col("h") < F.col("edge"), 1).when((F.col("h") == F.col("edge")) & F.col("with_edge"), 1).otherwise(0)
+    return (passes + extra).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row ``doc_id, source, h, size, source_size, target, taken`` per row of ``docs``.
 
@@ -83,15 +101,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     together. A source without words has target 0. Null ids and null sources
     are values like others; an empty table gives an empty one.
     """
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("h"), n_words(F.col(text_col)).alias("size")))
-    budgets = table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
-    edges = thresholds(sized.select("source", "h", "size"), budgets)
-    plan = budgets.withColumnRenamed("source", "s").join(edges, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
-    out = sized.join(plan, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
-    passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    extra = F.when(F.col("h") < F.col("edge"), 1).when((F.col("h") == F.col("edge")) & F.col("with_edge"), 1).otherwise(0)
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.col("size") * (passes + extra)).cast("long").alias("taken"))
+    sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), order_key(F.col(id_col), F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size")))
+    out = sized.join(planned(sized, weights, repeats), F.col("s").eqNullSafe(F.col("source")), "left")
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``src, repeats``: the rows of ``docs`` that :func:`mix` takes, and how often; ``src`` holds their columns."""
+    rows = docs.select(F.struct("*").alias("src"), F.col(source_col).cast("string").alias("source"), order_key(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    plan = planned(table(rows.select("source", "h", n_words(F.col("text")).alias("size"))), weights, repeats)
+    out = rows.join(plan, F.col("s").eqNullSafe(F.col("source")), "left")
+    return out.select("src", F.when(n_words(F.col("text")) > 0, times_taken()).otherwise(0).alias("repeats")).where("repeats > 0")
 
 
 def op1_mixing(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, substring_dedup, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
