@@ -1 +1 @@
-"""plans."""
+"""The registered queries; importing the modules registers them."""
