@@ -87,7 +87,7 @@ def match(existing: DataFrame, source: DataFrame) -> DataFrame:
     asks = placed.where(is_new).select("work_id", F.col("item_id").cast("string").alias("for_item"), F.explode(F.array(F.struct(F.lit("a").alias("edge"), F.coalesce("before.p", F.lit(-(1 << 31))).alias("position")), F.struct(F.lit("b").alias("edge"), F.coalesce("after.p", F.lit((1 << 31) - 1)).alias("position")))).alias("x")).select("work_id", "x.position", F.lit(0).alias("loose"), "for_item", "x.edge")
     running = Window.partitionBy("work_id").orderBy("position").rangeBetween(Window.unboundedPreceding, 0)
     counts = left_over.unionByName(asks).withColumn("upto", F.sum("loose").over(running)).where("for_item IS NOT NULL").groupBy("work_id", "for_item").agg(F.max(F.when(F.col("edge") == "a", F.col("upto"))).alias("upto_a"), F.max(F.when(F.col("edge") == "b", F.col("upto"))).alias("upto_b"))
-    out = placed.withColumn("class", final).join(counts.withColumnRenamed("for_item", "ask"), (placed["work_id"] == counts["work_id"]) & (F.col("item_id").cast("string") == F.col("ask")), "left").drop(counts["work_id"])
+    out = placed.withColumn("class", final).withColumn("for_item", F.col("item_id").cast("string")).join(counts, ["work_id", "for_item"], "left")
     anchored = F.col("before").isNotNull() | F.col("after").isNotNull()
     certain = F.when(is_new, anchored & (F.col("upto_b") - F.col("upto_a") == 0)).otherwise(F.col("class").isin("unchanged", "modified"))
     return out.select("work_id", "item_id", "position", "class", F.col("matched_id").alias("matched_chapter_id"), F.when(is_new, F.col("before.id")).alias("insert_after_id"), F.when(is_new, F.col("after.id")).alias("insert_before_id"), certain.alias("position_confident"))

@@ -10,7 +10,7 @@ from lectern.plans.analog import VIEWS, frame, over
 from lectern.plans.registry import query
 
 # A line item is an item of its order's import; a part stands for its label and body.
-VIEWS["items"] = """SELECT l_orderkey AS job_id, l_linenumber AS position, l_returnflag AS volume, 'ch' || CAST(l_partkey % 6 AS VARCHAR(3)) AS label_key, 'ch' AS family,
+VIEWS["items"] = """SELECT l_orderkey AS job_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS position, l_returnflag AS volume, 'ch' || CAST(l_partkey % 6 AS VARCHAR(3)) AS label_key, 'ch' AS family,
   CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey % 30 AS INT) END AS number,
   CASE WHEN l_suppkey % 10 = 0 THEN 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' ELSE CAST(l_suppkey % 20 AS VARCHAR(3)) END AS body_hash
 FROM lineitem"""
