@@ -6,9 +6,10 @@ that only one text has can't make a shared table key and are dropped before any
 pair is formed. Links are confirmed on the full shingle sets.
 
 Within a table bucket, members are compared with a pivot, not with each other:
-texts found to be in one component need no further comparison. What pivots leave
-open, members of a bucket in different components, is then compared in full, so
-no link that a bucket shows is lost.
+texts found to be in one component need no further comparison. Shingles that
+only one text has bound its similarity to any other, which rules most pairs out unseen. What pivots and
+bounds leave open, members of a bucket in different components, is then compared
+in full, so no link that a bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ PERCENT = 80
 #: 80% of shingles in common share no table key once in 48,000 times.
 HALVES, ROWS = 16, 3
 #: Rounds of pivots before the rest is compared in full.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 NO_ID = -(1 << 63)
 
 
@@ -111,40 +112,70 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def shingles_of(n: int):
+    def run(batches):
+        word = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, word, n) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(signed(np.concatenate(sets)) if sets else [], pa.int64())], names=["id", "s"])
+
+    return run
+
+
 def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
-    """``id, comp`` of every id in ``tables (key, id)``."""
+    """``id, comp`` of the ids in ``tables (key, u, id)`` that can have links.
+
+    ``own`` counts the shingles that no other text in ``tables`` has. They are in
+    no intersection, so own and size bound the similarity of any pair, and with
+    nothing but own and size most texts turn out to have no partner at all.
+    """
     ids = table(tables.select("id").distinct())
     held = table(texts.join(ids, "id").join(sizes, "id").select("id", "text", "n_shingles"))
+    alone = held.select("id", "text").mapInArrow(shingles_of(n), "id long, s long").groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    most = 100 + percent
+    facts = table(sizes.join(ids, "id").join(alone, "id", "left").select("id", F.col("n_shingles").alias("size"), F.coalesce("own", F.lit(0)).alias("own")).where((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent))
+    rows = table(tables.join(facts, "id"))
+    least = table(rows.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    partner = F.greatest(F.col("least") * 100, F.col("size") * percent)
+    rows = table(rows.join(least, "key").where((F.col("size") - F.col("own")) * most * 100 >= percent * (F.col("size") * 100 + partner)).drop("least"))
+
+    def possible(a: str, b: str):
+        """Whether the bounds of two rows allow a link."""
+        common = F.least(F.col(f"{a}.size") - F.col(f"{a}.own"), F.col(f"{b}.size") - F.col(f"{b}.own"))
+        return common * most >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * percent
 
     def check(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("n_shingles").alias("n_a"))
-        right = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("n_shingles").alias("n_b"))
-        near = (F.least("n_a", "n_b") * 100) >= F.greatest("n_a", "n_b") * percent
-        # sizes settle many pairs before a text is moved
-        sized = pairs.join(left.drop("text_a"), "a").join(right.drop("text_b"), "b").where(near).select("a", "b")
-        return table(sized.join(left.drop("n_a"), "a").join(right.drop("n_b"), "b").mapInArrow(confirm(n, percent), "a long, b long"))
-
-    pivots = tables.groupBy("key").agg(F.min("id").alias("a"))
-    first = table(tables.join(table(pivots), "key").where("a <> id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
-    edges = check(first)
-    comps = components(ids, edges)
-    rest = tables
+        left = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        right = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        return table(pairs.join(left, "a").join(right, "b").mapInArrow(confirm(n, percent), "a long, b long"))
+
+    # the text with the fewest shingles of its own is nearest to the middle of its group
+    middle = table(rows.groupBy("key").agg(F.min(F.struct("own", "id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p"))
+    nearest = rows.alias("x").join(middle.select("key", "p.*").alias("p"), "key").where((F.col("x.id") != F.col("p.id")) & possible("x", "p"))
+    edges = check(table(nearest.groupBy(F.col("x.id").alias("b")).agg(F.min(F.struct("p.own", "p.id")).alias("p")).select(F.col("p.id").alias("a"), "b")))
+    comps = components(facts, edges)
     for turn in range(PIVOT_ROUNDS + 1):
-        placed = table(rest.join(comps, "id"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min(F.struct(F.xxhash64(F.lit(turn), F.col("id")).alias("h"), F.col("id"), F.col("comp"))).alias("pivot")).where("p <> q")
-        split = table(split.select("key", F.col("pivot.id").alias("a"), F.col("pivot.comp").alias("a_comp")))
+        placed = table(rows.join(comps, "id"))
+        rank = F.col("own") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
+        pick = F.struct(rank.alias("rank"), F.col("id"), F.col("size"), F.col("own"), F.col("comp"))
+        split = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min(pick).alias("pivot")).where("p <> q")
+        split = table(split.select("key", "pivot.id", "pivot.size", "pivot.own", "pivot.comp"))
         if split.isEmpty():
             break
-        rest = table(placed.join(split.select("key"), "key").select("key", "id"))
+        placed = table(placed.join(split.select("key"), "key"))
+        rows = placed.drop("comp")
         if turn < PIVOT_ROUNDS:
-            pairs = placed.join(split, "key").where("comp <> a_comp").select("a", F.col("id").alias("b"))
+            met = placed.alias("x").join(split.alias("y"), "key")
         else:
-            left, right = placed.join(split.select("key"), "key"), placed.select("key", F.col("id").alias("b"), F.col("comp").alias("b_comp"))
-            pairs = left.join(right, "key").where("id < b AND comp <> b_comp").select(F.col("id").alias("a"), "b")
-        found = check(table(pairs.distinct()))
-        if turn == PIVOT_ROUNDS or not found.isEmpty():
+            # what shares a table key shares its first half key; a pair meets less often that way
+            by_half = table(placed.drop("key").distinct())
+            met = by_half.alias("x").join(by_half.alias("y"), "u").where("x.id < y.id")
+        met = met.where((F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
+        found = check(table(met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()))
+        if not found.isEmpty():
             edges = table(edges.unionByName(found))
-            comps = components(ids, edges)
+            comps = components(facts, edges)
     return comps
 
 
@@ -168,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     shared = table(halves.groupBy("half").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("half"))
     even = F.col("half").bitwiseAND(1) == 0
     mine = halves.join(shared, "half").groupBy("id").agg(F.collect_set(F.when(even, F.col("half"))).alias("u"), F.collect_set(F.when(~even, F.col("half"))).alias("v"))
-    keys = table(mine.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "id"))
+    keys = table(mine.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "u", "id"))
     buckets = table(keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("key"))
     comps = linked(texts, table(keys.join(buckets, "key")), classes.select("id", "n_shingles"), shingle, percent)
 
