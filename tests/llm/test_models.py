@@ -90,7 +90,8 @@ def test_blocks():
 
 
 def test_main_text(spark):
-    articles = [f"Only page {i} says this about subject number {i}, and it says so at some length here." for i in range(6)]
+    endings = ["rain falls", "ships sail far", "bread rises slowly", "old men sing", "no bell rang", "it ended"]
+    articles = [f"Only page {i} says this about subject number {i}: {e}." for i, e in enumerate(endings)]
     menu = "<p>Home</p><p>World news of today</p><p>Sport</p><p>Weather</p><p>All rights reserved by the publisher of this site</p>"
     rows = [(i, f"http://h.example/{i}", page(f"{menu}<div>{a}</div><p>Tail {i}</p>"), "c") for i, a in enumerate(articles)]
     rows += [(10, "http://other.example/", page(f"{menu}<div>Single page</div>"), "c"), (11, None, None, "c"), (12, "bad url", "", "c"), (13, "http://h.example/13", page("<article><p>Marked</p></article>" + menu), "c"), (14, "http://h.example/0", rows[0][2], "c")]
