@@ -7,7 +7,8 @@ pair is formed. Links are confirmed on the full shingle sets.
 
 Within a table bucket, members are compared with a pivot, not with each other:
 texts found to be in one component need no further comparison. Shingles that
-only one text has bound its similarity to any other, which rules most pairs out unseen. What pivots and
+only one text has bound its similarity to any other, and so do bit maps of the
+sets; both bounds are exact and rule most pairs out unseen. What pivots and
 bounds leave open, members of a bucket in different components, is then compared
 in full, so no link that a bucket shows is lost.
 """
@@ -28,6 +29,8 @@ PERCENT = 80
 HALVES, ROWS = 16, 3
 #: Rounds of pivots before the rest is compared in full.
 PIVOT_ROUNDS = 1
+#: Bits of the map of a set's shingles, in words of 64.
+MAP_WORDS = 16
 NO_ID = -(1 << 63)
 
 
@@ -123,6 +126,33 @@ def shingles_of(n: int):
     return run
 
 
+def bit_maps(n: int):
+    """A text's shingles hashed to bits: a bit one text has and another lacks is a shingle they don't share."""
+
+    def run(batches):
+        word = WordHashes()
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, MAP_WORDS * 64), bool)
+            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                maps[k, (shingle_set(t, word, n) >> np.uint64(32)) % np.uint64(MAP_WORDS * 64)] = True
+            words = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, k]) for k in range(MAP_WORDS)]], names=["id", *[f"m{k}" for k in range(MAP_WORDS)]])
+
+    return run
+
+
+def map_bound(percent: int):
+    """Whether sizes less the bits that only one side has allow a link between rows x and y."""
+
+    def alone(a: str, b: str):
+        out = F.lit(0)
+        for k in range(MAP_WORDS):
+            out = out + F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{k}"))))
+        return F.col(f"{a}.size") - out
+
+    return F.least(alone("x", "y"), alone("y", "x")) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+
+
 def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """``id, comp`` of the ids in ``tables (key, u, id)`` that can have links.
 
@@ -169,8 +199,10 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
             met = placed.alias("x").join(split.alias("y"), "key")
         else:
             # what shares a table key shares its first half key; a pair meets less often that way
-            by_half = table(placed.drop("key").distinct())
-            met = by_half.alias("x").join(by_half.alias("y"), "u").where("x.id < y.id")
+            by_half = placed.drop("key").distinct()
+            maps = held.join(by_half.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(bit_maps(n), "id long, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS)))
+            by_half = table(by_half.join(table(maps), "id"))
+            met = by_half.alias("x").join(by_half.alias("y"), "u").where("x.id < y.id").where(map_bound(percent))
         met = met.where((F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         found = check(table(met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()))
         if not found.isEmpty():

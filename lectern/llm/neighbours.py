@@ -26,6 +26,8 @@ COPIES, COPY_RATIO = 4, 1.10
 NEIGHBOURS = 24
 #: Rows of a block of vectors or of queries.
 BLOCK = 1_024
+#: Rows of the sample that give each query a score its nearest can't be under.
+FLOOR_ROWS = 16_384
 #: Recall on the sample that the probing ratio is set for.
 AIM = 0.985
 
@@ -35,6 +37,8 @@ class Lists:
     centroids: np.ndarray
     graph: np.ndarray
     longest: float
+    sample: np.ndarray
+    sample_ids: np.ndarray | None = None
     ratio: float = 0.1
     sizes: np.ndarray | None = None
 
@@ -67,6 +71,14 @@ class Lists:
                 lists += taken
         return np.array(rows, np.int64), np.array(lists, np.int64)
 
+    def floor(self, q: np.ndarray, k: int) -> np.ndarray:
+        """For each query a score that its k nearest reach: k + 1 of the sample do, itself perhaps among them."""
+        if len(self.sample) <= k:
+            return np.full(len(q), -np.inf)
+        score = q @ self.sample.T
+        edge = np.partition(score, len(self.sample) - k - 1, axis=1)[:, len(self.sample) - k - 1]
+        return edge - 1e-9 * (1 + np.abs(edge))
+
     def probe(self, q: np.ndarray, least_rows: int) -> list[int]:
         """Lists for a query, by best-first walk over the graph until the next is too far and enough rows are at hand."""
         y = np.append(q, 0.0)
@@ -140,12 +152,12 @@ def top_rows(score: np.ndarray, k: int) -> np.ndarray:
 def fit(x: np.ndarray, longest: float, n_total: int, k: int, seed: int = 3) -> Lists:
     """Lists from the sample ``x``; the probing ratio is the least of a ladder with recall AIM on the sample."""
     random = np.random.default_rng(seed)
-    model = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), np.int64), longest)
+    model = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), np.int64), longest, x[:FLOOR_ROWS])
     n_lists = int(np.clip(n_total // PER_LIST, 1, MAX_LISTS))
     c = np.array(balanced(model.lift(x), max(1, len(x) // n_lists), random)) if len(x) else model.centroids
     d = (c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1)
     graph = d.argsort(1, kind="stable")[:, 1 : NEIGHBOURS + 1] if len(c) > 1 else np.zeros((1, 1), np.int64)
-    model = Lists(c, graph, longest)
+    model = Lists(c, graph, longest, x[:FLOOR_ROWS])
     if len(c) > 1:
         rows, lists = model.assign(x)
         holds = np.zeros((len(c), len(x)), bool)
@@ -194,6 +206,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     n_total, longest = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))).first()
     picked = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # SAMPLE rows at most
     model = fit(matrix(picked["v"].combine_chunks(), dim), float(longest or 0), n_total, k)
+    model.sample_ids = picked["id"].to_numpy()[:FLOOR_ROWS]
     shared = spark.sparkContext.broadcast(model)
 
     def post(batches):
@@ -210,18 +223,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def ask(batches):
         for b in batches:
-            probes = [sized.value.probe(q, enough) for q in matrix(b.column(1), dim)]
+            q = matrix(b.column(1), dim)
+            probes = [sized.value.probe(x, enough) for x in q]
+            floors = sized.value.floor(q, k)
             rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
             lists = np.concatenate([np.array(p, np.int32) for p in probes]) if probes else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns]], names=["list", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns], pa.array(floors[rows])], names=["list", "id", "v", "floor"])
+
+    probes = table(asked.mapInArrow(ask, "list int, id long, v array<double>, floor double"))
 
-    probes = table(asked.mapInArrow(ask, "list int, id long, v array<double>"))
+    def reach_floor(batches):
+        """The rows of the sample that set each query's floor: candidates like others."""
+        m = shared.value
+        for b in batches:
+            qids, q = b.column(0).to_numpy(), matrix(b.column(1), dim)
+            qi, xi = np.nonzero(top_rows(q @ m.sample.T, k + 1) & (qids[:, None] != m.sample_ids[None]))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(m.sample_ids[xi]), pa.array((q[qi] * m.sample[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """One row a block of at most about BLOCK rows of a list."""
         parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         dealt = df.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("part")
+        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
 
     def compare(batches):
         for b in batches:
@@ -229,15 +252,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 h, a = held.values, asking.values
                 ids, qids = h.field("id").to_numpy(), a.field("id").to_numpy()
                 x, q = matrix(h.field("v"), dim), matrix(a.field("v"), dim)
-                may = top_rows(q @ x.T, k + 1)
+                score = q @ x.T
+                may = top_rows(score, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
                 qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
     met = table(blocks(postings, "held")).join(table(blocks(probes, "asking")), "list")
     found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
+    found = found.unionByName(asked.mapInArrow(reach_floor, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector found in several lists has one score; COPIES * k rows hold k vectors
-    some = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= COPIES * (k + 1)).drop("nth")
+    # a vector found in several lists, and in the sample, has one score; so many rows hold k vectors
+    some = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= (COPIES + 1) * (k + 1)).drop("nth")
     ranked = some.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import mix, signed, table, with_fields
+from lectern.llm.shared import table, with_fields
 
 ORDER, SHARED = 6, 3
 DISCOUNT = 0.75
@@ -27,39 +27,42 @@ SLOTS = 1 << 22
 SHARED_SLOTS = 1 << 20
 #: Characters of a stretch.
 STRETCH = 10
-MULT = np.uint64(0x100000001B3)
+MULT = np.uint32(0x01000193)
 
 
 def code_points(text: str | None) -> np.ndarray:
     """Lower-cased code points with two blanks around each word, so that a word's first four characters are an expression of their own."""
-    return np.frombuffer(f"  {'  '.join((text or '').lower().split())}  ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(f"  {'  '.join((text or '').lower().split())}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def grams(a: np.ndarray, n: int) -> np.ndarray:
+    """32-bit hashes of all runs of n characters; their high bits tell them apart."""
     m = max(0, len(a) - n + 1)
-    out = np.full(m, n, np.uint64)
+    out = np.full(m, n, np.uint32)
     for i in range(n):
-        out = (out + a[i : i + m]) * MULT
-    return mix(out)
+        out += a[i : i + m]
+        out *= MULT
+        out ^= out >> np.uint32(15)
+    return out
+
+
+def slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return h % np.uint32(slots)
 
 
 def count_shared(batches):
-    """Distinct (character before, three characters) of a task: continuation types, with the slots they count in."""
-    seen = np.zeros(0, np.uint64)
-    payload = np.zeros((0, 2), np.int32)
+    """Distinct (character before, three characters) of a task, by slot: continuation types, and the slots they count in."""
+    seen = np.zeros(SLOTS, bool)
+    threes, twos = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
     for batch in batches:
         for value in batch.column(0):
             a = code_points(value.as_py())
-            four, three, two = grams(a, 4), grams(a, 3)[1:], grams(a, 2)[1:]
-            key, at = np.unique(four, return_index=True)
-            new = ~np.isin(key, seen, assume_unique=True)
-            at = at[new]
-            slots = np.stack([three[at] % np.uint64(SHARED_SLOTS), two[at] % np.uint64(SHARED_SLOTS)], 1).astype(np.int32)
-            if len(at):
-                merged = np.concatenate([seen, key[new]])
-                order = np.argsort(merged)
-                seen, payload = merged[order], np.concatenate([payload, slots])[order]
-    yield pa.RecordBatch.from_arrays([pa.array(signed(seen)), pa.array(payload[:, 0]), pa.array(payload[:, 1])], names=["four", "three", "two"])
+            four = slot(grams(a, 4), SLOTS)
+            seen[four] = True
+            threes[four] = slot(grams(a, 3)[1:], SHARED_SLOTS)
+            twos[four] = slot(grams(a, 2)[1:-1], SHARED_SLOTS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(threes[at]), pa.array(twos[at])], names=["four", "three", "two"])
 
 
 def count_classes(batches):
@@ -71,14 +74,13 @@ def count_classes(batches):
             if len(a) >= ORDER:
                 six, five = grams(a, ORDER), grams(a, ORDER - 1)[:-1]
                 three, two = grams(a, 3)[ORDER - 3 :], grams(a, 2)[ORDER - 3 : -1]
-                found[toxic].append(np.stack([six, five, three, two]))
+                found[toxic].append(np.stack([slot(six, SLOTS), slot(five, SLOTS), slot(three, SHARED_SLOTS), slot(two, SHARED_SLOTS)]).astype(np.int32))
         for toxic, parts in found.items():
             if parts:
                 at = np.concatenate(parts, 1)
                 six, first, n = np.unique(at[0], return_index=True, return_counts=True)
-                slot = (at[2:, first] % np.uint64(SHARED_SLOTS)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((six % np.uint64(SLOTS)).astype(np.int32)), pa.array((at[1, first] % np.uint64(SLOTS)).astype(np.int32)), pa.array(slot[0]), pa.array(slot[1]), pa.array(np.full(len(six), toxic, np.int32)), pa.array(n.astype(np.int64))],
+                    [pa.array(six), *[pa.array(at[k, first]) for k in (1, 2, 3)], pa.array(np.full(len(six), toxic, np.int32)), pa.array(n.astype(np.int64))],
                     names=["six", "five", "three", "two", "toxic", "n"],
                 )
 
@@ -122,12 +124,12 @@ def features(text: str | None, by_six: np.ndarray, by_context: np.ndarray) -> np
     a = code_points(text)
     if len(a) < ORDER:
         return out
-    d = by_six[grams(a, ORDER) % np.uint64(SLOTS)]
-    gap = np.isnan(d)
-    if gap.any():
-        d[gap] = by_context[(grams(a, ORDER - 1)[:-1] % np.uint64(SLOTS))[gap]]
-    d = d.astype(np.float64)
-    run = np.concatenate(([0.0], np.cumsum(d)))
+    d = by_six[slot(grams(a, ORDER), SLOTS)]
+    gap = np.flatnonzero(np.isnan(d))
+    if len(gap):
+        d[gap] = by_context[slot(grams(a, ORDER - 1)[gap], SLOTS)]
+    run = np.zeros(len(d) + 1)
+    np.cumsum(d, dtype=np.float64, out=run[1:])
     width = min(STRETCH, len(d))
     local = (run[width:] - run[:-width]) / width
     out[0] = d.mean()
@@ -197,7 +199,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .groupBy("six").agg(F.min("five").alias("five"), F.min("three").alias("three"), F.min("two").alias("two"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"))
         .toPandas()
     )  # fmt: skip  # a row a slot at most
-    types = docs.select(F.col(text_col).alias("text")).mapInArrow(count_shared, "four long, three int, two int").groupBy("four").agg(F.min("three").alias("three"), F.min("two").alias("two"))
+    types = docs.select(F.col(text_col).alias("text")).mapInArrow(count_shared, "four int, three int, two int").groupBy("four").agg(F.min("three").alias("three"), F.min("two").alias("two"))
     shared = types.groupBy("three").agg(F.min("two").alias("two"), F.count("*").alias("n")).toPandas()  # a row a slot at most
     tables = spark.sparkContext.broadcast(difference_tables(shared, counts))
 
