@@ -42,18 +42,20 @@ def shingle_set(text: bytes | None, word: WordHashes, n: int) -> np.ndarray:
     return np.unique(runs(word(w), min(n, len(w))))
 
 
-_SEEDS = mix(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64))
-_ODD = mix(_SEEDS) | np.uint64(1)
+#: A column each; 32 bits, which numpy multiplies several at a time. Chance agreements only add candidates.
+_SEEDS = mix(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64)).astype(np.uint32)[:, None]
+_ODD = mix(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) + np.uint64(1 << 32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
 def half_keys(s: np.ndarray) -> np.ndarray:
     """2 * HALVES hashes; bit 0 tells the collection."""
-    least = np.full(len(_SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(s), 512):
-        part = s[i : i + 512, None] ^ _SEEDS
+    s = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_SEEDS), np.uint32(0xFFFFFFFF))
+    for i in range(0, len(s), 1024):
+        part = s[i : i + 1024] ^ _SEEDS
         part *= _ODD
-        np.minimum(least, part.min(axis=0), out=least)
-    grouped = least.reshape(2 * HALVES, ROWS)
+        np.minimum(least, part.min(axis=1), out=least)
+    grouped = least.reshape(2 * HALVES, ROWS).astype(np.uint64)
     key = np.arange(2 * HALVES, dtype=np.uint64)
     for r in range(ROWS):
         key = mix(key * np.uint64(0x5851F42D4C957F2D) + grouped[:, r])
