@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,25 +74,15 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered for a task; ``seed`` gives an independent function."""
-
-    LIMIT = 400_000
+    """64-bit hashes of words; ``seed`` gives an independent function."""
 
     def __init__(self, seed: int = 0):
-        self.seed, self.known = seed, {}
+        self.seed = seed
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
         import xxhash
 
-        known, seed, h64 = self.known, self.seed, xxhash.xxh3_64_intdigest
-        if len(known) > self.LIMIT:
-            known.clear()
-        out = [known.get(t, -1) for t in tokens]
-        if -1 in out:
-            for i, v in enumerate(out):
-                if v < 0:
-                    out[i] = known[tokens[i]] = h64(tokens[i], seed)
-        return np.array(out, np.uint64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens, repeat(self.seed)), np.uint64, len(tokens))
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
