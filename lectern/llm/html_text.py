@@ -1,12 +1,12 @@
 """Main text of web pages: markup where a page marks its article, a host's suffix array where it doesn't.
 
 A page's blocks are of three kinds: inside the article, outside it in an
-element that can't be main text, or open. Open and outside blocks of all pages
-of a host are one token stream with a mark at each block's edge; its suffixes,
-cut at DEPTH tokens, are grouped by that prefix, which are the intervals of the
-suffix array with so long a common prefix. Where an interval spans enough
-distinct pages, its tokens are boilerplate. Covered tokens go from open blocks,
-and the unique runs stay.
+element that can't be main text, or open. The blocks of all pages of a host,
+marked pages too, are one token stream with a mark at each block's edge; its
+suffixes, cut at DEPTH tokens, are grouped by that prefix, which are the
+intervals of the suffix array with so long a common prefix. Where an interval
+spans enough distinct pages, its tokens are boilerplate. Covered tokens go from
+open blocks, and the unique runs stay; marked articles lose nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import WordHashes, runs, signed, table, with_fields
+from lectern.llm.shared import WordHashes, mix, runs, signed, table, with_fields
 
 #: Tokens (marks count) of a substring that counts as long, and distinct pages that make it boilerplate.
 DEPTH, PAGES = 8, 3
@@ -135,8 +135,6 @@ def parse(html_col: str):
             kinds, texts = [], []
             for v in b.column(0).field(html_col):
                 found = blocks(v.as_py())
-                if any(k == ARTICLE for k, _ in found):
-                    found = [(k, t) for k, t in found if k != OPEN]
                 kinds.append([k for k, _ in found])
                 texts.append([t for _, t in found])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["src", "host", "kinds", "blocks"])
@@ -154,33 +152,51 @@ def stream(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return tokens, np.array(of)
 
 
-def suffixes(batches):
-    import xxhash
+def keyed(host: str, tokens: list[bytes], word: WordHashes) -> np.ndarray:
+    """The hash of each suffix's first DEPTH tokens and the host."""
+    return mix(runs(word(tokens), DEPTH) ^ word([host.encode()]))
+
 
+def suffixes(batches):
+    """Each page's distinct suffixes."""
     word = WordHashes()
     for b in batches:
-        rows, grams, pages = [], [], []
-        for r, texts in enumerate(b.column(1).to_pylist()):
+        grams, pages = [], []
+        for host, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             tokens = stream(texts or [])[0]
-            g = np.unique(runs(word(tokens), DEPTH))
-            rows += [r] * len(g)
+            g = np.unique(keyed(host, tokens, word))
             grams.append(signed(g))
             # pages with the same stream are one page
-            pages += [xxhash.xxh3_64_intdigest(b" ".join(tokens)) - (1 << 63)] * len(g)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(pages, pa.int64())], names=["host", "gram", "page"])
+            pages.append(np.full(len(g), signed(word([b" ".join(tokens)]))[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (grams, pages)], names=["gram", "page"])
+
+
+def repeated(evidence: DataFrame) -> DataFrame:
+    """``gram`` of the suffixes of ``evidence (host, blocks)`` on PAGES or more distinct pages.
+
+    A page sets one of 64 bits, so that a suffix is one short row from each
+    task; the few whose pages may have met in a bit are counted again in full.
+    """
+    found = evidence.mapInArrow(suffixes, "gram long, page long")
+    bit = F.expr("shiftleft(1L, CAST(page & 63 AS INT))")
+    sums = table(found.groupBy("gram").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n")).where(F.col("n") >= PAGES).select("gram", (F.bit_count("bits") >= PAGES).alias("sure")))
+    sure, open_ = sums.where("sure").select("gram"), sums.where("NOT sure").select("gram")
+    if open_.isEmpty():
+        return sure
+    again = found.join(open_, "gram", "left_semi").groupBy("gram").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES).select("gram")
+    return table(sure.unionByName(again))
 
 
 def occurrences(batches):
     word = WordHashes()
     for b in batches:
         rows, grams, at = [], [], []
-        for r, texts in enumerate(b.column(2).to_pylist()):
-            g = runs(word(stream(texts or [])[0]), DEPTH)
+        for r, (host, texts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            g = keyed(host, stream(texts or [])[0], word)
             rows += [r] * len(g)
             grams.append(signed(g))
             at.append(np.arange(len(g), dtype=np.int32))
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(np.concatenate(at) if at else [], pa.int32())], names=["nr", "host", "gram", "at"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(np.concatenate(at) if at else [], pa.int32())], names=["nr", "gram", "at"])
 
 
 def unique_runs(block: np.ndarray, covered: np.ndarray) -> list[int]:
@@ -219,23 +235,17 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.struct("*").alias("src"), host.alias("host"))
-    schema = with_fields(rows, "src", "host string, kinds array<int>, blocks array<string>")
-    parsed = rows.mapInArrow(parse(html_col), schema)
+    parsed = rows.mapInArrow(parse(html_col), with_fields(rows, "src", "host string, kinds array<int>, blocks array<string>"))
+    slim = rows.select(F.struct(F.col("src").getField(html_col).alias("html")).alias("src"), "host")
+    evidence = slim.mapInArrow(parse("html"), "src struct<html: string>, host string, kinds array<int>, blocks array<string>").select("host", "blocks")
+    common = repeated(evidence)
+
     article = F.array_join(F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == ARTICLE, t)), lambda t: t.isNotNull()), "\n")
     undecided = ~F.array_contains("kinds", ARTICLE) & F.array_contains("kinds", OPEN)
-
-    slim = table(rows.select(F.struct(F.col("src").getField(html_col).alias("html")).alias("src"), "host").mapInArrow(parse("html"), "src struct<html: string>, host string, kinds array<int>, blocks array<string>").where(undecided).select("host").distinct())
-    if slim.isEmpty():
-        return parsed.select("src", article.alias("text"))
-
-    numbered = table(parsed.withColumn("nr", F.monotonically_increasing_id()))
-    outside = F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k != ARTICLE, t)), lambda t: t.isNotNull())
-    evidence = numbered.join(slim, "host", "left_semi").select("host", outside.alias("blocks"))
-    common = table(evidence.mapInArrow(suffixes, "host string, gram long, page long").groupBy("host", "gram").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES).select("host", "gram"))
-    loose = numbered.where(undecided).select("nr", "host", "kinds", "blocks")
-    met = loose.select("nr", "host", "blocks").mapInArrow(occurrences, "nr long, host string, gram long, at int").join(common, ["host", "gram"]).groupBy("nr").agg(F.collect_set("at").alias("starts"))
-    freed = loose.join(met, "nr", "left").select("nr", "kinds", "blocks", "starts").mapInArrow(uncover, "nr long, text string")
-    return numbered.join(freed, "nr", "left").select("src", F.when(undecided, F.col("text")).otherwise(article).alias("text"))
+    loose = table(parsed.where(undecided).withColumn("nr", F.monotonically_increasing_id()))
+    met = loose.select("nr", "host", "blocks").mapInArrow(occurrences, "nr long, gram long, at int").join(common, "gram").groupBy("nr").agg(F.collect_set("at").alias("starts"))
+    freed = loose.select("nr", "kinds", "blocks").join(met, "nr", "left").select("nr", "kinds", "blocks", "starts").mapInArrow(uncover, "nr long, text string")
+    return parsed.where(~undecided).select("src", article.alias("text")).unionByName(loose.select("src", "nr").join(freed, "nr").select("src", "text"))
 
 
 def op9_html_text(spark, sf_dir):

@@ -103,3 +103,18 @@ def test_main_text(spark):
     assert got[10].endswith("Single page") and got[10].startswith("Home")  # nothing repeats on that host
     assert got[11] == got[12] == "" and got[13] == "Marked" and got[14] == got[0]
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_marked_pages_are_evidence(spark):
+    """Two unmarked pages can't tell what repeats, with marked pages of their host they can."""
+    menu = "<p>Home</p><p>World news of today</p><p>Sport</p><p>Weather</p><p>All rights reserved by the publisher of this site</p>"
+    rows = [(i, "http://h.example/", page(f"{menu}<div>Unmarked text {i}</div>")) for i in (0, 1)]
+    rows += [(i, "http://h.example/", page(f"<article><p>Marked {i}</p>{menu}</article>")) for i in (2, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).select("src.page_id", "text").collect()}
+    assert got[0] == "Unmarked text 0" and got[1] == "Unmarked text 1"
+    assert got[2].startswith("Marked 2\nHome") and got[2].endswith("of this site")
+    # seventy pages meet in 64 bits, and copies of one page still are one page
+    copies = [(i, "http://c.example/", page(menu)) for i in range(70)] + [(100, "http://c.example/", page(f"{menu}<p>x</p>"))]
+    got = html_text.main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).select("text").collect()
+    assert len(got) == 71 and all(r.text.startswith("Home") for r in got)
