@@ -214,40 +214,57 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, mark, n_shingles, component_id, kept``, a row per row of ``docs``; ``mark`` is xxhash64 of the text.
+    """``id, mark, n_shingles, component_id, kept, component``, a row per row of ``docs``; ``mark`` is xxhash64 of the text.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Texts without words
     (null and empty ones too) are linked with nothing. ``kept`` rows have the
     smallest id of their component. A null id is an id of its own below all
-    others; rows that repeat an id get the component of their own text. An empty
-    table gives an empty one.
+    others; rows that repeat an id get the component of their own text.
+    ``component`` tells components apart that have one smallest id; it is null
+    for texts without words. An empty table gives an empty one.
     """
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
     texts = docs.select(ident, F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     per_row = table(texts.mapInArrow(signatures(shingle), "id long, mark long, n_shingles long, f1 long, f2 long, halves array<long>"))
-    # equal sets are one class, known by its smallest id
+    # equal sets are one class with a number of its own: ids may be null or repeat
     kind = ["f1", "f2", "n_shingles"]
     filled = per_row.where("n_shingles > 0")
-    classes = table(filled.groupBy(*kind).agg(F.min("id").alias("id"), F.first("halves").alias("halves")))
+    classes = table(filled.groupBy(*kind).agg(F.min(F.struct("id", "mark")).alias("one"), F.first("halves").alias("halves")).select(*kind, F.col("one.id").alias("least"), F.col("one.mark").alias("mark"), "halves", F.monotonically_increasing_id().alias("id")))
     halves = classes.select("id", F.explode("halves").alias("half"))
     shared = table(halves.groupBy("half").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("half"))
     even = F.col("half").bitwiseAND(1) == 0
     mine = halves.join(shared, "half").groupBy("id").agg(F.collect_set(F.when(even, F.col("half"))).alias("u"), F.collect_set(F.when(~even, F.col("half"))).alias("v"))
     keys = table(mine.select("id", F.explode("u").alias("u"), "v").select("id", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "u", "id"))
     buckets = table(keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("key"))
-    comps = linked(texts, table(keys.join(buckets, "key")), classes.select("id", "n_shingles"), shingle, percent)
-
-    classed = table(classes.join(comps, "id", "left").select(*kind, F.coalesce("comp", "id").alias("comp")))
-    comp = F.coalesce("comp", "id")
+    tables = table(keys.join(buckets, "key"))
+    # one text of each class stands for it
+    met = table(classes.join(tables.select("id").distinct(), "id", "left_semi").select("id", F.col("least").alias("of"), "mark"))
+    stand = texts.withColumnRenamed("id", "of").join(met, ["of", "mark"]).dropDuplicates(["of", "mark"]).select("id", "text")
+    comps = linked(stand, tables, classes.select("id", "n_shingles"), shingle, percent)
+
+    grouped = table(classes.join(comps, "id", "left").select(*kind, "least", F.coalesce("comp", "id").alias("comp")))
+    named = grouped.groupBy("comp").agg(F.min("least").alias("smallest"))
+    classed = table(grouped.join(named, "comp").select(*kind, "comp", "smallest"))
+    comp = F.coalesce("smallest", "id")
     shown = F.when(comp != NO_ID, comp)
-    return per_row.join(classed, kind, "left").select("id", "mark", "n_shingles", shown.alias("component_id"), (F.col("id") == comp).alias("kept"))
+    return per_row.join(classed, kind, "left").select("id", "mark", "n_shingles", shown.alias("component_id"), (F.col("id") == comp).alias("kept"), F.col("comp").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    """One row of ``docs`` for each component, and every row without words, with their columns.
+
+    Of the rows of a component that have its smallest id, one stays: that of the
+    least ``mark``, and of equal rows any.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept AND component IS NOT NULL")
+    copies = found.groupBy("component", "id", "mark").agg(F.count("*").alias("n"))
+    kept = table(copies.groupBy("component").agg(F.min(F.struct("id", "mark", "n")).alias("k")).select("k.*"))
     rows = docs.select(F.struct("*").alias("src"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
-    return rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi").select("src.*")
+    words = F.coalesce(F.col(f"src.{text_col}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    filled = rows.where(words)
+    once = filled.join(table(kept.where("n = 1")), ["id", "mark"], "left_semi")
+    repeated = filled.join(table(kept.where("n > 1")), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return once.unionByName(repeated).unionByName(rows.where(~words)).select("src.*")
 
 
 def op6_near_dedup(spark, sf_dir):

@@ -152,6 +152,25 @@ def test_near_dedup(spark, odd, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in near_brute(docs).items() if i == c}
 
 
+def test_near_dedup_ids(spark):
+    """Null ids and ids repeated with other texts: a row out for a row in, and one row of each component stays."""
+    rng = random.Random(6)
+    base = [[f"n{k}x{j}" for j in range(60)] for k in range(6)]
+    docs = [(None, " ".join(w)) for w in base] + [(5, " ".join([*w[:-1], "end"])) for w in base[:3]] + [(9, " ".join(base[3])), (None, " ".join(base[4])), (5, " ".join(base[0])), (None, None), (None, " "), (None, " ")]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = near_dedup.near_duplicates(df).collect()
+    assert len(out) == len(docs)
+    assert all(r.component_id is None for r in out) and sum(r.kept for r in out) == 10
+    of = {}
+    for r in out:
+        if r.n_shingles:
+            of.setdefault(r.component, []).append(r.id)
+    assert sorted(map(len, of.values())) == [1, 2, 2, 2, 2, 3]
+    kept = [r.text for r in near_dedup.keep_one_of_each(df).collect()]
+    assert sorted(t for t in kept if t and t.strip()) == sorted(" ".join(w) for w in base) and len(kept) == 9
+
+
 def bench_brute(docs, items, n=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     out = {}
