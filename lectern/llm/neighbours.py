@@ -149,6 +149,16 @@ def top_rows(score: np.ndarray, k: int) -> np.ndarray:
     return score >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]
 
 
+def top_ids(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """As :func:`top_rows`, for the k ids of largest score: an id can have several rows."""
+    found, of = np.unique(ids, return_inverse=True)
+    if len(found) == len(ids):
+        return top_rows(score, k)
+    order = np.argsort(of, kind="stable")
+    best = np.maximum.reduceat(score[:, order], np.searchsorted(of[order], np.arange(len(found))), axis=1)
+    return top_rows(best, k)[:, of]
+
+
 def fit(x: np.ndarray, longest: float, n_total: int, k: int, seed: int = 3) -> Lists:
     """Lists from the sample ``x``; the probing ratio is the least of a ladder with recall AIM on the sample."""
     random = np.random.default_rng(seed)
@@ -184,7 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     ties go to the smaller id. Vectors that are null, zero, of another length
     than most, or hold null or non-finite components, and rows with a null id,
     take no part. Of equal vectors the k + 1 smallest ids are candidates: no
-    others can be among anyone's nearest. With few candidates all are returned;
+    others can be among anyone's nearest. A row given twice counts once; an id
+    with several vectors has the score of its best, as vector and as query. With few candidates all are returned;
     an empty table gives an empty one.
     """
     spark = vectors.sparkSession
@@ -201,12 +212,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], schema)
     dim = dims["dim"]
     of_equal = Window.partitionBy("v").orderBy("id")
-    index = table(good.where(F.size("v") == dim).withColumn("nth", F.row_number().over(of_equal)).where(F.col("nth") <= k + 1).drop("nth"))
-    asked = usable(queries).where(F.size("v") == dim)
+    index = table(good.where(F.size("v") == dim).dropDuplicates(["id", "v"]).withColumn("nth", F.row_number().over(of_equal)).where(F.col("nth") <= k + 1).drop("nth"))
+    asked = usable(queries).where(F.size("v") == dim).dropDuplicates(["id", "v"])
     n_total, longest = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))).first()
     picked = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # SAMPLE rows at most
-    model = fit(matrix(picked["v"].combine_chunks(), dim), float(longest or 0), n_total, k)
-    model.sample_ids = picked["id"].to_numpy()[:FLOOR_ROWS]
+    x, ids = matrix(picked["v"].combine_chunks(), dim), picked["id"].to_numpy()
+    model = fit(x, float(longest or 0), n_total, k)
+    # a floor is what k + 1 distinct ids reach
+    first = np.sort(np.unique(ids, return_index=True)[1])[:FLOOR_ROWS]
+    model.sample, model.sample_ids = x[first], ids[first]
     shared = spark.sparkContext.broadcast(model)
 
     def post(batches):
@@ -243,7 +257,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """One row a block of at most about BLOCK rows of a list."""
         parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        dealt = df.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        dealt = df.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
         return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
 
     def compare(batches):
@@ -253,7 +267,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 ids, qids = h.field("id").to_numpy(), a.field("id").to_numpy()
                 x, q = matrix(h.field("v"), dim), matrix(a.field("v"), dim)
                 score = q @ x.T
-                may = top_rows(score, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
+                may = top_ids(score, ids, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
                 qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
@@ -261,9 +275,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
     found = found.unionByName(asked.mapInArrow(reach_floor, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector found in several lists, and in the sample, has one score; so many rows hold k vectors
-    some = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= (COPIES + 1) * (k + 1)).drop("nth")
-    ranked = some.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # a vector is found in several lists, and in the sample
+    some = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

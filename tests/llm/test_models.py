@@ -74,6 +74,32 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows given many times, and ids with several vectors, take no one's place."""
+    random_ = np.random.default_rng(1)
+    x = random_.normal(size=(400, 8))
+    x[50:90] = x[3] * 4  # equal vectors, of which one is given thirty times
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(50, x[50].tolist())] * 30
+    rows += [(60, (x[3] * (5 + j)).tolist()) for j in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 3")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    vecs, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = []
+    for q in range(3, 400, 20):
+        best = {}
+        for i, s in zip(ids, (vecs @ vecs[ids == q].T).max(1)):
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), s)
+        exact = [i for i, _ in sorted(best.items(), key=lambda e: (-round(e[1], 9), e[0]))[:20]]
+        assert len(got[q]) == len(set(got[q])) == 20
+        hits.append(len(set(exact) & set(got[q])) / 20)
+        if q == 3:
+            assert got[q] == exact
+    assert np.mean(hits) >= 0.95
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
 
