@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from itertools import repeat
@@ -16,10 +17,12 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is set (tests), one of our own."""
+    """The folder named in spark.checkpoint.dir. Where none is set, one of our own if the session is a single process; a cluster has to name one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lectern_folder", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         sc._lectern_folder = folder
     return folder.rstrip("/")
@@ -96,3 +99,8 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
+
+
+def matrix(a, dim: int) -> np.ndarray:
+    """An Arrow array of lists of ``dim`` numbers as rows of doubles."""
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)

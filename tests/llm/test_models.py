@@ -1,6 +1,7 @@
 """The trained scorers, the search and page extraction."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,10 +37,54 @@ def test_scores(spark, score, label, good):
     assert len(out) == len(docs) + len(odd) and all(0 <= r.score <= 1 for r in out)
     held = [(r.score >= 0.5, bool(labels[r.doc_id][label])) for r in out if r.held_out and r.doc_id is not None and r.doc_id < 900]
     assert sum(a == b for a, b in held) / len(held) >= good
+    twice = score(df.unionByName(df), lab).select("src.doc_id", "score").collect()
+    assert len(twice) == 2 * len(out)
     assert score(df.limit(0), lab).count() == 0
     assert score(df, lab.limit(0)).where("score IS NULL OR score NOT BETWEEN 0 AND 1").count() == 0
 
 
+def kneser_ney(texts, every, d=0.75):
+    """P(c | context) by class in plain recursion: own counts of six, own continuation counts of five and four, shared ones of three."""
+    spaced = lambda t: f"  {'  '.join(t.lower().split())}  "
+    grams = lambda ts, n: [s[i : i + n] for s in map(spaced, ts) for i in range(len(s) - n + 1)]
+    shared = Counter(g[1:] for g in set(grams(every, 4)))
+    chars = len({g[-1] for g in shared})
+    own = {6: Counter(grams(texts, 6))}
+    own[5] = Counter(g[1:] for g in own[6])
+    own[4] = Counter(g[1:] for g in own[5])
+
+    def p(g):
+        counts, low = (shared, 1 / chars) if len(g) == 3 else (own[len(g)], p(g[1:]))
+        below = [n for h, n in counts.items() if h[:-1] == g[:-1]]
+        if not below:
+            return low
+        return max(counts[g] - d, 0) / sum(below) + d * len(below) / sum(below) * low
+
+    return p
+
+
+def test_toxicity_counts(spark):
+    """The log-ratio of every character, seen and unseen, is that of a plain Kneser-Ney recursion."""
+    rng = random.Random(3)
+    docs = ["".join(rng.choice("ab c\U0001f600") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "x"]
+    toxic = [int(i % 3 == 0) for i in range(40)]
+    frame = spark.createDataFrame([(t,) for t in docs], "text string")
+    sample = spark.createDataFrame(list(zip(docs, toxic)), "text string, toxic int")
+    tables = {k: toxicity.Lookup.of(d) for k, d in toxicity.differences(sample, frame).items()}
+    p = [kneser_ney([t for t, y in zip(docs, toxic) if y == c], docs) for c in (0, 1)]
+    unseen = 0
+    for t in docs[35:] + ["abc abc", "cab zzzz bca", "qqqqqqqq"]:
+        s = f"  {'  '.join(t.lower().split())}  "
+        got = toxicity.log_ratios(toxicity.threes_of(toxicity.code_points(t)), tables)
+        for i, g in enumerate(got):
+            six = s[i : i + 6]
+            if all(ch in "abc \U0001f600" for ch in six):
+                assert abs(g - np.log(p[1](six) / p[0](six))) < 1e-4
+            else:
+                unseen += 1
+    assert unseen
+
+
 def brute(x, ids, q, k):
     out = {}
     for i in q:
