@@ -17,19 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import table
+from lectern.llm.shared import matrix, table
 
-#: The sample that lists are fit on, the vectors meant for a list, and the lists at most.
-SAMPLE, PER_LIST, MAX_LISTS = 40_000, 256, 4_096
+#: Vectors meant for a list, lists at most, rows of the sample that lists are fit on for each list, and such rows at least.
+PER_LIST, MAX_LISTS, SAMPLE_PER_LIST, LEAST_SAMPLE = 256, 4_096, 24, 20_000
 #: Lists that a vector goes to at most, and how much farther than the nearest they may be.
-COPIES, COPY_RATIO = 4, 1.10
-NEIGHBOURS = 24
+COPIES, COPY_RATIO = 2, 1.10
+#: Edges of a centroid to its nearest, and to any; nodes a walk starts from, and steps that it takes at least.
+NEIGHBOURS, LONG, STARTS, BEAM = 20, 6, 64, 32
 #: Rows of a block of vectors or of queries.
 BLOCK = 1_024
-#: Rows of the sample that give each query a score its nearest can't be under.
-FLOOR_ROWS = 16_384
 #: Recall on the sample that the probing ratio is set for.
-AIM = 0.985
+AIM = 0.95
 
 
 @dataclass
@@ -37,8 +36,6 @@ class Lists:
     centroids: np.ndarray
     graph: np.ndarray
     longest: float
-    sample: np.ndarray
-    sample_ids: np.ndarray | None = None
     ratio: float = 0.1
     sizes: np.ndarray | None = None
 
@@ -48,42 +45,27 @@ class Lists:
         return np.column_stack([x, np.sqrt(rest)])
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every copy: a farther list is taken unless a taken one is nearer to it than the vector is."""
-        y, c = self.lift(x), self.centroids
+        """(row, list) of every copy: near a boundary, lists hardly farther than the nearest are taken too."""
+        c = self.centroids
         rows, lists = [], []
-        width = min(4 * COPIES, len(c))
-        between = ((c[:, None] - c[None]) ** 2).sum(2) if len(c) <= 512 else None
-        for i in range(0, len(y), 2048):
-            d = np.maximum((y[i : i + 2048] ** 2).sum(1)[:, None] - 2 * y[i : i + 2048] @ c.T + (c**2).sum(1), 0)
+        width = min(COPIES, len(c))
+        for i in range(0, len(x), 2048):
+            y = self.lift(x[i : i + 2048])
+            d = np.maximum((y**2).sum(1)[:, None] - 2 * y @ c.T + (c**2).sum(1), 0)
             near = np.argpartition(d, width - 1, axis=1)[:, :width] if width < len(c) else np.tile(np.arange(len(c)), (len(d), 1))
             near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
             dist = np.take_along_axis(d, near, 1)
-            for r in range(len(d)):
-                taken = [near[r, 0]]
-                for k in range(1, width):
-                    if len(taken) == COPIES or dist[r, k] > COPY_RATIO**2 * dist[r, 0]:
-                        break
-                    j = near[r, k]
-                    gap = between[j, taken] if between is not None else ((c[taken] - c[j]) ** 2).sum(1)
-                    if (gap > dist[r, k]).all():
-                        taken.append(j)
-                rows += [i + r] * len(taken)
-                lists += taken
-        return np.array(rows, np.int64), np.array(lists, np.int64)
-
-    def floor(self, q: np.ndarray, k: int) -> np.ndarray:
-        """For each query a score that its k nearest reach: k + 1 of the sample do, itself perhaps among them."""
-        if len(self.sample) <= k:
-            return np.full(len(q), -np.inf)
-        score = q @ self.sample.T
-        edge = np.partition(score, len(self.sample) - k - 1, axis=1)[:, len(self.sample) - k - 1]
-        return edge - 1e-9 * (1 + np.abs(edge))
+            r, k = np.nonzero(dist <= COPY_RATIO**2 * dist[:, :1])
+            rows.append(i + r)
+            lists.append(near[r, k])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(lists)
 
     def probe(self, q: np.ndarray, least_rows: int) -> list[int]:
-        """Lists for a query, by best-first walk over the graph until the next is too far and enough rows are at hand."""
+        """Lists for a query: a best-first walk over the graph, at least BEAM steps long, gives those within the ratio of the nearest, and more until enough rows are at hand."""
         y = np.append(q, 0.0)
         c, seen = self.centroids, np.zeros(len(self.centroids), bool)
-        start = np.arange(0, len(c), max(1, len(c) // 16))
         heap: list[tuple[float, int]] = []
 
         def push(nodes):
@@ -92,25 +74,24 @@ class Lists:
             for d, n in zip((((c[nodes] - y) ** 2).sum(1)) ** 0.5, nodes):
                 heapq.heappush(heap, (float(d), int(n)))
 
-        push(start)
-        # greedy descent first, so that the nearest list is known
-        best, checked = heap[0], set()
-        while best[1] not in checked:
-            checked.add(best[1])
-            push(self.graph[best[1]])
-            best = min(best, heap[0])
-        out, held, walked = [], 0, set(checked)
+        push(np.arange(0, len(c), max(1, len(c) // STARTS)))
+        near, held, best = [], 0, heap[0][0]
         while heap:
             d, n = heapq.heappop(heap)
-            if d > (1 + self.ratio) * best[0] + 1e-12 and (self.sizes is None or held >= least_rows):
+            if d > (1 + self.ratio) * best + 1e-12 and len(near) >= BEAM and held >= least_rows:
+                break
+            best = min(best, d)
+            near.append((d, n))
+            held += least_rows if self.sizes is None else int(self.sizes[n])
+            push(self.graph[n])
+            if not heap and held < least_rows:
+                push(np.flatnonzero(~seen))
+        out, held = [], 0
+        for d, n in sorted(near):
+            if d > (1 + self.ratio) * best + 1e-12 and (self.sizes is None or held >= least_rows):
                 break
             out.append(n)
             held += 0 if self.sizes is None else int(self.sizes[n])
-            if n not in walked:
-                walked.add(n)
-                push(self.graph[n])
-            if not heap and held < least_rows and self.sizes is not None:
-                push(np.flatnonzero(~seen))
         return out
 
 
@@ -159,35 +140,32 @@ def top_ids(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return top_rows(best, k)[:, of]
 
 
-def fit(x: np.ndarray, longest: float, n_total: int, k: int, seed: int = 3) -> Lists:
-    """Lists from the sample ``x``; the probing ratio is the least of a ladder with recall AIM on the sample."""
+def fit(x: np.ndarray, longest: float, n_lists: int, k: int, seed: int = 3) -> Lists:
+    """Lists from the sample ``x``; the probing ratio is the least that has recall AIM on the sample."""
     random = np.random.default_rng(seed)
-    model = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), np.int64), longest, x[:FLOOR_ROWS])
-    n_lists = int(np.clip(n_total // PER_LIST, 1, MAX_LISTS))
+    model = Lists(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), np.int64), longest)
     c = np.array(balanced(model.lift(x), max(1, len(x) // n_lists), random)) if len(x) else model.centroids
-    d = (c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1)
-    graph = d.argsort(1, kind="stable")[:, 1 : NEIGHBOURS + 1] if len(c) > 1 else np.zeros((1, 1), np.int64)
-    model = Lists(c, graph, longest, x[:FLOOR_ROWS])
+    # row by row: no square of the lists is held
+    graph = np.array([((c - one) ** 2).sum(1).argsort(kind="stable")[1 : NEIGHBOURS + 1] for one in c]) if len(c) > 1 else np.zeros((1, 1), np.int64)
+    graph = np.column_stack([graph, random.integers(0, len(c), (len(c), LONG))])
+    model = Lists(c, graph, longest)
     if len(c) > 1:
+        tried = random.choice(len(x), min(200, len(x)), replace=False)
         rows, lists = model.assign(x)
-        holds = np.zeros((len(c), len(x)), bool)
-        holds[lists, rows] = True
-        tried = random.choice(len(x), min(150, len(x)), replace=False)
-        score = x[tried] @ x.T
-        score[np.arange(len(tried)), tried] = -np.inf
-        best = np.argpartition(-score, min(k, len(x) - 1), axis=1)[:, :k]
-        for model.ratio in (0.02, 0.05, 0.08, 0.11, 0.14, 0.17, 0.2, 0.24, 0.28, 0.33, 0.4, 0.6, 1.0):
-            hit = sum(holds[model.probe(x[t], 0)][:, b].any(0).mean() for t, b in zip(tried, best))
-            if hit / len(tried) >= AIM:
-                break
+        lists = lists[np.argsort(rows, kind="stable")]
+        edges = np.searchsorted(np.sort(rows), np.arange(len(x) + 1))
+        needed = []
+        for t in tried:
+            score = x @ x[t]
+            score[t] = -np.inf
+            far = ((c - np.append(x[t], 0.0)) ** 2).sum(1) ** 0.5
+            # how much farther than the nearest list is the nearest that holds it
+            needed += [far[lists[edges[j] : edges[j + 1]]].min() / max(far.min(), 1e-12) - 1 for j in np.argpartition(-score, min(k, len(x) - 1))[:k]]
+        model.ratio = float(np.quantile(needed, AIM, method="higher"))
     return model
 
 
-def matrix(a: pa.ListArray, dim: int) -> np.ndarray:
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_list: int = PER_LIST) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` found, itself excepted.
 
     Scores are inner products of the vectors as they are, in double precision;
@@ -195,14 +173,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     than most, or hold null or non-finite components, and rows with a null id,
     take no part. Of equal vectors the k + 1 smallest ids are candidates: no
     others can be among anyone's nearest. A row given twice counts once; an id
-    with several vectors has the score of its best, as vector and as query. With few candidates all are returned;
-    an empty table gives an empty one.
+    with several vectors has the score of its best, as vector and as query. With
+    few candidates all are returned; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == queries.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<double>")
+        v = F.col(vector_col).cast(f"array<{kind}>")
         bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
         return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad & F.exists(v, lambda e: e != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
@@ -214,48 +193,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     of_equal = Window.partitionBy("v").orderBy("id")
     index = table(good.where(F.size("v") == dim).dropDuplicates(["id", "v"]).withColumn("nth", F.row_number().over(of_equal)).where(F.col("nth") <= k + 1).drop("nth"))
     asked = usable(queries).where(F.size("v") == dim).dropDuplicates(["id", "v"])
-    n_total, longest = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))).first()
-    picked = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # SAMPLE rows at most
-    x, ids = matrix(picked["v"].combine_chunks(), dim), picked["id"].to_numpy()
-    model = fit(x, float(longest or 0), n_total, k)
-    # a floor is what k + 1 distinct ids reach
-    first = np.sort(np.unique(ids, return_index=True)[1])[:FLOOR_ROWS]
-    model.sample, model.sample_ids = x[first], ids[first]
+    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+    n_total, longest = index.agg(F.count("*"), F.max(F.sqrt(square))).first()
+    n_lists = int(np.clip(n_total // per_list, 1, MAX_LISTS))
+    picked = index.orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, SAMPLE_PER_LIST * n_lists)).select("v").toArrow()  # SAMPLE_PER_LIST * MAX_LISTS rows at most
+    model = fit(matrix(picked["v"].combine_chunks(), dim), float(longest or 0), n_lists, k)
     shared = spark.sparkContext.broadcast(model)
 
     def post(batches):
         for b in batches:
-            x = matrix(b.column(1), dim)
-            rows, lists = shared.value.assign(x)
+            rows, lists = shared.value.assign(matrix(b.column(1), dim))
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *[c.take(pa.array(rows)) for c in b.columns]], names=["list", "id", "v"])
 
-    postings = table(index.mapInArrow(post, "list int, id long, v array<double>"))
-    sizes = postings.groupBy("list").count().toPandas()  # MAX_LISTS rows at most
-    model.sizes = np.bincount(sizes["list"], sizes["count"], len(model.centroids)).astype(np.int64)
+    postings = table(index.mapInArrow(post, f"list int, id long, v array<{kind}>"))
+    sizes = postings.groupBy("list").count().toArrow()  # some MAX_LISTS rows at most
+    model.sizes = np.bincount(sizes["list"].to_numpy(), sizes["count"].to_numpy(), len(model.centroids)).astype(np.int64)
     sized = spark.sparkContext.broadcast(model)
     enough = COPIES * (k + 1)
 
     def ask(batches):
         for b in batches:
-            q = matrix(b.column(1), dim)
-            probes = [sized.value.probe(x, enough) for x in q]
-            floors = sized.value.floor(q, k)
+            probes = [sized.value.probe(x, enough) for x in matrix(b.column(1), dim)]
             rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
             lists = np.concatenate([np.array(p, np.int32) for p in probes]) if probes else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns], pa.array(floors[rows])], names=["list", "id", "v", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns]], names=["list", "id", "v"])
 
-    probes = table(asked.mapInArrow(ask, "list int, id long, v array<double>, floor double"))
-
-    def reach_floor(batches):
-        """The rows of the sample that set each query's floor: candidates like others."""
-        m = shared.value
-        for b in batches:
-            qids, q = b.column(0).to_numpy(), matrix(b.column(1), dim)
-            qi, xi = np.nonzero(top_rows(q @ m.sample.T, k + 1) & (qids[:, None] != m.sample_ids[None]))
-            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(m.sample_ids[xi]), pa.array((q[qi] * m.sample[xi]).sum(1))], names=["query_id", "vec_id", "score"])
+    probes = table(asked.mapInArrow(ask, f"list int, id long, v array<{kind}>"))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """One row a block of at most about BLOCK rows of a list."""
+        # a row a list, of which there are some MAX_LISTS
         parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         dealt = df.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
         return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
@@ -266,16 +233,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 h, a = held.values, asking.values
                 ids, qids = h.field("id").to_numpy(), a.field("id").to_numpy()
                 x, q = matrix(h.field("v"), dim), matrix(a.field("v"), dim)
-                score = q @ x.T
-                may = top_ids(score, ids, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
-                qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
+                qi, xi = np.nonzero(top_ids(q @ x.T, ids, k + 1) & (qids[:, None] != ids[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
     met = table(blocks(postings, "held")).join(table(blocks(probes, "asking")), "list")
     found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.unionByName(asked.mapInArrow(reach_floor, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector is found in several lists, and in the sample
+    # a vector is found in several lists
     some = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
