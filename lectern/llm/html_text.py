@@ -1,12 +1,18 @@
-"""Main text of web pages: markup where a page marks its article, a host's suffix array where it doesn't.
-
-A page's blocks are of three kinds: inside the article, outside it in an
-element that can't be main text, or open. The blocks of all pages of a host,
-marked pages too, are one token stream with a mark at each block's edge; its
-suffixes, cut at DEPTH tokens, are grouped by that prefix, which are the
-intervals of the suffix array with so long a common prefix. Where an interval
-spans enough distinct pages, its tokens are boilerplate. Covered tokens go from
-open blocks, and the unique runs stay; marked articles lose nothing.
+"""Main text of web pages: a host's suffix array and the page's markup vote on every block.
+
+Markup says of a block that it is in the article, outside it in an element that
+can't be main text, in something whose name only hints at page furniture, or
+open. The token streams of a host's pages, with a mark at each block's edge, are
+concatenated and their suffixes sorted by their first DEPTH tokens; an interval
+of the array with so long a common prefix on PAGES or more distinct pages is a
+repeated substring. The array is built over all blocks of all pages. Repeats
+decide what markup leaves in doubt: covered runs of open blocks go and unique
+runs stay, and a block that its name hints at goes if it repeats. An article's
+plain blocks stay, whatever repeats.
+
+A host of many pages is cut into shards of bounded size, each with an array of
+its own; substrings that no shard has often enough are then counted over all of
+them by key.
 """
 
 from __future__ import annotations
@@ -18,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.shared import WordHashes, mix, runs, signed, table, with_fields
+from lectern.llm.shared import WordHashes, mix, runs, signed, table
 
 #: Tokens (marks count) of a substring that counts as long, and distinct pages that make it boilerplate.
 DEPTH, PAGES = 8, 3
+#: Characters of text in a shard of a host, about.
+SHARD = 12_000_000
 
 TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))"""
@@ -39,23 +48,45 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 OUTSIDE = set("head nav footer aside form button select datalist noscript template svg canvas object audio video dialog menu".split())
 MAIN_ROLES = {"main", "article"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popups?|modal|newsletter|subscribe|subscription|paywall|sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|commentlist|disqus|replies|respond|social|share|sharing|related|recommended|login|signup|search|pagination|pager|skip)(?:[\s_-]|$)",
-    re.I,
+COMMENTS = set("comment comments comment-list commentlist comment-section disqus disqus_thread replies respond".split())
+FURNITURE = COMMENTS | set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner cookie cookies cookie-banner cookie-notice consent gdpr popup modal newsletter subscribe paywall sidebar side-bar menu main-menu nav navbar navigation breadcrumb breadcrumbs footer site-footer social share sharing share-buttons related related-posts recommended login signup pagination pager skip-link".split()
 )
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:[\s_-]|$)", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:[\s_-]|$)", re.I)
+TOP = set("header site-header masthead topbar".split())
+#: A name with such a part hints at furniture.
+HINT = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popups?|modal|newsletter|subscri\w*|paywall|sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|social|share|sharing|related|recommended|login|signup|search|pagination|pager|skip|masthead|topbar)(?:[_-]|$)", re.I)
 #: Elements whose start ends an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = BLOCK - {"body", "head", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "optgroup"}
-ARTICLE, OUT, OPEN = 0, 1, 2
+#: Kinds of blocks: the article's, none of it, open, and hinted at inside an article and outside.
+ARTICLE, OUT, OPEN, DOUBT, HINTED = 0, 1, 2, 3, 4
+
+
+def kind_of(name: str, given: dict, kind: int, parent: str, top: bool) -> int:
+    """The kind of what is in an element, from its name, attributes, and the kind and name of its parent; ``top``: nothing but wrappers above."""
+    names = f"{given.get('class', '')} {given.get('id', '')}".lower().split() if given else ()
+    role = given.get("role", "").lower()
+    hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+    if kind == OUT or hidden or not FURNITURE.isdisjoint(names) or role in OUTSIDE_ROLES:
+        return OUT
+    if name in OUTSIDE:
+        # a form around the whole page says nothing about what is in it
+        return HINTED if name == "form" and top else OUT
+    if name in ("article", "main") or role in MAIN_ROLES or "articlebody" in given.get("itemprop", "").lower():
+        return kind if kind == DOUBT else ARTICLE
+    if kind not in (ARTICLE, DOUBT) and (name == "header" or not TOP.isdisjoint(names)):
+        return OUT
+    if name not in ("body", "html") and any(map(HINT.search, names)):
+        return DOUBT if kind in (ARTICLE, DOUBT) else HINTED
+    return kind
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block with text, in page order."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, bool]] = [("", OPEN, False)]
+    stack: list[tuple[str, int, bool]] = [("", OPEN, True)]
+    places: dict[str, list[int]] = {}
 
     def flush():
         if text:
@@ -64,15 +95,19 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 out.append((stack[-1][1], joined))
             text.clear()
 
-    def close(names: set, until: set = frozenset()):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                if stack[k][1] != stack[k - 1][1] or any(name in BLOCK for name, _, _ in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+    def last(names) -> int:
+        """Where the innermost open element of one of the names is; 0 if none is open."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(names, until=()):
+        k = last(names)
+        if not k or k < last(until):
+            return
+        if stack[k][1] != stack[k - 1][1] or any(name in BLOCK for name, _, _ in stack[k:]):
+            flush()
+        for name, _, _ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
 
     page = page or ""
     at = 0
@@ -87,7 +122,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if name in BLOCK:
                 flush()
             if name not in VOID:
-                close({name}, {"td", "th", "table"} if name not in BLOCK else frozenset())
+                close((name,), ("td", "th", "table") if name not in BLOCK else ())
             elif name == "br":
                 text.append(" ")
             continue
@@ -99,30 +134,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         if name in ENDS_P:
-            close({"p"}, {"button", "table", "td", "th", "article", "section", "div"} if name != "p" else {"button", "table"})
+            close(("p",), ("button", "table", "td", "th", "article", "section", "div") if name != "p" else ("button", "table"))
         if name in CLOSES:
-            close(CLOSES[name], {"ul", "ol", "dl", "table", "select", "tbody"})
-        given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["attrs"] or m["attrs2"] or "")} if (m["attrs"] or m["attrs2"]) else {}
-        kind, comments = stack[-1][1], stack[-1][2]
-        names = f"{given.get('class', '')} {given.get('id', '')}" if given else ""
-        role = given.get("role", "").lower()
-        comments = comments or bool(names.strip() and COMMENTS.search(names))
-        hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        main = name in ("article", "main") or role in MAIN_ROLES or "articlebody" in given.get("itemprop", "").lower()
-        if comments or hidden or name in OUTSIDE or role in OUTSIDE_ROLES:
-            new = OUT
-        elif main:
-            new = ARTICLE
-        elif name in ("body", "html"):
-            new = kind
-        elif names.strip() and FURNITURE.search(names) or kind != ARTICLE and (name == "header" or names.strip() and HEADER.search(names)):
-            new = OUT
-        else:
-            new = kind
+            close(CLOSES[name], ("ul", "ol", "dl", "table", "select", "tbody"))
+        attributes = m["attrs"] or m["attrs2"]
+        given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+        parent, kind, top = stack[-1]
+        new = kind_of(name, given, kind, parent, top)
         if new != kind:
             flush()
         if page[m.end() - 2 : m.end()] != "/>" or name in BLOCK:
-            stack.append((name, new, comments))
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, new, top and name in ("html", "body", "div")))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -133,7 +156,7 @@ def parse(html_col: str):
     def run(batches):
         for b in batches:
             kinds, texts = [], []
-            for v in b.column(0).field(html_col):
+            for v in b.column(2):
                 found = blocks(v.as_py())
                 kinds.append([k for k, _ in found])
                 texts.append([t for _, t in found])
@@ -152,6 +175,60 @@ def stream(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return tokens, np.array(of)
 
 
+def suffix_intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``ids`` with DEPTH tokens or more, in the order of their first DEPTH; and where each interval of equal ones begins.
+
+    Ranks by the first 1, 2, 4, 8 tokens, doubled by sorting pairs of ranks.
+    """
+    rank, size = ids.astype(np.int64), 1
+    while size < DEPTH:
+        step = min(size, DEPTH - size)
+        n = len(rank) - step
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[step : step + n], return_inverse=True)
+        size += step
+    order = np.argsort(rank, kind="stable")
+    return order, np.flatnonzero(np.diff(rank[order], prepend=-1))
+
+
+def repeated_starts(ids: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Where a substring of DEPTH tokens begins that PAGES or more distinct pages have; none crosses a page's end."""
+    order, begin = suffix_intervals(ids)
+    if not len(order):
+        return order
+    inside = page[order] == page[order + DEPTH - 1]
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    seen = np.unique(of[inside] * (int(page.max()) + 1) + page[order[inside]])
+    many = np.bincount(seen // (int(page.max()) + 1), minlength=len(begin)) >= PAGES
+    return order[inside & many[of]]
+
+
+def in_doubt(kinds: list[int], texts: list[str]) -> bool:
+    """Whether markup alone doesn't decide on the page."""
+    size = [0] * 5
+    for k, t in zip(kinds, texts):
+        size[k] += len(t)
+    return size[DOUBT] > 0 or size[OPEN] + size[HINTED] > size[ARTICLE]
+
+
+def host_array(shard: pa.Table) -> pa.Table:
+    """Covered tokens of the pages in doubt, from the suffix array of one shard: ``nr, starts``."""
+    known: dict[bytes, int] = {}
+    ids, pages, edges, same = [], [], [0], {}
+    texts = shard["blocks"].to_pylist()
+    for row in texts:
+        tokens = stream(row or [])[0]
+        ids.append(np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens)))
+        # pages with the same stream are one page
+        pages.append(np.full(len(tokens), same.setdefault(ids[-1].tobytes(), len(same))))
+        edges.append(edges[-1] + len(tokens))
+    starts = np.sort(repeated_starts(np.concatenate(ids), np.concatenate(pages)))
+    cut = np.searchsorted(starts, edges)
+    found = [(i, starts[cut[i] : cut[i + 1]] - edges[i]) for i, (kinds, row) in enumerate(zip(shard["kinds"].to_pylist(), texts)) if in_doubt(kinds, row)]
+    return pa.table([shard["nr"].combine_chunks().take(pa.array([i for i, _ in found], pa.int64())), pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))], names=["nr", "starts"])
+
+
 def keyed(host: str, tokens: list[bytes], word: WordHashes) -> np.ndarray:
     """The hash of each suffix's first DEPTH tokens and the host."""
     return mix(runs(word(tokens), DEPTH) ^ word([host.encode()]))
@@ -171,13 +248,13 @@ def suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (grams, pages)], names=["gram", "page"])
 
 
-def repeated(evidence: DataFrame) -> DataFrame:
-    """``gram`` of the suffixes of ``evidence (host, blocks)`` on PAGES or more distinct pages.
+def repeated(evidence: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of the suffixes ``asked (gram)`` that PAGES or more distinct pages of ``evidence (host, blocks)`` have.
 
     A page sets one of 64 bits, so that a suffix is one short row from each
     task; the few whose pages may have met in a bit are counted again in full.
     """
-    found = evidence.mapInArrow(suffixes, "gram long, page long")
+    found = evidence.mapInArrow(suffixes, "gram long, page long").join(asked, "gram", "left_semi")
     bit = F.expr("shiftleft(1L, CAST(page & 63 AS INT))")
     sums = table(found.groupBy("gram").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n")).where(F.col("n") >= PAGES).select("gram", (F.bit_count("bits") >= PAGES).alias("sure")))
     sure, open_ = sums.where("sure").select("gram"), sums.where("NOT sure").select("gram")
@@ -199,6 +276,27 @@ def occurrences(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(np.concatenate(at) if at else [], pa.int32())], names=["nr", "gram", "at"])
 
 
+def chosen(kinds: list[int], texts: list[str], starts) -> str:
+    """The page's main text: blocks of the article, what doubtful ones don't repeat, and of open ones the unique runs if they are more than the article."""
+    tokens, of = stream(texts)
+    gone = np.zeros(len(tokens) + 1, np.int32)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, np.minimum(starts + DEPTH, len(tokens)), -1)
+    covered = np.cumsum(gone[:-1]) > 0
+    out, size = [], [0, 0]
+    for i, (kind, text) in enumerate(zip(kinds, texts)):
+        at = np.flatnonzero(of == i) if kind in (DOUBT, OPEN, HINTED) else None
+        if kind == DOUBT and covered[at].mean() >= 0.5:
+            continue
+        if kind in (OPEN, HINTED):
+            text = b" ".join(tokens[j] for j in unique_runs(at, covered)).decode()
+        if kind != OUT and text:
+            is_open = kind in (OPEN, HINTED)
+            size[is_open] += len(text)
+            out.append((is_open, text))
+    return "\n".join(t for is_open, t in out if not is_open or size[1] > size[0])
+
+
 def unique_runs(block: np.ndarray, covered: np.ndarray) -> list[int]:
     """The block's tokens but for covered runs that are all of it or long by themselves: a repeat may reach a few tokens into a unique block."""
     out: list[int] = []
@@ -209,43 +307,46 @@ def unique_runs(block: np.ndarray, covered: np.ndarray) -> list[int]:
     return out
 
 
-def uncover(batches):
-    """Open blocks without their covered tokens."""
+def decide(batches):
     for b in batches:
         out = []
         for kinds, texts, starts in zip(b.column("kinds").to_pylist(), b.column("blocks").to_pylist(), b.column("starts").to_pylist()):
-            tokens, of = stream(texts)
-            gone = np.zeros(len(tokens) + 1, np.int32)
-            for s in starts or ():
-                gone[s] += 1
-                gone[min(s + DEPTH, len(tokens))] -= 1
-            covered = np.cumsum(gone[:-1]) > 0
-            left = [b" ".join(tokens[j] for j in unique_runs(np.flatnonzero(of == i), covered)).decode() for i in range(len(texts))]
-            out.append("\n".join(t for k, t in zip(kinds, left) if k == OPEN and t))
+            out.append(chosen(kinds, texts, np.array(sorted(set(starts or ())), np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("nr"), pa.array(out, pa.string())], names=["nr", "text"])
 
 
-def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``src, text`` per row of ``pages``; ``src`` holds its columns.
+def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", shard: int = SHARD) -> DataFrame:
+    """``src, text`` per row of ``pages``; ``src`` holds its columns but the html.
 
     Blocks of main text in page order, joined by one newline, white space in a
     block being one space; the empty string where there is none, as for null and
-    empty pages. Copies of a page don't make each other boilerplate. A null url
-    is a host of its own. An empty table gives an empty one.
+    empty pages. Copies of a page don't make each other boilerplate, and each
+    has its own row. A null url is a host of its own. A page of any length is
+    parsed whole, in time that grows with it. An empty table gives an empty one.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.struct("*").alias("src"), host.alias("host"))
-    parsed = rows.mapInArrow(parse(html_col), with_fields(rows, "src", "host string, kinds array<int>, blocks array<string>"))
-    slim = rows.select(F.struct(F.col("src").getField(html_col).alias("html")).alias("src"), "host")
-    evidence = slim.mapInArrow(parse("html"), "src struct<html: string>, host string, kinds array<int>, blocks array<string>").select("host", "blocks")
-    common = repeated(evidence)
-
+    kept = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
+    rows = pages.select(F.struct(*kept or [F.lit(None).alias("none")]).alias("src"), host.alias("host"), F.col(html_col).alias("html"))
+    schema = T.StructType([rows.schema["src"], *T.StructType.fromDDL("host string, kinds array<int>, blocks array<string>").fields])
+    parsed = table(rows.mapInArrow(parse(html_col), schema).withColumn("nr", F.monotonically_increasing_id()))
+
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    # the hosts of several shards
+    large = table(parsed.groupBy("host").agg(F.sum(chars).alias("chars")).where(F.col("chars") > shard).select(F.col("host").alias("large"), F.ceil(F.col("chars") / shard).alias("shards")))
+    dealt = parsed.join(large, F.col("host") == F.col("large"), "left").select("host", "nr", "kinds", "blocks", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("nr"), F.col("shards"))).alias("shard"))
+    covered = table(dealt.groupBy("host", "shard").applyInArrow(host_array, "nr long, starts array<int>"))
+
+    doubtful = parsed.join(covered, "nr")
+    across = large.join(doubtful, F.col("host") == F.col("large"), "left_semi").isEmpty()
+    if not across:
+        asked = doubtful.join(large, F.col("host") == F.col("large"), "left_semi").select("nr", "host", "blocks").mapInArrow(occurrences, "nr long, gram long, at int")
+        asked = table(asked)
+        common = repeated(parsed.join(large, F.col("host") == F.col("large"), "left_semi").select("host", "blocks"), asked.select("gram").distinct())
+        more = asked.join(common, "gram").groupBy("nr").agg(F.collect_set("at").alias("more"))
+        doubtful = doubtful.join(more, "nr", "left").withColumn("starts", F.when(F.col("more").isNull(), F.col("starts")).otherwise(F.concat("starts", "more"))).drop("more")
+    freed = doubtful.select("nr", "kinds", "blocks", "starts").mapInArrow(decide, "nr long, text string")
     article = F.array_join(F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == ARTICLE, t)), lambda t: t.isNotNull()), "\n")
-    undecided = ~F.array_contains("kinds", ARTICLE) & F.array_contains("kinds", OPEN)
-    loose = table(parsed.where(undecided).withColumn("nr", F.monotonically_increasing_id()))
-    met = loose.select("nr", "host", "blocks").mapInArrow(occurrences, "nr long, gram long, at int").join(common, "gram").groupBy("nr").agg(F.collect_set("at").alias("starts"))
-    freed = loose.select("nr", "kinds", "blocks").join(met, "nr", "left").select("nr", "kinds", "blocks", "starts").mapInArrow(uncover, "nr long, text string")
-    return parsed.where(~undecided).select("src", article.alias("text")).unionByName(loose.select("src", "nr").join(freed, "nr").select("src", "text"))
+    return parsed.join(freed, "nr", "left").select("src", F.coalesce("text", article).alias("text"))
 
 
 def op9_html_text(spark, sf_dir):

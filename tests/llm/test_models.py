@@ -1,6 +1,7 @@
 """The trained scorers, the search and page extraction."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -189,6 +190,41 @@ def test_blocks():
     assert html_text.blocks("a < b <") == [(kinds["open"], "a < b <")]
     assert html_text.blocks("<p>x<!-- never closed") == [(kinds["open"], "x")]
     assert html_text.blocks("<div id=comments><article>c</article></div>")[0][0] == kinds["out"]
+    assert html_text.blocks("<aside><article>teaser</article></aside><div><p>text</div>") == [(kinds["out"], "teaser"), (kinds["open"], "text")]
+    assert html_text.blocks("<article><div class='related-work'>w</div><div class=ad>x</div></article>") == [(html_text.DOUBT, "w"), (kinds["out"], "x")]
+    assert html_text.blocks("<body class='no-sidebar'><div class='has-sidebar'>t</div>")[0][0] == html_text.HINTED
+    assert html_text.blocks("<body><form><div><article>a</article></div></form>") == [(kinds["article"], "a")]
+    began = time.time()
+    hostile = "<span><table>" + "<div>" * 40_000 + "</span>" * 40_000 + "x" + "<b><" * 100_000
+    assert len(hostile) > 800_000 and any(t.startswith("x") for _, t in html_text.blocks(hostile))
+    assert time.time() - began < 10
+
+
+def repeats_brute(pages, depth=8, least=3):
+    """Starts of each page's runs of ``depth`` tokens that ``least`` distinct pages have."""
+    having = {}
+    for p in pages:
+        for i in range(len(p) - depth + 1):
+            having.setdefault(tuple(p[i : i + depth]), set()).add(tuple(p))
+    return [[i for i in range(len(p) - depth + 1) if len(having[tuple(p[i : i + depth])]) >= least] for p in pages]
+
+
+def test_suffix_array():
+    rng = random.Random(7)
+    pages = [[rng.choice("ab") for _ in range(rng.randint(0, 60))] for _ in range(12)]
+    pages += [list(pages[3]), list("abababababab"), []]
+    same = {tuple(p): k for k, p in reversed(list(enumerate(pages)))}
+    ids = np.array([ord(c) - 97 for p in pages for c in p])
+    of = np.array([same[tuple(p)] for p in pages for _ in p])
+    got = set(html_text.repeated_starts(ids, of).tolist())
+    want, at = set(), 0
+    for p, starts in zip(pages, repeats_brute(pages)):
+        want |= {at + i for i in starts}
+        at += len(p)
+    assert got == want and want
+    order, begin = html_text.suffix_intervals(ids)
+    heads = [tuple(ids[o : o + 8]) for o in order]
+    assert heads == sorted(heads) and len(begin) == len(set(heads))
 
 
 def test_main_text(spark):
@@ -216,6 +252,13 @@ def test_marked_pages_are_evidence(spark):
     got = {r.page_id: r.text for r in html_text.main_text(df).select("src.page_id", "text").collect()}
     assert got[0] == "Unmarked text 0" and got[1] == "Unmarked text 1"
     assert got[2].startswith("Marked 2\nHome") and got[2].endswith("of this site")
+    # the same in shards of single pages, where only the count over all of them finds repeats
+    assert {r.page_id: r.text for r in html_text.main_text(df, shard=1).select("src.page_id", "text").collect()} == got
+    # a block whose name hints at furniture stays in an article unless it repeats
+    hinted = [(i, "http://d.example/", page(f"<article><p>Story {i}</p><div class='search-tips'><p>Own tip number {i}</p></div><div class='box-promo'><p>Become a member today and read all that we write</p></div></article>")) for i in range(4)]
+    hinted += [(9, "http://d.example/9", page("<aside><article><p>Teaser</p></article></aside><article><p>Short card</p></article><div><p>The page's text is much longer than the card</p></div>"))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(hinted, "page_id long, url string, html string")).select("src.page_id", "text").collect()}
+    assert got[2] == "Story 2\nOwn tip number 2" and got[9] == "Short card\nThe page's text is much longer than the card"
     # seventy pages meet in 64 bits, and copies of one page still are one page
     copies = [(i, "http://c.example/", page(menu)) for i in range(70)] + [(100, "http://c.example/", page(f"{menu}<p>x</p>"))]
     got = html_text.main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).select("text").collect()
