@@ -27,6 +27,8 @@ COPIES, COPY_RATIO = 2, 1.10
 NEIGHBOURS, LONG, STARTS, BEAM = 20, 6, 64, 32
 #: Rows of a block of vectors or of queries.
 BLOCK = 1_024
+#: Rows of a query's nearest lists that are compared first.
+FIRST = 2_048
 #: Recall on the sample that the probing ratio is set for.
 AIM = 0.95
 
@@ -213,12 +215,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def ask(batches):
         for b in batches:
-            probes = [sized.value.probe(x, enough) for x in matrix(b.column(1), dim)]
+            probes = [np.array(sized.value.probe(x, enough), np.int32) for x in matrix(b.column(1), dim)]
             rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
-            lists = np.concatenate([np.array(p, np.int32) for p in probes]) if probes else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns]], names=["list", "id", "v"])
+            # the nearest lists, as far as FIRST rows go and one at least
+            first = [np.cumsum(sized.value.sizes[p]) - sized.value.sizes[p] < FIRST for p in probes]
+            lists, first = (np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int32, probes), (bool, first)))
+            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns], pa.array(first)], names=["list", "id", "v", "first"])
 
-    probes = table(asked.mapInArrow(ask, f"list int, id long, v array<{kind}>"))
+    probes = table(asked.mapInArrow(ask, f"list int, id long, v array<{kind}>, first boolean"))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """One row a block of at most about BLOCK rows of a list."""
@@ -233,16 +237,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 h, a = held.values, asking.values
                 ids, qids = h.field("id").to_numpy(), a.field("id").to_numpy()
                 x, q = matrix(h.field("v"), dim), matrix(a.field("v"), dim)
-                qi, xi = np.nonzero(top_ids(q @ x.T, ids, k + 1) & (qids[:, None] != ids[None]))
+                score = q @ x.T
+                may = top_ids(score, ids, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
+                qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
-    met = table(blocks(postings, "held")).join(table(blocks(probes, "asking")), "list")
-    found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
+    held = table(blocks(postings, "held"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector is found in several lists
-    some = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    def search(asking: DataFrame) -> DataFrame:
+        met = held.join(table(blocks(asking, "asking")), "list")
+        found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
+        # a vector is found in several lists
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    # what the nearest lists give is a bound for the rest
+    near = table(top(search(probes.where("first").select("list", "id", "v", F.lit(float("-inf")).alias("floor")))))
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") - 1e-9 * (1 + F.abs("score"))).alias("floor"))
+    rest = probes.where("NOT first").join(floors, "id", "left").select("list", "id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = near.drop("rank").unionByName(search(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return top(found).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op4_neighbours(spark, sf_dir):
