@@ -1,13 +1,17 @@
-"""Substring deduplication with a prefix-partitioned suffix tree, cut at the window length.
-
-Suffixes that matter are those of at least ``window`` words. They are split by
-a variable-length prefix: from a suffix's first word up to its anchor, the
-least hash among the word runs that start in the window, and on to the end of
-the last window with that anchor. Equal prefixes are equal paths from the root,
-so a path needs its smallest document only; the paths below one anchor that
-differ, and these alone, are opened into their nodes at depth ``window``. The
-nodes with several documents there are the maximal repeats. Every split is a
-grouping with partial aggregation, so no group is ever gathered.
+"""Substring deduplication by prefix-partitioned suffix trees, in array form and cut at the window length.
+
+Suffixes that matter are those of at least ``window`` words. A window's anchor
+is the least hash among the word runs in it, so equal windows have equal anchors,
+and the suffixes that start in a stretch of windows with one anchor travel as one
+path of words, from the first start to the end of the last window. Paths are
+split into groups by anchor; equal paths are one, with the smallest and largest
+document that has them, before any group is gathered.
+
+Where an anchor has several paths, a task sorts the suffixes of its group by
+their first ``window`` words, word by word; the deep internal nodes, intervals
+with so long a common prefix, are the repeats, each with its smallest document.
+An anchor with more than GROUP paths is a prefix too short: it is lengthened to
+the whole window, and its nodes come from a grouping with partial aggregation.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from lectern.llm.shared import WordHashes, mix, powers, signed, table, with_fiel
 WINDOW = 50
 #: Words of the runs from which anchors are taken.
 RUN = 12
+#: Paths of a group at most, and words of groups that a task sorts at a time.
+GROUP, SORTED = 2_000, 200_000
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
 BASE = 0x5851F42D4C957F2D
@@ -81,25 +87,109 @@ def prefixes_of(window: int):
     return run
 
 
-def nodes_of(window: int):
-    """Opens paths: two hashes of the window at every start in the given stretches."""
+PATH = "anchor long, path long, least long, most long, big boolean"
+
+
+def stretches(batches):
+    """The words of the paths that a document stands for."""
+    for batch in batches:
+        out: list[tuple] = []
+        for value, held in zip(batch.column(0), batch.column(1).to_pylist()):
+            w = (value.as_py() or b"").split()
+            out += [(p["anchor"], p["path"], p["least"], p["most"], p["big"], w[p["first"] : p["end"]]) for p in held]
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "path", "least", "most", "big", "words"])
+
+
+def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of ``ids`` by their first ``depth`` values, for those that have as many: equal prefixes, equal ranks."""
+    rank, size = ids.astype(np.int64), 1
+    while size < depth:
+        step = min(size, depth - size)
+        n = len(rank) - step
+        if n < 1:
+            return np.zeros(0, np.int64)
+        _, rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[step : step + n], return_inverse=True)
+        size += step
+    return rank
+
+
+def node_runs(words: list[list[bytes]], group: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> list[list[dict]]:
+    """Of each path its stretches of starts ``a`` to ``b`` with the smallest document of their node, where the path has larger ones.
+
+    ``group`` numbers the groups; suffixes of one are never equal to another's.
+    """
+    known: dict[tuple, int] = {}
+    size = np.array([len(w) for w in words])
+    ids = np.fromiter((known.setdefault((g, x), len(known)) for g, w in zip(group.tolist(), words) for x in w), np.int64, int(size.sum()))
+    begin = np.cumsum(size) - size
+    path = np.repeat(np.arange(len(words)), size)
+    rank = suffix_order(ids, window)
+    at = np.flatnonzero(path[: len(rank)] == path[window - 1 :])
+    node = rank[at]
+    smallest = np.full(len(rank) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, node, least[path[at]])
+    low = smallest[node]
+    # a run ends where its path or its smallest document changes
+    edge = np.flatnonzero(np.diff(path[at], prepend=-1) | np.diff(low, prepend=low[:1] - 1 if len(low) else 0))
+    out: list[list[dict]] = [[] for _ in words]
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)]):
+        k = int(path[at[a]])
+        if low[a] < most[k]:
+            out[k].append({"a": int(at[a] - begin[k]), "b": int(at[b - 1] - begin[k]), "least": int(low[a])})
+    return out
+
+
+RUNS = "array<struct<a: int, b: int, least: bigint>>"
+RUNS_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]))
+
+
+def subtrees(window: int):
+    """The nodes of groups that come in the order of their anchors; whole groups are sorted together, some SORTED words at a time."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        _, group = np.unique(rows["anchor"].to_numpy(), return_inverse=True)
+        runs = node_runs(rows["words"].to_pylist(), group, rows["least"].to_numpy(), rows["most"].to_numpy(), window)
+        return pa.RecordBatch.from_arrays([rows["anchor"].combine_chunks(), rows["path"].combine_chunks(), pa.array(runs, RUNS_TYPE)], names=["anchor", "path", "runs"])
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2_000):
+                part = pa.Table.from_batches([batch.slice(first, 2_000)])
+                held = part if held is None else pa.concat_tables([held, part])
+                if len(held) * window < SORTED:
+                    continue
+                last = int(np.searchsorted(held["anchor"].to_numpy(), held["anchor"][-1].as_py()))
+                if last:
+                    yield solve(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and len(held):
+            yield solve(held)
+
+    return run
+
+
+def lengthened(window: int):
+    """The paths of too big a group as their windows: two hashes of each, and its place in the path."""
 
     def run(batches):
         word = WordHashes()
         for batch in batches:
-            ids, marks, n1, n2, starts = [], [], [], [], []
-            for i, m, value, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                h = word((value.as_py() or b"").split())
-                at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
+            rows, n1, n2, starts = [], [], [], []
+            for r, w in enumerate(batch.column("words").to_pylist()):
+                h = word(w)
+                at = np.arange(len(h) - window + 1)
                 n1.append(span_hashes(h, at, at + window, BASE + 4))
                 n2.append(span_hashes(h, at, at + window, BASE + 6))
                 starts.append(at)
-                ids.append(np.full(len(at), i, np.int64))
-                marks.append(np.full(len(at), m, np.int64))
-            if ids:
+                rows.append(np.full(len(at), r))
+            if rows:
+                take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(marks)), pa.array(signed(np.concatenate(n1))), pa.array(signed(np.concatenate(n2))), pa.array(np.concatenate(starts).astype(np.int32))],
-                    names=["id", "mark", "n1", "n2", "start"],
+                    [*[batch.column(c).take(take) for c in ("anchor", "path", "least", "most")], pa.array(signed(np.concatenate(n1))), pa.array(signed(np.concatenate(n2))), pa.array(np.concatenate(starts).astype(np.int32))],
+                    names=["anchor", "path", "least", "most", "n1", "n2", "at"],
                 )
 
     return run
@@ -128,7 +218,7 @@ def cut_of(window: int, text_col: str):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``id, mark, spans``: stretches of window starts whose windows also start in a document with a smaller id.
 
     ``mark`` hashes the text: rows that repeat an id with other texts stay apart.
@@ -138,21 +228,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     texts = docs.where(F.col(text_col).isNotNull()).select(ident, mark, F.col(text_col).cast("binary").alias("text"))
     paths = table(texts.mapInArrow(prefixes_of(window), "id long, mark long, anchor long, path long, first int, last int"))
 
-    first_of = paths.groupBy("anchor", "path").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    first_of = table(first_of)
-    forks = first_of.groupBy("anchor").agg(F.min("path").alias("p"), F.max("path").alias("q")).where("p <> q").select("anchor", F.lit(True).alias("fork"))
-    # of interest: paths of several documents, and paths that fork below their anchor
-    of_interest = table(first_of.join(table(forks), "anchor", "left").where("least <> most OR fork").select("anchor", "path", "least", F.coalesce("fork", F.lit(False)).alias("fork")))
-    met = table(paths.join(of_interest, ["anchor", "path"]).where("id > least OR fork").select("id", "mark", "first", "last", (F.col("id") > F.col("least")).alias("seen")))
-
-    stretch = F.struct("first", "last")
-    opened = met.where("NOT seen").groupBy("id", "mark").agg(F.collect_set(stretch).alias("spans"))
-    nodes = texts.join(opened, ["id", "mark"]).select("id", "mark", "text", "spans")
-    nodes = table(nodes.mapInArrow(nodes_of(window), "id long, mark long, n1 long, n2 long, start int"))
-    deep = table(nodes.groupBy("n1", "n2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("n1", "n2", "least"))
-    below = nodes.join(deep, ["n1", "n2"]).where("id > least").select("id", "mark", F.col("start").alias("first"), F.col("start").alias("last"))
-    seen = met.where("seen").select("id", "mark", "first", "last").unionByName(below)
-    return seen.groupBy("id", "mark").agg(F.collect_set(stretch).alias("spans"))
+    # one row a path, with one of the documents that have it
+    distinct = table(paths.groupBy("anchor", "path").agg(F.min(F.struct("id", "mark", "first", "last")).alias("one"), F.max("id").alias("most")))
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("one.id").alias("low"), F.max("most").alias("high")).where("low < high").select("anchor", "n")
+    of_interest = table(distinct.join(table(groups), "anchor").select("anchor", "path", "one", "most", "n"))
+    # a path without others is a leaf: all of it repeats
+    alone = of_interest.where("n = 1").select("anchor", "path", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.last") - F.col("one.first")).alias("b"), F.col("one.id").alias("least"))).alias("runs"))
+
+    held = F.struct("anchor", "path", F.col("one.id").alias("least"), "most", (F.col("n") > group).alias("big"), F.col("one.first").alias("first"), (F.col("one.last") + window).alias("end"))
+    opened = of_interest.where("n > 1").groupBy(F.col("one.id").alias("id"), F.col("one.mark").alias("mark")).agg(F.collect_list(held).alias("held"))
+    # a row that repeats id and text gives its paths again: one is enough
+    words = texts.join(opened, ["id", "mark"]).select("text", "held").mapInArrow(stretches, f"{PATH}, words array<binary>").dropDuplicates(["anchor", "path"])
+    words = table(words)
+    trees = words.where("NOT big").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees(window), f"anchor long, path long, runs {RUNS}")
+    windows = table(words.where("big").mapInArrow(lengthened(window), "anchor long, path long, least long, most long, n1 long, n2 long, at int"))
+    deep = windows.groupBy("n1", "n2").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high").select("n1", "n2", "low")
+    run = F.struct(F.col("at").alias("a"), F.col("at").alias("b"), F.col("low").alias("least"))
+    # a path has no more windows than an anchor has places in one
+    long_ones = windows.join(table(deep), ["n1", "n2"]).where("most > low").groupBy("anchor", "path").agg(F.collect_list(run).alias("runs"))
+    nodes = table(alone.unionByName(trees.where(F.size("runs") > 0)).unionByName(long_ones))
+
+    seen = paths.join(nodes, ["anchor", "path"]).select("id", "mark", F.transform(F.filter("runs", lambda r: r["least"] < F.col("id")), lambda r: F.struct((F.col("first") + r["a"]).alias("first"), (F.col("first") + r["b"]).alias("last"))).alias("spans"))
+    return seen.where(F.size("spans") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,28 @@ def test_substring_dedup(spark, odd, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.kept for r in substring_dedup.drop_repeated_substrings(df).select("src.doc_id", "kept").collect()}
     assert got == substrings_brute(docs)
+    # the same where groups are too big to be sorted by a task
+    spans = {}
+    for group in (substring_dedup.GROUP, 1):
+        spans[group] = {r.id: {i for s in r.spans for i in range(s["first"], s["last"] + 1)} for r in substring_dedup.repeats(df, group=group).collect()}
+    assert spans[1] == spans[substring_dedup.GROUP] and spans[1]
+
+
+def test_suffix_groups():
+    """Nodes of several groups sorted together, against all pairs of windows."""
+    rng = random.Random(11)
+    words = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(5, 12))] for _ in range(40)]
+    group = np.array(sorted(rng.randint(0, 3) for _ in words))
+    least = np.array([rng.randint(0, 50) for _ in words])
+    most = least + np.array([rng.randint(0, 9) for _ in words])
+    got = substring_dedup.node_runs(words, group, least, most, 5)
+    for k, w in enumerate(words):
+        want = {}
+        for a in range(len(w) - 4):
+            low = min(least[j] for j, v in enumerate(words) if group[j] == group[k] and any(v[b : b + 5] == w[a : a + 5] for b in range(len(v) - 4)))
+            if low < most[k]:
+                want[a] = low
+        assert {a: r["least"] for r in got[k] for a in range(r["a"], r["b"] + 1)} == want
 
 
 def near_brute(docs, n=4):
