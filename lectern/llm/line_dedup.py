@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import ascii_lower
+from lectern.llm.shared import ascii_lower, table
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -26,18 +26,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     documents loses its lines everywhere but in the largest id that holds it.
     A null or empty text is one empty line. A null id is an id of its own,
     below all others; rows that repeat an id are one document for the counts,
-    and each gets its own result. An empty table gives an empty one.
+    and each gets its own result. Texts are whole, whatever their length. An
+    empty table gives an empty one.
     """
     rows = docs.select(F.struct("*").alias("src"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     keyed = lines.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     # two seeds make a 128-bit hash: no two keys of a corpus meet by chance
-    keyed = keyed.select("id", "mark", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
-    common = keyed.groupBy("h1", "h2").agg(F.count_distinct(F.struct("id")).alias("n"), F.max(F.struct("id")).alias("last")).where(F.col("n") >= min_docs)
-    # a line of very many documents is a skewed key here; the join is one that adaptive execution splits
+    keyed = table(keyed.select("id", "mark", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")))
+    # dealt out by line and document, then a row a line and task: a line of very many documents is no load of one task
+    once = keyed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
+    common = table(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.struct("id")).alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", F.col("last.id").alias("last")))
+    # two tables meet in plain exchanges: adaptive execution splits a line of very many documents, or broadcasts the common lines if they are few
     gone = (
-        keyed.join(common.select("h1", "h2", F.col("last.id").alias("last")), ["h1", "h2"])
+        keyed.join(common, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("last")))
         .groupBy("id", "mark")
         .agg(F.collect_set("at").alias("gone"))
