@@ -30,8 +30,8 @@ from lectern.llm.shared import WordHashes, mix, runs, signed, table
 
 #: Tokens (marks count) of a substring that counts as long, and distinct pages that make it boilerplate.
 DEPTH, PAGES = 8, 3
-#: Characters of text in a shard of a host, about.
-SHARD = 12_000_000
+#: Characters of html in a shard of a host, about.
+SHARD = 6_000_000
 
 TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))"""
@@ -152,17 +152,14 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def parse(html_col: str):
-    def run(batches):
-        for b in batches:
-            kinds, texts = [], []
-            for v in b.column(2):
-                found = blocks(v.as_py())
-                kinds.append([k for k, _ in found])
-                texts.append([t for _, t in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["src", "host", "kinds", "blocks"])
-
-    return run
+def parse(batches):
+    for b in batches:
+        kinds, texts = [], []
+        for v in b.column("html"):
+            found = blocks(v.as_py())
+            kinds.append([k for k, _ in found])
+            texts.append([t for _, t in found])
+        yield pa.RecordBatch.from_arrays([b.column("src"), b.column("host"), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["src", "host", "kinds", "blocks"])
 
 
 def stream(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
@@ -212,11 +209,11 @@ def in_doubt(kinds: list[int], texts: list[str]) -> bool:
     return size[DOUBT] > 0 or size[OPEN] + size[HINTED] > size[ARTICLE]
 
 
-def host_array(shard: pa.Table) -> pa.Table:
-    """Covered tokens of the pages in doubt, from the suffix array of one shard: ``nr, starts``."""
+def solve_shard(shard: pa.Table) -> pa.Table:
+    """``src, text`` of the pages of a shard, from its suffix array, the pages' kinds, and the starts that ``more`` adds."""
     known: dict[bytes, int] = {}
     ids, pages, edges, same = [], [], [0], {}
-    texts = shard["blocks"].to_pylist()
+    texts, kinds = shard["blocks"].to_pylist(), shard["kinds"].to_pylist()
     for row in texts:
         tokens = stream(row or [])[0]
         ids.append(np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens)))
@@ -225,8 +222,29 @@ def host_array(shard: pa.Table) -> pa.Table:
         edges.append(edges[-1] + len(tokens))
     starts = np.sort(repeated_starts(np.concatenate(ids), np.concatenate(pages)))
     cut = np.searchsorted(starts, edges)
-    found = [(i, starts[cut[i] : cut[i + 1]] - edges[i]) for i, (kinds, row) in enumerate(zip(shard["kinds"].to_pylist(), texts)) if in_doubt(kinds, row)]
-    return pa.table([shard["nr"].combine_chunks().take(pa.array([i for i, _ in found], pa.int64())), pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))], names=["nr", "starts"])
+    out = []
+    for i, (kind, row, more) in enumerate(zip(kinds, texts, shard["more"].to_pylist())):
+        if in_doubt(kind, row):
+            out.append(chosen(kind, row, np.union1d(starts[cut[i] : cut[i + 1]] - edges[i], np.array(more or (), np.int64))))
+        else:
+            out.append("\n".join(t for k, t in zip(kind, row) if k == ARTICLE))
+    return pa.table([shard["src"], pa.array(out, pa.string())], names=["src", "text"])
+
+
+def doubtful(batches):
+    """``host, page, gram, at`` of the suffixes of pages in doubt."""
+    word = WordHashes()
+    for b in batches:
+        hosts, grams, marks, at = [], [], [], []
+        for host, kinds, texts in zip(b.column("host").to_pylist(), b.column("kinds").to_pylist(), b.column("blocks").to_pylist()):
+            if in_doubt(kinds, texts):
+                tokens = stream(texts)[0]
+                g = keyed(host, tokens, word)
+                hosts += [host] * len(g)
+                grams.append(signed(g))
+                marks.append(np.full(len(g), page_mark(tokens, word)))
+                at.append(np.arange(len(g), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(np.concatenate(c) if c else [], t) for c, t in ((marks, pa.int64()), (grams, pa.int64()), (at, pa.int32()))]], names=["host", "page", "gram", "at"])
 
 
 def keyed(host: str, tokens: list[bytes], word: WordHashes) -> np.ndarray:
@@ -234,6 +252,10 @@ def keyed(host: str, tokens: list[bytes], word: WordHashes) -> np.ndarray:
     return mix(runs(word(tokens), DEPTH) ^ word([host.encode()]))
 
 
+def page_mark(tokens: list[bytes], word: WordHashes) -> int:
+    return int(signed(word([b" ".join(tokens)]))[0])
+
+
 def suffixes(batches):
     """Each page's distinct suffixes."""
     word = WordHashes()
@@ -244,7 +266,7 @@ def suffixes(batches):
             g = np.unique(keyed(host, tokens, word))
             grams.append(signed(g))
             # pages with the same stream are one page
-            pages.append(np.full(len(g), signed(word([b" ".join(tokens)]))[0]))
+            pages.append(np.full(len(g), page_mark(tokens, word)))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (grams, pages)], names=["gram", "page"])
 
 
@@ -264,18 +286,6 @@ def repeated(evidence: DataFrame, asked: DataFrame) -> DataFrame:
     return table(sure.unionByName(again))
 
 
-def occurrences(batches):
-    word = WordHashes()
-    for b in batches:
-        rows, grams, at = [], [], []
-        for r, (host, texts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            g = keyed(host, stream(texts or [])[0], word)
-            rows += [r] * len(g)
-            grams.append(signed(g))
-            at.append(np.arange(len(g), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.array(np.concatenate(at) if at else [], pa.int32())], names=["nr", "gram", "at"])
-
-
 def chosen(kinds: list[int], texts: list[str], starts) -> str:
     """The page's main text: blocks of the article, what doubtful ones don't repeat, and of open ones the unique runs if they are more than the article."""
     tokens, of = stream(texts)
@@ -307,12 +317,12 @@ def unique_runs(block: np.ndarray, covered: np.ndarray) -> list[int]:
     return out
 
 
-def decide(batches):
+def marked(batches):
+    """``page``, the hash of each row's stream, goes before its other columns."""
+    word = WordHashes()
     for b in batches:
-        out = []
-        for kinds, texts, starts in zip(b.column("kinds").to_pylist(), b.column("blocks").to_pylist(), b.column("starts").to_pylist()):
-            out.append(chosen(kinds, texts, np.array(sorted(set(starts or ())), np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("nr"), pa.array(out, pa.string())], names=["nr", "text"])
+        marks = [page_mark(stream(t or [])[0], word) for t in b.column("blocks").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), *b.columns], names=["page", *b.schema.names])
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", shard: int = SHARD) -> DataFrame:
@@ -327,26 +337,25 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", sh
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     kept = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*kept or [F.lit(None).alias("none")]).alias("src"), host.alias("host"), F.col(html_col).alias("html"))
-    schema = T.StructType([rows.schema["src"], *T.StructType.fromDDL("host string, kinds array<int>, blocks array<string>").fields])
-    parsed = table(rows.mapInArrow(parse(html_col), schema).withColumn("nr", F.monotonically_increasing_id()))
-
-    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, t: n + F.length(t))
-    # the hosts of several shards
-    large = table(parsed.groupBy("host").agg(F.sum(chars).alias("chars")).where(F.col("chars") > shard).select(F.col("host").alias("large"), F.ceil(F.col("chars") / shard).alias("shards")))
-    dealt = parsed.join(large, F.col("host") == F.col("large"), "left").select("host", "nr", "kinds", "blocks", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("nr"), F.col("shards"))).alias("shard"))
-    covered = table(dealt.groupBy("host", "shard").applyInArrow(host_array, "nr long, starts array<int>"))
-
-    doubtful = parsed.join(covered, "nr")
-    across = large.join(doubtful, F.col("host") == F.col("large"), "left_semi").isEmpty()
-    if not across:
-        asked = doubtful.join(large, F.col("host") == F.col("large"), "left_semi").select("nr", "host", "blocks").mapInArrow(occurrences, "nr long, gram long, at int")
-        asked = table(asked)
-        common = repeated(parsed.join(large, F.col("host") == F.col("large"), "left_semi").select("host", "blocks"), asked.select("gram").distinct())
-        more = asked.join(common, "gram").groupBy("nr").agg(F.collect_set("at").alias("more"))
-        doubtful = doubtful.join(more, "nr", "left").withColumn("starts", F.when(F.col("more").isNull(), F.col("starts")).otherwise(F.concat("starts", "more"))).drop("more")
-    freed = doubtful.select("nr", "kinds", "blocks", "starts").mapInArrow(decide, "nr long, text string")
-    article = F.array_join(F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == ARTICLE, t)), lambda t: t.isNotNull()), "\n")
-    return parsed.join(freed, "nr", "left").select("src", F.coalesce("text", article).alias("text"))
+    found = T.StructType.fromDDL("host string, kinds array<int>, blocks array<string>").fields
+    parsed = rows.mapInArrow(parse, T.StructType([rows.schema["src"], *found]))
+
+    large = rows.groupBy("host").agg(F.sum(F.length("html")).alias("chars")).where(F.col("chars") > shard)
+    large = table(large.select(F.col("host").alias("large"), F.ceil(F.col("chars") / shard).cast("int").alias("shards")))
+    of_large = rows.select(F.struct(F.lit(None).alias("none")).alias("src"), "host", "html").join(large, F.col("host") == F.col("large"), "left_semi")
+    of_large = of_large.mapInArrow(parse, T.StructType([of_large.schema["src"], *found]))
+    # what pages in doubt have, and any shards of their host have too
+    asked = table(of_large.select("host", "kinds", "blocks").mapInArrow(doubtful, "host string, page long, gram long, at int"))
+    more = None
+    if not asked.isEmpty():
+        common = repeated(of_large.select("host", "blocks"), asked.select("gram").distinct())
+        more = table(asked.join(common, "gram").groupBy("host", "page").agg(F.collect_set("at").alias("more")))
+    if more is None:
+        parsed = parsed.withColumn("more", F.lit(None).cast("array<int>"))
+    else:
+        parsed = parsed.mapInArrow(marked, T.StructType([T.StructField("page", T.LongType()), *parsed.schema.fields])).join(more, ["host", "page"], "left").drop("page")
+    dealt = parsed.join(large, F.col("host") == F.col("large"), "left").withColumn("shard", F.pmod(F.xxhash64(F.col("src").cast("string")), F.coalesce("shards", F.lit(1))))
+    return dealt.select("host", "shard", "src", "kinds", "blocks", "more").groupBy("host", "shard").applyInArrow(solve_shard, T.StructType([rows.schema["src"], T.StructField("text", T.StringType())]))
 
 
 def op9_html_text(spark, sf_dir):
