@@ -2,8 +2,8 @@
 
 Patterns are the 13-word windows of the benchmark items (shorter items are one
 pattern). A table of word pairs says how far a scan may skip; at a pair that
-ends some pattern, the bucket of that suffix and the pattern's first pair select
-the candidates, and direct comparison decides.
+ends some pattern, the bucket of that suffix selects the candidates, and direct
+comparison decides.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 from lectern.llm.shared import table, with_fields
 
 WINDOW = 13
-#: Benchmark text that one pass over the documents takes to every executor; more goes in further passes.
-PASS_BYTES = 32 << 20
+#: Benchmark text that one pass over the documents takes to every executor; more goes in further passes. A process needs some 30 bytes for each of them.
+PASS_BYTES = 8 << 20
+#: Windows of a piece of an item.
+PIECE = 100_000
 FOUND = "n_words bigint, spans array<struct<first: int, end: int>>, items array<string>"
 #: Bytes outside words become spaces; A-Z become a-z; bytes of other scripts stay.
 FOLD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -32,49 +35,104 @@ def fold_words(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """All patterns of one length ``m`` (in words)."""
+    """All patterns of one length ``m``, in words.
 
-    def __init__(self, patterns: dict[tuple, set], m: int):
-        self.m, self.block = m, min(2, m)
+    Patterns are places in one list of words, not texts of their own. Equal patterns are one, with the items of all.
+    """
+
+    def __init__(self, words: list[bytes], starts: np.ndarray, items: np.ndarray, m: int):
+        self.m, self.block, self.words = m, min(2, m), words
         self.skip = m - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-        for p, items in patterns.items():
-            for end in range(self.block, m + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.skip), m - end)
-            self.buckets[p[-self.block :]][p[: self.block]].append((list(p), items))
+        self.mask = (1 << max(10, (8 * len(starts)).bit_length())) - 1
+        key = np.fromiter((hash(tuple(words[s : s + m])) for s in starts.tolist()), np.int64, len(starts))
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first_of = starts[first][inverse]
+        for k in np.flatnonzero(first_of != starts).tolist():
+            # equal hashes of other words: a pattern of its own
+            if words[first_of[k] : first_of[k] + m] != words[starts[k] : starts[k] + m]:
+                first_of[k] = starts[k]
+        order = np.lexsort((items, first_of))
+        self.items = items[order]
+        self.at, self.begin = np.unique(first_of[order], return_index=True)
+        self.begin = np.append(self.begin, len(order))
+        # the least distance from a block's slot to a pattern's end, and the patterns that end with it
+        shift = np.full(self.mask + 1, min(self.skip, 255), np.uint8)
+        for end in range(self.block, m + 1):
+            slots = self._slots(self.at + end - self.block)
+            np.minimum.at(shift, slots, np.uint8(min(m - end, 255)))
+        self.shift = shift.tobytes()
+        ends = self._slots(self.at + m - self.block)
+        self.ending = np.argsort(ends, kind="stable")
+        self.ends = ends[self.ending]
+
+    def _slots(self, at: np.ndarray) -> np.ndarray:
+        w, mask = self.words, self.mask
+        if self.block == 2:
+            return np.fromiter((hash((w[k], w[k + 1])) & mask for k in at.tolist()), np.int64, len(at))
+        return np.fromiter((hash((w[k],)) & mask for k in at.tolist()), np.int64, len(at))
 
     def find(self, w: list[bytes]):
-        """(first word, items) of each occurrence in ``w``."""
-        m, n, skip, shift, block = self.m, len(w), self.skip, self.shift.get, self.block
+        """(first word, numbers of the items) of each occurrence in ``w``."""
+        m, n, shift, mask, two = self.m, len(w), self.shift, self.mask, self.block == 2
         at = m - 1
         while at < n:
-            key = (w[at - 1], w[at]) if block == 2 else (w[at],)
-            step = shift(key, skip)
+            slot = (hash((w[at - 1], w[at])) if two else hash((w[at],))) & mask
+            step = shift[slot]
             if step:
                 at += step
                 continue
             first = at - m + 1
-            for p, items in self.buckets[key].get(tuple(w[first : first + block]), ()):
-                if w[first : at + 1] == p:
-                    yield first, items
+            mine = w[first : at + 1]
+            for k in self.ending[np.searchsorted(self.ends, slot) : np.searchsorted(self.ends, slot, "right")].tolist():
+                p = int(self.at[k])
+                # the first word sorts out most; then all are compared
+                if self.words[p] == mine[0] and self.words[p : p + m] == mine:
+                    yield first, self.items[self.begin[k] : self.begin[k + 1]]
             at += 1
 
 
-def searchers(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for name, text in items:
-        w = fold_words(text)
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1) if w else ():
-            by_length[m][tuple(w[i : i + m])].add(name)
-    return [WuManber(p, m) for m, p in sorted(by_length.items())]
+class Patterns:
+    """The windows of benchmark items; the search tables are made once in each process."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        self.items, self.window, self.made = items, window, None
+
+    def searchers(self) -> list[WuManber]:
+        if self.made is None:
+            known: dict[bytes, bytes] = {}
+            words: list[bytes] = []
+            starts: dict[int, list[np.ndarray]] = defaultdict(list)
+            owners: dict[int, list[np.ndarray]] = defaultdict(list)
+            for i, (_, text) in enumerate(self.items):
+                w = [known.setdefault(x, x) for x in fold_words(text)]
+                m = min(self.window, len(w))
+                if m:
+                    starts[m].append(np.arange(len(words), len(words) + len(w) - m + 1))
+                    owners[m].append(np.full(len(w) - m + 1, i, np.int32))
+                    words += w
+            self.made = [WuManber(words, np.concatenate(starts[m]), np.concatenate(owners[m]), m) for m in sorted(starts)]
+        return self.made
+
+
+def pieces(window: int):
+    """Items as pieces of at most about PIECE words, each window whole in one of them."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = fold_words(value.as_py())
+                for first in range(0, max(1, len(w) - window + 1), PIECE) if w else ():
+                    names.append(name)
+                    texts.append(b" ".join(w[first : first + PIECE + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["item", "text"])
+
+    return run
 
 
 def scan_with(shared, text_col: str):
     def scan(batches):
-        tables = searchers(shared.value)
+        tables, names = shared.value.searchers(), [name for name, _ in shared.value.items]
         for batch in batches:
             texts = batch.column(0).field(text_col).cast(pa.binary())
             sizes, spans, found = [], [], []
@@ -82,9 +140,9 @@ def scan_with(shared, text_col: str):
                 w = fold_words(value.as_py())
                 hits, items = [], set()
                 for t in tables:
-                    for first, names in t.find(w):
+                    for first, numbers in t.find(w):
                         hits.append((first, first + t.m))
-                        items |= names
+                        items.update(numbers.tolist())
                 merged: list[list[int]] = []
                 for a, b in sorted(hits):
                     if merged and a <= merged[-1][1]:
@@ -93,7 +151,7 @@ def scan_with(shared, text_col: str):
                         merged.append([a, b])
                 sizes.append(len(w))
                 spans.append([{"first": a, "end": b} for a, b in merged])
-                found.append(sorted(items))
+                found.append(sorted({names[k] for k in items}))
             span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
@@ -108,19 +166,22 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     Spans are disjoint, in order, and count words; items are sorted as strings,
     a null item id being the empty string. Null and empty texts have no words,
-    on either side. ``src`` holds the columns of ``docs``. A benchmark of more
-    than ``pass_bytes`` is searched in parts of about that size, one pass each.
+    on either side. ``src`` holds the columns of ``docs``; repeated rows are
+    judged each, repeated items are one. Texts and items of any length are
+    searched whole. A benchmark of more than ``pass_bytes`` is searched in parts
+    of about that size, one pass each. Empty tables give empty ones, or no hits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("src"))
     schema = with_fields(rows, "src", FOUND)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("binary").alias("text")).where("text IS NOT NULL")
+    items = table(items.mapInArrow(pieces(WINDOW), "item string, text binary"))
     total = items.agg(F.sum(F.length("text") + F.length("item"))).first()[0] or 0
     parts = max(1, math.ceil(total / pass_bytes))
 
     def part(k: int):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        return spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in mine.toLocalIterator()])
+        return spark.sparkContext.broadcast(Patterns([(r.item, bytes(r.text)) for r in mine.toLocalIterator()]))
 
     if parts == 1:
         return rows.mapInArrow(scan_with(part(0), text_col), schema)
