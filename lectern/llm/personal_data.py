@@ -1,15 +1,20 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Strict patterns give the base spans, which always stay; wider patterns give
-further candidates. Labelers vote on each candidate: the strict pattern, the
-format, a gazetteer of words before it, its surroundings, and words that speak
-against it. Expectation-maximisation over the counts of vote patterns estimates
-each labeler's reliability; a logistic classifier trained on the posteriors
-decides the candidates that aren't base.
+further candidates. Labelers vote on each candidate: the strict check, the
+format, gazetteers of words before and after it, its surroundings, and words
+that speak against it. Expectation-maximisation over the counts of vote patterns
+estimates each labeler's reliability. A logistic classifier over the span itself
+(length, digits, separators, lead, neighbouring characters and words, place in
+its line) learns from the posteriors and decides the candidates that aren't
+base: what it knows of a shape it says of spans on which labelers are silent.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +41,32 @@ WIDER = {
 }
 #: A cheap test without which neither pattern can match.
 NEEDS = {"email": "@|[\\[({]at[\\])}]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]", "phone": "[0-9]"}
-#: Words that go before data of a kind, and words that go before other numbers.
+# Words that go with data of a kind, and words that go with other numbers.
 GAZETTEER = {
-    "email": r"\b(?:e-?mail|mail|contact|write|address|adresse|correo|courriel)\b",
-    "ip": r"\b(?:ip|ipv[46]|host|server|client|from|login|adresse|address)\b",
-    "card": r"\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta)\b",
-    "phone": r"\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|t[eé]l[eé]fono?)\b",
+    "email": "email e-mail mail mails mailto contact write address reach reply adresse courriel correo kontakt schreiben escriba contacter inbox sender recipient newsletter support info",
+    "ip": "ip ipv4 ipv6 host server client login gateway dns router subnet address adresse proxy peer remote origin node endpoint machine",
+    "card": "card cards visa mastercard amex discover maestro credit debit payment pay pan karte kreditkarte carte tarjeta cvv expiry account iban",
+    "phone": "phone phones tel telephone call mobile cell fax hotline dial ring text sms whatsapp telefon telefono teléfono téléphone handy movil móvil portable rufnummer numero número office desk",
+}
+AFTER = {
+    "email": "for or and with before if cc bcc",
+    "ip": "port host server gateway netmask subnet over",
+    "card": "exp expires expiry cvv cvc valid gültig valable",
+    "phone": "ext extension or fax mobile office home weekdays daily between from anytime",
 }
-AGAINST = r"\b(?:version|release|order|invoice|isbn|section|chapter|figure|table|token|hash|serial|part)\b"
-LABELERS = 5
+AGAINST = "version release order invoice isbn issn section chapter figure fig table token hash serial part build revision page lines id ticket case item model sku tracking ratio score total sum"
+LABELERS = 6
 SPAN = "struct<start: int, end: int, value: string>"
+#: Values of each feature of a span's shape.
+SHAPE = (("length", 6), ("digits", 6), ("separators", 5), ("kinds", 4), ("lead", 4), ("before", 5), ("after", 5), ("word", 4), ("place", 3))
+
+
+def any_of(words: str) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words.split()) + r")(?![\p{L}\p{N}])"
+
+
+def listed_words(words: str) -> str:
+    return r"(?:^|[^\p{L}\p{N}])" + any_of(words)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -100,17 +121,26 @@ def well_formed(kind: str, v: Column) -> Column:
     }[kind]
 
 
+def neighbours(text: Column, span: Column) -> tuple[Column, Column, Column, Column]:
+    """Lower-cased text before and after a span, and the characters next to it, blanks at the ends."""
+    before = F.lower(F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
+    after = F.lower(F.substring(text, span["end"] + 1, F.lit(24)))
+    left = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(" ")
+    right = F.substring(text, span["end"] + 1, F.lit(1))
+    return before, after, left, F.when(right == "", " ").otherwise(right)
+
+
 def votes(kind: str, text: Column, span: Column, base: bool) -> Column:
     """The votes on a span as one number in base three: 0 against, 1 none, 2 for."""
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
-    around = F.concat(F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(" "), F.substring(text, span["end"] + 1, F.lit(1)))
-    alone = ~around.rlike(r"[\p{L}\p{N}_@/=]")
+    before, after, left, right = neighbours(text, span)
+    alone = ~F.concat(left, right).rlike(r"[\p{L}\p{N}_@/=]")
     each = [
-        F.lit(2 if base else 1),
+        F.lit(2) if base else F.when(passes(kind, span["value"]), 2).otherwise(0),
         F.when(well_formed(kind, span["value"]), 2).otherwise(0),
-        F.when(before.rlike(GAZETTEER[kind]), 2).otherwise(1),
+        F.when(before.rlike(listed_words(GAZETTEER[kind])), 2).otherwise(1),
+        F.when(after.rlike(r"^[\s,;(]*" + any_of(AFTER[kind])), 2).otherwise(1),
         F.when(alone, 2).otherwise(0),
-        F.when(before.rlike(AGAINST), 0).otherwise(1),
+        F.when(before.rlike(listed_words(AGAINST) + r"\P{L}*$"), 0).otherwise(1),
     ]
     total = F.lit(0)
     for i, v in enumerate(each):
@@ -118,13 +148,41 @@ def votes(kind: str, text: Column, span: Column, base: bool) -> Column:
     return total
 
 
+def class_of(c: Column) -> Column:
+    """Blank, opening or closing mark, letter or digit, anything else."""
+    return F.when(c.rlike(r"[\n\r]"), 4).when(c.rlike(r"\s"), 0).when(c.rlike(r"[\p{L}\p{N}_]"), 1).when(c.rlike(r"""[.,;:()\[\]<>"'!?]"""), 2).otherwise(3)
+
+
+def shape(kind: str, text: Column, span: Column) -> Column:
+    """The features of SHAPE as one number."""
+    before, _, left, right = neighbours(text, span)
+    v = span["value"]
+    separators = F.regexp_replace(v, r"[\p{L}\p{N}]", "")
+    n, digit, sep = F.length(v), F.length(digits(v)), F.length(separators)
+    each = {
+        "length": F.least(F.floor(n / 6), F.lit(5)),
+        "digits": F.least(F.floor(digit / 4), F.lit(5)),
+        "separators": F.least(sep, F.lit(4)),
+        "kinds": F.least(F.size(F.array_distinct(F.split(separators, ""))), F.lit(3)),
+        "lead": F.when(v.startswith("+"), 1).when(v.startswith("("), 2).when(v.rlike(r"^[A-Za-z]"), 3).otherwise(0),
+        "before": class_of(left),
+        "after": class_of(right),
+        "word": F.when(before.rlike(listed_words(AGAINST) + r"\P{L}*$"), 2).when(before.rlike(r":\s*$"), 3).when(before.rlike(listed_words(GAZETTEER[kind])), 1).otherwise(0),
+        "place": F.when(before.rlike(r"(?:^|\n)\s*$"), 0).when(before.rlike(r"\p{L}\s$"), 1).otherwise(2),
+    }
+    total = F.lit(0).cast("long")
+    for name, size in reversed(SHAPE):
+        total = total * size + F.greatest(F.least(each[name].cast("int"), F.lit(size - 1)), F.lit(0))
+    return total
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """All candidate spans of a kind: start, end, base, votes."""
+    """All candidate spans of a kind: start, end, base, votes, shape."""
     needed = text.rlike(NEEDS[kind])
-    none = F.array().cast("array<struct<start: int, end: int, base: boolean, votes: int>>")
+    none = F.array().cast("array<struct<start: int, end: int, base: boolean, votes: int, shape: bigint>>")
 
     def judged(spans: Column, base: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(kind, text, s, base).alias("votes")))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(kind, text, s, base).alias("votes"), shape(kind, text, s).alias("shape")))
 
     strict = F.filter(located(text, BASE[kind]), lambda s: passes(kind, s["value"]))
     return F.when(needed, F.concat(judged(strict, True), judged(located(text, WIDER[kind]), False))).otherwise(none)
@@ -155,14 +213,27 @@ def estimate(counts: dict[int, int], steps: int = 100) -> tuple[np.ndarray, np.n
     return patterns, post
 
 
-def train(patterns: np.ndarray, post: np.ndarray, n: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Weights, the intercept last, of a logistic classifier over votes (-1, 0, 1), trained on soft labels."""
-    x = np.column_stack([(patterns[:, None] // 3 ** np.arange(LABELERS) % 3) - 1.0, np.ones(len(patterns))])
+def coded(shapes: np.ndarray) -> np.ndarray:
+    """A row a shape: a one for each feature's value, and one for the intercept."""
+    columns = [np.ones(len(shapes))]
+    rest = shapes.copy()
+    for _, size in SHAPE:
+        columns += list((rest % size == np.arange(size)[:, None]).astype(float))
+        rest //= size
+    return np.column_stack(columns)
+
+
+def train(shapes: np.ndarray, post: np.ndarray, n: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights, the intercept first, of a logistic classifier over the features' values, trained on soft labels."""
+    x = coded(shapes)
     w = np.zeros(x.shape[1])
-    ridge = 1e-2 * np.eye(len(w))
+    ridge = np.diag(np.append(1e-3, np.full(len(w) - 1, 1.0)))
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge, x.T @ (n * (post - q)) - ridge @ w)
+        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge, x.T @ (n * (post - q)) - ridge @ w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
@@ -170,9 +241,11 @@ def classified(kind: str, w: np.ndarray):
     """From a candidate to a span with the classifier's score."""
 
     def scored(s):
-        z = F.lit(float(w[-1]))
-        for i in range(LABELERS):
-            z = z + (F.floor(s["votes"] / 3**i) % 3 - 1) * float(w[i])
+        z, at, unit = F.lit(float(w[0])), 1, 1
+        for _, size in SHAPE:
+            value = (F.floor(s["shape"] / unit) % size).cast("int")
+            z = z + F.get(F.array(*[F.lit(float(v)) for v in w[at : at + size]]), value)
+            at, unit = at + size, unit * size
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), (1 / (1 + F.exp(-z))).alias("score"))
 
     return scored
@@ -183,9 +256,11 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Spans are (kind, start, end, base, score), by kind in the order of KINDS,
     then start; places count code points, the end excluded. Base spans stay
-    whatever their score. A candidate that meets a base span or an earlier
-    candidate is dropped. Null and empty texts have none. An empty table gives
-    an empty one.
+    whatever their score. An added span meets no base span and no other added
+    one: of two that meet, the one that starts first stays, of equal starts the
+    kind listed first. Null and empty texts have none; repeated rows have the
+    same spans each, and count each in the votes; texts are searched whole,
+    whatever their length. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = [c for c in docs.columns if c != text_col]
@@ -193,25 +268,48 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = table(rows.select("src", *[candidates(F.col("t"), k).alias(k) for k in KINDS]))
 
     def vote_of(kind: str):
-        return lambda s: F.struct(F.lit(kind).alias("kind"), s["votes"].alias("votes"))
+        return lambda s: F.struct(F.lit(kind).alias("kind"), s["votes"].alias("votes"), s["shape"].alias("shape"))
 
     counted = rows.select(F.explode(F.flatten(F.array(*[F.transform(k, vote_of(k)) for k in KINDS]))).alias("c"))
-    # at most 3 ** LABELERS rows a kind
-    seen = counted.groupBy("c.kind", "c.votes").count().collect()
+    # a row a vote pattern and shape that occurs: their number has a bound, whatever the documents
+    seen = counted.groupBy("c.kind", "c.votes", "c.shape").count().collect()
+
+    scored = {}
+    for kind in KINDS:
+        mine = [r for r in seen if r["kind"] == kind]
+        w = np.zeros(1 + sum(size for _, size in SHAPE))
+        if mine:
+            counts: dict[int, int] = defaultdict(int)
+            for r in mine:
+                counts[r["votes"]] += r["count"]
+            patterns, post = estimate(counts)
+            of = dict(zip(patterns.tolist(), post))
+            w = train(np.array([r["shape"] for r in mine]), np.array([of[r["votes"]] for r in mine]), np.array([float(r["count"]) for r in mine]))
+        scored[kind] = F.transform(kind, classified(kind, w))
+
+    def free(s):
+        return ~s["base"] & (s["score"] >= 0.5) & ~F.exists("all_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    # the order of kinds is kept among equal starts
+    more = F.array_sort(F.filter(F.flatten(F.array(*[F.col(f"s_{k}") for k in KINDS])), free), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    kind_type = "struct<kind: string, start: int, end: int, base: boolean, score: double>"
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind_type}>").alias("out"))
+
+    def step(acc, s):
+        return F.when(s["start"] >= acc["end"], F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
 
     base = F.flatten(F.array(*[F.filter(k, lambda s: s["base"]) for k in KINDS]))
+    found = rows.select("src", base.alias("all_base"), *[v.alias(f"s_{k}") for k, v in scored.items()])
+    found = found.withColumn("more", F.when(F.size(more) > 0, F.aggregate(more, begin, step, lambda acc: acc["out"])).otherwise(begin["out"]))
     out = []
     for kind in KINDS:
-        counts = {r["votes"]: r["count"] for r in seen if r["kind"] == kind}
-        w = np.zeros(LABELERS + 1)
-        if counts:
-            patterns, post = estimate(counts)
-            w = train(patterns, post, np.array([counts[p] for p in patterns.tolist()], float))
+        both = F.concat(F.filter(f"s_{kind}", lambda s: s["base"]), F.filter("more", _of(kind)))
+        out.append(F.array_sort(both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)))
+    return found.select("src", F.flatten(F.array(*out)).alias("spans"))
+
 
-        spans = F.transform(kind, classified(kind, w))
-        more = F.filter(spans, lambda s: ~s["base"] & (s["score"] >= 0.5) & ~F.exists("all_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        out.append(F.array_sort(F.concat(F.filter(spans, lambda s: s["base"]), more), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)))
-    return rows.withColumn("all_base", base).select("src", F.flatten(F.array(*out)).alias("spans"))
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def _is(kind: str):
@@ -226,4 +324,4 @@ def op8_personal_data(spark, sf_dir):
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
     n = [F.size(F.filter(base["kind"], _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(F.col("src.doc_id").alias("doc_id"), *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("src.doc_id").alias("doc_id"), *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

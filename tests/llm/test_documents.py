@@ -272,6 +272,59 @@ def test_added_spans(spark):
     assert by[61] == []
 
 
+def test_span_classifier(spark):
+    """It learns from spans with words around them, and says of spans without any what their shape says; spans never meet."""
+    rng = random.Random(9)
+    number = lambda sep: sep.join("".join(rng.choice("23456789") for _ in range(k)) for k in (3, 3, 4))
+    learned = [f"please call {number('-')} today" for _ in range(150)] + [f"see version {number('.')}/x of it" for _ in range(150)]
+    held_out = [f"blue {number('-')} sky" for _ in range(20)] + [f"blue {number('.')}/ sky" for _ in range(20)]
+    texts = learned + held_out + ["mail 555-123-4567 [at] host.com", "+1 (826) 555-4081 a@b.org 190.137.2.33 4111 1111 1111 1111", None]
+    out = personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("src.doc_id", "spans").collect()
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in out}
+    assert [len(got[300 + i]) for i in range(40)] == [1] * 20 + [0] * 20
+    assert [k for k, _, _ in got[341]] == ["email", "ip", "card", "phone"]
+    for spans in got.values():
+        assert all(a[2] <= b[1] or b[2] <= a[1] for a in spans for b in spans if a != b)
+
+
+def em_brute(rows, labelers, steps=100):
+    """Posteriors of a two-class model by one pass over all rows a step."""
+    start = [[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]]
+    p = [[list(start[c]) for _ in range(labelers)] for c in (0, 1)]
+    share, post = 0.5, []
+    for _ in range(steps):
+        post = []
+        for r in rows:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for k, v in enumerate(r):
+                    like[c] *= p[c][k][v]
+            post.append(like[1] / (like[0] + like[1]))
+        share = (sum(post) + 2) / (len(rows) + 4)
+        for c in (0, 1):
+            for k in range(labelers):
+                w = [10 * start[c][v] + sum(q if c else 1 - q for r, q in zip(rows, post) if r[k] == v) for v in range(3)]
+                p[c][k] = [x / sum(w) for x in w]
+    return post
+
+
+def test_estimate():
+    rng = random.Random(12)
+    n = personal_data.LABELERS
+    rows = []
+    for _ in range(300):
+        real = rng.random() < 0.4
+        rows.append(tuple(rng.choices([0, 1, 2], [1, 2, 6] if real else [5, 3, 1])[0] for _ in range(n)))
+    counts = {}
+    for r in rows:
+        key = sum(v * 3**k for k, v in enumerate(r))
+        counts[key] = counts.get(key, 0) + 1
+    patterns, post = personal_data.estimate(counts)
+    got = dict(zip(patterns.tolist(), post))
+    for r, q in zip(rows, em_brute(rows, n)):
+        assert abs(got[sum(v * 3**k for k, v in enumerate(r))] - q) < 1e-5
+
+
 def test_digests(spark, tmp_path):
     """The registered queries derive their digests from the operators' outputs."""
     docs = [(1, "a b c\nmail x@y.org"), (2, None), (3, "")]
