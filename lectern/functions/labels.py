@@ -13,38 +13,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Numerals, and the words that name front matter, endings and extras.
+# Numerals, the words that name front matter, endings and extras, and the marks of a numbered heading.
 DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "兩": 2, "两": 2}
-TENS = {"十": 10, "百": 100, "千": 1000, "廿": 20, "卅": 30}
-FRONT = ("序章", "序幕", "序", "楔子", "前言", "引子", "prologue", "preface")
-END = ("終章", "终章", "尾聲", "尾声", "後記", "后记", "完結感言", "epilogue", "afterword")
-EXTRA = ("番外", "外傳", "外传", "特典", "side story", "extra")
-SUB = {"上": "上", "中": "中", "下": "下"}
+UNITS = {"十": 10, "百": 100, "千": 1000}
+WHOLE_TENS = {"廿": 20, "卅": 30}
+FRONT = ("序章", "序幕", "楔子", "前言", "引子")
+END = ("終章", "终章", "尾聲", "尾声", "後記", "后记", "終曲", "终曲", "大結局", "大结局")
+EXTRA = ("番外", "外傳", "外传", "附錄", "附录")
 LABEL = T.StructType([T.StructField(n, T.StringType() if n != "parts" else T.ArrayType(T.StringType())) for n in ("raw", "kind", "parts", "sub_part", "key")])
 
-_WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
-_NUMBER = r"(?P<n>\d+(?:\.\d+)*|[零〇一二三四五六七八九十百千廿卅兩两]+)"
-_NUMBERED = re.compile(rf"^(?:第\s*)?{_NUMBER}\s*(?:[章回節节話话集篇部卷])?\s*[（(]?(?P<s>[上中下])?[)）]?(?=$|[\s:：、.．\-—])", re.I)
-_CHAPTER = re.compile(rf"^chapter\s*{_NUMBER}(?P<s>)?(?=$|[\s:：.\-—])", re.I)
-_EXTRA_NUMBER = re.compile(rf"^\s*{_NUMBER}\s*(?P<s>[上中下])?")
+_WIDE_DIGITS = {0xFF10 + i: ord("0") + i for i in range(10)}
+_SUB_PART = re.compile(r"[（(]\s*([上中下])\s*[)）]\s*$")
+#: Ways to write a number as a whole label; brackets of one type, of either width.
+_NUMBERED = (
+    re.compile(r"[第卷](.+?)[章回幕部節节集卷].*"),
+    re.compile(r"[（(]([^（）()]+)[）)]"),
+    re.compile(r"【([^【】]+)】"),
+    re.compile(r"〔([^〔〕]+)〕"),
+    re.compile(r"([0-9.]+)"),
+    re.compile(r"(.*)、"),
+    re.compile(r"其(.+)"),
+)
 
 
 def chinese_number(text: str) -> int | None:
-    """The value of a numeral in characters; digits without units are read in place."""
-    if not text or any(c not in DIGITS and c not in TENS for c in text):
-        return None
-    if all(c in DIGITS for c in text):
-        return int("".join(str(DIGITS[c]) for c in text))
+    """The value of a numeral in characters; a digit that no unit follows counts only at the end."""
     total, pending = 0, None
     for c in text:
         if c in DIGITS:
-            pending = DIGITS[c] or None
-        elif c in "廿卅":
-            total += TENS[c]
-        else:
-            total += (1 if pending is None else pending) * TENS[c]
+            pending = DIGITS[c]
+        elif c in UNITS:
+            total += (1 if pending is None else pending) * UNITS[c]
+            pending = None
+        elif c in WHOLE_TENS:
+            total += WHOLE_TENS[c]
             pending = None
-    return total + (pending or 0)
+        else:
+            return None
+    total += pending or 0
+    return total if total or (text and set(text) <= set("零〇")) else None
+
+
+def numeric_parts(text: str) -> list[str] | None:
+    """``12.5.1`` as three parts, a numeral in characters as one; None for anything else."""
+    if re.fullmatch(r"[0-9]+(?:\.[0-9]+)*", text):
+        return text.split(".")
+    n = chinese_number(text) if text else None
+    return None if n is None else [str(n)]
 
 
 def key_of(family: str, parts: list[str], sub: str | None) -> str:
@@ -52,28 +67,24 @@ def key_of(family: str, parts: list[str], sub: str | None) -> str:
     return f"{family}:{'.'.join(p.lstrip('0') or '0' for p in parts)}" + (f"#{sub}" if sub else "")
 
 
-def _parts(number: str) -> list[str]:
-    return number.split(".") if number[0].isascii() else [str(chinese_number(number))]
-
-
 def parse(raw: str | None) -> dict:
-    text = (raw or "").translate(_WIDE).strip()
-    low = text.lower()
-    out = {"raw": raw, "kind": "unnumbered", "parts": [], "sub_part": None, "key": None}
-    for word in EXTRA:
-        if low.startswith(word):
-            m = _EXTRA_NUMBER.match(text[len(word) :])
-            parts = _parts(m["n"]) if m else []
-            sub = m["s"] if m else None
-            return out | {"kind": "extra", "parts": parts, "sub_part": sub, "key": key_of("extra", parts, sub) if parts else None}
+    out = {"raw": raw, "kind": "unnumbered", "parts": None, "sub_part": None, "key": None}
+    text = (raw or "").strip().translate(_WIDE_DIGITS)
+    sub = None
+    if m := _SUB_PART.search(text):
+        sub, text = m[1], text[: m.start()]
+    text = "".join(text.split())
     for kind, names in (("front", FRONT), ("end", END)):
-        if any(low == w or low.startswith((w + " ", w + ":", w + "：")) for w in names):
+        if text in names:
             return out | {"kind": kind}
-    m = _CHAPTER.match(text) or _NUMBERED.match(text)
-    if not m:
-        return out
-    parts, sub = _parts(m["n"]), SUB.get(m["s"] or "")
-    return out | {"kind": "numbered", "parts": parts, "sub_part": sub, "key": key_of("ch", parts, sub)}
+    for word in EXTRA:
+        if text.startswith(word):
+            parts = numeric_parts(text[len(word) :])
+            return out | {"kind": "extra"} | ({"parts": parts, "sub_part": sub, "key": key_of("extra", parts, sub)} if parts else {})
+    # the first way that fits is the only one tried
+    number = next((m[1] for m in (way.fullmatch(text) for way in _NUMBERED) if m), None)
+    parts = numeric_parts(number) if number is not None else None
+    return out | ({"kind": "numbered", "parts": parts, "sub_part": sub, "key": key_of("ch", parts, sub)} if parts else {})
 
 
 @F.pandas_udf(LABEL)
@@ -82,7 +93,12 @@ def parse_label(raw: pd.Series) -> pd.DataFrame:
 
 
 def order_key(label: Column) -> Column:
-    """Sorts labels: front matter, numbers part by part (a missing part first), sub-parts, the rest, extras, endings."""
-    rank = F.when(label["kind"] == "front", 0).when(label["kind"] == "numbered", 1).when(label["kind"] == "unnumbered", 2).when(label["kind"] == "extra", 3).otherwise(4)
-    sub = F.coalesce(F.position(label["sub_part"], F.lit("上中下")), F.lit(0))
-    return F.struct(rank.alias("rank"), F.transform(label["parts"], lambda p: p.cast("long")).alias("numbers"), sub.alias("sub"))
+    """Sorts labels: front matter, numbers part by part (a missing part first) and then by sub-part, endings and extras without a number, the rest."""
+    rank = F.when(label["parts"].isNotNull(), 1).when(label["kind"] == "front", 0).when(label["kind"].isin("end", "extra"), 2).otherwise(3)
+    numbers = F.transform(F.coalesce(label["parts"], F.array().cast("array<string>")), lambda p: p.cast("decimal(38,0)"))
+    return F.struct(rank.alias("rank"), numbers.alias("numbers"), F.coalesce(label["sub_part"], F.lit("")).alias("sub"))
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two labels are candidates for one number."""
+    return F.coalesce(a["key"] == b["key"], F.lit(False))

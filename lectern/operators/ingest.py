@@ -44,53 +44,52 @@ def match(existing: DataFrame, source: DataFrame) -> DataFrame:
     ``source``: work_id, item_id, label_key, position, body_hash, resource_digest.
     Gives each source item its class (unchanged, modified, new, ambiguous,
     structural_conflict), the chapter it matches, the anchors between which a new
-    one goes, and whether that place is certain.
+    one goes, and whether that place is certain. A key that the source repeats is
+    ambiguous even where no chapter has it. A new item is in conflict where
+    chapters that nothing matches lie between its anchors, or after its only one.
+
+    Both sides are dealt out by work once; every window below is within a work.
     """
-    by_key = lambda df: Window.partitionBy("work_id", "label_key")
-    e = existing.withColumn("e_uses", F.count("*").over(by_key(existing)))
-    s = source.withColumn("s_uses", F.count("*").over(by_key(source)))
-    once = e.where("e_uses = 1 AND label_key IS NOT NULL").select("work_id", "label_key", F.col("id").alias("matched_id"), F.col("position").alias("matched_position"), F.col("body_hash").alias("e_hash"), F.col("resource_digest").alias("e_digest"))
-    there = e.where("label_key IS NOT NULL").groupBy("work_id", "label_key").agg(F.first("e_uses").alias("e_uses"))
-    keyed = s.join(there, ["work_id", "label_key"], "left").join(once, ["work_id", "label_key"], "left")
-    known = F.col("label_key").isNotNull() & F.col("e_uses").isNotNull()
-    sure = known & (F.col("e_uses") == 1) & (F.col("s_uses") == 1)
-    unsure = known & ~sure
-    keyed = keyed.withColumns({c: F.when(sure, F.col(c)) for c in ("matched_id", "matched_position", "e_hash", "e_digest")})
-
-    # a body that one unclaimed chapter has makes an unmatched item ambiguous, never matched
-    claimed = keyed.where("matched_id IS NOT NULL").select("work_id", F.col("matched_id").alias("id"))
-    free = existing.join(claimed, ["work_id", "id"], "left_anti").where(F.col("body_hash").isNotNull()).groupBy("work_id", "body_hash").agg(F.count("*").alias("free_bodies"))
-    # a matched item whose new body is another chapter's has been mixed up
-    owners = existing.where(F.col("body_hash").isNotNull()).groupBy("work_id", "body_hash").agg(F.min("id").alias("owner"), F.max("id").alias("owner2"))
-    full = keyed.join(free, ["work_id", "body_hash"], "left").join(owners, ["work_id", "body_hash"], "left")
-    elsewhere = F.col("owner").isNotNull() & ((F.col("owner") != F.col("matched_id")) | (F.col("owner2") != F.col("matched_id")))
-    same = F.col("body_hash").eqNullSafe(F.col("e_hash"))
+    side = lambda df, **more: df.select("work_id", "label_key", F.col("position").cast("long").alias("position"), "body_hash", F.coalesce("resource_digest", F.lit("")).alias("digest"), *[v.alias(k) for k, v in more.items()])
+    chapters = side(existing, old=F.lit(True), id=F.col("id"))
+    items = side(source, old=F.lit(False), item_id=F.col("item_id"))
+    rows = chapters.unionByName(items, allowMissingColumns=True).repartition("work_id")
+
+    old, keyed = F.col("old"), F.col("label_key").isNotNull()
+    key, body, work = Window.partitionBy("work_id", "label_key"), Window.partitionBy("work_id", "body_hash"), Window.partitionBy("work_id")
+    rows = rows.withColumns({"e_uses": F.count_if(old).over(key), "s_uses": F.count_if(~old).over(key)})
+    paired = keyed & (F.col("e_uses") == 1) & (F.col("s_uses") == 1)
+    rows = rows.withColumn("paired", paired).withColumn("loose", old & ~paired)
+    # loose chapters before each chapter's place, and in all
+    upto = work.orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"below": F.coalesce(F.count_if("loose").over(upto), F.lit(0)), "loose_all": F.count_if("loose").over(work)})
+    mine = F.struct("id", "position", "body_hash", "digest", "below")
+    rows = rows.withColumn("m", F.when(F.col("paired"), F.max(F.when(old, mine)).over(key)))
+    has_body = old & F.col("body_hash").isNotNull()
+    owner = F.when(has_body, F.col("id"))
+    rows = rows.withColumns({"free_bodies": F.count_if(has_body & F.col("loose")).over(body), "owner": F.min(owner).over(body), "owner2": F.max(owner).over(body)})
+
+    same = F.col("body_hash").eqNullSafe(F.col("m.body_hash"))
+    elsewhere = (F.col("owner") != F.col("m.id")) | (F.col("owner2") != F.col("m.id"))
     first = (
-        F.when(unsure, "ambiguous")
-        .when(sure, F.when(same & F.col("resource_digest").eqNullSafe(F.col("e_digest")), "unchanged").when(same, "modified").when(elsewhere, "structural_conflict").otherwise("modified"))
+        F.when(F.col("paired"), F.when(same & (F.col("digest") == F.col("m.digest")), "unchanged").when(same, "modified").when(F.coalesce(elsewhere, F.lit(False)), "structural_conflict").otherwise("modified"))
+        .when(keyed & ((F.col("e_uses") > 1) | (F.col("s_uses") > 1)), "ambiguous")
         .when(F.col("free_bodies") == 1, "ambiguous")
         .otherwise("new")
     )
-    classed = full.withColumn("first_class", first)
-
-    order = Window.partitionBy("work_id").orderBy("position", "item_id")
+    order = work.orderBy("position", "item_id")
     so_far, to_come = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    at = lambda c: F.struct(F.col("matched_position").alias("p"), F.col("matched_id").alias("id"))
-    anchor = F.when(F.col("matched_id").isNotNull(), at(0))
-    placed = classed.withColumn("before", F.last(anchor, ignorenulls=True).over(so_far)).withColumn("after", F.first(anchor, ignorenulls=True).over(to_come))
-    inverted = F.col("matched_id").isNotNull() & (F.col("before.p") > F.col("matched_position"))
-    final = F.when(inverted, "structural_conflict").otherwise(F.col("first_class"))
-
-    # unmatched chapters up to a position, to tell which lie between two anchors
-    left_over = existing.join(claimed, ["work_id", "id"], "left_anti").select("work_id", "position", F.lit(1).alias("loose"), F.lit(None).cast("string").alias("for_item"), F.lit(None).cast("string").alias("edge"))
-    is_new = (F.col("first_class") == "new") & F.col("matched_id").isNull()
-    asks = placed.where(is_new).select("work_id", F.col("item_id").cast("string").alias("for_item"), F.explode(F.array(F.struct(F.lit("a").alias("edge"), F.coalesce("before.p", F.lit(-(1 << 31))).alias("position")), F.struct(F.lit("b").alias("edge"), F.coalesce("after.p", F.lit((1 << 31) - 1)).alias("position")))).alias("x")).select("work_id", "x.position", F.lit(0).alias("loose"), "for_item", "x.edge")
-    running = Window.partitionBy("work_id").orderBy("position").rangeBetween(Window.unboundedPreceding, 0)
-    counts = left_over.unionByName(asks).withColumn("upto", F.sum("loose").over(running)).where("for_item IS NOT NULL").groupBy("work_id", "for_item").agg(F.max(F.when(F.col("edge") == "a", F.col("upto"))).alias("upto_a"), F.max(F.when(F.col("edge") == "b", F.col("upto"))).alias("upto_b"))
-    out = placed.withColumn("class", final).withColumn("for_item", F.col("item_id").cast("string")).join(counts, ["work_id", "for_item"], "left")
-    anchored = F.col("before").isNotNull() | F.col("after").isNotNull()
-    certain = F.when(is_new, anchored & (F.col("upto_b") - F.col("upto_a") == 0)).otherwise(F.col("class").isin("unchanged", "modified"))
-    return out.select("work_id", "item_id", "position", "class", F.col("matched_id").alias("matched_chapter_id"), F.when(is_new, F.col("before.id")).alias("insert_after_id"), F.when(is_new, F.col("after.id")).alias("insert_before_id"), certain.alias("position_confident"))
+    placed = rows.where(~old).withColumn("first", first).withColumn("before", F.last("m", ignorenulls=True).over(so_far)).withColumn("after", F.first("m", ignorenulls=True).over(to_come))
+    is_new, left, right = F.col("first") == "new", F.col("before").isNotNull(), F.col("after").isNotNull()
+    between = F.when(right, F.col("after.below")).otherwise(F.col("loose_all")) - F.col("before.below")
+    crossed = is_new & left & (between > 0)
+    inverted = F.col("m").isNotNull() & (F.col("before.position") > F.col("m.position"))
+    final = F.when(F.coalesce(crossed | inverted, F.lit(False)), "structural_conflict").otherwise(F.col("first"))
+    return placed.select(
+        "work_id", "item_id", F.col("position").cast(source.schema["position"].dataType).alias("position"), final.alias("class"), F.col("m.id").alias("matched_chapter_id"),
+        F.when(is_new & (right | ~F.coalesce(crossed, F.lit(False))), F.col("before.id")).alias("insert_after_id"), F.when(is_new, F.col("after.id")).alias("insert_before_id"),
+        (is_new & (left | right) & ~F.coalesce(crossed, F.lit(False))).alias("position_confident"),
+    )
 
 
 def missing(existing: DataFrame, matched: DataFrame) -> DataFrame:

@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Which import state may follow which.
+# Which import state may follow which; nothing follows cancelled, committed and reverted.
 TRANSITIONS = {
-    "queued": ("processing", "failed"),
-    "processing": ("review_required", "ready", "failed", "queued"),
-    "review_required": ("ready", "committed", "queued"),
-    "ready": ("committed", "applied", "queued"),
+    "queued": ("processing", "cancelled"),
+    "processing": ("queued", "review_required", "ready", "failed", "cancelled"),
+    "review_required": ("ready", "queued", "cancelled"),
+    "ready": ("queued", "committed", "applied", "cancelled"),
+    "failed": ("queued", "cancelled"),
+    "cancelled": (),
+    "committed": (),
     "applied": ("reverted",),
-    "failed": ("queued",),
+    "reverted": (),
 }
 MOST_ATTEMPTS = 3
 

@@ -44,21 +44,21 @@ def duplicate_bodies(spark, d):
 
 MATCH = """WITH ek AS (SELECT *, count(*) OVER (PARTITION BY work_id, label_key) AS eu FROM existing),
 sk AS (SELECT *, count(*) OVER (PARTITION BY work_id, label_key) AS su FROM source),
-j AS (SELECT s.*, e1.eu, CASE WHEN e1.eu = 1 AND s.su = 1 THEN e2.id END AS mid, CASE WHEN e1.eu = 1 AND s.su = 1 THEN e2.position END AS mpos, e2.body_hash AS eh, e2.resource_digest AS ed
+j AS (SELECT s.*, coalesce(e1.eu, 0) AS eu, CASE WHEN s.su = 1 THEN e2.id END AS mid, CASE WHEN s.su = 1 THEN e2.position END AS mpos, e2.body_hash AS eh, e2.resource_digest AS ed
   FROM sk s LEFT JOIN (SELECT DISTINCT work_id, label_key, eu FROM ek) e1 ON s.work_id = e1.work_id AND s.label_key = e1.label_key
   LEFT JOIN ek e2 ON s.work_id = e2.work_id AND s.label_key = e2.label_key AND e2.eu = 1),
 loose AS (SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.work_id = e.work_id AND j.mid = e.id)),
-c AS (SELECT j.*, CASE WHEN eu IS NOT NULL AND (eu > 1 OR su > 1) THEN 'ambiguous'
-   WHEN mid IS NOT NULL THEN CASE WHEN body_hash = eh AND resource_digest = ed THEN 'unchanged' WHEN body_hash = eh THEN 'modified'
+c AS (SELECT j.*, CASE WHEN mid IS NOT NULL THEN CASE WHEN body_hash = eh AND resource_digest = ed THEN 'unchanged' WHEN body_hash = eh THEN 'modified'
      WHEN EXISTS (SELECT 1 FROM existing o WHERE o.work_id = j.work_id AND o.body_hash = j.body_hash AND o.id <> j.mid) THEN 'structural_conflict' ELSE 'modified' END
+   WHEN label_key IS NOT NULL AND (eu > 1 OR su > 1) THEN 'ambiguous'
    WHEN (SELECT count(*) FROM loose l WHERE l.work_id = j.work_id AND l.body_hash = j.body_hash) = 1 THEN 'ambiguous' ELSE 'new' END AS c1 FROM j),
 p AS (SELECT *, last_value(CASE WHEN mid IS NOT NULL THEN mpos END IGNORE NULLS) OVER w1 AS bp, last_value(mid IGNORE NULLS) OVER w1 AS bid,
    first_value(CASE WHEN mid IS NOT NULL THEN mpos END IGNORE NULLS) OVER w2 AS ap, first_value(mid IGNORE NULLS) OVER w2 AS aid FROM c
    WINDOW w1 AS (PARTITION BY work_id ORDER BY position, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w2 AS (PARTITION BY work_id ORDER BY position, item_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-m AS (SELECT *, CASE WHEN mid IS NOT NULL AND bp > mpos THEN 'structural_conflict' ELSE c1 END AS class, c1 = 'new' AND mid IS NULL AS is_new FROM p)
-SELECT work_id, item_id, class, mid AS matched_chapter_id, CASE WHEN is_new THEN bid END AS insert_after_id, CASE WHEN is_new THEN aid END AS insert_before_id,
-  CASE WHEN is_new THEN (bp IS NOT NULL OR ap IS NOT NULL) AND (SELECT count(*) FROM loose l WHERE l.work_id = m.work_id AND l.position <= coalesce(ap, 2147483647)) - (SELECT count(*) FROM loose l WHERE l.work_id = m.work_id AND l.position <= coalesce(bp, -2147483648)) = 0
-  ELSE class IN ('unchanged', 'modified') END AS position_confident FROM m"""
+m AS (SELECT *, c1 = 'new' AS is_new, (SELECT count(*) FROM loose l WHERE l.work_id = p.work_id AND l.position < coalesce(ap, 2147483647)) - (SELECT count(*) FROM loose l WHERE l.work_id = p.work_id AND l.position < bp) AS inside FROM p)
+SELECT work_id, item_id, CASE WHEN is_new AND bp IS NOT NULL AND inside > 0 OR mid IS NOT NULL AND bp > mpos THEN 'structural_conflict' ELSE c1 END AS class, mid AS matched_chapter_id,
+  CASE WHEN is_new AND NOT (ap IS NULL AND inside > 0) THEN bid END AS insert_after_id, CASE WHEN is_new THEN aid END AS insert_before_id,
+  is_new AND (bp IS NOT NULL OR ap IS NOT NULL) AND NOT (bp IS NOT NULL AND inside > 0) AS position_confident FROM m"""
 
 
 @query("match_chapters", over(MATCH))

@@ -28,7 +28,8 @@ def reap_jobs(spark, d):
     return M.reap(frame(spark, d, "jobs"), now()).select("id", "status")
 
 
-@query("ops_counts", over(f"SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'processing' AND lease_expires_at < {NOW}) AS stale, count(*) FILTER (status = 'failed') AS failed, date_diff('second', min(created_at) FILTER (status = 'queued'), {NOW}) AS oldest_queued_seconds, 'stale_leases,failed_jobs,queue_delay' AS warnings FROM jobs"))
+@query("ops_counts", over(f"""SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'processing' AND lease_expires_at < {NOW}) AS stale, count(*) FILTER (status = 'failed') AS failed, date_diff('second', min(created_at) FILTER (status = 'queued'), {NOW}) AS oldest_queued_seconds,
+  concat_ws(',', CASE WHEN count(*) FILTER (status = 'processing' AND lease_expires_at < {NOW}) > 0 THEN 'stale_leases' END, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed_jobs' END, CASE WHEN date_diff('second', min(created_at) FILTER (status = 'queued'), {NOW}) > 900 THEN 'queue_delay' END) AS warnings FROM jobs"""))
 def ops_counts(spark, d):
     return M.ops_warnings(M.ops_counts(frame(spark, d, "jobs"), now())).withColumn("warnings", F.array_join("warnings", ","))
 
@@ -69,10 +70,20 @@ def latency_percentiles(spark, d):
     return M.percentiles(frame(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
 
 
-@query("illegal_transitions", over("SELECT event_id, before, after FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'applied' ELSE 'ready' END AS before, CASE event_id % 4 WHEN 0 THEN 'processing' WHEN 1 THEN 'reverted' WHEN 2 THEN 'committed' ELSE 'queued' END AS after FROM events) t WHERE (before, after) NOT IN (('queued', 'processing'), ('applied', 'reverted'), ('ready', 'committed'), ('ready', 'queued'))"))
+STATES = ("queued", "processing", "review_required", "ready", "failed", "cancelled", "committed", "applied", "reverted")
+
+
+# every pair of states occurs
+@query(
+    "illegal_transitions",
+    f"""WITH s AS (SELECT event_id, {list(STATES)}[event_id % 9 + 1] AS before, {list(STATES)}[event_id // 9 % 9 + 1] AS after FROM events)
+SELECT event_id, before, after FROM s WHERE NOT (after = 'cancelled' AND before IN ('queued', 'processing', 'review_required', 'ready', 'failed')
+  OR after = 'queued' AND before IN ('processing', 'review_required', 'ready', 'failed') OR after = 'processing' AND before = 'queued' OR after = 'ready' AND before IN ('processing', 'review_required')
+  OR after IN ('review_required', 'failed') AND before = 'processing' OR after IN ('committed', 'applied') AND before = 'ready' OR after = 'reverted' AND before = 'applied')""",
+)
 def illegal_transitions(spark, d):
-    e = F.col("event_id")
-    steps = frame(spark, d, "events").select("event_id", F.when(e % 3 == 0, "queued").when(e % 3 == 1, "applied").otherwise("ready").alias("before"), F.when(e % 4 == 0, "processing").when(e % 4 == 1, "reverted").when(e % 4 == 2, "committed").otherwise("queued").alias("after"))
+    e, states = F.col("event_id"), F.array(*map(F.lit, STATES))
+    steps = frame(spark, d, "events").select("event_id", F.get(states, (e % 9).cast("int")).alias("before"), F.get(states, (F.floor(e / 9) % 9).cast("int")).alias("after"))
     return M.illegal(steps).select("event_id", "before", "after")
 
 
@@ -96,19 +107,20 @@ def taxonomy_invalid(spark, d):
 
 @query(
     "export_txt",
-    over("""SELECT id, file, sha256(content) AS content FROM (SELECT w.id, w.title || '.txt' AS file, chr(65279) || w.title || chr(10) || w.author || chr(10) || chr(10) || chr(10) || string_agg(c.label_raw || chr(10) || chr(10) || c.volume, chr(10) || chr(10) || chr(10) ORDER BY c.position) AS content
-FROM (SELECT id, replace(title, '#', '_') AS title, author FROM works) w JOIN chapters c ON c.work_id = w.id GROUP BY w.id, w.title, w.author) t"""),
+    over("""SELECT id, file, sha256(content) AS content FROM (SELECT w.id, w.title || '.txt' AS file, chr(65279) || '作品名：' || w.title || chr(10) || '作者：' || w.author || chr(10) || '版本：v' || w.edit_version || chr(10)
+  || string_agg(chr(10) || chr(10) || c.label_raw || chr(10) || chr(10) || c.volume, chr(10) || chr(10) ORDER BY c.position) || chr(10) AS content
+FROM (SELECT id, replace(title, '#', '_') AS title, author, edit_version FROM works) w JOIN chapters c ON c.work_id = w.id GROUP BY w.id, w.title, w.author, w.edit_version) t"""),
 )
 def export_txt(spark, d):
-    works = frame(spark, d, "works").withColumn("title", F.replace("title", F.lit("#"), F.lit("_")))
+    works = frame(spark, d, "works").select("id", F.replace("title", F.lit("#"), F.lit("_")).alias("title"), "author", F.concat(F.lit("v"), F.col("edit_version").cast("string")).alias("version_label"))
     chapters = frame(spark, d, "chapters").select("work_id", "position", "label_raw", F.lit(None).cast("string").alias("title"), F.col("volume").alias("body"))
     return E.txt(works, chapters).select("id", "file", F.sha2("content", 256).alias("content"))
 
 
-@query("export_budget", "SELECT work_id, sum(bytes)::BIGINT AS bytes FROM (SELECT DISTINCT source AS work_id, doc_id % 50 AS k, octet_length(encode(source)) * (doc_id % 50) AS bytes FROM documents) t GROUP BY work_id HAVING sum(bytes) > 1500")
+@query("export_budget", "SELECT work_id, sum(bytes)::BIGINT AS bytes FROM (SELECT DISTINCT source AS work_id, doc_id % 50 AS k, octet_length(encode(source)) * (doc_id % 50) AS bytes FROM documents) t GROUP BY work_id HAVING sum(bytes) > 500")
 def export_budget(spark, d):
     docs = frame(spark, d, "documents").select(F.col("source").alias("work_id"), (F.col("doc_id") % 50).alias("body_key"), F.expr("repeat(source, CAST(doc_id % 50 AS INT))").alias("body"))
-    return E.over_budget(docs, 1500).select("work_id", "bytes")
+    return E.over_budget(docs, 500).select("work_id", "bytes")
 
 
 @query("sitemap_page", over("SELECT id, '<url><loc>https://x.example/' || lower(replace(title, '#', '-')) || '-' || left(id::VARCHAR, 8) || '</loc><lastmod>' || strftime(published_at, '%Y-%m-%d') || '</lastmod></url>' AS xml FROM works ORDER BY id LIMIT 500 OFFSET 500"))

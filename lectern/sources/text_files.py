@@ -1,8 +1,10 @@
 """Chapters from plain-text books.
 
 Lines, their classes and the running chapter number are Spark columns and
-windows over a book; only the increasing run among weak headings, which depends
-on what was accepted before, is a fold over a book's few weak headings.
+windows over a book. A heading has a marker that says so, or is of a weak form
+(a bare number in one of five notations) that the book uses in increasing order
+at least twice, or is a short line after a blank one once a marked heading was
+seen. A weak number is in order if it is above all before it of its form.
 """
 
 from __future__ import annotations
@@ -14,10 +16,20 @@ from pyspark.sql import functions as F
 
 from lectern.functions.labels import parse_label
 
-NUMERAL = "[0-9０-９零〇一二三四五六七八九十百千廿卅兩两]+"
-VOLUME = rf"^\s*(第\s*{NUMERAL}\s*[卷部冊册集](?:\s.*)?|volume\s+\d+.*)$"
-STRONG = rf"^\s*(第\s*{NUMERAL}(?:\.\d+)*\s*[章回節节話话](?:[\s:：（(上中下].*)?|chapter\s+\d+.*|(?:序章|楔子|終章|终章|尾聲|尾声|番外).{{0,40}})$"
-WEAK = r"^\s*(\d{1,5})(?:[、.．]|\s).{0,40}$"
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u2002\u2003\u3000\ufeff"
+_S = r"[\s\u00a0\u3000]*"
+# The marks and words of headings, and what ends a sentence.
+NUMERAL = "[0-9０-９零〇一二三四五六七八九十廿卅百千两兩]"
+STRONG = (
+    r"^([第卷][0-9０-９.．一二三四五六七八九十零〇百千两兩]*[章回幕部節节集卷]|序章|序幕|楔子|引子|終章|终章|尾聲|尾声|後記|后记|終曲|终曲|大結局|大结局"
+    rf"|(?:番外|外[傳传]|附[錄录])[0-9０-９.．]*)({_S}[（(][^（）()]{{1,12}}[）)])?{_S}(.*)$"
+)
+WEAK = [rf"^([（(]{_S}{NUMERAL}+{_S}[）)]){_S}(.*)$", rf"^(【{_S}{NUMERAL}+{_S}】){_S}(.*)$", rf"^(〔{_S}{NUMERAL}+{_S}〕){_S}(.*)$", rf"^(其{NUMERAL}+){_S}(.*)$", rf"^({NUMERAL}+{_S}、){_S}(.*)$"]
+#: The weak form that also starts sentences; it has to start a block.
+NEEDS_BLANK = 4
+VOLUME = rf"^([第卷][0-9０-９零〇一二兩两三四五六七八九十百千]+[卷集部].{{0,20}})$"
+SENTENCE_END = "[。！？…；：，、]$"
+MOST_HEADING, MOST_VOLUME, MOST_BARE, MOST_TITLE = 60, 40, 30, 100
 
 
 def check_pattern(pattern: str) -> str:
@@ -34,42 +46,82 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
-def _accepted(numbers: Column) -> Column:
-    """Line places of the greedy increasing run, if at least two."""
-    zero = F.struct(F.lit(-1).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
+def _trim(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
 
-    def step(state, x):
-        ok = (x["n"] > state["last"]) & ((state["last"] < 0) | (x["n"] <= state["last"] + 50))
-        return F.struct(F.when(ok, x["n"]).otherwise(state["last"]).alias("last"), F.when(ok, F.concat(state["kept"], F.array(x["at"]))).otherwise(state["kept"]).alias("kept"))
 
-    run = F.aggregate(numbers, zero, step)["kept"]
-    return F.when(F.size(run) >= 2, run).otherwise(F.array().cast("array<int>"))
+def _weak_headings(lines: DataFrame) -> DataFrame:
+    """``path, at, accepted`` of the lines of a weak form: those in order if the form has two such, the rest refused."""
+    fits = lambda k: F.col("t").rlike(WEAK[k]) & (F.col("opens") if k == NEEDS_BLANK else F.lit(True))
+    form = F.coalesce(*[F.when(fits(k), k) for k in range(len(WEAK))])
+    pick = lambda g: F.coalesce(*[F.when(F.col("form") == k, _trim(F.regexp_extract("t", p, g))) for k, p in enumerate(WEAK)])
+    hits = lines.where(F.length("t").between(1, MOST_HEADING)).withColumn("form", form).where("form IS NOT NULL").withColumns({"label": pick(1), "title": pick(2)})
+    hits = hits.where(~F.col("title").rlike(SENTENCE_END)).withColumn("n", F.get(parse_label("label")["parts"], F.lit(0)).cast("decimal(38,0)")).where("n IS NOT NULL")
+    of_form = Window.partitionBy("path", "form")
+    above = F.max("n").over(of_form.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    kept = hits.withColumn("kept", above.isNull() | (F.col("n") > above))
+    return kept.select("path", "at", (F.col("kept") & (F.count_if("kept").over(of_form) >= 2)).alias("accepted"), F.col("label").alias("weak_label"), F.col("title").alias("weak_title"))
 
 
 def chapters(books: DataFrame, pattern: str | None = None) -> DataFrame:
-    """``path, position, volume_label, label_raw, label, body, warnings`` from ``path, text``.
+    """``path, position, volume_label, label_raw, label, title, body, warnings, needs_review`` from ``path, text``.
 
-    Text before the first heading is a chapter of its own without a label. Lines
-    of volumes name the chapters after them. A repeated label warns from its
-    second time on.
+    Positions count from 0. Nothing is discarded: text before the first heading
+    is a chapter with an empty label, as is a book without headings. Lines of
+    volumes name the chapters after them. Paragraphs are joined by a blank line.
+    With a caller's ``pattern`` no weak form is looked for; its first two groups,
+    if any, are label and title. Books without text give no rows.
     """
-    lines = books.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("at", "line"))
-    strong = F.col("line").rlike(check_pattern(pattern)) if pattern else F.lower("line").rlike(STRONG)
-    classed = lines.withColumn("volume", F.when(F.lower("line").rlike(VOLUME), F.btrim("line"))).withColumn("strong", strong & F.col("volume").isNull())
-    weak = classed.where(~F.col("strong") & F.col("line").rlike(WEAK)).select("path", F.struct("at", F.regexp_extract("line", WEAK, 1).cast("int").alias("n")).alias("x"))
-    # chapters of a book, not its text
-    runs = weak.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("path", F.explode(_accepted(F.col("xs"))).alias("at"), F.lit(True).alias("weak"))
-    heads = classed.join(runs, ["path", "at"], "left").withColumn("head", F.col("strong") | (F.coalesce("weak", F.lit(False)) & F.lit(pattern is None)))
     order = Window.partitionBy("path").orderBy("at")
-    marked = heads.withColumn("position", F.sum(F.col("head").cast("int")).over(order)).withColumn("volume_label", F.last("volume", ignorenulls=True).over(order))
-    parts = marked.groupBy("path", "position").agg(
-        F.min_by("volume_label", "at").alias("volume_label"),
-        F.max(F.when(F.col("head"), F.btrim("line"))).alias("label_raw"),
-        F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & F.col("volume").isNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n"), F.lit("\n ")).alias("body"),
-    )
-    nth = F.row_number().over(Window.partitionBy("path", "label_raw").orderBy("position"))
-    out = parts.where("position > 0 OR body <> ''").withColumn("nth", nth)
-    return out.withColumn("label", parse_label("label_raw")).withColumn("warnings", F.when(F.col("label_raw").isNotNull() & (F.col("nth") == 2), F.array(F.lit("duplicate_label"))).otherwise(F.array().cast("array<string>"))).drop("nth")
+    lines = books.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("at", "line")).withColumn("t", _trim(F.col("line")))
+    blank = F.col("t") == ""
+    lines = lines.withColumn("opens", F.coalesce(F.lag(blank).over(order), F.lit(True)))
+    volume = F.when(F.col("t").rlike(VOLUME) & (F.length(F.rtrim(F.col("line"), F.lit(BLANKS))) <= MOST_VOLUME), F.col("t"))
+    short = F.length("t").between(1, MOST_HEADING)
+    if pattern:
+        own, groups = rf"(?i)^(?:{check_pattern(pattern)})", re.compile(pattern).groups
+        found = short & (F.regexp_extract("t", own, 0) != "")
+        label = _trim(F.regexp_extract("t", own, 1 if groups else 0))
+        title = _trim(F.regexp_extract("t", own, 2) if groups > 1 else F.regexp_replace("t", own, ""))
+        lines = lines.withColumns({"accepted": F.lit(None).cast("boolean"), "weak_label": F.lit(None).cast("string"), "weak_title": F.lit(None).cast("string")})
+    else:
+        found = short & F.col("t").rlike(STRONG) & ~_trim(F.regexp_extract("t", STRONG, 3)).rlike(SENTENCE_END)
+        label, title = _trim(F.concat(F.regexp_extract("t", STRONG, 1), F.regexp_extract("t", STRONG, 2))), _trim(F.regexp_extract("t", STRONG, 3))
+        lines = lines.join(_weak_headings(lines), ["path", "at"], "left")
+    lines = lines.withColumn("volume", volume).withColumn("strong", found & F.col("volume").isNull())
+    marked = F.col("volume").isNull() & (F.col("strong") | F.coalesce("accepted", F.lit(False)))
+    lines = lines.withColumn("marked", marked)
+    seen = F.coalesce(F.max("marked").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    opens = F.coalesce(F.lag(blank | F.col("volume").isNotNull()).over(order), F.lit(True))
+    bare = ~F.col("marked") & F.col("volume").isNull() & seen & opens & F.col("accepted").isNull() & F.length("t").between(1, MOST_BARE) & ~F.col("t").rlike(SENTENCE_END) & ~F.col("t").rlike("[.!?,;:]$")
+    lines = lines.withColumn("head", F.col("marked") | bare)
+    lines = lines.withColumns({
+        "chapter": F.sum(F.col("head").cast("int")).over(order), "volume_label": F.last("volume", ignorenulls=True).over(order),
+        "label_raw": F.when(F.col("strong"), label).when(F.col("marked"), F.col("weak_label")).when(F.col("head"), F.col("t")),
+        "title": F.when(F.col("strong"), title).when(F.col("marked"), F.col("weak_title")),
+    })
+    para = F.when(~F.col("head") & F.col("volume").isNull() & (F.col("t") != ""), F.struct("at", "t"))
+    parts = lines.groupBy("path", "chapter").agg(
+        F.max(F.when(F.col("head"), F.col("volume_label"))).alias("volume_label"), F.coalesce(F.max("label_raw"), F.lit("")).alias("label_raw"), F.coalesce(F.max("title"), F.lit("")).alias("title"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(para)), lambda x: x["t"]), "\n\n").alias("body"), F.max("marked").alias("marked"),
+    ).where("chapter > 0 OR body <> ''")
+    book, by_label = Window.partitionBy("path"), Window.partitionBy("path", "label_raw").orderBy("chapter")
+    out = parts.withColumns({"position": F.row_number().over(book.orderBy("chapter")) - 1, "nth": F.row_number().over(by_label), "any": F.max("marked").over(book)})
+    warnings = {
+        "leading_content_before_first_heading": (F.col("label_raw") == "") & (F.col("position") == 0), "unlabeled_section": (F.col("label_raw") == "") & (F.col("position") > 0),
+        "empty_chapter": F.col("body") == "", "unusually_long_title": F.length("title") > MOST_TITLE, "duplicate_label": F.col("nth") == 2,
+    }
+    return out.withColumn("label", F.when(F.col("label_raw") != "", parse_label("label_raw"))).select(
+        "path", "position", "volume_label", "label_raw", "label", "title", "body",
+        F.array_compact(F.array(*[F.when(c, w) for w, c in warnings.items()])).alias("warnings"), (~F.col("any") | (F.col("label_raw") == "")).alias("needs_review"), F.col("any").alias("has_headings"),
+    )
+
+
+def book_warnings(books: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, warnings``: a book without chapters, without reliable headings, or with a single one."""
+    n = found.groupBy("path").agg(F.count("*").alias("n"), F.max("has_headings").alias("any"))
+    warning = F.when(F.col("n").isNull(), "empty_source").when(~F.col("any"), "no_reliable_chapter_boundaries").when(F.col("n") == 1, "single_heading")
+    return books.select("path").join(n, "path", "left").select("path", F.array_compact(F.array(warning)).alias("warnings"))
 
 
 FIELDS = {"title": r"(?:書名|书名|title)", "author": r"(?:作者|author)", "description": r"(?:簡介|简介|內容簡介|description)", "keywords": r"(?:關鍵字|关键字|標籤|标签|keywords|tags)"}
@@ -78,7 +130,7 @@ FIELDS = {"title": r"(?:書名|书名|title)", "author": r"(?:作者|author)", "
 def front_matter(text: Column) -> Column:
     """Title, author, description and keywords from the lines before the first heading; the first 16,000 characters count."""
     head = F.slice(F.split(F.left(text, F.lit(16_000)), "\r\n?|\n"), 1, 150)
-    stop = F.array_position(F.transform(head, lambda x: F.lower(x).rlike(STRONG)), True)
+    stop = F.array_position(F.transform(head, lambda x: _trim(x).rlike(STRONG)), True)
     top = F.array_join(F.when(stop > 0, F.slice(head, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(head), "\n")
     found = {k: F.btrim(F.regexp_extract(top, rf"(?im)^\s*[【\[]?{p}[】\]]?\s*[:：]\s*(.+)$", 1)) for k, p in FIELDS.items()}
     return F.struct(*[F.when(v != "", v).alias(k) for k, v in found.items()])

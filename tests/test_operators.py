@@ -38,6 +38,13 @@ def test_match(spark):
     assert n == {"unchanged": 170} and ingest.missing(spark.createDataFrame(chapter_rows(base), E), out).count() == 10
     out, n = classes(spark, chapter_rows(base), chapter_rows([str(i) for i in range(181, 191)]))
     assert n == {"new": 10} and out.where("position_confident").count() == 0
+    # a key that only the source repeats; chapters that nothing matches between anchors, or after the last
+    one = [(1, 1, "ch:1", 1, "h1", "")]
+    assert classes(spark, one, [(1, 1, "ch:1", 1, "h1", ""), (1, 2, "ch:2", 2, "h2", ""), (1, 3, "ch:2", 3, "h3", "")])[1] == {"unchanged": 1, "ambiguous": 2}
+    out, n = classes(spark, chapter_rows(["1", "2", "3"]), [(1, 1, "ch:1", 1, "h1", ""), (1, 2, "ch:x", 2, "hx", ""), (1, 3, "ch:3", 3, "h3", "")])
+    assert n == {"unchanged": 2, "structural_conflict": 1} and out.where("class = 'structural_conflict'").first().insert_before_id == 3
+    out, n = classes(spark, chapter_rows(["1", "2"]), [(1, 1, "ch:1", 1, "h1", ""), (1, 2, "ch:9", 2, "h9", "")])
+    assert n == {"unchanged": 1, "structural_conflict": 1} and out.where("class = 'structural_conflict'").first().insert_after_id is None
     one = [(1, 1, "ch:1", 1, "h1", "a")]
     assert classes(spark, one, [(1, 1, "ch:1", 1, "h1", "b")])[1] == {"modified": 1}
     assert classes(spark, one, [(1, 1, "ch:1", 1, "h1", "a"), (1, 2, "ch:1", 2, "h2", "a")])[1] == {"ambiguous": 2}
@@ -74,6 +81,14 @@ def test_publish(spark):
     assert publishing.set_removed(publishing.set_removed(w, 1, True), 1, False).first()[1:] == ("draft", 5)
 
 
+def test_transitions(spark):
+    states = list(maintenance.TRANSITIONS)
+    rows = [(a, b) for a in states for b in states]
+    bad = {tuple(r) for r in maintenance.illegal(spark.createDataFrame(rows, "before string, after string")).collect()}
+    assert ("queued", "failed") in bad and ("queued", "cancelled") not in bad and ("applied", "reverted") not in bad and ("cancelled", "queued") in bad
+    assert len(bad) == 81 - 17
+
+
 def test_cursor():
     f = catalog.Filter(q="x", tag_ids=("b", "a"))
     assert f.fingerprint() == catalog.Filter(q="x", tag_ids=("a", "b"), tag_mode="all").fingerprint() != catalog.Filter(q="x").fingerprint()

@@ -11,14 +11,25 @@ from lectern.operators import search
 from lectern.sources import epub_files, exports, text_files
 
 
+KEYS = {
+    "（十二）": "ch:12", "(十二)": "ch:12", "（１２）": "ch:12", "(012)": "ch:12", "（一）（下）": "ch:1#下", "（註）": None, "第12章": "ch:12", "第1章 潮汐": "ch:1", "第12.5章": "ch:12.5", "第12.10章": "ch:12.10", "第12.50章": "ch:12.50",
+    "第12.5.1章": "ch:12.5.1", "第 12.5 章": "ch:12.5", "第012章": "ch:12", "第１２章": "ch:12", "第十二章": "ch:12", "第一百二十三章": "ch:123", "第二千零五章": "ch:2005", "第12章（上）": "ch:12#上", "第12章(下)": "ch:12#下",
+    "番外1.5": "extra:1.5", "番外": None, "番外三": "extra:3", "風起": None, "第捌仟章": None, "12.5": "ch:12.5", "第3回": "ch:3", "（二】": None, "【二）": None, "〔二)": None, "【前言】": None, "（廿）": "ch:20", "（廿一）": "ch:21", "（卅二）": "ch:32",
+    "第二十一章": "ch:21", "12上": None, "12 text": None, "其一": "ch:1", "附錄2": "extra:2", "": None, "序章": None, "大結局": None,
+} | {k: "ch:2" for k in ("（二）", "(2)", "（２）", "(二）", "（二)", "（ 二 ）", "【二】", "【 二 】", "〔二〕", "二、", "二 、", "其二", "第二章", "第2回")}
+
+
 def test_labels(spark):
-    keys = {"第十二章 風起": "ch:12", "12.5": "ch:12.5", "12.10": "ch:12.10", "12.50": "ch:12.50", "012": "ch:12", "12上": "ch:12#上", "番外1.5": "extra:1.5", "風起": None, "第一百零三回": "ch:103", "第廿三章": "ch:23", "": None}
-    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "raw string")
-    got = {r.raw: r.l.key for r in df.select("raw", labels.parse_label("raw").alias("l")).collect()}
-    assert got == keys | {None: None}
-    order = ["序章", "1", "2", "2.5", "2.10", "10上", "10下", "閒話", "番外1", "終章"]
+    df = spark.createDataFrame([(k,) for k in KEYS] + [(None,)], "raw string")
+    rows = df.select("raw", labels.parse_label("raw").alias("l")).collect()
+    assert {r.raw: r.l.key for r in rows} == KEYS | {None: None} and all(r.l.raw == r.raw for r in rows)
+    kinds = {r.raw: r.l.kind for r in rows}
+    assert [kinds[k] for k in ("序章", "大結局", "番外", "番外三", "風起", "（二】")] == ["front", "end", "extra", "extra", "unnumbered", "unnumbered"]
+    order = ["序章", "第12章", "第12.5章", "第12.9章", "第12.10章", "第13章（上）", "第13章（下）", "第87章", "第87.5章", "第88章", "終章", "閒話"]
     rows = spark.createDataFrame([(x,) for x in order[::-1]], "raw string").withColumn("l", labels.parse_label("raw"))
     assert [r.raw for r in rows.orderBy(labels.order_key(F.col("l"))).collect()] == order
+    pair = spark.createDataFrame([("第012章", "（十二）"), ("第12.1章", "第12.10章"), ("風起", "風起")], "a string, b string").select(labels.same_number(labels.parse_label("a"), labels.parse_label("b")).alias("same"))
+    assert [r.same for r in pair.collect()] == [True, False, False]
 
 
 @pytest.mark.parametrize(
@@ -35,20 +46,25 @@ def test_encoding(raw, kind, reason):
 
 
 def test_segmentation(spark, tmp_path):
-    book = "書名：試書\n作者：某人\n\n第一卷 開始\n第一章 甲\n一\n二\n第二章 乙\n三\n第二卷 後來\n第三章 丙\n\n四\n第三章 丙\n"
-    weak = "intro\n1 first\naaa\n2 second\nbbb\n7 apples were there\n3 third\nccc"
+    book = "書名：試書\n作者：某人\n\n第一卷 開始\n第一章 甲\n一\n二\n第二章 乙\n三\n第二卷 後來\n第三章 丙\n\n四。\n第三章 丙\n"
+    weak = "intro\n【一】 first\naaa\n（二）一句話。\n【二】\nbbb\n【七】 far\n【三】 back\nccc\n三、四月間\n\n其五 alone"
     plain = "nothing here\nat all"
     (tmp_path / "a.txt").write_bytes(book.encode("big5"))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [(r.encoding, r.text) for r in encoding.decode_files(files).collect()] == [("big5", book)]
-    df = spark.createDataFrame([("a", book), ("b", weak), ("c", plain), ("d", ""), ("e", None)], "path string, text string")
-    got = {}
-    for r in text_files.chapters(df).orderBy("path", "position").collect():
-        got.setdefault(r.path, []).append((r.volume_label, r.label_raw, r.body, list(r.warnings)))
-    assert [x[:2] for x in got["a"]] == [(None, None), ("第一卷 開始", "第一章 甲"), ("第一卷 開始", "第二章 乙"), ("第二卷 後來", "第三章 丙"), ("第二卷 後來", "第三章 丙")]
-    assert got["a"][1][2] == "一\n二" and got["a"][4][3] == ["duplicate_label"]
-    assert [x[1] for x in got["b"]] == [None, "1 first", "2 second", "7 apples were there"]
-    assert [x[2] for x in got["c"]] == [plain] and "d" not in got and "e" not in got
+    bare = "第一章\n甲\n\n風起\n乙，\n\n丙。\n"
+    df = spark.createDataFrame([("a", book), ("b", weak), ("c", plain), ("d", ""), ("e", None), ("f", bare)], "path string, text string")
+    rows, got = text_files.chapters(df), {}
+    for r in rows.orderBy("path", "position").collect():
+        got.setdefault(r.path, []).append((r.volume_label, r.label_raw, r.title, r.body, list(r.warnings)))
+    assert [x[:3] for x in got["a"]] == [(None, "", ""), ("第一卷 開始", "第一章", "甲"), ("第一卷 開始", "第二章", "乙"), ("第二卷 後來", "第三章", "丙"), ("第二卷 後來", "第三章", "丙")]
+    assert got["a"][0][4] == ["leading_content_before_first_heading"] and got["a"][1][3] == "一\n\n二" and got["a"][4][4] == ["empty_chapter", "duplicate_label"]
+    assert [x[1:3] for x in got["b"]] == [("", ""), ("【一】", "first"), ("【二】", ""), ("【七】", "far")] and got["b"][3][3] == "【三】 back\n\nccc\n\n三、四月間\n\n其五 alone"
+    assert [x[3] for x in got["c"]] == ["nothing here\n\nat all"] and "d" not in got and "e" not in got
+    assert [x[1:4] for x in got["f"]] == [("第一章", "", "甲"), ("風起", "", "乙，\n\n丙。")]
+    assert {r.path: list(r.warnings) for r in text_files.book_warnings(df, rows).collect()} == {"a": [], "b": [], "c": ["no_reliable_chapter_boundaries"], "d": ["empty_source"], "e": ["empty_source"], "f": []}
+    own = [(r.label_raw, r.title) for r in text_files.chapters(spark.createDataFrame([("x", "Part 1: a\nt\nPART 2\nu")], df.schema), r"(part \d+):? ?(.*)").orderBy("position").collect()]
+    assert own == [("Part 1", "a"), ("PART 2", "")]
     m = df.select("path", text_files.front_matter(F.col("text")).alias("m")).where("path = 'a'").first().m
     assert (m.title, m.author, m.description) == ("試書", "某人", None)
     for bad in ("(a+)+", "a*", "(", "x" * 201):
@@ -92,7 +108,7 @@ def test_search(spark):
 
 def test_epub(spark, tmp_path):
     works = spark.createDataFrame([(1, "A & B", "某人")], "id long, title string, author string")
-    chapters = spark.createDataFrame([(1, 2, "第二章", "乙", "c\n\n<d>", "k2"), (1, 1, "第一章", "甲", "a\n\nb", "k1")], "work_id long, position int, label_raw string, title string, body string, body_key string")
+    chapters = spark.createDataFrame([(1, 2, "第二章", None, "c\n\n<d>", "k2"), (1, 1, "第一章", "甲", "a\n\nb", "k1")], "work_id long, position int, label_raw string, title string, body string, body_key string")
     raw = exports.epub(works, chapters).first().content
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         assert z.infolist()[0].filename == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
@@ -103,8 +119,22 @@ def test_epub(spark, tmp_path):
         z.writestr("../out", "x")
     (tmp_path / "y.epub").write_bytes(evil.getvalue())
     rows = epub_files.chapters(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path", "position").collect()
-    assert [(r.title, r.body) for r in rows if r.error is None] == [("第一章 甲", "a\n\nb"), ("第二章 乙", "c\n\n<d>")]
-    assert sum(r.error is not None for r in rows) == 2 and rows[0].label.key == "ch:1"
+    assert [(r.title, r.body) for r in rows if r.error is None] == [("甲", "a\n\nb"), ("第二章", "c\n\n<d>")]
+    assert sum(r.error is not None for r in rows) == 2
     assert exports.over_budget(chapters, 5).count() == 1 and exports.epub(works, chapters.limit(0)).count() == 0
-    text = exports.txt(works, chapters).first()
-    assert text.file == "A & B.txt" and text.content.startswith("﻿A & B\n某人\n\n\n第一章 甲\n\na\n\nb")
+    text = exports.txt(works.withColumn("version_label", F.lit("第 3 版")), chapters.withColumn("body", F.concat("body", F.lit("\n\n[[img:" + "a" * 64 + "|貓]]x[[img:" + "b" * 64 + "]] ")))).first()
+    assert text.file == "A & B.txt"
+    assert text.content == "\ufeff作品名：A & B\n作者：某人\n版本：第 3 版\n\n\n甲\n\na\n\nb\n\n［圖片：貓］x［圖片］\n\n\n\n第二章\n\nc\n\n<d>\n\n［圖片：貓］x［圖片］\n"
+
+
+def test_epub_images(spark):
+    h, g = "a" * 64, "b" * 64
+    works = spark.createDataFrame([(1, "T", None, "D")], "id long, title string, author string, description string").withColumn("modified_at", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    chapters = spark.createDataFrame([(1, 1, "第一章", None, f"a [[img:{h}|x<y]] b\n\n[[img:{g}|gone]]", "k1"), (2, 1, "x", "y", None, "k2")], "work_id long, position int, label_raw string, title string, body string, body_key string")
+    images = spark.createDataFrame([(1, h, "image/png", b"png"), (1, g, "image/tiff", b"t"), (3, h, "image/png", b"x")], exports.NO_IMAGES)
+    (book,) = exports.epub(works, chapters, images).collect()
+    with zipfile.ZipFile(io.BytesIO(book.content)) as z:
+        page, package = z.read("OEBPS/text/c1.xhtml").decode(), z.read("OEBPS/content.opf").decode()
+        assert z.read(f"OEBPS/images/{h}.png") == b"png"
+    assert f'<p>a <img src="../images/{h}.png" alt="x&lt;y" /> b</p>' in page and "［圖片：gone］" in page and "<h1>第一章</h1>" in page
+    assert "2024-05-06T07:08:09Z" in package and "<dc:description>D" in package and "creator" not in package
