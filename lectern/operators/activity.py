@@ -5,8 +5,11 @@ Every window takes its day as a parameter, so that a rerun gives the same rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern.operators.catalog import listed
 
@@ -117,9 +120,11 @@ def shelf_groups(library: DataFrame, user_id) -> DataFrame:
 
 def unseen(follows: DataFrame, releases: DataFrame) -> DataFrame:
     """For each follow the latest version and the chapters added since the one last seen."""
-    later = (F.col("f.work_id") == F.col("r.work_id")) & (F.col("release_version") > F.col("last_seen"))
-    new = follows.alias("f").join(releases.alias("r"), later, "left").groupBy("f.user_id", "f.work_id", "f.last_seen")
-    return new.agg(F.coalesce(F.sum("n_new"), F.lit(0)).cast("long").alias("new_chapters"), F.greatest(F.coalesce(F.max("release_version"), F.lit(0)), F.col("last_seen")).alias("latest_version")).withColumn("has_update", F.col("latest_version") > F.col("last_seen"))
+    from lectern.operators.projections import newer_than
+
+    rows = newer_than(follows.select("user_id", "work_id", "last_seen"), releases, "last_seen")
+    latest = F.greatest(F.coalesce("latest_version", F.lit(0)), F.col("last_seen"))
+    return rows.withColumn("latest_version", latest).withColumn("has_update", F.col("latest_version") > F.col("last_seen"))
 
 
 def mark_seen(requested: Column, latest: Column) -> Column:
@@ -134,16 +139,32 @@ def merge_progress(writes: DataFrame) -> DataFrame:
     Versions depend only on how many applied, so each write needs the state
     before it: a fold over the ordered writes of one user and work.
     """
-    fields = ("seq", "base_version", "position")
-    ordered = F.array_sort(F.collect_list(F.struct(*fields)))
-    first = F.struct(F.lit(0).cast("int").alias("version"), F.lit(None).cast("int").alias("position"), F.lit(0).cast("int").alias("conflicts"))
-
-    def step(state, w):
-        ok = w["base_version"] == state["version"]
-        return F.struct(
-            F.when(ok, state["version"] + 1).otherwise(state["version"]).alias("version"),
-            F.when(ok, w["position"]).otherwise(state["position"]).alias("position"),
-            F.when(ok, state["conflicts"]).otherwise(state["conflicts"] + 1).alias("conflicts"),
-        )
-
-    return writes.groupBy("user_id", "work_id").agg(ordered.alias("writes")).select("user_id", "work_id", F.aggregate("writes", first, step).alias("s")).select("user_id", "work_id", "s.*")
+
+    def fold(batches):
+        key, state = None, None
+        for b in batches:
+            done = []
+            for *now, base, position in zip(*[b.column(c).to_pylist() for c in ("user_id", "work_id", "base_version", "position")]):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    key, state = now, [0, None, 0]
+                if base == state[0]:
+                    state[0], state[1] = state[0] + 1, position
+                else:
+                    state[2] += 1
+            yield _batch(done, kinds)
+        if key is not None:
+            yield _batch([(*key, *state)], kinds)
+
+    of = lambda c: writes.schema[c].dataType.simpleString()
+    schema = f"user_id {of('user_id')}, work_id {of('work_id')}, version int, position int, conflicts int"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    # a key's writes come in order, and only their state is held
+    ordered = writes.select("user_id", "work_id", "seq", "base_version", "position").repartition("user_id", "work_id").sortWithinPartitions("user_id", "work_id", "seq")
+    return ordered.mapInArrow(fold, schema)
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

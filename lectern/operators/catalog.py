@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.variants import variants
@@ -212,3 +212,21 @@ def parse_ref(segment: Column) -> Column:
     whole = F.lower(segment)
     short = F.regexp_extract(whole, r"(?:^|-)([0-9a-f]{8})$", 1)
     return F.when(whole.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), whole).when(short != "", short)
+
+
+def ordinals(rows: DataFrame, bucket: Column, order: list, first: int | None = None, last: int | None = None) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in a total order; of a page only those from ``first`` to ``last``.
+
+    Not one task's sort: ``bucket`` grows with the order, its counts say where
+    each bucket begins, and rows are ordered within their bucket. The counts, a
+    row a bucket, are the only thing ordered as a whole.
+    """
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if first is not None:
+        starts = starts.where((F.col("_start") <= last) & (F.col("_start") + F.col("_n") > first))
+    at = F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    out = rows.withColumn("_bucket", bucket).join(starts, "_bucket").withColumn("at", at)
+    if first is not None:
+        out = out.where(F.col("at").between(first, last))
+    return out.drop("_bucket", "_n", "_start")

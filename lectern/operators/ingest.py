@@ -174,15 +174,19 @@ def renumber(rows: DataFrame, reserved: DataFrame) -> DataFrame:
     return both.withColumn("position", (F.col("k") + before).cast("int")).where("one = 0").select("work_id", "id", "position")
 
 
-def revert(chapters: DataFrame, applied: DataFrame, released: DataFrame) -> DataFrame:
-    """Undoes an applied import unless a release uses what it made.
+def revert(chapters: DataFrame, applied: DataFrame, released: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Undoes an applied import unless a release uses what it made, or the work was edited since.
 
     ``chapters``: work_id, id, position, head_revision_id. ``applied``: work_id,
     chapter_id, previous_revision_id (null for additions), new_revision_id.
-    ``released``: work_id, revision_id. Works with a released new revision stay
-    as they are; elsewhere heads go back, additions go, positions close up.
+    ``released``: work_id, revision_id. ``versions``: work_id, applied_version,
+    edit_version. Works with a released new revision, or with another version
+    than the import left, stay as they are; elsewhere heads go back, additions
+    go, positions close up.
     """
     locked = applied.join(released.select("work_id", F.col("revision_id").alias("new_revision_id")), ["work_id", "new_revision_id"], "left_semi").select("work_id").distinct()
+    if versions is not None:
+        locked = locked.unionByName(versions.where("applied_version <> edit_version").select("work_id")).distinct()
     todo = applied.join(locked, "work_id", "left_anti").select("work_id", F.col("chapter_id").alias("id"), "previous_revision_id", F.lit(True).alias("touched"))
     back = chapters.join(todo, ["work_id", "id"], "left").where("touched IS NULL OR previous_revision_id IS NOT NULL")
     back = back.withColumn("head_revision_id", F.coalesce("previous_revision_id", "head_revision_id"))

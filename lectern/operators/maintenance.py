@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 # Which import state may follow which; nothing follows cancelled, committed and reverted.
 TRANSITIONS = {
@@ -63,6 +66,12 @@ def expired_sessions(sessions: DataFrame, now: Column, grace_days: int = 30, lim
     return sessions.where((F.col("expires_at") < edge) | (F.col("revoked_at") < edge)).orderBy("id").limit(limit)
 
 
+def spent_resets(resets: DataFrame, now: Column, grace_days: int = 30) -> DataFrame:
+    """Password resets used or expired longer ago than the grace."""
+    edge = now - F.make_dt_interval(days=F.lit(grace_days))
+    return resets.where((F.col("expires_at") < edge) | (F.col("used_at") < edge))
+
+
 def ops_counts(jobs: DataFrame, now: Column) -> DataFrame:
     """One row of queue health."""
     queued, busy = F.col("status") == "queued", F.col("status") == "processing"
@@ -80,6 +89,27 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
 
 
+def reachable_objects(items: DataFrame, revisions: DataFrame, links: DataFrame, resources: DataFrame) -> DataFrame:
+    """``kind, key`` of the distinct bodies and images that releases use."""
+    used = items.select(F.col("revision_id").alias("id")).distinct()
+    bodies = revisions.join(used, "id", "left_semi").select(F.lit("body").alias("kind"), F.col("content_key").cast("string").alias("key"))
+    shown = links.join(used.withColumnRenamed("id", "revision_id"), "revision_id", "left_semi").select("content_hash").distinct()
+    images = resources.join(shown, "content_hash", "left_semi").select(F.lit("image").alias("kind"), F.col("content_hash").cast("string").alias("key"))
+    return bodies.unionByName(images).distinct()
+
+
+def object_manifest(reachable: DataFrame, objects: DataFrame) -> DataFrame:
+    """``kind, key, sha256, size`` of every reachable object (key, content); nulls where one is gone, which a restore must not have."""
+    held = objects.select("key", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.octet_length("content").alias("size"))
+    return reachable.join(held, "key", "left").select("kind", "key", "sha256", "size")
+
+
+def verify_objects(manifest_rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """Objects of a manifest that a restored store lacks or holds with other bytes."""
+    held = objects.select("key", F.sha2(F.col("content").cast("binary"), 256).alias("found"))
+    return manifest_rows.join(held, "key", "left").where(~F.col("found").eqNullSafe(F.col("sha256")) | F.col("found").isNull()).select("kind", "key", F.when(F.col("found").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
 def verify_restore(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Tables whose counts differ, or that only one side has."""
     both = expected.withColumnRenamed("n", "expected").join(actual.withColumnRenamed("n", "actual"), "table_name", "full")
@@ -92,17 +122,24 @@ def rate_limit(hits: DataFrame, most: int, seconds: int) -> DataFrame:
     Refused hits don't count, so each decision needs those before it: a fold
     over a key's hits that holds the admitted times still in the window.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "hit_id")))
-    none = F.array().cast("array<double>")
-    first = F.struct(none.alias("recent"), F.array().cast("array<struct<hit_id: bigint, admitted: boolean>>").alias("out"))
-
-    def step(state, h):
-        recent = F.filter(state["recent"], lambda t: t > h["at"] - seconds)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.concat(recent, F.array(h["at"]))).otherwise(recent).alias("recent"), F.concat(state["out"], F.array(F.struct(h["hit_id"].alias("hit_id"), ok.alias("admitted")))).alias("out"))
 
-    folded = hits.groupBy("key").agg(ordered.alias("hits")).select("key", F.aggregate("hits", first, step)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.*")
+    def fold(batches):
+        key, recent = None, deque()
+        for b in batches:
+            admitted = []
+            for now, at in zip(b.column("key").to_pylist(), b.column("at").to_pylist()):
+                if now != key:
+                    key, recent = now, deque()
+                while recent and recent[0] <= at - seconds:
+                    recent.popleft()
+                admitted.append(len(recent) < most)
+                if admitted[-1]:
+                    recent.append(at)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hit_id"), pa.array(admitted, pa.bool_())], names=["key", "hit_id", "admitted"])
+
+    # a key's hits come in order; at most ``most`` times are held
+    rows = hits.select("key", F.col("at").cast("double").alias("at"), "hit_id").repartition("key").sortWithinPartitions("key", "at", "hit_id")
+    return rows.mapInArrow(fold, StructType([hits.schema["key"], hits.schema["hit_id"], StructField("admitted", BooleanType())]))
 
 
 def percentiles(samples: DataFrame) -> DataFrame:

@@ -24,22 +24,34 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("work_id").agg(n("new"), n("updated"), n("reordered"), n("removed"))
 
 
-def problems(works: DataFrame, chapters: DataFrame, categories: DataFrame) -> DataFrame:
+WORK_TYPES = ("short_story", "serial")
+
+
+def problems(works: DataFrame, chapters: DataFrame, categories: DataFrame, images: DataFrame | None = None, types: tuple[str, ...] = WORK_TYPES) -> DataFrame:
     """``id, problems``: what keeps each work from being published; an empty list is ready.
 
     ``chapters``: work_id, id, head_revision_id, body_key (null if the object is
-    missing). ``categories``: work_id of works with an active category.
+    missing); merged and deleted ones, where columns tell, don't count.
+    ``categories``: work_id of works with an active category. ``images``:
+    work_id, content_hash, storage_key (null if missing) of the images in use.
     """
+    for gone in ("merged_into_chapter_id", "deleted_at"):
+        if gone in chapters.columns:
+            chapters = chapters.where(F.col(gone).isNull())
     n = chapters.groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("head_revision_id").isNull()).alias("no_head"), F.count_if(F.col("head_revision_id").isNotNull() & F.col("body_key").isNull()).alias("no_body"))
     w = works.join(n, "id", "left").join(categories.select(F.col("work_id").alias("id"), F.lit(True).alias("filed")).distinct(), "id", "left")
+    if images is not None:
+        w = w.join(images.where("storage_key IS NULL").groupBy(F.col("work_id").alias("id")).agg(F.count_distinct("content_hash").alias("no_image")), "id", "left")
+    lost = F.col("no_image") if images is not None else F.lit(None).cast("long")
     checks = [
         (F.coalesce(F.btrim("title"), F.lit("")) == "", F.lit("title")),
-        (F.col("work_type").isNull(), F.lit("work_type")),
+        (~F.coalesce(F.col("work_type").isin(*types), F.lit(False)), F.lit("work_type")),
         ((F.col("work_type") == "serial") & F.col("serial_status").isNull(), F.lit("serial_status")),
         (F.col("visibility") == "removed", F.lit("removed")),
         (F.coalesce("n", F.lit(0)) == 0, F.lit("no_chapters")),
         (F.col("no_head") > 0, F.concat(F.lit("missing_revisions:"), F.col("no_head").cast("string"))),
         (F.col("no_body") > 0, F.concat(F.lit("missing_objects:"), F.col("no_body").cast("string"))),
+        (lost > 0, F.concat(F.lit("missing_resources:"), lost.cast("string"))),
         (F.col("filed").isNull(), F.lit("no_category")),
     ]
     return w.select("id", F.array_compact(F.array(*[F.when(c, name) for c, name in checks])).alias("problems"))
@@ -83,6 +95,19 @@ def can_merge(chapters: DataFrame, published: DataFrame, referenced: DataFrame)
     return pairs.select("id", "next_id")
 
 
+def merge_chapters(chapters: DataFrame, bodies: DataFrame, allowed: DataFrame, separator: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+    """Joins each pair of ``allowed`` (id, next_id; see :func:`can_merge`): the first takes the second's paragraphs, the second points to it.
+
+    Pairs must not share a chapter. Positions stay: a merged chapter keeps its slot.
+    """
+    into = allowed.select(F.col("next_id").alias("id"), F.col("id").alias("into"))
+    merged = chapters.join(into, "id", "left").withColumn("merged_into_chapter_id", F.coalesce("into", "merged_into_chapter_id")).select(*chapters.columns)
+    more = bodies.join(into, "id").select(F.col("into").alias("id"), F.col("body").alias("more"))
+    joined = F.concat_ws(separator, *[F.when(F.col(c) != "", F.col(c)) for c in ("body", "more")])
+    texts = bodies.join(more, "id", "left").withColumn("body", F.when(F.col("more").isNull(), F.col("body")).otherwise(joined)).select(*bodies.columns)
+    return merged, texts
+
+
 def soft_delete(chapters: DataFrame, chapter_id, at: Column) -> DataFrame:
     """Marks a chapter deleted, unless it is its work's last."""
     live = F.count_if(F.col("deleted_at").isNull()).over(Window.partitionBy("work_id"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -53,6 +57,21 @@ def _slots(text: str) -> np.ndarray:
     return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(47)).astype(np.int64) % BLOOM_BITS
 
 
+#: Before the bits: what the bytes are, and a checksum of the bits.
+MAGIC = b"BIX1"
+
+
+def _sealed(bits: bytes) -> bytes:
+    return MAGIC + zlib.crc32(bits).to_bytes(4, "big") + bits
+
+
+def _opened(raw: bytes | None) -> np.ndarray | None:
+    """The bits of an index; None for one that is missing, of another kind or size, or damaged."""
+    if raw is None or len(raw) != BLOOM_BITS // 8 + 8 or raw[:4] != MAGIC or zlib.crc32(raw[8:]).to_bytes(4, "big") != raw[4:8]:
+        return None
+    return np.unpackbits(np.frombuffer(raw, np.uint8, offset=8))
+
+
 @F.pandas_udf(T.BinaryType())
 def body_index(body: pd.Series) -> pd.Series:
     """A Bloom filter over trigrams; all ones for a body with too many."""
@@ -63,7 +82,7 @@ def body_index(body: pd.Series) -> pd.Series:
         bits[slots.ravel()] = True
         if len(slots) > MOST_GRAMS:
             bits[:] = True
-        return np.packbits(bits).tobytes()
+        return _sealed(np.packbits(bits).tobytes())
 
     return body.map(build)
 
@@ -77,10 +96,8 @@ def may_contain(index: Column, variants: list[str]) -> Column:
     @F.pandas_udf("boolean")
     def test(s: pd.Series) -> pd.Series:
         def one(raw):
-            if raw is None or len(raw) * 8 != BLOOM_BITS:
-                return True
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8))
-            return any(bits[w.ravel()].all() for w in wanted)
+            bits = _opened(raw)
+            return bits is None or any(bits[w.ravel()].all() for w in wanted)
 
         return s.map(one)
 
@@ -98,3 +115,32 @@ def search_book(chapters: DataFrame, variants: list[str], limit: int = 50, start
         rows = rows.where(may_contain(F.col("body_index"), variants) | title)
     hits = rows.withColumn("m", first_match(F.col("body"), F.col("title"), variants, separator)).where("m IS NOT NULL")
     return hits.select("position", "title", "m.*").orderBy("position").limit(limit + 1)
+
+
+def _check(filter_: str, revision: str, at: int, shown: int) -> str:
+    return hashlib.sha256(json.dumps([1, filter_, revision, at, shown]).encode()).hexdigest()[:32]
+
+
+def search_cursor(filter_: str, revision: str, at: int, shown: int) -> str:
+    """Where the next page of a search begins: the chapter's place, how many hits were shown, for which search and version of the book."""
+    body = {"v": 1, "f": filter_, "r": revision, "n": at, "s": shown, "check": _check(filter_, revision, at, shown)}
+    return base64.urlsafe_b64encode(json.dumps(body).encode()).decode().rstrip("=")
+
+
+def read_search_cursor(raw: str, filter_: str, revision: str, chapters: int) -> tuple[int, int]:
+    """Place and shown hits of a cursor; ValueError says why it can't be used."""
+    try:
+        got = json.loads(base64.urlsafe_b64decode(raw + "=" * (-len(raw) % 4))) if len(raw) <= 2048 else None
+        at, shown = got["n"], got["s"]
+        whole = all(type(x) is int and 0 <= x < 1 << 53 for x in (at, shown))
+        if got["v"] != 1 or not whole or got["check"] != _check(got["f"], got["r"], at, shown):
+            raise ValueError
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("invalid_cursor") from e
+    if got["f"] != filter_:
+        raise ValueError("cursor_filter_mismatch")
+    if got["r"] != revision:
+        raise ValueError("search_version_changed")
+    if at >= chapters or shown > chapters:
+        raise ValueError("invalid_cursor")
+    return at, shown

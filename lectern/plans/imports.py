@@ -138,17 +138,20 @@ def release_diff_counts(spark, d):
 
 @query(
     "publish_problems",
-    over("""SELECT w.id, concat_ws(',', CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' END, CASE WHEN work_type IS NULL THEN 'work_type' END, CASE WHEN work_type = 'serial' AND serial_status IS NULL THEN 'serial_status' END,
-  CASE WHEN visibility = 'removed' THEN 'removed' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no_chapters' END, CASE WHEN h > 0 THEN 'missing_revisions:' || h END, CASE WHEN b > 0 THEN 'missing_objects:' || b END,
+    over("""SELECT w.id, concat_ws(',', CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' END, CASE WHEN work_type NOT IN ('serial', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') OR work_type IS NULL THEN 'work_type' END, CASE WHEN work_type = 'serial' AND serial_status IS NULL THEN 'serial_status' END,
+  CASE WHEN visibility = 'removed' THEN 'removed' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no_chapters' END, CASE WHEN h > 0 THEN 'missing_revisions:' || h END, CASE WHEN b > 0 THEN 'missing_objects:' || b END, CASE WHEN w.id % 8 = 0 THEN 'missing_resources:' || CASE WHEN w.id % 16 = 0 THEN 2 ELSE 1 END END,
   CASE WHEN NOT EXISTS (SELECT 1 FROM work_categories x JOIN categories k ON k.id = x.category_id AND k.is_active WHERE x.work_id = w.id) THEN 'no_category' END) AS problems
 FROM (SELECT id, title, CASE WHEN work_type = 'BUILDING' THEN 'serial' ELSE work_type END AS work_type, serial_status, visibility FROM works) w
-LEFT JOIN (SELECT work_id, count(*) AS n, count(*) FILTER (id % 50 = 0) AS h, count(*) FILTER (id % 50 <> 0 AND id % 30 = 0) AS b FROM chapters GROUP BY work_id) c ON c.work_id = w.id"""),
+LEFT JOIN (SELECT work_id, count(*) AS n, count(*) FILTER (id % 50 = 0) AS h, count(*) FILTER (id % 50 <> 0 AND id % 30 = 0) AS b FROM chapters WHERE id % 11 <> 0 GROUP BY work_id) c ON c.work_id = w.id"""),
 )
 def publish_problems(spark, d):
     works = frame(spark, d, "works").withColumn("work_type", F.when(F.col("work_type") == "BUILDING", "serial").otherwise(F.col("work_type")))
     chapters = frame(spark, d, "chapters").withColumn("head_revision_id", F.when(F.col("id") % 50 != 0, F.col("id"))).withColumn("body_key", F.when(F.col("id") % 30 != 0, F.col("id")))
     live = frame(spark, d, "work_categories").join(frame(spark, d, "categories").where("is_active").select(F.col("id").alias("category_id")), "category_id", "left_semi")
-    return P.problems(works, chapters, live).select("id", F.array_join("problems", ",").alias("problems"))
+    chapters = chapters.withColumn("deleted_at", F.when(F.col("id") % 11 == 0, F.current_timestamp()))
+    key = F.when(F.col("id") % 8 != 0, F.lit("k"))
+    images = works.select(F.col("id").alias("work_id"), F.lit("a").alias("content_hash"), key.alias("storage_key")).union(works.where("id % 16 = 0").select("id", F.lit("b"), F.lit(None).cast("string")))
+    return P.problems(works, chapters, live, images, ("serial", "MACHINERY", "HOUSEHOLD", "FURNITURE")).select("id", F.array_join("problems", ",").alias("problems"))
 
 
 @query(
@@ -172,7 +175,7 @@ def merge_candidates(spark, d):
 @query(
     "revert_import",
     over("""WITH a AS (SELECT work_id, id AS chapter_id, CASE WHEN id % 2 = 0 THEN id % 13 END AS prev, id % 13 + 100 AS new FROM chapters WHERE id % 3 = 0),
-locked AS (SELECT DISTINCT work_id FROM a WHERE work_id % 5 = 0)
+locked AS (SELECT DISTINCT work_id FROM a WHERE work_id % 5 = 0 OR work_id % 7 = 0)
 SELECT c.work_id, c.id, row_number() OVER (PARTITION BY c.work_id ORDER BY c.position, c.id)::INT AS position, CASE WHEN a.chapter_id IS NOT NULL THEN a.prev ELSE c.id % 13 + 100 END AS head_revision_id
 FROM chapters c LEFT JOIN a ON a.chapter_id = c.id AND a.work_id NOT IN (SELECT work_id FROM locked) WHERE a.chapter_id IS NULL OR a.prev IS NOT NULL"""),
 )
@@ -180,7 +183,9 @@ def revert_import(spark, d):
     c = frame(spark, d, "chapters")
     applied = c.where("id % 3 = 0").select("work_id", F.col("id").alias("chapter_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 13).alias("previous_revision_id"), (F.col("id") % 13 + 100).alias("new_revision_id"))
     released = applied.where("work_id % 5 = 0").select("work_id", F.col("new_revision_id").alias("revision_id"))
-    return I.revert(c.withColumn("head_revision_id", F.col("id") % 13 + 100), applied, released)
+    # works edited since the import
+    edits = c.select("work_id", F.lit(4).alias("applied_version"), F.when(F.col("work_id") % 7 == 0, 5).otherwise(4).alias("edit_version")).distinct()
+    return I.revert(c.withColumn("head_revision_id", F.col("id") % 13 + 100), applied, released, edits)
 
 
 @query("resource_digest", "SELECT l_orderkey, sha256(string_agg(l_partkey || ':' || l_returnflag, chr(10) ORDER BY l_partkey || ':' || l_returnflag)) AS resource_digest FROM lineitem GROUP BY l_orderkey")

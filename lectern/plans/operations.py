@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import maintenance as M
+from lectern.plans import projections as _views  # noqa: F401  # the views of releases and revisions
 from lectern.plans.analog import VIEWS, frame, over
 from lectern.plans.registry import query
 from lectern.sources import exports as E
@@ -65,6 +66,27 @@ def restore_verify(spark, d):
     return M.verify_restore(M.manifest({k: t[k] for k in ("customer", "orders")}), M.manifest({"customer": t["customer"], "orders": t["orders"].where("o_orderkey % 2 = 0"), "part": t["part"]}))
 
 
+@query(
+    "object_manifest",
+    over("""WITH u AS (SELECT DISTINCT revision_id FROM release_items), k AS (SELECT DISTINCT 'body' AS kind, content_key::VARCHAR AS key FROM revisions WHERE id IN (SELECT revision_id FROM u)
+  UNION SELECT 'image', content_hash FROM resources WHERE content_hash IN (SELECT content_hash FROM links WHERE revision_id IN (SELECT revision_id FROM u)))
+SELECT k.kind, k.key, sha256(b.body) AS sha256, octet_length(encode(b.body))::INT AS size FROM k LEFT JOIN bodies b ON b.content_key::VARCHAR = k.key"""),
+)
+def object_manifest(spark, d):
+    items, revisions, links, resources, bodies = (frame(spark, d, t) for t in ("release_items", "revisions", "links", "resources", "bodies"))
+    return M.object_manifest(M.reachable_objects(items, revisions, links, resources), bodies.select(F.col("content_key").cast("string").alias("key"), F.col("body").alias("content")))
+
+
+@query(
+    "restore_objects",
+    "SELECT 'body' AS kind, doc_id::VARCHAR AS key, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE text IS NOT NULL AND (doc_id % 5 = 0 OR doc_id % 7 = 0)",
+)
+def restore_objects(spark, d):
+    docs = frame(spark, d, "documents").where("text IS NOT NULL").select(F.lit("body").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content"), "doc_id")
+    restored = docs.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return M.verify_objects(M.object_manifest(docs.select("kind", "key"), docs), restored)
+
+
 @query("latency_percentiles", "SELECT event_type AS name, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
     return M.percentiles(frame(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
@@ -128,6 +150,18 @@ def sitemap_page(spark, d):
     return E.sitemap_page(frame(spark, d, "works").withColumnRenamed("published_at", "lastmod"), "https://x.example", 2, 500)
 
 
+@query(
+    "sitemap_chapters",
+    over("""SELECT w.id, c.id AS chapter_id, '<url><loc>https://x.example/' || lower(replace(w.title, '#', '-')) || '-' || left(w.id::VARCHAR, 8) || '/' || c.id || '</loc><lastmod>' || strftime(r.created_at, '%Y-%m-%d') || '</lastmod></url>' AS xml
+FROM works w JOIN release_items i ON i.release_id = w.active_release_id JOIN revisions r ON r.id = i.revision_id JOIN chapters c ON c.id = i.chapter_id WHERE w.visibility = 'public' ORDER BY w.id, c.id LIMIT 300 OFFSET 600"""),
+)
+def sitemap_chapters(spark, d):
+    """Chapter pages, each with the time of its published revision."""
+    works = frame(spark, d, "works").where("visibility = 'public'").select("id", "title", F.col("active_release_id").alias("release_id"))
+    items = frame(spark, d, "release_items").join(works, "release_id").join(frame(spark, d, "revisions").select(F.col("id").alias("revision_id"), F.col("created_at").alias("lastmod")), "revision_id")
+    return E.sitemap_page(items.select("id", "title", "lastmod", "chapter_id"), "https://x.example", 3, 300, span=100)
+
+
 @query("sitemap_index", "SELECT kind, u.page::INT AS page FROM (SELECT 'works' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'chapters', count(*) FROM orders) t, unnest(range(1, ((n + 999) // 1000 + 1)::BIGINT)) u(page)")
 def sitemap_index(spark, d):
     counts = M.manifest({"works": frame(spark, d, "customer"), "chapters": frame(spark, d, "orders")}).withColumnRenamed("table_name", "kind")

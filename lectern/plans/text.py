@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as S
 from lectern.operators import search, toc
+from lectern.operators.catalog import ordinals
 from lectern.plans.analog import frame, over
 from lectern.plans.registry import query
 
@@ -13,8 +15,8 @@ from lectern.plans.registry import query
 @query("toc_window", over("SELECT id, ordinal, total, false AS anchor_missing FROM (SELECT id, (row_number() OVER (ORDER BY position, id) - 1)::INT AS ordinal, count(*) OVER () AS total FROM chapters WHERE work_id = 4) t WHERE ordinal >= greatest(0, least(greatest(0, total - 5), (SELECT a FROM (SELECT id AS i, row_number() OVER (ORDER BY position, id) - 1 AS a FROM chapters WHERE work_id = 4) q ORDER BY i LIMIT 1) - 2)) AND ordinal < greatest(0, least(greatest(0, total - 5), (SELECT a FROM (SELECT id AS i, row_number() OVER (ORDER BY position, id) - 1 AS a FROM chapters WHERE work_id = 4) q ORDER BY i LIMIT 1) - 2)) + 5"))
 def toc_window(spark, d):
     mine = frame(spark, d, "chapters").where("work_id = 4")
-    around = mine.agg(F.min("id")).first()[0]
-    return toc.window(mine, limit=5, around=around).select("id", "ordinal", "total", "anchor_missing")
+    mine = mine.withColumn("anchor_id", F.min("id").over(Window.partitionBy("work_id")))
+    return toc.window(mine, limit=5, around=F.col("anchor_id")).select("id", "ordinal", "total", "anchor_missing")
 
 
 @query("toc_latest", over("SELECT id, work_id, ordinal FROM (SELECT id, work_id, (row_number() OVER (PARTITION BY work_id ORDER BY position, id) - 1)::INT AS ordinal, count(*) OVER (PARTITION BY work_id) AS total FROM chapters) t WHERE ordinal >= greatest(0, total - 3)"))
@@ -73,8 +75,7 @@ def snippet_window(spark, d):
 @query("book_search", "WITH b AS (" + SNIPPET.replace("'ing the'", "'reation'").replace("'der'", "'reation'") + ") SELECT doc_id AS position, paragraph, match_start, snippet FROM b ORDER BY 1 LIMIT 51")
 def book_search(spark, d):
     docs = frame(spark, d, "documents").select(F.col("doc_id").alias("position"), F.lit("untitled").alias("title"), F.col("text").alias("body"))
-    indexed = docs.withColumn("body_index", search.body_index("body"))
-    return search.search_book(indexed, ["reation"], separator="\n").drop("title")
+    return search.search_book(docs, ["reation"], separator="\n").drop("title")
 
 
 @query("body_hash", "SELECT doc_id, sha256(text) AS body_hash, sha256(lang || chr(10) || sha256(text) || chr(10) || 'p1' || chr(10) || source) AS revision_hash FROM documents")
@@ -101,10 +102,10 @@ def speech_chunks(spark, d):
 KEYWORDS = "regexp_split_to_array(p_name || ' #' || p_type || '/' || p_brand, '[、,，/／|｜;；#＃]|\\s{2,}')"
 
 
-@query("keyword_split", f"SELECT p_partkey, length(list_distinct(list_filter(list_transform({KEYWORDS}, lambda x: trim(x)), lambda x: x <> ''))) AS n FROM part")
+@query("keyword_split", f"SELECT p_partkey, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(w, lambda x: x <> '')), lambda x: [lpad(list_position(w, x)::VARCHAR, 4, '0'), x])), lambda x: x[2]), '|') AS words FROM (SELECT p_partkey, list_transform({KEYWORDS}, lambda x: trim(x)) AS w FROM part) t")
 def keyword_split(spark, d):
     words = S.keywords(F.concat(F.col("p_name"), F.lit(" #"), F.col("p_type"), F.lit("/"), F.col("p_brand")))
-    return frame(spark, d, "part").select("p_partkey", F.size(words).cast("long").alias("n"))
+    return frame(spark, d, "part").select("p_partkey", F.array_join(words, "|").alias("words"))
 
 
 @query("completion_status", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)連載|连载|ongoing|serializing|未完') THEN 'ongoing' WHEN regexp_matches(text, '(?i)完結|完结|已完|全文完|complete|finished') THEN 'completed' END AS status FROM documents")
@@ -120,9 +121,8 @@ def props_json(spark, d):
 
 @query("title_order", over("SELECT id, row_number() OVER (ORDER BY title, id)::INT AS nth FROM works WHERE visibility = 'public'"))
 def title_order(spark, d):
-    from pyspark.sql import Window
-
-    return frame(spark, d, "works").where("visibility = 'public'").select("id", F.row_number().over(Window.orderBy("title", "id")).alias("nth"))
+    public = frame(spark, d, "works").where("visibility = 'public'")
+    return ordinals(public, F.left("title", F.lit(16)), ["title", "id"]).select("id", (F.col("at") + 1).cast("int").alias("nth"))
 
 
 @query("offset_page", over("SELECT id, title FROM works ORDER BY published_at DESC, id LIMIT 100 OFFSET 200"))
