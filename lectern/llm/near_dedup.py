@@ -7,18 +7,18 @@ pair is formed. Links are confirmed on the full shingle sets.
 
 Within a table bucket, members are compared with a pivot, not with each other:
 texts found to be in one component need no further comparison. Shingles that
-only one text has bound its similarity to any other, which is exact and rules
-most pairs out unseen. Texts that pivots and bounds leave in a bucket with other
-components then meet where their rarest shingles agree: a link needs one of
-them, so none that a bucket shows is lost, and texts that only share a template
-or a passage are no pairs.
+only one text has bound its similarity to any other, and so do bit maps of the
+sets; both bounds are exact and rule most pairs out unseen. What pivots and
+bounds leave open is then compared, but only across components, and never the
+texts of a half key's largest component with each other, so that no link that a
+bucket shows is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import WordHashes, drop, mix, runs, signed, table
@@ -29,7 +29,9 @@ PERCENT = 80
 #: 80% of shingles in common share no table key once in 48,000 times.
 HALVES, ROWS = 16, 3
 #: Rounds of pivots before the rest is compared in full.
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 2
+#: Bits of the map of a set's shingles, in words of 64.
+MAP_WORDS = 16
 NO_ID = -(1 << 63)
 
 
@@ -127,20 +129,31 @@ def shingles_of(n: int):
     return run
 
 
-def rare_first(texts: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``id, s`` of each text's prefix: its shingles from the rarest on, as many as leave no link without a common one.
+def bit_maps(n: int):
+    """A text's shingles hashed to bits: a bit one text has and another lacks is a shingle they don't share."""
 
-    Two sets of which ``percent`` of the union is common share a shingle of both
-    prefixes, when one order holds for all. Shingles that a single text has take
-    their places in it, but meet no other and are left out.
-    """
-    held = table(texts.mapInArrow(shingles_of(n), "id long, s long"))
-    often = table(held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
-    common = held.join(often, "s")
-    # a partition is one text's shingles
-    ranked = common.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("n", "s"))).withColumn("shared", F.count("*").over(Window.partitionBy("id")))
-    places = F.floor(F.col("size") * (100 - percent) / 100) + 1 - (F.col("size") - F.col("shared"))
-    return ranked.join(facts.select("id", "size"), "id").where(F.col("at") <= places).select("id", "s")
+    def run(batches):
+        word = WordHashes()
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, MAP_WORDS * 64), bool)
+            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                maps[k, (shingle_set(t, word, n) >> np.uint64(32)) % np.uint64(MAP_WORDS * 64)] = True
+            words = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, k]) for k in range(MAP_WORDS)]], names=["id", *[f"m{k}" for k in range(MAP_WORDS)]])
+
+    return run
+
+
+def map_bound(percent: int):
+    """Whether sizes less the bits that only one side has allow a link between rows x and y."""
+
+    def alone(a: str, b: str):
+        out = F.lit(0)
+        for k in range(MAP_WORDS):
+            out = out + F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{k}"))))
+        return F.col(f"{a}.size") - out
+
+    return F.least(alone("x", "y"), alone("y", "x")) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
 
 
 def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -185,16 +198,21 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
             break
         placed = table(placed.join(split.select("key"), "key"))
         rows = placed.drop("comp")
-        if turn < PIVOT_ROUNDS:
+        # what shares a table key shares its first half key; a pair meets less often that way
+        by_half = table(placed.drop("key").distinct())
+        if turn == 0:
             met = placed.alias("x").join(split.alias("y"), "key")
+        elif turn < PIVOT_ROUNDS:
+            # a half key each, another text for each: a text meets several members of its group
+            pick = F.struct(F.xxhash64(F.lit(turn), "id", "u").alias("rank"), "id", "size", "own", "comp")
+            pivots = by_half.groupBy("u").agg(F.min(pick).alias("p")).select("u", "p.*")
+            met = by_half.alias("x").join(pivots.alias("y"), "u")
         else:
-            # what is still in different components meets at rare shingles, whatever table it shares: texts that have only a passage in common don't
-            open_ = table(placed.select("id", "size", "own", "comp").distinct())
-            prefix = table(rare_first(held.join(open_, "id", "left_semi").select("id", "text"), open_, n, percent).join(open_, "id"))
-            # of two texts in different components one is not in the shingle's main one: its many texts don't meet each other
-            main = prefix.groupBy("s", "comp").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("s", F.col("m.comp").alias("main"))
-            mixed = table(prefix.join(main, "s"))
-            met = mixed.where("comp <> main").alias("x").join(mixed.alias("y"), "s")
+            # of two texts in different components one is not in the half key's main one, whose many texts don't meet each other
+            main = by_half.groupBy("u", "comp").agg(F.count("*").alias("n")).groupBy("u").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("u", F.col("m.comp").alias("main"))
+            maps = held.join(by_half.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(bit_maps(n), "id long, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS)))
+            mixed = table(by_half.join(main, "u").join(table(maps), "id"))
+            met = mixed.where("comp <> main").alias("x").join(mixed.alias("y"), "u").where(map_bound(percent))
         met = met.where((F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         found = check(table(met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()))
         if not found.isEmpty():
