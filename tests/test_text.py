@@ -1,5 +1,6 @@
 """Labels, encodings, segmentation, scalars, EPUB, search."""
 
+import hashlib
 import io
 import zipfile
 
@@ -119,7 +120,7 @@ def test_epub(spark, tmp_path):
         z.writestr("../out", "x")
     (tmp_path / "y.epub").write_bytes(evil.getvalue())
     rows = epub_files.chapters(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path", "position").collect()
-    assert [(r.title, r.body) for r in rows if r.error is None] == [("甲", "a\n\nb"), ("第二章", "c\n\n<d>")]
+    assert [(r.label_raw, r.title, r.body) for r in rows if r.error is None] == [("甲", "甲", "甲\n\na\n\nb"), ("第二章", "第二章", "第二章\n\nc\n\n<d>")]
     assert sum(r.error is not None for r in rows) == 2
     assert exports.over_budget(chapters, 5).count() == 1 and exports.epub(works, chapters.limit(0)).count() == 0
     text = exports.txt(works.withColumn("version_label", F.lit("第 3 版")), chapters.withColumn("body", F.concat("body", F.lit("\n\n[[img:" + "a" * 64 + "|貓]]x[[img:" + "b" * 64 + "]] ")))).first()
@@ -138,3 +139,26 @@ def test_epub_images(spark):
         assert z.read(f"OEBPS/images/{h}.png") == b"png"
     assert f'<p>a <img src="../images/{h}.png" alt="x&lt;y" /> b</p>' in page and "［圖片：gone］" in page and "<h1>第一章</h1>" in page
     assert "2024-05-06T07:08:09Z" in package and "<dc:description>D" in package and "creator" not in package
+
+
+def test_epub_pages(spark, tmp_path):
+    """Labels from an NCX, notes as endnotes, list items left out, images by their first bytes, nothing from outside."""
+    png = b"\x89PNG\r\n\x1a\nx"
+    page = """<html><head><title>no</title></head><body><h2>Two <b>words</b></h2><p>Text<a href="#n1">*</a> goes<a href='#top'>up</a>.</p><ul><li>item</li></ul><img src="../i/a%20b.png" alt=" a|b "/><img src="http://x/y.png"/><img src="../i/s.svg"/>
+<aside id="n1"><p>A <i>note</i></p><aside>in</aside></aside><div class="footnote" id="n9">not linked</div><p>End</p></body></html>"""
+    opf = """<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="t/1.xhtml"/><item id="b" href="t/2.html"/><item id="c" href="c.css"/><item id="x" href="toc.ncx"/></manifest>
+<spine toc="x"><itemref idref="a"/><itemref idref="b"/><itemref idref="a"/><itemref idref="c"/><itemref idref="b" linear="no"/><itemref idref="gone"/></spine></package>"""
+    ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>第三章</text></navLabel><content src="t/1.xhtml#x"/></navPoint></navMap></ncx>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
+        for name, data in (("p.opf", opf), ("toc.ncx", ncx), ("t/1.xhtml", page), ("t/2.html", "<p></p>"), ("c.css", ""), ("i/a b.png", png), ("i/s.svg", "<svg/>")):
+            z.writestr(f"O/{name}", data)
+    (tmp_path / "b.epub").write_bytes(raw.getvalue())
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    one, two = epub_files.chapters(files).orderBy("position").collect()
+    h = hashlib.sha256(png).hexdigest()
+    assert (one.label_raw, one.label.key, one.title, list(one.images)) == ("第三章", "ch:3", "Two words", [h])
+    assert one.body.split("\n\n") == ["Two words", "Text[註 1] goesup.", f"[[img:{h}|a b]]", "not linked", "End", "[註 1] A notein"]
+    assert list(one.warnings) == ["unsupported_image", "footnotes_appended"] and list(two.warnings) == ["non_text_section", "no_toc_label"] and two.needs_review
+    assert [(r.content_hash, r.media_type, bytes(r.bytes)) for r in epub_files.images(files).collect()] == [(h, "image/png", png)]
