@@ -23,41 +23,30 @@ N_TREES, DEPTH, MIN_LEAF = 40, 3, 12
 LASSO, STEPS = 0.002, 400
 
 
-def statistics(text: Column) -> list[tuple[str, Column]]:
-    """Name and column of each statistic; ``text`` is not null."""
-    n = F.length(text)
-    size = F.greatest(n, F.lit(1))
-    words = F.split(F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
-
-    def without(chars: str) -> Column:
-        return n - F.length(F.translate(text, chars, ""))
-
-    return [
-        ("chars", n.cast("double")),
-        ("upper", without(UPPER) / size),
-        ("lower", without(LOWER) / size),
-        ("symbols", without("%&*$#@=<>{}[]~^_\\") / size),
-        ("bars", without("|") / size),
-        ("shouts", without("!?") / size),
-        ("stops", without(".") / size),
-        ("commas", without(",;:") / size),
-        ("digits", without("0123456789") / size),
-        ("lines", without("\n") / size),
-        ("_words", words),
-    ]
+#: Characters that are counted, by statistic; the first stands for its class.
+CLASSES = {"upper": UPPER, "lower": LOWER, "symbols": "%&*$#@=<>{}[]~^_\\", "bars": "|", "shouts": "!?", "stops": ".", "commas": ",;:", "digits": "0123456789", "lines": "\n"}
 
 
 def measured(docs: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
-    """``docs`` with one double column a statistic, each named ``q_...``, and the names."""
-    stats = statistics(F.coalesce(text, F.lit("")))
-    out = docs.select("*", *[c.alias(f"q_{k}") for k, c in stats])
-    w, size = F.col("q__words"), F.size("q__words")
+    """``docs`` with one double column a statistic, each named ``q_...``, and the names.
+
+    Shares of characters, the number, length and variety of words, and of words
+    that the next repeats. One pass maps every counted character to its class's
+    first, which is then counted in bytes.
+    """
+    text = F.coalesce(text, F.lit(""))
+    mapped = F.translate(text, "".join(CLASSES.values()), "".join(c[0] * len(c) for c in CLASSES.values()))
+    words = F.split(F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
+    out = docs.select("*", F.length(text).cast("double").alias("q_chars"), mapped.alias("_mapped"), words.alias("_words"))
+    size, w, n = F.greatest(F.col("q_chars"), F.lit(1.0)), F.col("_words"), F.size("_words")
+    count = lambda c: F.octet_length("_mapped") - F.octet_length(F.replace("_mapped", F.lit(c)))
     out = out.select(
-        *[c for c in out.columns if c != "q__words"],
-        size.cast("double").alias("q_words"),
-        (F.col("q_chars") / size).alias("q_word_length"),
-        (F.size(F.array_distinct(w)) / size).alias("q_distinct"),
-        (F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(size - 1, F.lit(0)) + 0), lambda a, b: a == b), lambda x: x)) / size).alias("q_same_as_next"),
+        *[c for c in out.columns if c not in ("_mapped", "_words")],
+        *[(count(c[0]) / size).alias(f"q_{k}") for k, c in CLASSES.items()],
+        n.cast("double").alias("q_words"),
+        (F.col("q_chars") / n).alias("q_word_length"),
+        (F.size(F.array_distinct(w)) / n).alias("q_distinct"),
+        (F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)) / n).alias("q_same_as_next"),
     )
     return out, [c for c in out.columns if c.startswith("q_")]
 
@@ -169,8 +158,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Learns from at most ``max_labelled`` labelled rows outside the held-out fold.
     Labels other than 0 and 1, and labels of no document, teach nothing; without
-    labels every score is a half. Null and empty texts are scored like others.
-    An empty table gives an empty one.
+    labels every score is a half. Null and empty texts are scored like others,
+    very long ones whole; repeated rows are scored each, and teach each. Columns
+    of ``docs`` named ``q_...`` don't matter. An empty table gives an empty one.
     """
     usable = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where((fold(F.col("label_id")) != 0) & F.col("label").isin(0, 1)).groupBy("label_id").agg(F.min("label").cast("int").alias("label"))
     # at most max_labelled rows of two numbers

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import html_text, neighbours, quality, toxicity
 
@@ -44,6 +45,36 @@ def test_scores(spark, score, label, good):
     assert score(df, lab.limit(0)).where("score IS NULL OR score NOT BETWEEN 0 AND 1").count() == 0
 
 
+def statistics_brute(text):
+    text = text or ""
+    n, w = max(1, len(text)), " ".join(text.replace("\t", " ").replace("\n", " ").split(" ")).split()
+    w = w or [""]
+    share = lambda chars: sum(c in chars for c in text) / n
+    shares = [share(quality.UPPER), share(quality.LOWER), share("%&*$#@=<>{}[]~^_\\"), share("|"), share("!?"), share("."), share(",;:"), share("0123456789"), share("\n")]
+    return [len(text), *shares, len(w), len(text) / len(w), len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w)]
+
+
+def test_quality_rules(spark):
+    """Statistics, rules and scores against plain Python on the same texts."""
+    docs, labels = corpus(random.Random(5), 200)
+    texts = [d[1] for d in docs] + [None, "", "a a a\tb\nB! 12; |x| é😀 {}", "Z" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, names = quality.measured(df, F.col("text"))
+    got = {r.doc_id: [r[c] for c in names] for r in rows.collect()}
+    for i, text in enumerate(texts):
+        assert np.allclose(got[i], statistics_brute(text)), (text, got[i])
+    x, y = np.array([got[i] for i in range(200)]), np.array([q for _, q, _ in labels], float)
+    model = quality.fit(x, y, names)
+    assert 0 < len(model.rules) < 120 and all(1 <= len(r.tests) <= quality.DEPTH for r in model.rules)
+    scored = {r.doc_id: r.score for r in rows.select("doc_id", model.column().alias("score")).collect()}
+    for i in range(len(texts)):
+        z = model.intercept
+        for rule in model.rules:
+            if all((got[i][k] > t) if above else (got[i][k] <= t) for k, above, t in rule.tests):
+                z += rule.weight
+        assert abs(scored[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 def kneser_ney(texts, every, d=0.75):
     """P(c | context) by class in plain recursion: own counts of six, own continuation counts of five and four, shared ones of three."""
     spaced = lambda t: f"  {'  '.join(t.lower().split())}  "
