@@ -70,9 +70,13 @@ def keywords(text: Column, most: int = 20, longest: int = 50) -> Column:
     return F.slice(F.array_distinct(F.filter(trimmed, lambda p: (F.length(p) > 0) & (F.length(p) <= longest))), 1, most)
 
 
+# What sources call a serial that goes on, and one that ended.
+ONGOING, COMPLETED = "(?i)未完[結结]|未完成|連載|连载|ongoing", "(?i)完[結结]|全本|completed"
+
+
 def completion_status(text: Column) -> Column:
-    """'ongoing' is looked for before 'completed'."""
-    return F.when(text.rlike(r"(?i)連載|连载|ongoing|serializing|未完"), "ongoing").when(text.rlike(r"(?i)完結|完结|已完|全文完|complete|finished"), "completed")
+    """'ongoing' is looked for before 'completed', which some of its words contain."""
+    return F.when(text.rlike(ONGOING), "ongoing").when(text.rlike(COMPLETED), "completed")
 
 
 def filename(title: Column, most: int = 100) -> Column:
@@ -85,6 +89,11 @@ def term_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[\s\p{P}\p{S}]+", "")
 
 
+def term_matches(name: Column, typed: Column) -> Column:
+    """Whether a taxonomy name holds what was typed into a picker; nothing typed fits all."""
+    return term_key(name).contains(term_key(typed))
+
+
 def remap_paragraph(index: Column, count: Column) -> Column:
     return F.greatest(F.lit(0), F.least(index, count - 1))
 

@@ -119,3 +119,10 @@ def night_window(spark, d):
     from lectern.functions.scalars import is_night
 
     return frame(spark, d, "events").where(is_night(F.hour("ts"), 19, 7)).select("event_id")
+
+
+@query("seen_marker", over("SELECT f.user_id, f.work_id, least(f.last_seen + 5, (SELECT max(release_version) FROM events_of_release r WHERE r.work_id = f.work_id))::INT AS seen FROM follows f WHERE EXISTS (SELECT 1 FROM events_of_release r WHERE r.work_id = f.work_id)"))
+def seen_marker(spark, d):
+    """A reader can't have seen more than there is."""
+    newest = frame(spark, d, "events_of_release").groupBy("work_id").agg(F.max("release_version").alias("newest"))
+    return frame(spark, d, "follows").join(newest, "work_id").select("user_id", "work_id", A.mark_seen(F.col("last_seen") + 5, F.col("newest")).cast("int").alias("seen"))

@@ -45,8 +45,21 @@ FROM orders""",
 }
 
 
+#: Where views of a folder were written, by folder and name.
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def write_once(spark: SparkSession, folder: str, names: list[str], to: str) -> None:
+    """Write views as Parquet to ``to``, from where :func:`frame` reads them afterwards."""
+    for name in names:
+        frame(spark, folder, name).write.parquet(f"{to}/{name}")
+        WRITTEN[folder, name] = f"{to}/{name}"
+
+
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The view as a DataFrame."""
+    if (folder, name) in WRITTEN:
+        return spark.read.parquet(WRITTEN[folder, name])
     if name in RAW:
         return load(spark, folder, name)
     text = VIEWS[name]

@@ -160,9 +160,31 @@ def publish_problems(spark, d):
 SELECT c.work_id, (coalesce(max(v.version), 0) + 1)::INT AS version, count(*)::INT AS chapter_count FROM chapters c LEFT JOIN v ON v.work_id = c.work_id WHERE c.work_id % 3 = 0 GROUP BY c.work_id"""),
 )
 def publish_release(spark, d):
+    return published(spark, d)[0]
+
+
+def published(spark, d):
     chapters = frame(spark, d, "chapters").withColumn("head_revision_id", F.col("id") % 13).withColumn("title", F.col("label_raw"))
     releases = frame(spark, d, "events_of_release").where("work_id % 2 = 0").select("work_id", F.col("release_version").alias("version"))
-    return P.publish(frame(spark, d, "works").where("id % 3 = 0"), chapters, releases, frame(spark, d, "release_before"))[0]
+    return P.publish(frame(spark, d, "works").where("id % 3 = 0"), chapters, releases, frame(spark, d, "release_before"))
+
+
+NEXT = "SELECT w.work_id, coalesce(v.version, 0) + 1 AS version FROM (SELECT DISTINCT work_id FROM chapters WHERE work_id % 3 = 0) w LEFT JOIN (SELECT work_id, max(release_version) AS version FROM events_of_release WHERE work_id % 2 = 0 GROUP BY work_id) v ON v.work_id = w.work_id"
+
+
+@query("publish_items", over(f"SELECT c.work_id, n.version::INT AS version, c.id AS chapter_id, c.id % 13 AS revision_id, c.position, c.label_raw, c.label_raw AS title FROM chapters c JOIN ({NEXT}) n ON n.work_id = c.work_id"))
+def publish_items(spark, d):
+    return published(spark, d)[1]
+
+
+@query(
+    "publish_events",
+    over(f"""SELECT n.work_id, n.version::INT AS version, coalesce(string_agg(c.id, ',' ORDER BY c.id) FILTER (b.chapter_id IS NULL), '') AS new_ids, coalesce(string_agg(c.id, ',' ORDER BY c.id) FILTER (b.revision_id <> c.id % 13), '') AS updated_ids
+FROM ({NEXT}) n JOIN chapters c ON c.work_id = n.work_id LEFT JOIN release_before b ON b.work_id = c.work_id AND b.chapter_id = c.id GROUP BY ALL"""),
+)
+def publish_events(spark, d):
+    ids = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return published(spark, d)[2].select("work_id", "version", ids("new_ids"), ids("updated_ids"))
 
 
 @query("merge_candidates", over("SELECT id, next_id FROM (SELECT id, volume, lead(id) OVER w AS next_id, lead(volume) OVER w AS nv FROM chapters WINDOW w AS (PARTITION BY work_id ORDER BY position, id)) t WHERE next_id IS NOT NULL AND volume = nv AND NOT EXISTS (SELECT 1 FROM release_now r WHERE r.chapter_id IN (t.id, t.next_id) AND r.chapter_id % 2 = 0)"))

@@ -66,6 +66,14 @@ def restore_verify(spark, d):
     return M.verify_restore(M.manifest({k: t[k] for k in ("customer", "orders")}), M.manifest({"customer": t["customer"], "orders": t["orders"].where("o_orderkey % 2 = 0"), "part": t["part"]}))
 
 
+@query("taxonomy_suggest", over("""WITH w AS (SELECT DISTINCT upper(n_name) || ' ' AS word FROM nation UNION SELECT DISTINCT o_orderpriority FROM orders UNION SELECT 'nothing'), k AS (SELECT word, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS k FROM w)
+SELECT word, (SELECT arg_min(id, sort_order) FROM categories c WHERE is_active AND regexp_replace(lower(display_name), '[^a-z0-9]', '', 'g') = k.k) AS category_id,
+  (SELECT min(id) FROM tags t WHERE is_active AND regexp_replace(lower(display_name), '[^a-z0-9]', '', 'g') = k.k) AS tag_id FROM k"""))
+def taxonomy_suggest(spark, d):
+    words = frame(spark, d, "nation").select(F.concat(F.upper("n_name"), F.lit(" ")).alias("word")).union(frame(spark, d, "orders").select("o_orderpriority")).union(spark.range(1).select(F.lit("nothing"))).distinct()
+    return M.suggest(words, frame(spark, d, "categories"), frame(spark, d, "tags").withColumn("sort_order", F.lit(0)))
+
+
 @query(
     "object_manifest",
     over("""WITH u AS (SELECT DISTINCT revision_id FROM release_items), k AS (SELECT DISTINCT 'body' AS kind, content_key::VARCHAR AS key FROM revisions WHERE id IN (SELECT revision_id FROM u)

@@ -108,9 +108,25 @@ def keyword_split(spark, d):
     return frame(spark, d, "part").select("p_partkey", F.array_join(words, "|").alias("words"))
 
 
-@query("completion_status", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)連載|连载|ongoing|serializing|未完') THEN 'ongoing' WHEN regexp_matches(text, '(?i)完結|完结|已完|全文完|complete|finished') THEN 'completed' END AS status FROM documents")
+@query("completion_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'completed' WHEN o_orderkey % 7 IN (1, 2, 3) THEN 'ongoing' WHEN o_orderkey % 7 = 4 THEN 'completed' END AS status FROM orders")
 def completion_status(spark, d):
-    return frame(spark, d, "documents").select("doc_id", S.completion_status(F.col("text")).alias("status"))
+    said = F.array(*map(F.lit, ("本書已完結", "未完結", "未完成", "連載中 (Ongoing)", "全本", "未定", "finis")))
+    return frame(spark, d, "orders").select("o_orderkey", S.completion_status(F.get(said, (F.col("o_orderkey") % 7).cast("int"))).alias("status"))
+
+
+@query("body_window", "SELECT doc_id, substring(text, 101, 200) AS part FROM documents")
+def body_window(spark, d):
+    return frame(spark, d, "documents").select("doc_id", S.body_window(F.col("text"), F.lit(100), 200).alias("part"))
+
+
+@query("picker_match", "SELECT p_partkey FROM part WHERE strpos(replace(lower(p_name), ' ', ''), 'redwid') > 0")
+def picker_match(spark, d):
+    return frame(spark, d, "part").where(S.term_matches(F.col("p_name"), F.lit(" Red-WiD "))).select("p_partkey")
+
+
+@query("analysis_version", "SELECT p_partkey, sha256('[\"' || p_brand || '\",\"' || p_size || '\"]') AS version FROM part")
+def analysis_version(spark, d):
+    return frame(spark, d, "part").select("p_partkey", S.analysis_version(F.col("p_brand"), F.col("p_size")).alias("version"))
 
 
 @query("props_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_array_length('[' || coalesce(json_extract_string(props, '$.k'), '') || ']'), 0)::INT AS n FROM events")

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.labels import parse_label
+from lectern.functions.scalars import COMPLETED, ONGOING
 
 BLANKS = " \t\n\x0b\x0c\r\u00a0\u2002\u2003\u3000\ufeff"
 _S = r"[\s\u00a0\u3000]*"
@@ -124,16 +127,63 @@ def book_warnings(books: DataFrame, found: DataFrame) -> DataFrame:
     return books.select("path").join(n, "path", "left").select("path", F.array_compact(F.array(warning)).alias("warnings"))
 
 
-FIELDS = {"title": r"(?:書名|书名|title)", "author": r"(?:作者|author)", "description": r"(?:簡介|简介|內容簡介|description)", "keywords": r"(?:關鍵字|关键字|標籤|标签|keywords|tags)"}
+# Names of the fields that a book's front matter gives.
+FIELDS = {
+    "title": r"書名|书名|作品名[稱称]?|title",
+    "author": r"作者|author",
+    "description": r"內容簡介|内容简介|簡介|简介|description",
+    "keywords": r"分類|分类|類型|类型|題材|题材|標籤|标签|關鍵詞|关键词|categor(?:y|ies)|genres?|tags?|keywords?",
+    "serial_status": r"連載狀態|连载状态|狀態|状态|status",
+}
+_FIELD = re.compile("(?:" + "|".join(f"(?P<{k}>{p})" for k, p in FIELDS.items()) + r")\s*[:：]\s*(?P<value>.*)", re.I)
+_QUOTED = re.compile(r"《([^》]+)》(?:\s*作者\s*[:：]\s*(.+))?")
+_CHAPTER = re.compile(r"[第卷][0-9０-９一二三四五六七八九十零〇百千两兩]*[章回幕部節节集卷]")
+_BETWEEN, _AROUND = re.compile(r"[、,，/／|｜;；]+|\s{2,}|#|＃"), " \t\u3000【】〔〕[]()（）「」『』"
+MOST_HEAD, MOST_LINES, MOST_NAME, MOST_DESCRIPTION, MOST_KEYWORDS = 16_000, 150, 300, 5_000, 20
+MATTER = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "author", "description", "serial_status")] + [T.StructField("keywords", T.ArrayType(T.StringType()))])
+
+
+def matter(head: str | None) -> dict:
+    """What the lines before the first chapter say; a description goes on until the next field."""
+    out: dict = {"title": None, "author": None, "description": None, "serial_status": None, "keywords": None}
+    description: list[str] | None = None
+    open_, words = False, []
+    for line in re.split(r"\r\n?|\n", (head or "")[:MOST_HEAD])[:MOST_LINES]:
+        line = line.strip().lstrip("\ufeff")
+        if _CHAPTER.match(line):
+            break
+        field = _FIELD.fullmatch(line)
+        if field:
+            name, value = next(k for k in FIELDS if field[k]), field["value"]
+            open_ = name == "description"
+            if open_:
+                description = [*(description or []), value]
+            elif name == "keywords":
+                words += [w for w in (p.strip(_AROUND) for p in _BETWEEN.split(value)) if w and len(w) <= 50]
+            elif name == "serial_status":
+                out[name] = "ongoing" if re.search(ONGOING, value) else "completed" if re.search(COMPLETED, value) else None
+            else:
+                out[name] = value[:MOST_NAME]
+        elif open_:
+            description.append(line)
+        elif quoted := _QUOTED.fullmatch(line):
+            out["title"] = out["title"] or quoted[1]
+            out["author"] = out["author"] or quoted[2]
+    if description is not None:
+        out["description"] = "\n".join(description).strip()[:MOST_DESCRIPTION]
+    if words:
+        out["keywords"] = list(dict.fromkeys(words))[:MOST_KEYWORDS]
+    return out
+
+
+@F.pandas_udf(MATTER)
+def _matter(heads: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([matter(h) for h in heads], columns=[f.name for f in MATTER.fields])
 
 
 def front_matter(text: Column) -> Column:
-    """Title, author, description and keywords from the lines before the first heading; the first 16,000 characters count."""
-    head = F.slice(F.split(F.left(text, F.lit(16_000)), "\r\n?|\n"), 1, 150)
-    stop = F.array_position(F.transform(head, lambda x: _trim(x).rlike(STRONG)), True)
-    top = F.array_join(F.when(stop > 0, F.slice(head, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(head), "\n")
-    found = {k: F.btrim(F.regexp_extract(top, rf"(?im)^\s*[【\[]?{p}[】\]]?\s*[:：]\s*(.+)$", 1)) for k, p in FIELDS.items()}
-    return F.struct(*[F.when(v != "", v).alias(k) for k, v in found.items()])
+    """Title, author, description, status and keywords from a book's first lines; only its head goes to Python."""
+    return _matter(F.left(text, F.lit(MOST_HEAD)))
 
 
 def tidy(text: Column, promotion: str = r"(?i)(https?://|www\.|更多.{0,6}小說|下載|下载)") -> Column:

@@ -68,6 +68,8 @@ def test_segmentation(spark, tmp_path):
     assert own == [("Part 1", "a"), ("PART 2", "")]
     m = df.select("path", text_files.front_matter(F.col("text")).alias("m")).where("path = 'a'").first().m
     assert (m.title, m.author, m.description) == ("試書", "某人", None)
+    long = text_files.matter("\ufeff《書》 作者：甲\n簡介：一\n二\n\n三\n狀態：未完結\n標籤：#重生 #系統、【都市】\nkeywords: x,x\nnothing\n第一章\n書名：不算")
+    assert long == {"title": "書", "author": "甲", "description": "一\n二\n\n三", "serial_status": "ongoing", "keywords": ["重生", "系統", "都市", "x"]}
     for bad in ("(a+)+", "a*", "(", "x" * 201):
         with pytest.raises(ValueError):
             text_files.check_pattern(bad)
@@ -81,7 +83,7 @@ def test_scalars(spark):
     assert one(scalars.slug(F.lit("a" * 30 + " " + "b" * 30))) == "a" * 30
     assert one(scalars.public_id(F.lit("0123abcd-0000-0000-0000-000000000000"))) == "0123abcd"
     assert list(one(scalars.keywords(F.lit("【玄幻】、仙俠，玄幻｜ a  b")))) == ["玄幻", "仙俠", "a", "b"]
-    assert one(scalars.completion_status(F.lit("未完，非全文完"))) == "ongoing"
+    assert [one(scalars.completion_status(F.lit(x))) for x in ("未完結", "已完結", "全本", "未定")] == ["ongoing", "completed", "completed", None]
     h = "a" * 64
     body = F.lit(f"x\n\n[[img:{h}|cat]]\n\n[[img:{h}|]] no")
     assert [b.kind for b in one(scalars.blocks(body))] == ["text", "image", "text"] and one(scalars.referenced_images(body)) == [h]
