@@ -45,3 +45,19 @@ def test_pipeline(spark, tmp_path):
     last = step("mixing")
     assert {i for i, _ in last} <= {i for i, _ in fourth} and "repeats" in now.columns
     assert now.where("length(text) <> n_chars").count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, and ids that repeat or are null: no stage crashes, copies leave one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long, "en", None, 1), (1, long, "en", "a", 1), (1, "another text of this id", "en", "a", 1), (None, long, None, "a", None), (None, None, None, None, None), (2, "", "en", "a", 0)]
+    for name, docs in (("none", []), ("odd", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        got = [r.text for r in out.collect()]
+        assert set(schema.replace(",", "").split()[::2]) <= set(out.columns)
+        assert got == [] if name == "none" else set(got) <= {long, "another text of this id"} and got.count(long) <= 1
