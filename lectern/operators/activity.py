@@ -61,6 +61,12 @@ def capped_seconds(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.groupBy("user_id", F.to_date("ts").alias("activity_date")).agg(F.least(F.lit(DAY_SECONDS).cast("long"), F.sum("seconds")).alias("active_seconds"))
 
 
+def visible_reads(reads: DataFrame, works: DataFrame, role: str = "") -> DataFrame:
+    """Reads of works that still are there for the reader: removed ones never, drafts for an editor."""
+    hidden = ("removed",) if role == "admin" else ("removed", "draft")
+    return reads.join(works.where(~F.col("visibility").isin(*hidden)).select(F.col("id").alias("work_id")), "work_id", "left_semi")
+
+
 def reading_totals(reads: DataFrame, activity: DataFrame, user_id) -> DataFrame:
     """One row: distinct chapters and works, and seconds, which don't depend on them."""
     mine = reads.where(F.col("user_id") == user_id).agg(F.count_distinct("chapter_id").alias("chapters"), F.count_distinct("work_id").alias("works"))

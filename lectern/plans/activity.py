@@ -51,25 +51,25 @@ def capped_activity(spark, d):
     return A.capped_seconds(frame(spark, d, "heartbeats"))
 
 
-@query("reading_totals", over(f"SELECT (SELECT count(DISTINCT chapter_id) FROM reads WHERE user_id = 7) AS chapters, (SELECT count(DISTINCT work_id) FROM reads WHERE user_id = 7) AS works, (SELECT coalesce(sum(active_seconds), 0)::BIGINT FROM ({ACTIVITY}) a WHERE user_id = 7) AS seconds"))
+@query("reading_totals", over(f"SELECT (SELECT count(DISTINCT chapter_id) FROM reads WHERE user_id = 7 AND work_id IN (SELECT id FROM works WHERE visibility NOT IN ('removed', 'draft'))) AS chapters, (SELECT count(DISTINCT work_id) FROM reads WHERE user_id = 7 AND work_id IN (SELECT id FROM works WHERE visibility NOT IN ('removed', 'draft'))) AS works, (SELECT coalesce(sum(active_seconds), 0)::BIGINT FROM ({ACTIVITY}) a WHERE user_id = 7) AS seconds"))
 def reading_totals(spark, d):
-    return A.reading_totals(frame(spark, d, "reads"), A.capped_seconds(frame(spark, d, "heartbeats")), 7)
+    return A.reading_totals(A.visible_reads(frame(spark, d, "reads"), frame(spark, d, "works")), A.capped_seconds(frame(spark, d, "heartbeats")), 7)
 
 
-@query("reading_recent", over("SELECT work_id, chapter_id, chapters, last_read_at FROM (SELECT *, count(*) OVER (PARTITION BY work_id) AS chapters, row_number() OVER (PARTITION BY work_id ORDER BY last_read_at DESC, chapter_id) AS nth FROM reads WHERE user_id = 7) t WHERE nth = 1 ORDER BY last_read_at DESC, work_id LIMIT 20"))
+@query("reading_recent", over("SELECT work_id, chapter_id, chapters, last_read_at FROM (SELECT *, count(*) OVER (PARTITION BY work_id) AS chapters, row_number() OVER (PARTITION BY work_id ORDER BY last_read_at DESC, chapter_id) AS nth FROM reads WHERE user_id = 7 AND work_id IN (SELECT id FROM works WHERE visibility NOT IN ('removed', 'draft'))) t WHERE nth = 1 ORDER BY last_read_at DESC, work_id LIMIT 20"))
 def reading_recent(spark, d):
-    return A.recent_works(frame(spark, d, "reads"), 7)
+    return A.recent_works(A.visible_reads(frame(spark, d, "reads"), frame(spark, d, "works")), 7)
 
 
 CALENDAR = f"""SELECT day, sum(chapters)::BIGINT AS chapters, sum(seconds)::BIGINT AS seconds FROM (
-  SELECT CAST(first_read_at AS DATE) AS day, 1 AS chapters, 0 AS seconds FROM reads WHERE user_id = 7
+  SELECT CAST(first_read_at AS DATE) AS day, 1 AS chapters, 0 AS seconds FROM reads WHERE user_id = 7 AND work_id IN (SELECT id FROM works WHERE visibility NOT IN ('removed', 'draft'))
   UNION ALL SELECT activity_date, 0, active_seconds FROM ({ACTIVITY}) a WHERE user_id = 7) u
 WHERE day BETWEEN DATE '{AS_OF}' - 364 AND DATE '{AS_OF}' GROUP BY day"""
 
 
 @query("reading_calendar", over(CALENDAR))
 def reading_calendar(spark, d):
-    return A.calendar(frame(spark, d, "reads"), A.capped_seconds(frame(spark, d, "heartbeats")), 7, AS_OF)
+    return A.calendar(A.visible_reads(frame(spark, d, "reads"), frame(spark, d, "works")), A.capped_seconds(frame(spark, d, "heartbeats")), 7, AS_OF)
 
 
 @query("reading_heat", over(f"SELECT day, CASE WHEN w <= 0 THEN 0 WHEN w <= 2 THEN 1 WHEN w <= 5 THEN 2 WHEN w <= 9 THEN 3 ELSE 4 END AS level FROM (SELECT day, chapters + floor(seconds / 600) AS w FROM ({CALENDAR}) c) t"))
