@@ -35,11 +35,11 @@ def import_quality(spark, d):
     return I.quality(frame(spark, d, "items")).select("job_id", "type", listed(F.col("positions")))
 
 
-@query("duplicate_bodies", "SELECT sha256(text) AS body_hash, string_agg(doc_id, ',' ORDER BY doc_id) AS positions FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1")
+@query("duplicate_bodies", "SELECT sha256(text) AS body_hash, doc_id FROM documents WHERE text <> '' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1)")
 def duplicate_bodies(spark, d):
-    docs = frame(spark, d, "documents").where("text <> ''").select(F.lit(1).alias("job_id"), F.col("doc_id").alias("position"), F.sha2("text", 256).alias("h"))
-    groups = docs.groupBy(F.col("h").alias("body_hash")).agg(F.array_sort(F.collect_list("position")).alias("positions")).where(F.size("positions") > 1)
-    return groups.select("body_hash", listed(F.col("positions")))
+    """A row a copy: a group of very many is no row of its own."""
+    docs = frame(spark, d, "documents").where("text <> ''").select(F.sha2("text", 256).alias("body_hash"), "doc_id")
+    return docs.join(docs.groupBy("body_hash").agg(F.count("*").alias("n")).where("n > 1"), "body_hash", "left_semi")
 
 
 MATCH = """WITH ek AS (SELECT *, count(*) OVER (PARTITION BY work_id, label_key) AS eu FROM existing),
