@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from itertools import repeat
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        own = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         sc._lectern_folder = folder
     return folder.rstrip("/")
 
