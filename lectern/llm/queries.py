@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, substring_dedup, toxicity
+from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, personal_data, prefix_tree, quality, substring_dedup, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_personal_data": personal_data.op8_personal_data,
     "op9_html_text": html_text.op9_html_text,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_prefix_tree": prefix_tree.op11_prefix_tree,
 }
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_prefix_tree": prefix_tree.OP11_SQL,
 }
