@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, personal_data, prefix_tree, quality, substring_dedup, toxicity
+from lectern.llm import decontamination, html_text, line_dedup, mixing, near_dedup, neighbours, periodic_runs, personal_data, prefix_tree, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_prefix_tree": prefix_tree.op11_prefix_tree,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
