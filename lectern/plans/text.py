@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as S
 from lectern.operators import search, toc
 from lectern.operators.catalog import ordinals
-from lectern.plans.analog import frame, over
+from lectern.operators.gram_index import GramIndex, search_next
+from lectern.plans.analog import WRITTEN, frame, over
 from lectern.plans.registry import query
+from lectern.stored import shared_folder
 
 
 @query("toc_window", over("SELECT id, ordinal, total, false AS anchor_missing FROM (SELECT id, (row_number() OVER (ORDER BY position, id) - 1)::INT AS ordinal, count(*) OVER () AS total FROM chapters WHERE work_id = 4) t WHERE ordinal >= greatest(0, least(greatest(0, total - 5), (SELECT a FROM (SELECT id AS i, row_number() OVER (ORDER BY position, id) - 1 AS a FROM chapters WHERE work_id = 4) q ORDER BY i LIMIT 1) - 2)) AND ordinal < greatest(0, least(greatest(0, total - 5), (SELECT a FROM (SELECT id AS i, row_number() OVER (ORDER BY position, id) - 1 AS a FROM chapters WHERE work_id = 4) q ORDER BY i LIMIT 1) - 2)) + 5"))
@@ -78,6 +82,37 @@ def book_search(spark, d):
     return search.search_book(docs, ["reation"], separator="\n").drop("title")
 
 
+HITS = "WITH b AS (" + SNIPPET.replace("'ing the'", "'reation'").replace("'der'", "'reation'") + ") SELECT doc_id AS position, paragraph, match_start, snippet FROM b ORDER BY 1 LIMIT {n} OFFSET {first}"
+
+
+def book_and_index(spark, d):
+    """All documents as the chapters of one book, and their index: the one written before, or a new one."""
+    docs = frame(spark, d, "documents")
+    chapters = docs.select(F.col("doc_id").alias("position"), F.lit("untitled").alias("title"), F.col("doc_id").alias("key"))
+    if (d, "body_index") in WRITTEN:
+        return chapters, GramIndex(spark, WRITTEN[d, "body_index"], 16)
+    return chapters, write_index(spark, d, f"{shared_folder(spark)}/lectern/index-{uuid.uuid4().hex}")
+
+
+def write_index(spark, d, path):
+    return GramIndex(spark, path, 16).add(frame(spark, d, "documents"), "doc_id", "text")
+
+
+@query("book_search_indexed", HITS.format(n=8, first=0))
+def book_search_indexed(spark, d):
+    """The first page, by the index."""
+    chapters, index = book_and_index(spark, d)
+    return search_next(chapters, index, ["reation"], "reation", "r1", limit=8, separator="\n")[0].drop("title")
+
+
+@query("book_search_next", HITS.format(n=8, first=8))
+def book_search_next(spark, d):
+    """The second page, by the first one's cursor."""
+    chapters, index = book_and_index(spark, d)
+    cursor = search_next(chapters, index, ["reation"], "reation", "r1", limit=8, separator="\n")[1]
+    return search_next(chapters, index, ["reation"], "reation", "r1", cursor, 8, separator="\n")[0].drop("title")
+
+
 @query("body_hash", "SELECT doc_id, sha256(text) AS body_hash, sha256(lang || chr(10) || sha256(text) || chr(10) || 'p1' || chr(10) || source) AS revision_hash FROM documents")
 def body_hash(spark, d):
     h = F.sha2("text", 256)
