@@ -31,6 +31,7 @@ LIMIT = 512
 LONG = 2_048
 #: Pre-tokens whose counts a task remembers, and bytes of pre-tokens merged in one array.
 REMEMBERED, TOGETHER = 1_000_000, 4_000_000
+#: The rank of a pair that does not merge.
 NEVER = np.int64(1) << 40
 
 
