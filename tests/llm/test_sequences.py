@@ -79,7 +79,7 @@ def test_prefix_tree(spark, rows):
 def test_prefix_tree_hot_rows(spark, monkeypatch):
     """A first turn that all share, copies of one conversation, and one conversation of most rows; small chunks, other columns."""
     monkeypatch.setattr(prefix_tree, "CHUNK", 3)
-    rows = [(c, t, "u", f"turn {t}" if t == 0 or c % 3 else f"own {c} {t}") for c in range(300) for t in range(5)] + [(20, 5 + i, "u", f"long {i % 7}") for i in range(3000)]
+    rows = [(c, t, "u", f"turn {t}" if t == 0 or c % 3 else f"own {c} {t}") for c in range(100) for t in range(5)] + [(20, 5 + i, "u", f"long {i % 7}") for i in range(700)]
     df = spark.createDataFrame(rows, CONVERSATION).withColumns({"one": F.lit("x"), "at": F.lit("y"), "n1": F.lit(None), "words": F.lit(0)})
     assert set(tree(df)) == tree_brute(rows)
 
