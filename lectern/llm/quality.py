@@ -112,7 +112,7 @@ def grow(x: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray, tests
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 5) -> Ensemble:
-    """Boosted trees for the rules, then a lasso over all of them. One class, or none: its share is the score."""
+    """Boosted trees for the rules, then a lasso over all of them. One class, or none, or no rule: the share of ones is the score."""
     n = len(y)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
     model = Ensemble(names, float(np.log(share / (1 - share))))
@@ -129,6 +129,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 5) -> Ensemb
         z += 2.0 * leaf
         paths += found
     rules = [Rule(p) for p in dict.fromkeys(paths)]
+    if not rules:  # too few rows for a split, or statistics that don't vary
+        return model
     r = np.column_stack([rule.on(x) for rule in rules]).astype(np.float64)
     mean = r.mean(0)
     scale = np.sqrt(mean * (1 - mean)) + 1e-6
@@ -159,14 +161,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Learns from at most ``max_labelled`` labelled rows outside the held-out fold.
     Labels other than 0 and 1, and labels of no document, teach nothing; without
     labels every score is a half. Null and empty texts are scored like others,
-    very long ones whole; repeated rows are scored each, and teach each. Columns
-    of ``docs`` named ``q_...`` don't matter. An empty table gives an empty one.
+    very long ones whole. Rows that repeat an id are scored each; as a teacher
+    the id has the greatest of its texts. Columns of ``docs`` named ``q_...``
+    don't matter. An empty table gives an empty one.
     """
     usable = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where((fold(F.col("label_id")) != 0) & F.col("label").isin(0, 1)).groupBy("label_id").agg(F.min("label").cast("int").alias("label"))
     # at most max_labelled rows of two numbers
     chosen = F.broadcast(table(usable.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)))
     rows = docs.select(F.struct("*").alias("src"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample, names = measured(rows.join(chosen, F.col("id") == F.col("label_id")).select("text", "label"), F.col("text"))
+    taught = rows.join(chosen, F.col("id") == F.col("label_id")).groupBy("id", "label").agg(F.max("text").alias("text"))
+    sample, names = measured(taught.select("text", "label"), F.col("text"))
+    # one row of numbers for each of the chosen ids
     seen = sample.select("label", *names).toPandas()
     model = fit(seen[names].to_numpy(float), seen["label"].to_numpy(float), names)
     out, _ = measured(rows.select("src", (fold(F.col("id")) == 0).alias("held_out"), "text"), F.col("text"))
