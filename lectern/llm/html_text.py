@@ -2,13 +2,16 @@
 
 Markup says of a block that it is in the article, outside it in an element that
 can't be main text, in something whose name only hints at page furniture, or
-open. The token streams of a host's pages, with a mark at each block's edge, are
+open. Reader comments are unique by nature, and so are many adverts: whatever is
+named as comments is out, and so is what is named as an advert, a sidebar or the
+like, unless it is the larger part of what may be main text, as a wrapper is. The token streams of a host's pages, with a mark at each block's edge, are
 concatenated and their suffixes sorted by their first DEPTH tokens; an interval
 of the array with so long a common prefix on PAGES or more distinct pages is a
 repeated substring. The array is built over all blocks of all pages. Repeats
 decide what markup leaves in doubt: covered runs of open blocks go and unique
 runs stay, and a block that its name hints at goes if it repeats. An article's
-plain blocks stay, whatever repeats.
+plain blocks stay, whatever repeats. Where a host has fewer than PAGES pages
+nothing can repeat, and what a name hints at goes if it is the smaller part.
 
 A host of many pages is cut into shards of bounded size, each with an array of
 its own; substrings that no shard has often enough are then counted over all of
@@ -55,11 +58,17 @@ FURNITURE = COMMENTS | set(
 TOP = set("header site-header masthead topbar".split())
 #: A name with such a part hints at furniture.
 HINT = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popups?|modal|newsletter|subscri\w*|paywall|sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|social|share|sharing|related|recommended|login|signup|search|pagination|pager|skip|masthead|topbar)(?:[_-]|$)", re.I)
+#: A name with such a part is of reader comments, but not if another part says that it only tells of their state.
+COMMENT = re.compile(r"(?:^|[_-])(?:comments?|commentlist|commentary|repl(?:y|ies)|disqus|respond)(?:[_-]|$)", re.I)
+STATE = re.compile(r"(?:^|[_-])(?:no|not|has|have|with|without|open|opened|closed|enabled|disabled|free|on|off)(?:[_-]|$)", re.I)
+#: A name with such a part is of furniture that tends to be unique.
+SURE_HINT = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|popups?|newsletter|subscri\w*|paywall|sidebars?|breadcrumbs?|social|share|sharing|login|signup|pagination|pager)(?:[_-]|$)", re.I)
 #: Elements whose start ends an open one of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = BLOCK - {"body", "head", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "optgroup"}
-#: Kinds of blocks: the article's, none of it, open, and hinted at inside an article and outside.
-ARTICLE, OUT, OPEN, DOUBT, HINTED = 0, 1, 2, 3, 4
+#: Kinds of blocks: the article's, none of it, open, hinted at inside an article and outside; and so named that they are out if they are the smaller part.
+ARTICLE, OUT, OPEN, DOUBT, HINTED, NAMED, NAMED_OUTSIDE = range(7)
+INSIDE = (ARTICLE, DOUBT, NAMED)
 
 
 def kind_of(name: str, given: dict, kind: int, parent: str, top: bool) -> int:
@@ -69,15 +78,21 @@ def kind_of(name: str, given: dict, kind: int, parent: str, top: bool) -> int:
     hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     if kind == OUT or hidden or not FURNITURE.isdisjoint(names) or role in OUTSIDE_ROLES:
         return OUT
+    if name not in ("body", "html") and any(COMMENT.search(n) and not STATE.search(n) for n in names):
+        return OUT
     if name in OUTSIDE:
         # a form around the whole page says nothing about what is in it
         return HINTED if name == "form" and top else OUT
     if name in ("article", "main") or role in MAIN_ROLES or "articlebody" in given.get("itemprop", "").lower():
-        return kind if kind == DOUBT else ARTICLE
-    if kind not in (ARTICLE, DOUBT) and (name == "header" or not TOP.isdisjoint(names)):
+        return kind if kind in (DOUBT, NAMED) else ARTICLE
+    if kind not in INSIDE and (name == "header" or not TOP.isdisjoint(names)):
         return OUT
-    if name not in ("body", "html") and any(map(HINT.search, names)):
-        return DOUBT if kind in (ARTICLE, DOUBT) else HINTED
+    if name in ("body", "html") or kind in (NAMED, NAMED_OUTSIDE):
+        return kind
+    if any(SURE_HINT.search(n) and not STATE.search(n) for n in names):
+        return NAMED if kind in INSIDE else NAMED_OUTSIDE
+    if any(map(HINT.search, names)):
+        return DOUBT if kind in INSIDE else HINTED
     return kind
 
 
@@ -152,13 +167,28 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def sizes(kinds: list[int], texts: list[str]) -> list[int]:
+    size = [0] * 7
+    for k, t in zip(kinds, texts):
+        size[k] += len(t)
+    return size
+
+
+def settled(kinds: list[int], texts: list[str], named: tuple[int, int]) -> list[int]:
+    """The kinds with the ``named`` ones out where they are the smaller part, of the article or of what is open; else in doubt."""
+    size = sizes(kinds, texts)
+    inside, outside = named
+    new = {inside: OUT if size[inside] < size[ARTICLE] else DOUBT, outside: OUT if size[outside] < size[OPEN] else HINTED}
+    return [new.get(k, k) for k in kinds]
+
+
 def parse(batches):
     for b in batches:
         kinds, texts = [], []
         for v in b.column("html"):
             found = blocks(v.as_py())
-            kinds.append([k for k, _ in found])
             texts.append([t for _, t in found])
+            kinds.append(settled([k for k, _ in found], texts[-1], (NAMED, NAMED_OUTSIDE)))
         yield pa.RecordBatch.from_arrays([b.column("src"), b.column("host"), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["src", "host", "kinds", "blocks"])
 
 
@@ -203,9 +233,7 @@ def repeated_starts(ids: np.ndarray, page: np.ndarray) -> np.ndarray:
 
 def in_doubt(kinds: list[int], texts: list[str]) -> bool:
     """Whether markup alone doesn't decide on the page."""
-    size = [0] * 5
-    for k, t in zip(kinds, texts):
-        size[k] += len(t)
+    size = sizes(kinds, texts)
     return size[DOUBT] > 0 or size[OPEN] + size[HINTED] > size[ARTICLE]
 
 
@@ -224,6 +252,8 @@ def solve_shard(shard: pa.Table) -> pa.Table:
     cut = np.searchsorted(starts, edges)
     out = []
     for i, (kind, row, more) in enumerate(zip(kinds, texts, shard["more"].to_pylist())):
+        if len(same) < PAGES and not more:
+            kind = settled(kind, row, (DOUBT, HINTED))
         if in_doubt(kind, row):
             out.append(chosen(kind, row, np.union1d(starts[cut[i] : cut[i + 1]] - edges[i], np.array(more or (), np.int64))))
         else:
