@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,17 +187,33 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     if parts == 1:
         return rows.mapInArrow(scan_with(part(0), text_col), schema)
     numbered = table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nr")))
-    found = [numbered.select(F.struct("nr", F.col("row").getField(text_col).alias("text")).alias("src")).mapInArrow(scan_with(part(k), "text"), T.StructType.fromDDL(f"src struct<nr: bigint, text: string>, {FOUND}")) for k in range(parts)]
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionByName(f)
+    asked = numbered.select(F.struct("nr", F.col("row").getField(text_col).alias("text")).alias("src"))
+    found = []
+    for k in range(parts):  # one after the other: a pass's patterns are gone before the next one's are made
+        patterns = part(k)
+        hits = asked.mapInArrow(scan_with(patterns, "text"), T.StructType.fromDDL(f"src struct<nr: bigint, text: string>, {FOUND}"))
+        found.append(table(hits.select("src.nr", "n_words", "spans", "items")))
+        patterns.destroy()
     # one row for each row and pass: a group holds as many rows as there are passes
-    merged = merged.groupBy("src.nr").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.aggregate(
-        F.array_sort("all"), F.slice(F.col("all"), 1, 0),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return numbered.join(merged, "nr").select(F.col("row").alias("src"), "n_words", F.when(F.size("all") == 0, F.col("all")).otherwise(joined).alias("spans"), "items")
+    merged = reduce(DataFrame.unionByName, found).groupBy("nr").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.mapInArrow(joined, merged.schema)
+    return numbered.join(merged, "nr").select(F.col("row").alias("src"), "n_words", "spans", "items")
+
+
+def joined(batches):
+    """Sorted spans with those that meet made one."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            one: list[dict] = []
+            for s in spans:
+                if one and one[-1]["end"] >= s["first"]:
+                    one[-1]["end"] = max(one[-1]["end"], s["end"])
+                else:
+                    one.append(s)
+            out.append(one)
+        at = batch.schema.get_field_index("spans")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
 def judged(found: DataFrame) -> DataFrame:
