@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import table
+from lectern.operators.scan import running
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -51,27 +52,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``source, passes, cut``: whole passes over a source, and the last hash (inclusive) that one more pass takes.
+    """``source, edge, below, rest, tied``: the hash at which a source's running sum reaches the rest of its budget.
 
-    ``sized``: source, size, h (32 hex digits). The hash at which the running
-    sum crosses the rest of the budget is taken if that comes nearer.
+    ``sized``: source, size, h (32 hex digits). ``rest`` is the budget after whole
+    passes, ``below`` the sum before the edge, ``tied`` the rows that have its hash.
     """
     size, target = F.col("source_size"), F.col("target")
     passes = F.when(size == 0, 0).otherwise(F.floor(target / size)).cast("long")
-    edge = budgets.select(
-        "source", F.col("target"), passes.alias("passes"), F.lit("").alias("prefix"),
-        (target - passes * size).alias("rest"), F.lit(0).cast("long").alias("below"),
-    )
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    edge = budgets.select("source", (target - passes * size).alias("rest"), F.lit(0).cast("long").alias("below"), F.lit("").alias("prefix"))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     for digits in LEVELS:
-        inside = sized.withColumnRenamed("source", "s").join(edge, F.col("s").eqNullSafe(F.col("source")) & F.col("h").startswith(F.col("prefix")))
-        histogram = inside.groupBy("source", "passes", "rest", "below", "prefix", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"))
-        summed = histogram.withColumn("upto", F.col("below") + F.sum("size").over(running))
+        bounds = edge.withColumnRenamed("source", "of")
+        inside = sized.join(bounds, F.col("of").eqNullSafe(F.col("source")) & F.col("h").startswith(F.col("prefix"))).drop("of")
+        if digits == LEVELS[1]:  # from here on only the edges' first buckets are read
+            sized = table(inside.select("source", "size", "h"))
+            inside = sized.join(bounds, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+        histogram = inside.groupBy("source", "rest", "below", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("tied"))
+        summed = histogram.withColumn("upto", F.col("below") + F.sum("size").over(upto))
         # the first bucket whose sum reaches the rest
         found = summed.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("size") < F.col("rest")))
-        edge = table(found.select("source", "passes", "rest", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("size")).alias("below"), F.col("size").alias("last")).groupBy("source", "passes", "rest").agg(F.min(F.struct("prefix", "below", "last")).alias("e")).select("source", "passes", "rest", "e.*"))
-    nearer = F.col("below") + F.col("last") - F.col("rest") <= F.col("rest") - F.col("below")
-    return edge.select("source", F.col("prefix").alias("edge"), nearer.alias("with_edge"))
+        edge = found.groupBy("source", "rest").agg(F.min(F.struct(F.col("bucket").alias("prefix"), (F.col("upto") - F.col("size")).alias("below"), "tied")).alias("e"))
+        edge = table(edge.select("source", "rest", "e.*"))
+    return edge.withColumnRenamed("prefix", "edge")
 
 
 def order_key(ident: Column, text: Column) -> Column:
@@ -79,39 +81,57 @@ def order_key(ident: Column, text: Column) -> Column:
 
 
 def planned(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
-    """``s, source_size, target, edge, with_edge``: a small row a source; ``s`` is the source."""
+    """``s, source_size, target, edge, below, rest, tied``: a small row a source; ``s`` is the source."""
     budgets = table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     edges = thresholds(sized.select("source", "h", "size"), budgets)
     return table(budgets.withColumnRenamed("source", "s").join(edges, F.col("s").eqNullSafe(F.col("source")), "left").drop("source"))
 
 
-def times_taken() -> Column:
-    """How often the mix takes a row that has h and its source's plan."""
+def times_taken(nth: Column) -> Column:
+    """How often the mix takes a row that has size, h and its source's plan; at the edge the row is the ``nth`` of its hash."""
     passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    extra = F.when(F.col("h") < F.col("edge"), 1).when((F.col("h") == F.col("edge")) & F.col("with_edge"), 1).otherwise(0)
+    nearer = F.col("below") + nth * F.col("size") - F.col("rest") <= F.col("rest") - (F.col("below") + (nth - 1) * F.col("size"))
+    extra = F.when(F.col("h") < F.col("edge"), 1).when((F.col("h") == F.col("edge")) & nearer, 1).otherwise(0)
     return (passes + extra).cast("long")
 
 
+def with_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, h, size) with their source's plan and ``times``, how often the mix takes each.
+
+    Equal rows have one hash. Where an edge falls among them, they are numbered:
+    which of them is taken makes no difference, how many does.
+    """
+    out = rows.join(plan, F.col("s").eqNullSafe(F.col("source")), "left")
+    one = F.lit(1).cast("long")
+    # a row a source
+    if plan.where("tied > 1").isEmpty():
+        return out.withColumn("times", times_taken(one))
+    among = F.coalesce((F.col("h") == F.col("edge")) & (F.col("tied") > 1), F.lit(False))
+    tied = table(out.where(among).withColumns({"nr": F.monotonically_increasing_id(), "one": one}))
+    tied = running(tied, ["source"], ["nr"], {"nth": "one"}).withColumn("times", times_taken(F.col("nth"))).drop("nr", "one", "nth")
+    return out.where(~among).withColumn("times", times_taken(one)).unionByName(tied)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row ``doc_id, source, h, size, source_size, target, taken`` per row of ``docs``.
 
     ``taken`` is the words the mix takes from the document: its size times the
     passes it is in. Sizes count words (null text: 0). The order of a source is
-    the md5 of id and text, so reruns agree; rows equal in both are taken
-    together. A source without words has target 0. Null ids and null sources
-    are values like others; an empty table gives an empty one.
+    the md5 of id and text, so reruns agree; of rows equal in both as many are
+    taken as come nearest to the target. A source without words has target 0.
+    Null ids and null sources are values like others; an empty table gives an
+    empty one.
     """
     sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), order_key(F.col(id_col), F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size")))
-    out = sized.join(planned(sized, weights, repeats), F.col("s").eqNullSafe(F.col("source")), "left")
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
+    out = with_times(sized, planned(sized, weights, repeats))
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``src, repeats``: the rows of ``docs`` that :func:`mix` takes, and how often; ``src`` holds their columns."""
-    rows = docs.select(F.struct("*").alias("src"), F.col(source_col).cast("string").alias("source"), order_key(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    plan = planned(table(rows.select("source", "h", n_words(F.col("text")).alias("size"))), weights, repeats)
-    out = rows.join(plan, F.col("s").eqNullSafe(F.col("source")), "left")
-    return out.select("src", F.when(n_words(F.col("text")) > 0, times_taken()).otherwise(0).alias("repeats")).where("repeats > 0")
+    rows = docs.select(F.struct("*").alias("src"), F.col(source_col).cast("string").alias("source"), order_key(F.col(id_col), F.col(text_col)).alias("h"), n_words(F.col(text_col)).alias("size"))
+    plan = planned(table(rows.select("source", "h", "size")), weights, repeats)
+    return with_times(rows.where("size > 0"), plan).select("src", F.col("times").alias("repeats")).where("repeats > 0")
 
 
 def op1_mixing(spark, sf_dir):
@@ -145,14 +165,13 @@ WITH sized AS (
 ), planned AS (
   SELECT s.*, t.source_size, t.target,
          CASE WHEN t.source_size = 0 THEN 0 ELSE floor(t.target / t.source_size)::BIGINT END AS passes,
-         sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto,
-         sum(size) OVER (PARTITION BY s.source, h)::BIGINT AS tied
+         sum(size) OVER (PARTITION BY s.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        (size * (passes + CASE WHEN upto < target - passes * source_size THEN 1
-                              WHEN upto - tied < target - passes * source_size
-                               AND upto - (target - passes * source_size) <= (target - passes * source_size) - (upto - tied) THEN 1
+                              WHEN upto - size < target - passes * source_size
+                               AND upto - (target - passes * source_size) <= (target - passes * source_size) - (upto - size) THEN 1
                               ELSE 0 END))::BIGINT AS taken
 FROM planned
 """
