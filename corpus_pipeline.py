@@ -24,15 +24,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a text that loses lines has a new n_chars."""
+    """Repeated lines go; a text that loses lines has a new n_chars, if the documents have that column."""
     out = drop_repeated_lines(docs)
-    kept = [F.col("src").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     changed = F.col("n_dropped") > 0
-    return out.select(
-        *kept,
-        F.when(changed, F.col("kept")).otherwise(F.col("src.text")).alias("text"),
-        F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("src.n_chars")).alias("n_chars"),
-    ).select(*docs.columns)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+
+    def column(name: str):
+        old = F.col("src").getField(name)
+        return (F.when(changed, new[name].cast(docs.schema[name].dataType)).otherwise(old) if name in new else old).alias(name)
+
+    return out.select(*map(column, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their weights: the documents taken, with ``repeats``, how often. Documents without words go."""
-    return mixed(docs).select("src.*", "repeats")
+    """Sources mixed to their weights: the documents taken, with ``repeats``, how often (underscores go before it where the documents have such a column). Documents without words go."""
+    name, there = "repeats", {c.lower() for c in docs.columns}
+    while name in there:
+        name = f"_{name}"
+    return mixed(docs).select("src.*", F.col("repeats").alias(name))
 
 
 STAGES = [
