@@ -51,7 +51,7 @@ def turns_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), F.substring(text, 1, HEAD).alias("head"),
         F.xxhash64(role, text).alias("t1"), F.xxhash64(F.lit(7), role, text).alias("t2"), n_words(text).alias("words"), F.lit(1).cast("long").alias("one"),
     )
-    return running(rows, ["conv_id"], ["turn", "role", "head", "t1", "t2"], {"at": "one"}).select("conv_id", "at", "t1", "t2", "words")
+    return running(table(rows), ["conv_id"], ["turn", "role", "head", "t1", "t2"], {"at": "one"}).select("conv_id", "at", "t1", "t2", "words")
 
 
 def with_shared_start(turns: DataFrame, shared_by: int = SHARED_BY, most: int = BORROWED) -> tuple[DataFrame, DataFrame]:
