@@ -7,18 +7,20 @@ pair is formed. Links are confirmed on the full shingle sets.
 
 Within a table bucket, members are compared with a pivot, not with each other:
 texts found to be in one component need no further comparison. Shingles that
-only one text has bound its similarity to any other, and so do bit maps of the
-sets; both bounds are exact and rule most pairs out unseen. What pivots and
-bounds leave open is then compared, but only across components, and never the
-texts of a half key's largest component with each other, so that no link that a
-bucket shows is lost.
+only one text has bound its similarity to any other; the bound is exact and rules
+most pairs out unseen. What pivots leave open, the texts of half keys that several
+components still share, meets at rare shingles: only shingles that more than one
+component has can be common to a pair across components, and of two linked texts
+each has one of the pair's common shingles among its first few, in the order of
+their rarity (the prefix filter). Places in that order bound the rest. So no link
+that a bucket shows is lost, and no two texts of a bucket meet just for being there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import WordHashes, drop, mix, runs, signed, table
@@ -28,10 +30,8 @@ PERCENT = 80
 #: m half keys of ROWS minhashes each, from either collection: two texts with
 #: 80% of shingles in common share no table key once in 48,000 times.
 HALVES, ROWS = 16, 3
-#: Rounds of pivots before the rest is compared in full.
+#: Rounds of pivots before the rest meets at rare shingles.
 PIVOT_ROUNDS = 2
-#: Bits of the map of a set's shingles, in words of 64.
-MAP_WORDS = 16
 NO_ID = -(1 << 63)
 
 
@@ -129,31 +129,32 @@ def shingles_of(n: int):
     return run
 
 
-def bit_maps(n: int):
-    """A text's shingles hashed to bits: a bit one text has and another lacks is a shingle they don't share."""
+def rare_meetings(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: pairs of ``texts (id, text, size, least, comp)`` in different components that may have 100 * intersection >= percent * union; all that do are there.
 
-    def run(batches):
-        word = WordHashes()
-        for batch in batches:
-            maps = np.zeros((batch.num_rows, MAP_WORDS * 64), bool)
-            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                maps[k, (shingle_set(t, word, n) >> np.uint64(32)) % np.uint64(MAP_WORDS * 64)] = True
-            words = np.packbits(maps, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, k]) for k in range(MAP_WORDS)]], names=["id", *[f"m{k}" for k in range(MAP_WORDS)]])
-
-    return run
-
-
-def map_bound(percent: int):
-    """Whether sizes less the bits that only one side has allow a link between rows x and y."""
-
-    def alone(a: str, b: str):
-        out = F.lit(0)
-        for k in range(MAP_WORDS):
-            out = out + F.bit_count(F.col(f"{a}.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{k}"))))
-        return F.col(f"{a}.size") - out
-
-    return F.least(alone("x", "y"), alone("y", "x")) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    A partner has ``least`` shingles or more, and ``percent`` of the text's own
+    number. So much gives a number of shingles, ``enough``, that a linked pair
+    has in common at least; one of a text's first ``size - enough + 1``, in any
+    one order of all shingles, is then common to both and among the other's
+    first ones too. The order: what only one component has, which no pair
+    shares, then from rare to frequent.
+    """
+    grams = table(texts.select("id", "text").mapInArrow(shingles_of(n), "id long, s long").join(texts.select("id", "comp"), "id"))
+    across = grams.groupBy("s").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("s", "n")
+    shared = table(grams.join(across, "s"))
+    partner = F.greatest(F.col("least") * 100, F.col("size") * percent)
+    enough = F.ceil((F.col("size") * 100 + partner) * percent / (100 * (100 + percent)))
+    counted = texts.select("id", "size", "least").join(shared.groupBy("id").agg(F.count("*").alias("common")), "id").where(F.col("common") >= enough)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "s"))
+    first = shared.join(counted, "id").withColumn("place", place).where(F.col("place") <= F.col("common") - enough + 1)
+    first = table(first.select("s", "id", "comp", "size", "common", "place"))
+    # of two texts of different components one is not in the shingle's main one, whose many texts don't meet each other
+    main = first.groupBy("s", "comp").agg(F.count("*").alias("n")).groupBy("s").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("s", F.col("m.comp").alias("main"))
+    met = table(first.join(table(main), "s"))
+    # where a pair meets for the first time, what is common to both comes there or later
+    rest = F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place")) + 1
+    pairs = met.where("comp <> main").alias("x").join(met.alias("y"), "s").where((F.col("x.comp") != F.col("y.comp")) & (rest * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -188,37 +189,36 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
     nearest = rows.alias("x").join(middle.select("key", "p.*").alias("p"), "key").where((F.col("x.id") != F.col("p.id")) & possible("x", "p"))
     edges = check(table(nearest.groupBy(F.col("x.id").alias("b")).agg(F.min(F.struct("p.own", "p.id")).alias("p")).select(F.col("p.id").alias("a"), "b")))
     comps = components(facts, edges)
-    for turn in range(PIVOT_ROUNDS + 1):
+    for turn in range(PIVOT_ROUNDS):
         placed = table(rows.join(comps, "id"))
         rank = F.col("own") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
         pick = F.struct(rank.alias("rank"), F.col("id"), F.col("size"), F.col("own"), F.col("comp"))
         split = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min(pick).alias("pivot")).where("p <> q")
         split = table(split.select("key", "pivot.id", "pivot.size", "pivot.own", "pivot.comp"))
         if split.isEmpty():
-            break
+            return comps
         placed = table(placed.join(split.select("key"), "key"))
         rows = placed.drop("comp")
-        # what shares a table key shares its first half key; a pair meets less often that way
-        by_half = table(placed.drop("key").distinct())
         if turn == 0:
             met = placed.alias("x").join(split.alias("y"), "key")
-        elif turn < PIVOT_ROUNDS:
-            # a half key each, another text for each: a text meets several members of its group
+        else:
+            # what shares a table key shares its first half key. A half key each, another text for each: a text meets several members of its group
+            by_half = table(placed.drop("key").distinct())
             pick = F.struct(F.xxhash64(F.lit(turn), "id", "u").alias("rank"), "id", "size", "own", "comp")
             pivots = by_half.groupBy("u").agg(F.min(pick).alias("p")).select("u", "p.*")
             met = by_half.alias("x").join(pivots.alias("y"), "u")
-        else:
-            # of two texts in different components one is not in the half key's main one, whose many texts don't meet each other
-            main = by_half.groupBy("u", "comp").agg(F.count("*").alias("n")).groupBy("u").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("u", F.col("m.comp").alias("main"))
-            maps = held.join(by_half.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(bit_maps(n), "id long, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS)))
-            mixed = table(by_half.join(main, "u").join(table(maps), "id"))
-            met = mixed.where("comp <> main").alias("x").join(mixed.alias("y"), "u").where(map_bound(percent))
         met = met.where((F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         found = check(table(met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()))
         if not found.isEmpty():
             edges = table(edges.unionByName(found))
             comps = components(facts, edges)
-    return comps
+    placed = table(rows.join(comps, "id"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min("size").alias("least")).where("p <> q").select("key", "least")
+    left = table(placed.join(split, "key").groupBy("id", "size", "comp").agg(F.min("least").alias("least")))
+    if left.isEmpty():
+        return comps
+    found = check(table(rare_meetings(left.join(held.select("id", "text"), "id"), n, percent)))
+    return comps if found.isEmpty() else components(facts, edges.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
