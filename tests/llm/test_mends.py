@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import decontamination, html_text, mixing, quality
+from lectern.llm import decontamination, html_text, mixing, near_dedup, quality
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 10, 47])
@@ -140,3 +140,58 @@ def test_one_pass_of_patterns_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
     got = {r.src.doc_id: tuple(r)[1:] for r in decontamination.find_benchmark(df, bench, pass_bytes=700).collect()}
     assert got == want and len(most) >= 3 and max(most) == 1 and not alive
+
+
+def near_template_texts(rng, groups, copies, words):
+    """Groups of near copies of one form with filled-in places: 0.9 or more alike within a group, about 0.7 across groups."""
+    template = [f"t{i}" for i in range(words)]
+    texts = []
+    for g in range(groups):
+        own = list(template)
+        for at in range(20, words, 40):  # each change of a word alters four shingles
+            own[at] = f"g{g}x{at}"
+        for c in range(copies):
+            text = list(own)
+            for _ in range(3):
+                text[rng.randrange(words)] = f"c{g}x{c}x{rng.random()}"
+            texts.append(" ".join(text))
+    return texts
+
+
+def test_near_copies_of_one_template_do_not_all_meet(spark, monkeypatch):
+    """What pivots leave open is far from all pairs of a bucket, and the links are those of brute force."""
+    texts = near_template_texts(random.Random(6), 60, 5, 500)
+    sets = [set(zip(*[t.split()[k:] for k in range(4)])) for t in texts]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[0], sets[1]) >= 0.9 and 0.6 < alike(sets[0], sets[5]) < 0.8
+    checked = []
+    monkeypatch.setattr(near_dedup, "confirm", lambda n, p, keep=near_dedup.confirm: checked.append(1) or keep(n, p))
+    pairs = []
+    monkeypatch.setattr(near_dedup, "rare_meetings", lambda *a, keep=near_dedup.rare_meetings: pairs.append(near_dedup.table(keep(*a))) or pairs[-1])
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 5 for i in range(len(texts))}
+    assert sum(p.count() for p in pairs) < 1000 < len(texts) ** 2 / 40
+
+
+def test_rare_meetings_miss_no_link(spark):
+    """Every pair of different components that is alike enough is among the candidates."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(3, 60))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            texts.append(text)
+    sets = [near_dedup.shingle_set(" ".join(t).encode(), near_dedup.WordHashes(), 4) for t in texts]
+    comp = [i if i % 3 else i - i % 6 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, " ".join(t), len(s), 1, comp[i]) for i, (t, s) in enumerate(zip(texts, sets))], "id long, text string, size long, least long, comp long")
+    got = {(r.a, r.b) for r in near_dedup.rare_meetings(df, 4, 80).collect()}
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if comp[a] != comp[b] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                assert (a, b) in got
+    assert len(got) < len(texts) ** 2 / 4
