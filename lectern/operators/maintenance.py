@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from lectern.operators.selection import at_ranks
+from lectern.stored import table
+
 # Which import state may follow which; nothing follows cancelled, committed and reverted.
 TRANSITIONS = {
     "queued": ("processing", "cancelled"),
@@ -142,9 +145,15 @@ def rate_limit(hits: DataFrame, most: int, seconds: int) -> DataFrame:
     return rows.mapInArrow(fold, StructType([hits.schema["key"], hits.schema["hit_id"], StructField("admitted", BooleanType())]))
 
 
-def percentiles(samples: DataFrame) -> DataFrame:
-    """Nearest-rank median, 95th percentile and maximum of ms by name."""
-    return samples.groupBy("name").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95"), F.max("ms").alias("max"))
+def percentiles(samples: DataFrame, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Nearest-rank percentiles (``p50``, ``p95``) and maximum of ms by name, exact whatever a name's share of the samples."""
+    values = samples.select(F.col("name").alias("g"), F.col("ms").alias("value"))
+    sizes = table(values.where("value IS NOT NULL").groupBy("g").agg(F.count("*").alias("n"), F.max("value").alias("max")))
+    ranks = [F.floor((F.col("n") * p + 99) / 100).alias(f"p{p}") for p in percents]
+    asked = sizes.select("g", F.explode(F.array_distinct(F.array(*ranks))).alias("rank"))
+    found = at_ranks(values, asked).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    out = sizes.select("*", *ranks).join(found.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of")))
+    return out.select(F.col("g").alias("name"), *[F.element_at("at", F.col(f"p{p}")).alias(f"p{p}") for p in percents], "max")
 
 
 def replace_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scalars import paragraphs
 from lectern.operators.catalog import names
+from lectern.operators.scan import running
 from lectern.operators.toc import active
 
 SHOWN = ("public", "unlisted")
@@ -143,15 +144,17 @@ def shelf_rows(library: DataFrame, works: DataFrame, progress: DataFrame, follow
 def newer_than(rows: DataFrame, events: DataFrame, seen: str) -> DataFrame:
     """``rows`` with latest_version and new_chapters, those of releases above the version ``seen`` (null: all).
 
-    A work's releases and the rows that ask about it are one ordered window.
+    A segmented scan: a work's releases and the rows that ask about it are in
+    one order, but not in one task; a work that half of all readers follow is
+    spread over many. What the asking rows carry beyond the scan is looked up.
     """
-    upto = Window.partitionBy("work_id").orderBy("v", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("work_id")
-    asked = rows.withColumn("row", F.struct(*rows.columns)).select("work_id", F.coalesce(F.col(seen), F.lit(0)).cast("long").alias("v"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"), "row")
-    held = events.select("work_id", F.col("release_version").cast("long").alias("v"), F.lit(0).alias("asks"), F.col("n_new").cast("long").alias("n"))
-    both = held.unionByName(asked, allowMissingColumns=True)
-    both = both.withColumns({"below": F.sum("n").over(upto), "all": F.sum("n").over(whole), "latest_version": F.max(F.when(F.col("asks") == 0, F.col("v"))).over(whole).cast("int")})
-    return both.where("asks = 1").select("row.*", "latest_version", (F.col("all") - F.col("below")).alias("new_chapters"))
+    n, v = F.col("n_new").cast("long"), F.col("release_version").cast("long")
+    asked = rows.withColumn("row", F.struct(*rows.columns)).select("work_id", F.coalesce(F.col(seen), F.lit(0)).cast("long").alias("v"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"), F.xxhash64("row").alias("tie"), "row")
+    held = events.select("work_id", v.alias("v"), F.lit(0).alias("asks"), n.alias("n"), F.lit(0).cast("long").alias("tie"))
+    both = running(held.unionByName(asked, allowMissingColumns=True), ["work_id"], ["v", "asks", "tie"], {"below": "n"})
+    whole = events.groupBy(F.col("work_id").alias("work")).agg(F.sum(n).alias("all"), F.max(v).cast("int").alias("latest_version"))
+    out = both.where("asks = 1").join(whole, F.col("work_id") == F.col("work"), "left")
+    return out.select("row.*", "latest_version", (F.coalesce("all", F.lit(0)) - F.col("below")).alias("new_chapters"))
 
 
 def belongs(claims: DataFrame, revisions: DataFrame, chapters: DataFrame, works: DataFrame, items: DataFrame) -> DataFrame:

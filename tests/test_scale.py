@@ -1,5 +1,6 @@
 """Forms for hot keys and large stores: the gram index, scans, selection, streams, sinks."""
 
+import random
 import re
 import shutil
 from pathlib import Path
@@ -7,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import gram_index, search
+from lectern.operators import gram_index, maintenance, projections, search
 
 
 def book(spark, bodies, titles=()):
@@ -72,3 +73,29 @@ def test_index_cuts_long_texts(spark, tmp_path, monkeypatch):
     text = "0123456789abcdefghij" * 3 + "the end"
     df = spark.createDataFrame([("k", text), ("k2", "ab")], "key string, body string")
     assert {r.gram for r in gram_index.grams_of(df, "key", "body").collect()} == {text[i : i + 3] for i in range(len(text) - 2)}
+
+
+def test_a_work_that_half_of_all_follow(spark):
+    """New chapters by scan: the hot work's rows are spread, and every count is right."""
+    follows = spark.range(6000).select(F.col("id").alias("user_id"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).cast("int").alias("work_id"), F.when(F.col("id") % 11 != 0, (F.col("id") % 9).cast("int")).alias("last_seen"))
+    events = spark.range(200).select((F.col("id") % 20).cast("int").alias("work_id"), (F.col("id") / 20).cast("int").alias("release_version"), (F.col("id") % 4).alias("n_new"))
+    got = {r.user_id: (r.latest_version, r.new_chapters) for r in projections.newer_than(follows, events, "last_seen").collect()}
+    by = {}
+    for e in events.collect():
+        by.setdefault(e.work_id, []).append((e.release_version, e.n_new))
+    for f in follows.collect():
+        of = by.get(f.work_id, [])
+        assert got[f.user_id] == (max((v for v, _ in of), default=None), sum(n for v, n in of if v > (f.last_seen or 0)))
+    assert projections.newer_than(follows.limit(0), events, "last_seen").count() == 0
+    assert {r.new_chapters for r in projections.newer_than(follows, events.limit(0), "last_seen").collect()} == {0}
+    plan = projections.newer_than(follows, events, "last_seen")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not re.search(r"windowspecdefinition\(work_id#\d+,[^)]*v#", plan)  # no order within a whole work
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(3)
+    data = {"hot": [rng.choice([0.0, -0.0, 1.5, 1.5000001, -2.0, 1e300, -1e-300, float("inf")]) for _ in range(3000)], "one": [4.25], "wide": [rng.uniform(-1, 1) * 10 ** rng.randint(-30, 30) for _ in range(777)], None: [1.0, 2.0, 3.0], "many": [float(rng.randint(0, 50)) for _ in range(1000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in [*vs, None]], "name string, ms double")
+    got = {r.name: (r.p50, r.p95, r.max) for r in maintenance.percentiles(df).collect()}
+    assert got == {g: (sorted(vs)[-(-len(vs) * 50 // 100) - 1], sorted(vs)[-(-len(vs) * 95 // 100) - 1], max(vs)) for g, vs in data.items()}
+    assert maintenance.percentiles(df.limit(0)).count() == 0
