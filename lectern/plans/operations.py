@@ -135,6 +135,12 @@ def taxonomy_invalid(spark, d):
     return M.invalid_assignments(edges, frame(spark, d, "tags"), edges.where("work_id % 2 <> 0"), "tag_id", 4)
 
 
+def books(spark, d):
+    works = frame(spark, d, "works").select("id", F.replace("title", F.lit("#"), F.lit("_")).alias("title"), "author", F.concat(F.lit("v"), F.col("edit_version").cast("string")).alias("version_label"))
+    chapters = frame(spark, d, "chapters").select("work_id", "position", "label_raw", F.lit(None).cast("string").alias("title"), F.col("volume").alias("body"))
+    return works, chapters
+
+
 @query(
     "export_txt",
     over("""SELECT id, file, sha256(content) AS content FROM (SELECT w.id, w.title || '.txt' AS file, chr(65279) || '作品名：' || w.title || chr(10) || '作者：' || w.author || chr(10) || '版本：v' || w.edit_version || chr(10)
@@ -142,9 +148,7 @@ def taxonomy_invalid(spark, d):
 FROM (SELECT id, replace(title, '#', '_') AS title, author, edit_version FROM works) w JOIN chapters c ON c.work_id = w.id GROUP BY w.id, w.title, w.author, w.edit_version) t"""),
 )
 def export_txt(spark, d):
-    works = frame(spark, d, "works").select("id", F.replace("title", F.lit("#"), F.lit("_")).alias("title"), "author", F.concat(F.lit("v"), F.col("edit_version").cast("string")).alias("version_label"))
-    chapters = frame(spark, d, "chapters").select("work_id", "position", "label_raw", F.lit(None).cast("string").alias("title"), F.col("volume").alias("body"))
-    return E.txt(works, chapters).select("id", "file", F.sha2("content", 256).alias("content"))
+    return E.txt(*books(spark, d)).select("id", "file", F.sha2("content", 256).alias("content"))
 
 
 @query("export_budget", "SELECT work_id, sum(bytes)::BIGINT AS bytes FROM (SELECT DISTINCT source AS work_id, doc_id % 50 AS k, octet_length(encode(source)) * (doc_id % 50) AS bytes FROM documents) t GROUP BY work_id HAVING sum(bytes) > 500")
@@ -167,7 +171,7 @@ def sitemap_chapters(spark, d):
     """Chapter pages, each with the time of its published revision."""
     works = frame(spark, d, "works").where("visibility = 'public'").select("id", "title", F.col("active_release_id").alias("release_id"))
     items = frame(spark, d, "release_items").join(works, "release_id").join(frame(spark, d, "revisions").select(F.col("id").alias("revision_id"), F.col("created_at").alias("lastmod")), "revision_id")
-    return E.sitemap_page(items.select("id", "title", "lastmod", "chapter_id"), "https://x.example", 3, 300, span=100)
+    return E.sitemap_page(items.select("id", "title", "lastmod", "chapter_id"), "https://x.example", 3, 300)
 
 
 @query("sitemap_index", "SELECT kind, u.page::INT AS page FROM (SELECT 'works' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'chapters', count(*) FROM orders) t, unnest(range(1, ((n + 999) // 1000 + 1)::BIGINT)) u(page)")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import gram_index, maintenance, projections, search
+from lectern.sources import book_files, epub_files, exports
 
 
 def book(spark, bodies, titles=()):
@@ -99,3 +100,53 @@ def test_exact_percentiles(spark):
     got = {r.name: (r.p50, r.p95, r.max) for r in maintenance.percentiles(df).collect()}
     assert got == {g: (sorted(vs)[-(-len(vs) * 50 // 100) - 1], sorted(vs)[-(-len(vs) * 95 // 100) - 1], max(vs)) for g, vs in data.items()}
     assert maintenance.percentiles(df.limit(0)).count() == 0
+
+
+def names_in(folder):
+    return sorted(str(p.relative_to(folder)) for p in Path(folder).rglob("*") if p.is_file()) if Path(folder).exists() else []
+
+
+def test_files_appear_on_commit(spark, tmp_path):
+    folder = f"{tmp_path}/out"
+    df = spark.createDataFrame([(f"a/{i}.txt", f"text {i} 龍") for i in range(40)] + [("b.epub", None)], "file string, content string").repartition(5)
+    book_files.write_files(df, folder, F.col("file"), F.col("content"))
+    assert names_in(folder) == sorted([f"a/{i}.txt" for i in range(40)] + ["b.epub"])
+    got = {r.file: bytes(r.content).decode() for r in book_files.read_files(spark, folder, ".txt").collect()}
+    assert got == {f"a/{i}.txt": f"text {i} 龍" for i in range(40)}
+    # appending keeps the rest and replaces a file of the same name; overwriting leaves the new files only
+    book_files.write_files(df.limit(0).unionByName(spark.createDataFrame([("a/3.txt", "new"), ("c.txt", "c")], df.schema)), folder, F.col("file"), F.col("content"))
+    assert len(names_in(folder)) == 42 and Path(folder, "a/3.txt").read_text() == "new"
+    book_files.write_files(spark.createDataFrame([("only.txt", "x")], df.schema), folder, F.col("file"), F.col("content"), overwrite=True)
+    assert names_in(folder) == ["only.txt"] and book_files.read_files(spark, folder).count() == 1
+
+
+@pytest.mark.parametrize("bad", ["../up.txt", "_hidden", "", "a/.x", "ok-7.txt"])
+def test_an_aborted_write_leaves_nothing(spark, tmp_path, bad):
+    """A task that fails, or two rows for one file: no file appears, and none is left in the staging folder."""
+    folder = f"{tmp_path}/out"
+    df = spark.createDataFrame([(f"ok-{i}.txt", "x") for i in range(20)] + [(bad, "y")], "file string, content string").repartition(4)
+    with pytest.raises(Exception, match="not a file name|two rows"):
+        book_files.write_files(df, folder, F.col("file"), F.col("content"))
+    assert names_in(folder) == []
+
+
+def test_books_and_sitemaps_as_files(spark, tmp_path):
+    ids = [f"{i:08x}-0000-4000-8000-{i * 7919 % 997:012x}" for i in range(50)]
+    works = spark.createDataFrame([(i, "Same title", "A", f"2024-01-{1 + k % 28:02d}") for k, i in enumerate(ids)], "id string, title string, author string, day string").withColumns({"created_at": F.to_timestamp("day"), "lastmod": F.to_timestamp("day")})
+    chapters = works.select(F.col("id").alias("work_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("position")).select("*", F.concat(F.lit("第"), F.col("position").cast("string"), F.lit("章")).alias("label_raw"), F.lit("頭").alias("title"), F.concat(F.lit("body "), "work_id", F.col("position").cast("string")).alias("body"))
+    book_files.write_files(exports.txt(works, chapters), f"{tmp_path}/txt", book_files.book_name(F.col("id"), F.col("file")), F.col("content"))
+    texts = {r.file: bytes(r.content).decode("utf-8-sig") for r in book_files.read_files(spark, f"{tmp_path}/txt").collect()}
+    assert set(texts) == {f"{i}-Same title.txt" for i in ids} and all(f"body {i}2" in texts[f"{i}-Same title.txt"] for i in ids)
+    chapters = chapters.withColumn("body_key", F.sha2("body", 256))
+    book_files.write_files(exports.epub(works, chapters), f"{tmp_path}/epub", F.concat("id", F.lit(".epub")), F.col("content"))
+    read = epub_files.chapters(book_files.read_files(spark, f"{tmp_path}/epub", ".epub")).where("error IS NULL")
+    assert read.count() == 150 and read.where("body LIKE '%body %'").count() == 150
+    # UUIDs in order of making, in the protocol's frame
+    book_files.write_files(exports.sitemap_files(works, "https://x.example", "works", 20), f"{tmp_path}/map", F.col("file"), F.col("content"))
+    files = {r.file: bytes(r.content).decode() for r in book_files.read_files(spark, f"{tmp_path}/map").collect()}
+    urls = [u for n in (1, 2, 3) for u in re.findall(r"<loc>([^<]*)</loc>", files[f"sitemap-works-{n}.xml"])]
+    want = [r.id for r in works.orderBy("created_at", "id").collect()]
+    assert urls == [f"https://x.example/same-title-{i[:8]}" for i in want] and len(files) == 3
+    assert all(f.startswith("<?xml") and f.endswith("</urlset>") for f in files.values())
+    index = exports.sitemap_index_file(spark.createDataFrame([("works", 2), ("works", 1)], "kind string, page int"), "https://x.example").first().content
+    assert re.findall(r"<loc>([^<]*)</loc>", index) == ["https://x.example/sitemap-works-1.xml", "https://x.example/sitemap-works-2.xml"]
