@@ -30,7 +30,7 @@ def stage(files: DataFrame, pattern: str | None = None) -> tuple[DataFrame, Data
     Items: job_id, position, volume_label, label_raw, label_key, family, number,
     title, body, body_hash, content_key, warnings, needs_review. Jobs: job_id,
     status (ready, review_required, failed), encoding, chapter_count, error_code,
-    findings, the quality report.
+    findings, how many of each type :func:`ingest.quality` lists.
     """
     books = decode_files(files)
     found = text_files.chapters(books, pattern)
@@ -39,7 +39,9 @@ def stage(files: DataFrame, pattern: str | None = None) -> tuple[DataFrame, Data
         F.col("path").alias("job_id"), "position", "volume_label", "label_raw", label["key"].alias("label_key"), F.split_part(label["key"], F.lit(":"), F.lit(1)).alias("family"),
         F.when(F.size(parts) == 1, F.get(parts, F.lit(0)).cast("long")).alias("number"), "title", "body", F.sha2("body", 256).alias("body_hash"), object_key(F.col("body"), "txt").alias("content_key"), "warnings", "needs_review",
     )
-    report = ingest.quality(items.withColumn("volume", F.col("volume_label"))).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("type", "positions"))).alias("findings"))
+    # the rows of the report are ingest.quality's; a job has their number by type
+    found = ingest.quality(items.withColumn("volume", F.col("volume_label"))).select("job_id", "type", "finding").distinct().groupBy("job_id", "type").agg(F.count("*").alias("n"))
+    report = found.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("findings"))
     counted = items.groupBy("job_id").agg(F.count("*").cast("int").alias("chapter_count"), F.bool_or("needs_review").alias("review"))
     jobs = books.select(F.col("path").alias("job_id"), "encoding").join(counted, "job_id", "left").join(report, "job_id", "left")
     empty = F.col("chapter_count").isNull()

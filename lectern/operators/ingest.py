@@ -12,28 +12,32 @@ MOST_NUMBER = 1_000_000
 
 
 def repeated(items: DataFrame, key: Column, where: Column, kind: str) -> DataFrame:
-    """Groups of more than one item with a key; ``items``: job_id, position, label_raw and what the key needs."""
-    groups = items.where(where).groupBy("job_id", key.alias("key")).agg(F.array_sort(F.collect_list("position")).alias("positions")).where(F.size("positions") > 1)
-    return groups.select("job_id", F.lit(kind).alias("type"), "positions")
+    """Items that share a key with others of their job, a row each; ``items``: job_id, position, label_raw and what the key needs."""
+    keyed = items.where(where).select("job_id", "position", key.alias("key"))
+    groups = keyed.groupBy("job_id", "key").agg(F.count("*").alias("n"), F.min("position").alias("finding")).where("n > 1").drop("n")
+    # two plain exchanges: adaptive execution splits a key that very many items share
+    return keyed.join(groups, ["job_id", "key"]).select("job_id", F.lit(kind).alias("type"), "finding", "position")
 
 
 def gaps(items: DataFrame) -> DataFrame:
-    """Neighbouring single-number labels of a volume and key family between which numbers are missing."""
+    """Neighbouring single-number labels of a volume and key family between which numbers are missing, both as rows."""
     usable = items.where(F.col("number").isNotNull() & F.col("number").between(1, MOST_NUMBER))
     w = Window.partitionBy("job_id").orderBy("position")
     both = usable.select("job_id", "position", "volume", "family", "number", *[F.lag(c).over(w).alias(f"last_{c}") for c in ("position", "volume", "family", "number")])
     jump = F.col("volume").eqNullSafe(F.col("last_volume")) & (F.col("family") == F.col("last_family")) & (F.col("number") > F.col("last_number") + 1)
-    return both.where(jump).select("job_id", F.lit("gap").alias("type"), F.array("last_position", "position").alias("positions"))
+    return both.where(jump).select("job_id", F.lit("gap").alias("type"), F.col("last_position").alias("finding"), F.explode(F.array("last_position", "position")).alias("position"))
 
 
 def quality(items: DataFrame) -> DataFrame:
-    """``job_id, type, positions``: empty bodies, repeated labels and bodies, gaps.
+    """``job_id, type, finding, position``: empty bodies, repeated labels and bodies, gaps, a row for each item concerned.
 
-    ``items``: job_id, position, volume, label_key, family, number, body_hash.
+    Rows of one finding have its first position as ``finding``; no finding is
+    an array, however many items it concerns. ``items``: job_id, position,
+    volume, label_key, family, number, body_hash.
     """
-    empty = items.where(F.col("body_hash") == EMPTY_HASH).select("job_id", F.lit("empty").alias("type"), F.array("position").alias("positions"))
-    labels = repeated(items, F.concat_ws("|", F.coalesce("volume", F.lit("")), "label_key"), F.col("label_key").isNotNull(), "duplicate_label")
-    bodies = repeated(items, F.col("body_hash"), F.col("body_hash") != EMPTY_HASH, "duplicate_body")
+    empty = items.where(F.col("body_hash") == EMPTY_HASH).select("job_id", F.lit("empty").alias("type"), F.col("position").alias("finding"), "position")
+    labels = repeated(items, F.struct(F.coalesce("volume", F.lit("")), "label_key"), F.col("label_key").isNotNull(), "duplicate_label")
+    bodies = repeated(items, F.struct("body_hash"), F.col("body_hash") != EMPTY_HASH, "duplicate_body")
     return reduce(DataFrame.unionByName, [empty, labels, bodies, gaps(items)])
 
 

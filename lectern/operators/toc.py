@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.scan import running
+from lectern.stored import table
+
 
 def ordinals(chapters: DataFrame, descending: bool = False) -> DataFrame:
     """``ordinal`` from 0 within each work; merged and deleted chapters must be gone."""
@@ -49,8 +52,29 @@ def ends(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("work_id").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"), F.count("*").alias("chapters"))
 
 
-def version_token(chapters: DataFrame) -> DataFrame:
-    """A hash of the ordered chapters: it changes if and only if the table of contents does."""
-    row = F.struct("position", "id", "label_raw")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat_ws(":", r["position"].cast("string"), r["id"].cast("string"), r["label_raw"])), "\n")
-    return chapters.groupBy("work_id").agg(F.sha2(text, 256).alias("toc_version"))
+#: Chapters, or digests of the level below, in one digest.
+CHUNK = 4_096
+
+
+def version_token(chapters: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``work_id, toc_version``: a hash of the ordered chapters that changes if and only if the table of contents does.
+
+    A tree of digests: each covers ``chunk`` neighbouring chapters, or digests of
+    the level below, and a work's last one is its token. So a task holds a chunk,
+    not a work; a work of one chunk is hashed at once. Rows that tie are in the
+    order of their labels. A work without chapters has no token.
+    """
+    line = F.concat_ws(":", F.col("position").cast("string"), F.col("id").cast("string"), "label_raw").alias("line")
+    placed = running(chapters.select("work_id", "position", "id", "label_raw", line, F.lit(1).cast("long").alias("one")), ["work_id"], ["position", "id", "label_raw"], {"nth": "one"})
+    return _tokens(placed.select("work_id", (F.col("nth") - 1).alias("at"), "line"), chunk)
+
+
+def _tokens(rows: DataFrame, chunk: int) -> DataFrame:
+    """A level of the tree, and those above it for the works that need them: one for each factor of ``chunk`` in the largest work."""
+    lines = F.array_sort(F.collect_list(F.struct("at", "line")))["line"]
+    rows = table(rows.groupBy("work_id", F.floor(F.col("at") / chunk).alias("at")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("line")))
+    large = rows.where("at > 0").select("work_id").distinct()
+    if large.isEmpty():
+        return rows.select("work_id", F.col("line").alias("toc_version"))
+    done = rows.join(large, "work_id", "left_anti").select("work_id", F.col("line").alias("toc_version"))
+    return done.unionByName(_tokens(rows.join(large, "work_id", "left_semi"), chunk))

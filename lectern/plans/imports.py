@@ -19,20 +19,16 @@ VIEWS["existing"] = """SELECT work_id, id, 'k' || CAST(id % 23 AS VARCHAR(3)) AS
 VIEWS["source"] = """SELECT work_id, id AS item_id, 'k' || CAST(id % 23 AS VARCHAR(3)) AS label_key, CAST(CASE WHEN id % 9 = 0 THEN position + 3 ELSE position END AS INT) AS position,
   'b' || CAST(CASE WHEN id % 5 = 0 THEN id % 41 ELSE id % 40 END AS VARCHAR(3)) AS body_hash, CAST(id % 3 % 2 AS VARCHAR(3)) AS resource_digest FROM chapters WHERE id % 4 <> 2"""
 
-QUALITY = """SELECT job_id, 'empty' AS type, position::VARCHAR AS positions FROM items WHERE body_hash = 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'
-UNION ALL SELECT job_id, 'duplicate_label', string_agg(position, ',' ORDER BY position) FROM items WHERE label_key IS NOT NULL GROUP BY job_id, volume, label_key HAVING count(*) > 1
-UNION ALL SELECT job_id, 'duplicate_body', string_agg(position, ',' ORDER BY position) FROM items WHERE body_hash <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' GROUP BY job_id, body_hash HAVING count(*) > 1
-UNION ALL SELECT job_id, 'gap', lp || ',' || position FROM (SELECT *, lag(position) OVER w AS lp, lag(volume) OVER w AS lv, lag(family) OVER w AS lf, lag(number) OVER w AS ln FROM items WHERE number BETWEEN 1 AND 1000000 WINDOW w AS (PARTITION BY job_id ORDER BY position)) t
+QUALITY = """SELECT job_id, 'empty' AS type, position AS finding, position FROM items WHERE body_hash = 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'
+UNION ALL SELECT job_id, 'duplicate_label', finding, position FROM (SELECT *, count(*) OVER w AS n, min(position) OVER w AS finding FROM items WHERE label_key IS NOT NULL WINDOW w AS (PARTITION BY job_id, volume, label_key)) t WHERE n > 1
+UNION ALL SELECT job_id, 'duplicate_body', finding, position FROM (SELECT *, count(*) OVER w AS n, min(position) OVER w AS finding FROM items WHERE body_hash <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' WINDOW w AS (PARTITION BY job_id, body_hash)) t WHERE n > 1
+UNION ALL SELECT job_id, 'gap', lp, u.position FROM (SELECT *, lag(position) OVER w AS lp, lag(volume) OVER w AS lv, lag(family) OVER w AS lf, lag(number) OVER w AS ln FROM items WHERE number BETWEEN 1 AND 1000000 WINDOW w AS (PARTITION BY job_id ORDER BY position)) t, unnest([lp, t.position]) AS u(position)
   WHERE volume = lv AND family = lf AND number > ln + 1"""
 
 
-def listed(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias("positions")
-
-
 @query("import_quality", over(QUALITY))
 def import_quality(spark, d):
-    return I.quality(frame(spark, d, "items")).select("job_id", "type", listed(F.col("positions")))
+    return I.quality(frame(spark, d, "items"))
 
 
 @query("duplicate_bodies", "SELECT sha256(text) AS body_hash, doc_id FROM documents WHERE text <> '' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1)")

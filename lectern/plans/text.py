@@ -43,9 +43,17 @@ def toc_search(spark, d):
     return toc.titled(frame(spark, d, "chapters"), ["CH 12"], ("label_raw", "volume")).select("id")
 
 
-@query("toc_version", over("SELECT work_id, sha256(string_agg(position || ':' || id || ':' || label_raw, chr(10) ORDER BY position, id)) AS toc_version FROM chapters GROUP BY work_id"))
+TOKENS = """WITH lines AS (SELECT work_id, position || ':' || id || ':' || label_raw AS line, (row_number() OVER (PARTITION BY work_id ORDER BY position, id) - 1) // 8 AS piece FROM chapters),
+low AS (SELECT work_id, piece, sha256(string_agg(line, chr(10) ORDER BY split_part(line, ':', 1)::INT, split_part(line, ':', 2)::BIGINT)) AS line FROM lines GROUP BY work_id, piece),
+mid AS (SELECT work_id, piece // 8 AS part, CASE WHEN max(piece) OVER (PARTITION BY work_id) = 0 THEN NULL ELSE line END AS line, line AS lone, piece AS nr FROM low),
+high AS (SELECT work_id, part, CASE WHEN count(line) = 0 THEN min(lone) ELSE sha256(string_agg(line, chr(10) ORDER BY nr)) END AS line FROM mid GROUP BY work_id, part)
+SELECT work_id, CASE WHEN count(*) = 1 THEN min(line) ELSE sha256(string_agg(line, chr(10) ORDER BY part)) END AS toc_version FROM high GROUP BY work_id"""
+
+
+@query("toc_version", over(TOKENS))
 def toc_version(spark, d):
-    return toc.version_token(frame(spark, d, "chapters"))
+    """Chunks of eight, so that most works have a tree."""
+    return toc.version_token(frame(spark, d, "chapters"), 8)
 
 
 @query("paragraphs", "SELECT doc_id, (u.pos - 1)::INT AS at, u.p FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS ps FROM documents) t, unnest(ps) WITH ORDINALITY AS u(p, pos)")

@@ -1,5 +1,6 @@
 """Forms for hot keys and large stores: the gram index, scans, selection, streams, sinks."""
 
+import hashlib
 import random
 import re
 import shutil
@@ -8,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import gram_index, maintenance, projections, search
+from lectern.operators import gram_index, ingest, maintenance, projections, search, toc
 from lectern.sources import book_files, epub_files, exports
 
 
@@ -150,3 +151,29 @@ def test_books_and_sitemaps_as_files(spark, tmp_path):
     assert all(f.startswith("<?xml") and f.endswith("</urlset>") for f in files.values())
     index = exports.sitemap_index_file(spark.createDataFrame([("works", 2), ("works", 1)], "kind string, page int"), "https://x.example").first().content
     assert re.findall(r"<loc>([^<]*)</loc>", index) == ["https://x.example/sitemap-works-1.xml", "https://x.example/sitemap-works-2.xml"]
+
+
+def test_a_body_that_very_many_items_share(spark):
+    """A million items with one hash: findings are rows, and no row or task holds them all."""
+    items = spark.range(1_000_000, numPartitions=8).select(F.lit(1).alias("job_id"), F.col("id").alias("position"), F.lit(None).cast("string").alias("volume"), F.lit(None).cast("string").alias("label_key"), F.lit("f").alias("family"), F.lit(None).cast("int").alias("number"), F.when(F.col("id") % 100_000 == 7, F.concat(F.lit("own"), F.col("id").cast("string"))).otherwise("same").alias("body_hash"))
+    got = ingest.quality(items)
+    assert got.groupBy("type", "finding").count().collect() == [("duplicate_body", 0, 999_990)]
+    assert dict(got.dtypes)["position"] == "bigint"
+
+
+def test_version_token_is_a_tree(spark):
+    rows = [(w, p, 1000 * w + p, f"label {p}") for w, n in ((1, 1), (2, 8), (3, 9), (4, 700)) for p in range(n)]
+    df = spark.createDataFrame(rows, "work_id int, position int, id int, label_raw string")
+
+    def token(lines, chunk):
+        while True:
+            lines = [hashlib.sha256("\n".join(lines[i : i + chunk]).encode()).hexdigest() for i in range(0, len(lines), chunk)]
+            if len(lines) == 1:
+                return lines[0]
+
+    want = {w: token([f"{p}:{i}:{label}" for x, p, i, label in rows if x == w], 8) for w in (1, 2, 3, 4)}
+    assert {r.work_id: r.toc_version for r in toc.version_token(df.repartition(5), 8).collect()} == want
+    changed = df.withColumn("label_raw", F.when(F.col("id") == 4333, "other").otherwise(F.col("label_raw")))
+    other = {r.work_id: r.toc_version for r in toc.version_token(changed, 8).collect()}
+    assert other[4] != want[4] and {w: other[w] for w in (1, 2, 3)} == {w: want[w] for w in (1, 2, 3)}
+    assert toc.version_token(df.limit(0)).count() == 0
