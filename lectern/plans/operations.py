@@ -178,18 +178,3 @@ def sitemap_chapters(spark, d):
 def sitemap_index(spark, d):
     counts = M.manifest({"works": frame(spark, d, "customer"), "chapters": frame(spark, d, "orders")}).withColumnRenamed("table_name", "kind")
     return E.sitemap_index(counts, 1000)
-
-
-@query("optimistic_progress")
-def optimistic_progress(spark, d):
-    from lectern.operators.activity import merge_progress
-
-    e = F.col("event_id")
-    writes = frame(spark, d, "events").select("user_id", (e % 5).alias("work_id"), e.alias("seq"), (e % 7).cast("int").alias("base_version"), (e % 100).cast("int").alias("position"))
-    return merge_progress(writes)
-
-
-@query("rate_limited")
-def rate_limited(spark, d):
-    hits = frame(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("hit_id"))
-    return M.rate_limit(hits, 3, 86_400)
