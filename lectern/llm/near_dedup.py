@@ -32,6 +32,8 @@ PERCENT = 80
 HALVES, ROWS = 16, 3
 #: Rounds of pivots before the rest meets at rare shingles.
 PIVOT_ROUNDS = 2
+#: Words of 64 bits in the map that sifts texts before a join.
+SIFT = 1 << 18
 NO_ID = -(1 << 63)
 
 
@@ -221,6 +223,19 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
     return comps if found.isEmpty() else components(facts, edges.unionByName(found))
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those that ``wanted`` has no match for, so that a join with it needn't shuffle their texts.
+
+    A map of SIFT words of 64 bits, a row a word, tells which hashes occur: its
+    size is bounded whatever the tables', and no match is lost.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(64 * SIFT))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    there = (F.floor(place / 64) == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0)
+    return rows.join(F.broadcast(table(words)), there, "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, mark, n_shingles, component_id, kept, component``, a row per row of ``docs``; ``mark`` is xxhash64 of the text.
 
@@ -247,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     tables = table(keys.join(buckets, "key"))
     # one text of each class stands for it
     met = table(classes.join(tables.select("id").distinct(), "id", "left_semi").select("id", F.col("least").alias("of"), "mark"))
-    stand = texts.withColumnRenamed("id", "of").join(met, ["of", "mark"]).dropDuplicates(["of", "mark"]).select("id", "text")
+    stand = sifted(texts.withColumnRenamed("id", "of"), met, ["of", "mark"]).join(met, ["of", "mark"]).dropDuplicates(["of", "mark"]).select("id", "text")
     comps = linked(stand, tables, classes.select("id", "n_shingles"), shingle, percent)
 
     grouped = table(classes.join(comps, "id", "left").select(*kind, "least", F.coalesce("comp", "id").alias("comp")))
