@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.normal import normalised
+
+
+#: What counts as white space at a text's ends.
+SPACES = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def public_id(ident: Column) -> Column:
     """The first eight hex digits of a UUID."""
@@ -19,16 +25,11 @@ def is_night(hour: Column, start: int, end: int) -> Column:
 
 
 def slug(title: Column, most: int = 40) -> Column:
-    """Runs of letters and digits joined by dashes, lower-cased, cut at the last dash within ``most``.
-
-    Compatibility forms are folded for full-width ASCII only.
-    """
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    runs = F.array_join(F.regexp_extract_all(F.lower(F.translate(title, wide, plain)), F.lit(r"[\p{IsHan}\p{L}\p{N}]+"), F.lit(0)), "-")
+    """Runs of letters and digits joined by dashes, lower-cased, cut at the last dash within ``most``; compatibility forms are folded."""
+    runs = F.array_join(F.regexp_extract_all(F.lower(normalised(title, "NFKC")), F.lit(r"[\p{IsHan}\p{L}\p{N}]+"), F.lit(0)), "-")
     cut = F.left(runs, F.lit(most))
-    whole = (F.length(runs) <= most) | (F.substring(runs, most + 1, 1) == "-")
-    return F.when(whole, cut).when(F.locate("-", cut) > 0, F.regexp_replace(cut, "-[^-]*$", "")).otherwise(cut)
+    dash = F.locate("-", cut) > 0
+    return F.when(F.length(runs) <= most, runs).when(dash, F.regexp_replace(cut, "-[^-]*$", "")).otherwise(cut)
 
 
 def work_path(title: Column, ident: Column) -> Column:
@@ -80,8 +81,9 @@ def completion_status(text: Column) -> Column:
 
 
 def filename(title: Column, most: int = 100) -> Column:
-    clean = F.btrim(F.regexp_replace(title, r'[\x00-\x1F\\/:*?"<>|]+', "_"))
-    return F.when(clean == "", "book").otherwise(F.left(clean, F.lit(most)))
+    """A title as a file's name, in Unicode's composed form: each character that file systems refuse becomes an underscore."""
+    clean = F.left(F.btrim(F.regexp_replace(normalised(title), r'[\x00-\x1F\\/:*?"<>|]', "_"), F.lit(SPACES)), F.lit(most))
+    return F.when(clean == "", "ebook").otherwise(clean)
 
 
 def term_key(name: Column) -> Column:
@@ -108,6 +110,40 @@ def clamped(value: Column, low: float, high: float, default: float) -> Column:
     return F.coalesce(F.least(F.greatest(value, F.lit(low)), F.lit(high)), F.lit(default))
 
 
+# The settings of a reader, each with its default, and its range or the values it may have.
+RANGES = {"fontSize": (18.0, 14.0, 28.0), "lineHeight": (1.9, 1.4, 2.6), "paragraphSpacing": (0.9, 0.0, 3.0)}
+CHOICES = {"mode": ("scroll", "paginated"), "conversion": ("original", "t", "cn")}
+LEVELS = {"warmth": (0, 3), "autoSpeed": (2, 4)}
+HOURS = {"nightFrom": 19, "nightTo": 7}
+THEMES, THEME, THEME_VERSION = ("light", "sepia", "dark", "system", "schedule"), "system", 2
+
+
+def settings(raw: Column) -> Column:
+    """A reader's stored settings (JSON), each made one that can be shown: numbers in range, known choices, whole hours, else the default.
+
+    Before version 2 the light theme was what nobody had chosen, and counts as
+    the default. Text that is no JSON, and null, give all defaults.
+    """
+    given = lambda name: F.get_json_object(raw, f"$.{name}")
+    number = lambda name: given(name).try_cast("double")
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+    def whole(name: str, least: int, most: int, default: int) -> Column:
+        n = finite(number(name))
+        return F.when((n == F.floor(n)) & n.between(least, most), n.cast("int")).otherwise(F.lit(default))
+
+    stored, version = given("theme"), F.coalesce(F.nullif(number("v"), F.lit(0.0)), F.lit(1.0))
+    theme = F.when((version < THEME_VERSION) & (stored.isNull() | (stored == "light")), THEME).when(stored.isin(*THEMES), stored).otherwise(THEME)
+    return F.struct(
+        theme.alias("theme"),
+        *[F.least(F.greatest(F.coalesce(finite(number(n)), F.lit(default)), F.lit(low)), F.lit(high)).alias(n) for n, (default, low, high) in RANGES.items()],
+        *[F.when(given(n).isin(*values), given(n)).otherwise(values[0]).alias(n) for n, values in CHOICES.items()],
+        *[whole(n, 0, most, default).alias(n) for n, (default, most) in LEVELS.items()],
+        *[whole(n, 0, 23, default).alias(n) for n, default in HOURS.items()],
+        F.coalesce(given("autoContinue") == "true", F.lit(False)).alias("autoContinue"),
+    )
+
+
 def speech_chunks(text: Column, size: int = 180) -> Column:
     """Pieces of ``size`` code points."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.variants import variants
+from lectern.functions.phrases import spellings
+from lectern.functions.scalars import public_id
 
 STATUSES = ("ongoing", "completed", "paused")
 SORTS = ("updated", "title")
@@ -118,7 +119,7 @@ def keyword(works: DataFrame, q: str, categories: DataFrame, work_categories: Da
     ``%`` and ``_`` in ``q`` are wildcards. Names are matched before the edges
     are read, so only matching edges are shuffled.
     """
-    patterns = [f"%{v}%" for v in variants(q)]
+    patterns = [f"%{v}%" for v in spellings(q)]
 
     def like(c: Column) -> Column:
         return reduce(lambda a, b: a | b, [c.ilike(p) for p in patterns])
@@ -214,6 +215,29 @@ def parse_ref(segment: Column) -> Column:
     return F.when(whole.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), whole).when(short != "", short)
 
 
+def resolve_works(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """``refs (segment)`` with ``work_id``: of a whole UUID itself, of a short id the work that has it (the least, if several), else null.
+
+    ``works``: id, a UUID, whose first eight digits are its short id.
+    """
+    parsed = refs.withColumn("_ref", parse_ref(F.col("segment")))
+    short = works.groupBy(public_id(F.col("id")).alias("_short")).agg(F.min("id").alias("_id"))
+    out = parsed.join(short, F.col("_ref") == F.col("_short"), "left")
+    return out.withColumn("work_id", F.when(F.length("_ref") == 36, F.col("_ref")).otherwise(F.col("_id"))).drop("_ref", "_short", "_id")
+
+
+def resolve_chapters(refs: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``refs (work, segment)`` with ``chapter_id``: a whole UUID needs no work; a short id is looked up in the work that ``work`` refers to.
+
+    ``chapters``: id, a UUID, and work_id.
+    """
+    owned = resolve_works(refs.withColumnsRenamed({"segment": "_segment", "work": "segment"}), works).withColumnsRenamed({"segment": "work", "_segment": "segment", "work_id": "_work"})
+    owned = owned.withColumn("_ref", parse_ref(F.col("segment")))
+    short = chapters.groupBy("work_id", public_id(F.col("id")).alias("_short")).agg(F.min("id").alias("_id"))
+    out = owned.join(short, (F.col("_ref") == F.col("_short")) & (F.col("_work") == short["work_id"]), "left").drop(short["work_id"])
+    return out.withColumn("chapter_id", F.when(F.length("_ref") == 36, F.col("_ref")).otherwise(F.col("_id"))).drop("_ref", "_short", "_id", "_work")
+
+
 def ordinals(rows: DataFrame, bucket: Column, order: list, first: int | None = None, last: int | None = None) -> DataFrame:
     """``rows`` with ``at``, their place from 0 in a total order; of a page only those from ``first`` to ``last``.
 

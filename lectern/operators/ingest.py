@@ -195,3 +195,13 @@ def revert(chapters: DataFrame, applied: DataFrame, released: DataFrame, version
     back = chapters.join(todo, ["work_id", "id"], "left").where("touched IS NULL OR previous_revision_id IS NOT NULL")
     back = back.withColumn("head_revision_id", F.coalesce("previous_revision_id", "head_revision_id"))
     return back.withColumn("position", F.row_number().over(Window.partitionBy("work_id").orderBy("position", "id"))).select("work_id", "id", "position", "head_revision_id")
+
+
+def review_targets(chapters: DataFrame, work_id, q: str = "", limit: int = 40) -> DataFrame:
+    """Chapters an import's item may be matched with by hand, in order, one more than ``limit`` if there are more.
+
+    ``q`` is a pattern as it stands: % and _ in it are wild.
+    """
+    mine = chapters.where((F.col("work_id") == work_id) & F.col("merged_into_chapter_id").isNull() & F.col("deleted_at").isNull())
+    q = q.strip()[:100]
+    return (mine.where(F.col("label_raw").ilike(f"%{q}%")) if q else mine).orderBy("position", "id").limit(limit + 1).select("id", "label_raw", "position")

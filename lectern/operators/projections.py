@@ -14,6 +14,7 @@ from lectern.functions.scalars import paragraphs
 from lectern.operators.catalog import names
 from lectern.operators.scan import running
 from lectern.operators.toc import active
+from lectern.stored import table
 
 SHOWN = ("public", "unlisted")
 
@@ -197,10 +198,51 @@ def review_page(rows: DataFrame, which: str = "all", page: int = 1, limit: int =
     return picked.where(F.col("at").between((page - 1) * limit, page * limit - 1))
 
 
-def offset_page(rows: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
-    """``limit`` rows of a total order from ``offset`` on, each with ``next_offset``, null on the last page."""
+def offset_page(rows: DataFrame, keys: list, offset: int, limit: int) -> DataFrame:
+    """``limit`` rows of a total order from ``offset`` on, each with ``next_offset``, null on the last page.
+
+    Places come from a scan, so a far page sorts no more in one task than a near one.
+    """
     limit, offset = max(1, limit), max(0, offset)
-    total = rows.agg(F.count("*").alias("total"))
-    # one row, and at most a page
-    out = rows.orderBy(*keys).offset(offset).limit(limit).crossJoin(F.broadcast(total))
-    return out.withColumn("next_offset", F.when(F.lit(offset + limit) < F.col("total"), offset + limit)).drop("total")
+    numbered = table(running(rows.withColumn("_one", F.lit(1).cast("long")), [], keys, {"_nth": "_one"}))
+    total = numbered.agg(F.max("_nth").alias("_total"))  # one row
+    out = numbered.where(F.col("_nth").between(offset + 1, offset + limit)).crossJoin(F.broadcast(total))
+    return out.withColumn("next_offset", F.when(F.lit(offset + limit) < F.col("_total"), offset + limit)).drop("_one", "_nth", "_total")
+
+
+def reading_state(asked: DataFrame, library: DataFrame, follows: DataFrame, releases: DataFrame, events: DataFrame) -> DataFrame:
+    """What a reader has to do with a work, a row for each pair ``asked (user_id, work_id)``.
+
+    in_library, following, last_seen_version, latest_version (of ``releases``),
+    and new_chapter_count above the version last seen, 0 unless the reader follows.
+    """
+    pair = ["user_id", "work_id"]
+    mine = asked.select(*pair).distinct().join(library.select(*pair, F.lit(True).alias("shelved")).distinct(), pair, "left")
+    mine = mine.join(follows.select(*pair, "last_seen", F.lit(True).alias("follows")), pair, "left")
+    counted = newer_than(mine, events, "last_seen").drop("latest_version")
+    latest = releases.groupBy("work_id").agg(F.max("version").cast("int").alias("latest_version"))
+    following = F.coalesce("follows", F.lit(False))
+    return counted.join(latest, "work_id", "left").select(
+        *pair, F.coalesce("shelved", F.lit(False)).alias("in_library"), following.alias("following"), F.col("last_seen").alias("last_seen_version"), "latest_version",
+        F.when(following, F.col("new_chapters")).otherwise(0).alias("new_chapter_count"),
+    )
+
+
+def bookmark_pages(bookmarks: DataFrame, works: DataFrame, chapters: DataFrame, work_id=None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Every reader's page of bookmarks, newest first, with title and label, the reader's ``total`` and ``next_offset``.
+
+    ``bookmarks``: id, user_id, work_id, chapter_id, paragraph_index, note,
+    created_at. With ``work_id`` only that work's count and show.
+    """
+    limit, offset = min(100, max(1, limit)), max(0, offset)
+    wanted = bookmarks if work_id is None else bookmarks.where(F.col("work_id") == work_id)
+    total = wanted.groupBy("user_id").agg(F.count("*").cast("int").alias("total"))
+    rows = wanted.join(works.select(F.col("id").alias("work_id"), F.col("title").alias("work_title")), "work_id").join(chapters.select(F.col("id").alias("chapter_id"), F.col("label_raw").alias("chapter_label")), "chapter_id")
+    placed = running(rows.withColumn("_one", F.lit(1).cast("long")), ["user_id"], [F.desc("created_at"), F.desc("id")], {"_nth": "_one"})
+    page = placed.where(F.col("_nth").between(offset + 1, offset + limit)).join(total, "user_id")
+    return page.withColumn("next_offset", F.when(F.lit(offset + limit) < F.col("total"), offset + limit)).drop("_one", "_nth")
+
+
+def bookmark_works(bookmarks: DataFrame, works: DataFrame) -> DataFrame:
+    """``user_id, id, title``: the works a reader can filter bookmarks by, whatever the page shows."""
+    return bookmarks.select("user_id", F.col("work_id").alias("id")).distinct().join(works.select("id", "title"), "id").select("user_id", "id", "title")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.stored import table
+
 
 def release_diff(current: DataFrame, before: DataFrame) -> DataFrame:
     """``work_id, chapter_id, change``: new, updated, reordered, removed; unchanged ones are left out.
@@ -73,6 +75,32 @@ def publish(works: DataFrame, chapters: DataFrame, releases: DataFrame, before:
     return rel, items, events
 
 
+def edit_chapters(works: DataFrame, chapters: DataFrame, revisions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(outcomes, works, chapters, revisions)`` after ``edits``, one a chapter at most.
+
+    ``edits``: chapter_id, expected_revision_id, new_revision_id, label_raw,
+    title, content_key. An edit of a chapter that isn't there, or without its
+    head, or written against another head than the current one, changes
+    nothing; nor does one that says what is there. Others make a revision, which
+    becomes the chapter's head, and count in the work's edit version.
+    """
+    live = chapters.where("merged_into_chapter_id IS NULL AND deleted_at IS NULL").select(F.col("id").alias("chapter_id"), "work_id", F.col("head_revision_id").alias("head"), F.col("label_raw").alias("old_label"))
+    held = revisions.select(F.col("id").alias("head"), F.col("title").alias("old_title"), F.col("content_key").alias("old_key"))
+    met = edits.join(live, "chapter_id", "left").join(held, "head", "left")
+    same = F.col("label_raw").eqNullSafe(F.col("old_label")) & F.col("title").eqNullSafe(F.col("old_title")) & F.col("content_key").eqNullSafe(F.col("old_key"))
+    outcome = (
+        F.when(F.col("work_id").isNull(), "chapter_not_found").when(F.col("old_key").isNull(), "chapter_missing_revision").when(F.col("head") != F.col("expected_revision_id"), "stale_chapter_revision").when(same, "unchanged").otherwise("applied")
+    )
+    judged = table(met.withColumn("outcome", outcome))
+    done = judged.where("outcome = 'applied'")
+    new_head = done.select(F.col("chapter_id").alias("id"), F.col("new_revision_id").alias("new_head"), F.col("label_raw").alias("new_label"))
+    edited = chapters.join(new_head, "id", "left").withColumns({"head_revision_id": F.coalesce("new_head", "head_revision_id"), "label_raw": F.coalesce("new_label", "label_raw")}).select(*chapters.columns)
+    more = done.select(F.col("new_revision_id").alias("id"), "chapter_id", "title", "content_key")
+    counts = done.groupBy(F.col("work_id").alias("id")).agg(F.count("*").cast("int").alias("edits"))
+    counted = works.join(counts, "id", "left").withColumn("edit_version", F.col("edit_version") + F.coalesce("edits", F.lit(0))).select(*works.columns)
+    return judged.select("chapter_id", "outcome"), counted, edited, revisions.unionByName(more, allowMissingColumns=True)
+
+
 def split_chapter(chapters: DataFrame, bodies: DataFrame, chapter_id, new_id, at: int, separator: str = "\n\n") -> tuple[DataFrame, DataFrame]:
     """Cuts a chapter before paragraph ``at``; later chapters, deleted ones too, move by one."""
     me = chapters.where(F.col("id") == chapter_id).select("work_id", F.col("position").alias("cut"))

@@ -127,7 +127,7 @@ def body_hash(spark, d):
     return frame(spark, d, "documents").select("doc_id", h.alias("body_hash"), S.revision_hash(F.col("lang"), h, F.lit("p1"), F.col("source")).alias("revision_hash"))
 
 
-@query("url_slug", r"SELECT page_id, CASE WHEN length(s) <= 40 OR substring(s, 41, 1) = '-' THEN left(s, 40) WHEN strpos(left(s, 40), '-') > 0 THEN regexp_replace(left(s, 40), '-[^-]*$', '') ELSE left(s, 40) END AS slug FROM (SELECT page_id, array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}]+'), '-') AS s FROM pages) t")
+@query("url_slug", r"SELECT page_id, CASE WHEN length(s) <= 40 THEN s WHEN strpos(left(s, 40), '-') > 0 THEN regexp_replace(left(s, 40), '-[^-]*$', '') ELSE left(s, 40) END AS slug FROM (SELECT page_id, array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}]+'), '-') AS s FROM pages) t")
 def url_slug(spark, d):
     return frame(spark, d, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.labels import parse_label
-from lectern.functions.scalars import COMPLETED, ONGOING
+from lectern.functions.scalars import COMPLETED, ONGOING, SPACES
 
 BLANKS = " \t\n\x0b\x0c\r\u00a0\u2002\u2003\u3000\ufeff"
 _S = r"[\s\u00a0\u3000]*"
@@ -186,8 +186,42 @@ def front_matter(text: Column) -> Column:
     return _matter(F.left(text, F.lit(MOST_HEAD)))
 
 
-def tidy(text: Column, promotion: str = r"(?i)(https?://|www\.|更多.{0,6}小說|下載|下载)") -> Column:
-    """Lines trimmed, promotions dropped, blank runs as one blank line, and lines broken within a sentence joined."""
-    lines = F.filter(F.transform(F.split(text, "\r\n?|\n"), lambda x: F.btrim(F.regexp_replace(x, r"[\s　]+", " "))), lambda x: ~x.rlike(promotion))
-    joined = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
-    return F.btrim(F.regexp_replace(joined, r"(?<=[\p{IsHan}，、])\n(?=\p{IsHan})", ""), F.lit("\n "))
+# Lines that advertise, head a chapter or name a field, and the marks that end or open a sentence.
+PROMOTION = r"(?i)^\s*(?:本[書书]由.{1,30}(?:整理|收集)|[請请]搜索.{1,30}(?:小說|小说)|更多精彩.{1,30}|最新網址[:：]?\s*\S+|最新网址[:：]?\s*\S+|https?://\S+|www\.\S+)\s*\z"
+HEADING = r"^\s*(?:[第卷][0-9０-９.．一二三四五六七八九十零〇百千两兩]*[章回幕部節节集卷]|序章|序幕|楔子|引子|[終终]章|尾[聲声]|[後后][記记]|大[結结]局|番外|外[傳传]|附[錄录])"
+NAMED_FIELD = r"(?i)^\s*(?:作品名|書名|书名|作者|簡介|简介|內容簡介|内容简介|狀態|状态|連載狀態|连载状态|title|author|description|status)\s*[:：]"
+ENDS, OPENS, LISTED = r"[。！？!?；;…」』）》】]\z", r"^[「『（(《【]", r"^\s*(?:[-*•]|\d+[.、])"
+#: Code points of a line that may be a part of a broken one.
+MOST_WRAPPED = 60
+
+
+def tidy(text: Column, trim: bool = True, collapse: bool = True, promotions: bool = False, join: bool = False) -> Column:
+    """``text`` tidied up, with what was done: a struct of text, trimmed, collapsed, promotions, joined (numbers of lines).
+
+    Lines are trimmed, runs of blank lines become one, lines that advertise go,
+    and lines broken within a sentence are joined. Each step is a pass over the
+    array of lines in which a line's fate depends on the line before it, so that
+    a book's work grows with its length. An empty text stays empty, null is null.
+    """
+    spaces = F.lit(SPACES)
+    given = F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"), "\n", -1)
+    kept = F.filter(given, lambda x: ~x.rlike(PROMOTION)) if promotions else given
+    lines = F.transform(kept, lambda x: F.btrim(x, spaces)) if trim else kept
+    trimmed = F.size(F.filter(kept, lambda x: F.btrim(x, spaces) != x)) if trim else F.lit(0)
+    # a line beside the one before it; the first one's is null
+    beside = lambda c: F.arrays_zip(c.alias("line"), F.concat(F.array(F.lit(None).cast("string")), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))).alias("before"))
+    again = lambda p: F.coalesce((p["line"] == "") & (p["before"] == ""), F.lit(False))
+    spaced = F.transform(F.filter(beside(lines), lambda p: ~again(p)), lambda p: p["line"]) if collapse else lines
+
+    def joins(p):
+        fits = lambda c: F.length(c).between(1, MOST_WRAPPED) & ~c.rlike(HEADING) & ~c.rlike(NAMED_FIELD)
+        return F.coalesce(fits(p["before"]) & fits(p["line"]) & ~p["before"].rlike(ENDS) & ~p["line"].rlike(OPENS) & ~p["line"].rlike(LISTED), F.lit(False))
+
+    def with_gap(p):
+        ascii_ = p["line"].rlike(r"^[\x00-\x7f]") & p["before"].rlike(r"[\x00-\x7f]\z")
+        return F.concat(F.when(p["before"].isNull(), "").when(joins(p), F.when(ascii_, " ").otherwise("")).otherwise("\n"), p["line"])
+
+    joined = F.size(F.filter(beside(spaced), joins)) if join else F.lit(0)
+    whole = F.array_join(F.transform(beside(spaced), with_gap), "") if join else F.array_join(spaced, "\n")
+    out = F.struct(F.btrim(whole, F.lit("\n")).alias("text"), trimmed.alias("trimmed"), (F.size(lines) - F.size(spaced)).alias("collapsed"), (F.size(given) - F.size(kept)).alias("promotions"), joined.alias("joined"))
+    return F.when(text.isNotNull(), out)

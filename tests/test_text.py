@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import encoding, labels, scalars, variants
+from lectern.functions import encoding, labels, phrases, scalars, variants
 from lectern.operators import search
 from lectern.sources import epub_files, exports, text_files
 
@@ -73,14 +73,36 @@ def test_segmentation(spark, tmp_path):
     for bad in ("(a+)+", "a*", "(", "x" * 201):
         with pytest.raises(ValueError):
             text_files.check_pattern(bad)
-    t = spark.range(1).select(text_files.tidy(F.lit("  甲乙\n丙丁 \n\n\n\n看 www.x.example 吧\nabc")).alias("t")).first().t
-    assert t == "甲乙丙丁\n\nabc"
+
+
+def test_tidy(spark):
+    """Each rule by itself, as the contract of the tidied text states it."""
+
+    def tidy(text, **options):
+        r = spark.range(1).select(text_files.tidy(F.lit(text), **options).alias("t")).first().t
+        return r and (r.text, r.trimmed, r.collapsed, r.promotions, r.joined)
+
+    assert tidy("\ufeff  甲乙 \r\n\r\n\r\n\r丙\u3000\n") == ("甲乙\n\n丙", 2, 2, 0, 0)
+    assert tidy(" a \n\n\nb", trim=False, collapse=False) == (" a \n\n\nb", 0, 0, 0, 0)
+    assert tidy("x\n本書由某某網整理\n http://a.example/b \n看 www.x.example 吧\nWWW.X.example\ny", promotions=True) == ("x\n看 www.x.example 吧\ny", 0, 0, 3, 0)
+    assert tidy("他走了過\n去。\n又來\n\n了", join=True) == ("他走了過去。\n又來\n\n了", 0, 0, 0, 1)
+    assert tidy("some words\nand more\n漢\nx", join=True) == ("some words and more漢x", 0, 0, 0, 3)
+    assert tidy("第一章 起\n頭\n「說\n話\n1. 項\n作者：甲\n乙", join=True) == ("第一章 起\n頭\n「說話\n1. 項\n作者：甲\n乙", 0, 0, 0, 1)
+    assert tidy("長" * 61 + "\n短\n中" + "\n" + "長" * 60, join=True)[0] == "長" * 61 + "\n短中" + "長" * 60
+    assert tidy("") == ("", 0, 0, 0, 0) and tidy(None) is None
+    # 200,000 lines are no more than 200,000 steps
+    assert tidy("行\n" * 200_000, join=True)[4] == 199_999
 
 
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(scalars.slug(F.lit("Ｈello, 世界！ 第1章"))) == "hello-世界-第1章"
     assert one(scalars.slug(F.lit("a" * 30 + " " + "b" * 30))) == "a" * 30
+    # beyond forty characters the last word goes, whole or not
+    assert one(scalars.slug(F.lit("a" * 30 + " " + "b" * 9 + " c"))) == "a" * 30 and one(scalars.slug(F.lit("a" * 41))) == "a" * 40
+    # ligatures, half-width and decomposed forms, digits in circles
+    assert one(scalars.slug(F.lit("ﬁne ｶﾞ e\u0301 ①"))) == "fine-ガ-é-1" and one(scalars.filename(F.lit("e\u0301ﬁ "))) == "éﬁ"
+    assert one(scalars.filename(F.lit("\u3000"))) == "ebook" and one(scalars.normalised(F.lit(None).cast("string"))) is None
     assert one(scalars.public_id(F.lit("0123abcd-0000-0000-0000-000000000000"))) == "0123abcd"
     assert list(one(scalars.keywords(F.lit("【玄幻】、仙俠，玄幻｜ a  b")))) == ["玄幻", "仙俠", "a", "b"]
     assert [one(scalars.completion_status(F.lit(x))) for x in ("未完結", "已完結", "全本", "未定")] == ["ongoing", "completed", "completed", None]
@@ -89,7 +111,7 @@ def test_scalars(spark):
     assert [b.kind for b in one(scalars.blocks(body))] == ["text", "image", "text"] and one(scalars.referenced_images(body)) == [h]
     assert one(scalars.image_marker(F.lit(h), F.lit(" a]] |b "))) == f"[[img:{h}|a b]]"
     assert list(one(scalars.speech_chunks(F.lit("é😀" * 100)))) == ["é😀" * 90, "é😀" * 10] and list(one(scalars.speech_chunks(F.lit("")))) == []
-    assert one(scalars.filename(F.lit('a/b:"c"'))) == "a_b_c_" and one(scalars.term_key(F.lit(" 玄 幻-A! "))) == "玄幻a"
+    assert one(scalars.filename(F.lit('a/b:"c"'))) == "a_b__c_" and one(scalars.term_key(F.lit(" 玄 幻-A! "))) == "玄幻a"
     assert variants.variants("小龍") == ["小龍", "小龙"]
     assert one(variants.convert(F.lit("龍\n\n[[note:龍]]\n\n"), "simplified")) == "龙\n\n[[note:龍]]\n\n"
     assert [one(scalars.is_night(F.lit(h), 22, 6)) for h in (21, 22, 5, 6)] == [False, True, True, False] and one(scalars.is_night(F.lit(1), 6, 6)) is False
@@ -164,3 +186,25 @@ def test_epub_pages(spark, tmp_path):
     assert one.body.split("\n\n") == ["Two words", "Text[註 1] goesup.", f"[[img:{h}|a b]]", "not linked", "End", "[註 1] A notein"]
     assert list(one.warnings) == ["unsupported_image", "footnotes_appended"] and list(two.warnings) == ["non_text_section", "no_toc_label"] and two.needs_review
     assert [(r.content_hash, r.media_type, bytes(r.bytes)) for r in epub_files.images(files).collect()] == [(h, "image/png", png)]
+
+
+def test_phrases(spark):
+    """Words that single characters get wrong, in both directions; markers and paragraphs stay."""
+    pairs = [("皇后的頭髮乾淨", "皇后的头发干净"), ("後來發現一隻餅乾", "后来发现一只饼干"), ("乾坤與幹部", "乾坤与干部"), ("著作複雜，裡面只有麵包", "著作复杂，里面只有面包")]
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    to_s, to_t = phrases.converter("simplified"), phrases.converter("traditional")
+    for a, b in pairs:
+        assert one(to_s(F.lit(a))) == b and one(to_t(F.lit(b))) == a
+    # what characters alone make of them
+    assert variants.respell("皇后的头发", variants.SIMPLIFIED, variants.TRADITIONAL) != "皇后的頭髮"
+    marker = "[[img:" + "a" * 64 + "|头发]]"
+    body = f"头发\n\n{marker}\n\n\n\n后来"
+    assert one(to_t(F.lit(body))) == f"頭髮\n\n{marker}\n\n\n\n後來"
+    assert one(to_t(F.lit(None).cast("string"))) is None
+    given = spark.createDataFrame([("頭頭", "甲"), ("頭頭髮", "乙"), ("", "x"), (None, "y")], "traditional string, simplified string")
+    assert one(phrases.converter("simplified", given)(F.lit("頭頭髮頭頭頭龍"))) == "乙甲头龙".replace("头", variants.respell("頭", *variants.TABLE))
+    with pytest.raises(ValueError, match="line break"):
+        phrases.converter("simplified", spark.createDataFrame([("a\nb", "c")], given.schema))
+    with pytest.raises(ValueError, match="too large"):
+        phrases.converter("simplified", spark.range(phrases.MOST_PHRASES + 1).select(F.col("id").cast("string").alias("traditional"), F.lit("x").alias("simplified")))
+    assert phrases.spellings("皇后") == ["皇后"] and phrases.spellings("头发") == ["头发", "頭髮"]
