@@ -56,6 +56,10 @@ AFTER = {
 }
 AGAINST = "version release order invoice isbn issn section chapter figure fig table token hash serial part build revision page lines id ticket case item model sku tracking ratio score total sum"
 LABELERS = 6
+#: Characters of a span's surroundings that labelers and the classifier look at.
+BEFORE, BEHIND = 40, 24
+#: A piece of 4,000 characters or more, up to where no pattern of any kind can go on: before a character that none has, or between two words.
+PIECE = r"(?s).{4000}.*?(?=[^A-Za-z0-9._%+\-@()\[\]{}:\x20]|(?<=[A-Za-z])\x20[A-Za-z])|.+"
 SPAN = "struct<start: int, end: int, value: string>"
 #: Values of each feature of a span's shape.
 SHAPE = (("length", 6), ("digits", 6), ("separators", 5), ("kinds", 4), ("lead", 4), ("before", 5), ("after", 5), ("word", 4), ("place", 3))
@@ -69,11 +73,26 @@ def listed_words(words: str) -> str:
     return r"(?:^|[^\p{L}\p{N}])" + any_of(words)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces that no span crosses: a cut is before a character that no pattern has, or between two words."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def in_context(parts: Column) -> Column:
+    """Pieces with their places (in code points) and the text around them; ``parts`` is a column, not an expression."""
+    begin = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    around = lambda i, side: F.coalesce(side(F.get(parts, i)), F.lit(""))
+    zipped = F.arrays_zip(parts.alias("text"), F.slice(begin, F.lit(1), F.size(parts)).alias("at"))
+    return F.transform(zipped, lambda p, i: F.struct(p["at"].alias("at"), p["text"].alias("text"), around(i - 1, lambda t: F.right(t, F.lit(BEFORE))).alias("before"), around(i + 1, lambda t: F.left(t, F.lit(BEHIND))).alias("after")))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
+    """Leftmost non-overlapping matches with their places in code points; ``text`` is a piece, which holds few."""
     first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc, p):
@@ -81,7 +100,12 @@ def located(text: Column, pattern: str) -> Column:
         end = start + F.length(p["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pieces, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def placed(found):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        matched = F.zip_with(found, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
+        return F.when(F.size(found) > 0, F.aggregate(matched, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def digits(v: Column) -> Column:
@@ -123,8 +147,8 @@ def well_formed(kind: str, v: Column) -> Column:
 
 def neighbours(text: Column, span: Column) -> tuple[Column, Column, Column, Column]:
     """Lower-cased text before and after a span, and the characters next to it, blanks at the ends."""
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(24)))
+    before = F.lower(F.substring(text, F.greatest(span["start"] - BEFORE + 1, F.lit(1)), F.least(span["start"], F.lit(BEFORE))))
+    after = F.lower(F.substring(text, span["end"] + 1, F.lit(BEHIND)))
     left = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(" ")
     right = F.substring(text, span["end"] + 1, F.lit(1))
     return before, after, left, F.when(right == "", " ").otherwise(right)
@@ -176,16 +200,21 @@ def shape(kind: str, text: Column, span: Column) -> Column:
     return total
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """All candidate spans of a kind: start, end, base, votes, shape."""
-    needed = text.rlike(NEEDS[kind])
+def candidates(piece: Column, kind: str) -> Column:
+    """All candidate spans of a kind in a piece, placed in the whole text: start, end, base, votes, shape."""
+    text, lead = piece["text"], F.length(piece["before"])
     none = F.array().cast("array<struct<start: int, end: int, base: boolean, votes: int, shape: bigint>>")
 
-    def judged(spans: Column, base: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(kind, text, s, base).alias("votes"), shape(kind, text, s).alias("shape")))
+    def judged(spans: Column, base: bool, whole: Column) -> Column:
+        def one(s):
+            inside = F.struct((s["start"] + lead).alias("start"), (s["end"] + lead).alias("end"), s["value"].alias("value"))
+            return let(inside, lambda at: F.struct((piece["at"] + s["start"]).alias("start"), (piece["at"] + s["end"]).alias("end"), F.lit(base).alias("base"), votes(kind, whole, at, base).alias("votes"), shape(kind, whole, at).alias("shape")))
+
+        return F.transform(spans, one)
 
     strict = F.filter(located(text, BASE[kind]), lambda s: passes(kind, s["value"]))
-    return F.when(needed, F.concat(judged(strict, True), judged(located(text, WIDER[kind]), False))).otherwise(none)
+    both = let(F.concat(piece["before"], text, piece["after"]), lambda whole: F.concat(judged(strict, True, whole), judged(located(text, WIDER[kind]), False, whole)))
+    return F.when(text.rlike(NEEDS[kind]), both).otherwise(none)
 
 
 def estimate(counts: dict[int, int], steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -264,17 +293,19 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).alias("none")]).alias("src"), text.alias("t"))
-    rows = table(rows.select("src", *[candidates(F.col("t"), k).alias(k) for k in KINDS]))
-
-    def vote_of(kind: str):
-        return lambda s: F.struct(F.lit(kind).alias("kind"), s["votes"].alias("votes"), s["shape"].alias("shape"))
-
-    counted = rows.select(F.explode(F.flatten(F.array(*[F.transform(k, vote_of(k)) for k in KINDS]))).alias("c"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).alias("none")]).alias("src"), pieces(text).alias("parts"))
+    rows = rows.select("src", in_context(F.col("parts")).alias("parts"))
+    by_kind = lambda p: F.struct(*[candidates(p, k).alias(k) for k in KINDS])
+    held = F.filter(F.transform("parts", by_kind), lambda c: sum((F.size(c[k]) for k in KINDS[1:]), F.size(c[KINDS[0]])) > 0)
+    rows = table(rows.select("src", held.alias("held")))
+
+    # spans of a piece, whatever its kind, with what the estimates need of them
+    vote_of = lambda c, k: F.transform(c[k], lambda s: F.struct(F.lit(k).alias("kind"), s["votes"].alias("votes"), s["shape"].alias("shape")))
+    counted = rows.select(F.explode("held").alias("c")).select(F.explode(F.concat(*[vote_of(F.col("c"), k) for k in KINDS])).alias("c"))
     # a row a vote pattern and shape that occurs: their number has a bound, whatever the documents
     seen = counted.groupBy("c.kind", "c.votes", "c.shape").count().collect()
 
-    scored = {}
+    weights = {}
     for kind in KINDS:
         mine = [r for r in seen if r["kind"] == kind]
         w = np.zeros(1 + sum(size for _, size in SHAPE))
@@ -285,33 +316,37 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             patterns, post = estimate(counts)
             of = dict(zip(patterns.tolist(), post))
             w = train(np.array([r["shape"] for r in mine]), np.array([of[r["votes"]] for r in mine]), np.array([float(r["count"]) for r in mine]))
-        scored[kind] = F.transform(kind, classified(kind, w))
+        weights[kind] = w
 
-    def free(s):
-        return ~s["base"] & (s["score"] >= 0.5) & ~F.exists("all_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
-    # the order of kinds is kept among equal starts
-    more = F.array_sort(F.filter(F.flatten(F.array(*[F.col(f"s_{k}") for k in KINDS])), free), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    by_start = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
     kind_type = "struct<kind: string, start: int, end: int, base: boolean, score: double>"
     begin = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kind_type}>").alias("out"))
 
     def step(acc, s):
         return F.when(s["start"] >= acc["end"], F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
 
-    base = F.flatten(F.array(*[F.filter(k, lambda s: s["base"]) for k in KINDS]))
-    found = rows.select("src", base.alias("all_base"), *[v.alias(f"s_{k}") for k, v in scored.items()])
-    found = found.withColumn("more", F.when(F.size(more) > 0, F.aggregate(more, begin, step, lambda acc: acc["out"])).otherwise(begin["out"]))
-    out = []
-    for kind in KINDS:
-        both = F.concat(F.filter(f"s_{kind}", lambda s: s["base"]), F.filter("more", _of(kind)))
-        out.append(F.array_sort(both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)))
-    return found.select("src", F.flatten(F.array(*out)).alias("spans"))
+    def decided(spans):
+        """Of a piece's spans, in the order of KINDS, those that stay: spans of two pieces never meet."""
+        base = F.filter(spans, lambda s: s["base"])
+        free = lambda s: ~s["base"] & (s["score"] >= 0.5) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        # the order of kinds is kept among equal starts
+        more = F.array_sort(F.filter(spans, free), by_start)
+        return F.concat(base, F.aggregate(more, begin, step, lambda acc: acc["out"]))
+
+    scored = lambda c: F.concat(*[F.transform(c[k], classified(k, weights[k])) for k in KINDS])
+    found = rows.select("src", F.transform("held", lambda c: let(scored(c), decided)).alias("held"))
+    in_order = [F.flatten(F.transform("held", _sorted_of(k, by_start))) for k in KINDS]
+    return found.select("src", F.concat(*in_order).alias("spans"))
 
 
 def _of(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def _sorted_of(kind: str, order):
+    return lambda spans: F.array_sort(F.filter(spans, _of(kind)), order)
+
+
 def _is(kind: str):
     return lambda c: c == kind
 
@@ -321,7 +356,45 @@ def listed(spans: Column) -> Column:
 
 
 def op8_personal_data(spark, sf_dir):
-    found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return digest(find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     n = [F.size(F.filter(base["kind"], _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(F.col("src.doc_id").alias("doc_id"), *n, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def personal_data_base(spark, sf_dir):
+    """The base half of op8's result, which SQL can express."""
+    return op8_personal_data(spark, sf_dir).drop("spans", "n_spans")
+
+
+BASE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), matched AS (
+  SELECT doc_id, 1 AS nr, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ms, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gs FROM docs
+  UNION ALL
+  SELECT doc_id, 2, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM docs
+  UNION ALL
+  SELECT doc_id, 3, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM docs
+  UNION ALL
+  SELECT doc_id, 4, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM docs
+), places AS (
+  SELECT doc_id, nr, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+         sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, nr ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT doc_id, nr, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM matched) u
+  WINDOW w AS (PARTITION BY doc_id, nr ORDER BY i)
+), kept AS (
+  SELECT doc_id, nr, kind, start::BIGINT AS start, (start + length(m))::BIGINT AS stop FROM places
+  WHERE kind = 'email'
+     OR kind = 'ip' AND regexp_full_match(m || '.', '(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){4}')
+     OR kind = 'phone' AND length(digits) BETWEEN 9 AND 15
+     OR kind = 'card' AND length(digits) BETWEEN 13 AND 19
+        AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INT WHEN reverse(digits)[i]::INT > 4 THEN reverse(digits)[i]::INT * 2 - 9 ELSE reverse(digits)[i]::INT * 2 END)) % 10 = 0
+)
+SELECT d.doc_id, count(k.kind) FILTER (k.kind = 'email')::BIGINT AS n_email, count(k.kind) FILTER (k.kind = 'ip')::BIGINT AS n_ip, count(k.kind) FILTER (k.kind = 'card')::BIGINT AS n_card, count(k.kind) FILTER (k.kind = 'phone')::BIGINT AS n_phone,
+       sha256(coalesce(string_agg(k.kind || ':' || k.start || ':' || k.stop, ',' ORDER BY k.nr, k.start), '')) AS base_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_personal_data": personal_data.op8_personal_data,
+    "personal_data_base": personal_data.personal_data_base,
     "op9_html_text": html_text.op9_html_text,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_prefix_tree": prefix_tree.op11_prefix_tree,
@@ -25,6 +26,7 @@ ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "personal_data_base": personal_data.BASE_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_prefix_tree": prefix_tree.OP11_SQL,
 }
