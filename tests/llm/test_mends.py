@@ -195,3 +195,33 @@ def test_rare_meetings_miss_no_link(spark):
             if comp[a] != comp[b] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
                 assert (a, b) in got
     assert len(got) < len(texts) ** 2 / 4
+
+
+def test_personal_data_of_long_texts(spark):
+    """200,000 addresses in one text, in time that grows with it; spans at the edges of pieces are those of one piece."""
+    import time
+
+    from lectern.llm import personal_data
+
+    one = spark.createDataFrame([(1, "mail me at a@b.example now ")], "doc_id long, text string")
+    took = []
+    for n in (50_000, 200_000):
+        df = one.withColumn("text", F.repeat("text", F.lit(n)))
+        began = time.time()
+        found = personal_data.find_personal_data(df).select(F.size("spans").alias("n"), F.element_at("spans", -1)["start"].alias("last")).first()
+        took.append(time.time() - began)
+        assert found.n == n and found.last == 27 * (n - 1) + 11
+    assert took[1] < 8 * took[0]
+    rng = random.Random(11)
+    parts = ["ann@mail.example", "call +1 (826) 555-4081 now", "10.0.0.1", "4111 1111 1111 1111", "bob [at] host [dot] example", "word", "version 1.2.3.4", "é漢", "\n", ", ", " ", "5105105105105100"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {}
+    for size in (4000, 50):
+        personal_data_piece = personal_data.PIECE
+        try:
+            personal_data.PIECE = personal_data_piece.replace("4000", str(size))
+            spans[size] = {r.doc_id: [tuple(s)[:4] for s in r.spans if s.base] for r in personal_data.find_personal_data(df).select("src.doc_id", "spans").collect()}
+        finally:
+            personal_data.PIECE = personal_data_piece
+    assert spans[50] == spans[4000] and sum(map(len, spans[50].values())) > 1000
