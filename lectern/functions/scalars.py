@@ -96,6 +96,19 @@ def term_matches(name: Column, typed: Column) -> Column:
     return term_key(name).contains(term_key(typed))
 
 
+def id_list(text: Column) -> Column:
+    """Comma-separated UUIDs: trimmed, lower-cased, distinct, sorted; null where one is none, no ids where nothing is given."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.lower(F.btrim(p, F.lit(SPACES)))), lambda p: p != "")
+    good = F.forall(parts, lambda p: p.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"))
+    return F.when(good, F.array_sort(F.array_distinct(parts)))
+
+
+def page_size(text: Column, default: int = 20, most: int = 50) -> Column:
+    """What a request asks for, between 1 and ``most``; the default for nothing, zero and what is no number."""
+    n = text.try_cast("double")
+    return F.least(F.greatest(F.when(F.isnan(n) | (n == 0), F.lit(float(default))).otherwise(F.coalesce(n, F.lit(float(default)))), F.lit(1.0)), F.lit(float(most)))
+
+
 def remap_paragraph(index: Column, count: Column) -> Column:
     return F.greatest(F.lit(0), F.least(index, count - 1))
 

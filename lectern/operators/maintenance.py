@@ -26,6 +26,7 @@ TRANSITIONS = {
     "reverted": (),
 }
 MOST_ATTEMPTS = 3
+LEASE_SECONDS = 300
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -40,6 +41,30 @@ def reap(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumn("status", F.when(dead, "failed").otherwise(F.col("status")))
 
 
+def fenced(jobs: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(outcomes, jobs)`` after workers' ``writes``, one a job at most: only who owns a job's lease may write.
+
+    ``writes``: job_id, owner, action, at. ``renew`` moves the lease on by
+    ``LEASE_SECONDS`` from ``at``; ``retry`` puts the job back and ``fail`` ends
+    it, both without a lease. A write of another owner, or of a job that isn't
+    processing or isn't there, is ``lease_lost`` and changes nothing; an action
+    that isn't known is ``invalid``.
+    """
+    held = jobs.select(F.col("id").alias("job_id"), "status", "lease_owner")
+    mine = (F.col("status") == "processing") & (F.col("lease_owner") == F.col("owner"))
+    outcome = F.when(~F.col("action").isin("renew", "retry", "fail"), "invalid").when(F.coalesce(mine, F.lit(False)), "applied").otherwise("lease_lost")
+    judged = writes.join(held, "job_id", "left").select("job_id", "owner", "action", "at", outcome.alias("outcome"))
+    done = judged.where("outcome = 'applied'").select(F.col("job_id").alias("id"), "action", "at")
+    action, renewed = F.col("action"), F.col("at") + F.make_dt_interval(secs=F.lit(LEASE_SECONDS))
+    new = {
+        "status": F.when(action == "retry", "queued").when(action == "fail", "failed").otherwise(F.col("status")),
+        "lease_owner": F.when(action.isNull() | (action == "renew"), F.col("lease_owner")),
+        "lease_expires_at": F.when(action == "renew", renewed).when(action.isNull(), F.col("lease_expires_at")),
+        "error_code": F.when(action == "retry", "processing_retry").when(action == "fail", "processing_failed").otherwise(F.col("error_code")),
+    }
+    return judged.drop("at"), jobs.join(done, "id", "left").withColumns(new).select(*jobs.columns)
+
+
 def illegal(steps: DataFrame) -> DataFrame:
     """Steps (before, after) that the state table does not list."""
     allowed = steps.sparkSession.createDataFrame([(a, b) for a, bs in TRANSITIONS.items() for b in bs], "before string, after string")

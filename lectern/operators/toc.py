@@ -52,6 +52,12 @@ def ends(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("work_id").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"), F.count("*").alias("chapters"))
 
 
+def page_json(page: DataFrame, columns: list[str]) -> DataFrame:
+    """``work_id, chapters``: the rows of a :func:`window` as one JSON array a work, in order; a window bounds its length."""
+    row = F.struct("ordinal", F.struct(*columns).alias("row"))
+    return page.groupBy("work_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"])).alias("chapters"))
+
+
 #: Chapters, or digests of the level below, in one digest.
 CHUNK = 4_096
 

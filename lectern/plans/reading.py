@@ -10,6 +10,8 @@ from lectern.operators import ingest as I
 from lectern.operators import maintenance as M
 from lectern.operators import projections as J
 from lectern.operators import publishing as P
+from lectern.operators import toc
+from lectern.plans import operations as _jobs  # noqa: F401  # the view of jobs
 from lectern.plans.analog import VIEWS, frame, over
 from lectern.plans.projections import frames
 from lectern.plans.registry import query
@@ -151,3 +153,37 @@ def set_removed(spark, d):
     """A removed work comes back as a draft; asked again, nothing happens."""
     once = P.set_removed(frame(spark, d, "works"), 41, False)
     return P.set_removed(once, 41, False).select("id", "visibility", "edit_version")
+
+
+@query("page_json", over("SELECT work_id, '[' || string_agg('{\"id\":' || id || ',\"label_raw\":\"' || label_raw || '\",\"position\":' || position || '}', ',' ORDER BY position) || ']' AS chapters FROM (SELECT *, count(*) OVER (PARTITION BY work_id) AS total FROM chapters) t WHERE position > total - 4 GROUP BY work_id"))
+def page_json(spark, d):
+    """The last four chapters of each work as JSON."""
+    return toc.page_json(toc.window(frame(spark, d, "chapters"), limit=4, latest=True), ["id", "label_raw", "position"])
+
+
+IDS = "upper(id) || ' ,' || CASE WHEN nr % 4 = 0 THEN 'nothing' WHEN nr % 4 = 1 THEN '' ELSE id END || ', ' || substr(id, 1, 8) || '-0000-0000-0000-' || substr(id, 25, 12)"
+
+
+@query("id_lists", over("SELECT nr, CASE WHEN nr % 4 <> 0 THEN least(id, left(id, 8) || '-0000-0000-0000-' || substring(id, 25, 12)) || '|' || greatest(id, left(id, 8) || '-0000-0000-0000-' || substring(id, 25, 12)) END AS ids, CASE nr % 6 WHEN 0 THEN 20 WHEN 1 THEN 1 WHEN 2 THEN 50 WHEN 3 THEN 20 WHEN 4 THEN 20 ELSE 7 END::DOUBLE AS size FROM uuid_works"))
+def id_lists(spark, d):
+    """What requests give as ids and page sizes, made whole or refused."""
+    asked = F.get(F.array(*[F.lit(x) for x in (None, "-3", "400", "many", "0", "7")]), (F.col("nr") % 6).cast("int"))
+    return frame(spark, d, "uuid_works").select("nr", F.array_join(S.id_list(F.expr(IDS)), "|").alias("ids"), S.page_size(asked).alias("size"))
+
+
+VIEWS["leased"] = "SELECT id, status, CASE WHEN status = 'processing' THEN 'w' || CAST(id % 3 AS VARCHAR(3)) END AS lease_owner, lease_expires_at, CAST(NULL AS VARCHAR(30)) AS error_code FROM jobs"
+VIEWS["lease_writes"] = "SELECT id AS job_id, 'w' || CAST(id % 2 AS VARCHAR(3)) AS owner, CASE id % 5 WHEN 0 THEN 'renew' WHEN 1 THEN 'retry' WHEN 2 THEN 'fail' WHEN 3 THEN 'renew' ELSE 'steal' END AS action, TIMESTAMP '2024-01-01 00:00:00' AS at FROM jobs WHERE id % 7 <> 0 UNION ALL SELECT -1, 'w0', 'renew', TIMESTAMP '2024-01-01 00:00:00'"
+FENCED = "SELECT w.*, l.id AS id, CASE WHEN action = 'steal' THEN 'invalid' WHEN l.status = 'processing' AND l.lease_owner = w.owner THEN 'applied' ELSE 'lease_lost' END AS outcome FROM lease_writes w LEFT JOIN leased l ON l.id = w.job_id"
+
+
+@query("lease_outcomes", over(f"SELECT job_id, owner, action, outcome FROM ({FENCED}) f"))
+def lease_outcomes(spark, d):
+    return M.fenced(*frames(spark, d, "leased", "lease_writes"))[0]
+
+
+@query("leased_jobs", over(f"""SELECT l.id, CASE WHEN f.action = 'retry' THEN 'queued' WHEN f.action = 'fail' THEN 'failed' ELSE l.status END AS status, CASE WHEN f.action IS NULL OR f.action = 'renew' THEN l.lease_owner END AS lease_owner,
+  CASE WHEN f.action = 'renew' THEN TIMESTAMP '2024-01-01 00:05:00' WHEN f.action IS NULL THEN l.lease_expires_at END AS lease_expires_at, CASE f.action WHEN 'retry' THEN 'processing_retry' WHEN 'fail' THEN 'processing_failed' END AS error_code
+FROM leased l LEFT JOIN ({FENCED}) f ON f.id = l.id AND f.outcome = 'applied'"""))
+def leased_jobs(spark, d):
+    """The queue after the writes of those who own their lease."""
+    return M.fenced(*frames(spark, d, "leased", "lease_writes"))[1]
