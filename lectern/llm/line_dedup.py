@@ -29,9 +29,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     and each gets its own result. Texts are whole, whatever their length. An
     empty table gives an empty one.
     """
-    rows = docs.select(F.struct("*").alias("src"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # a text travels once, within src
+    rows = docs.select(F.struct("*").alias("src"), F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     keyed = lines.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     # two seeds make a 128-bit hash: no two keys of a corpus meet by chance
     keyed = table(keyed.select("id", "mark", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")))
@@ -47,6 +48,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         .select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
     )
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    out = out.withColumn("text", F.coalesce(F.col("src").getField(text_col), F.lit("")))
     split = F.split("text", "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return (
