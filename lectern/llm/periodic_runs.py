@@ -198,3 +198,38 @@ def op12_periodic_runs(spark, sf_dir):
         F.col("src.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli",
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))) AS bits
+  FROM documents
+), hashed AS (
+  SELECT doc_id, w, len(w) AS n, xor(list_reduce(bits, lambda x, y: xor(xor(x, y) // 2, 3988292384::BIGINT * (xor(x, y) % 2))), 4294967295::BIGINT) AS h FROM docs
+), planted AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed
+), words AS (
+  SELECT doc_id, n, i, w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END + 1] AS word
+  FROM planted, unnest(range(0, n)) AS u(i)
+), again AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM again) t
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT r.* FROM stretches r WHERE NOT EXISTS (SELECT 1 FROM stretches s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start AND s.start + s.length >= r.start + r.length)
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS text FROM runs GROUP BY doc_id
+), longest AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1
+), gone AS (
+  SELECT DISTINCT doc_id, u.i FROM runs, unnest(range(start + q, start + length)) AS u(i)
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, m.start::BIGINT AS start, m.length::BIGINT AS length, m.q::BIGINT AS period, (1000 * m.length // m.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(l.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN longest m ON m.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -25,8 +25,10 @@ QUERIES = {
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
     "personal_data_base": personal_data.BASE_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_prefix_tree": prefix_tree.OP11_SQL,
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
 }
