@@ -100,15 +100,25 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block with text, in page order."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
+    loose = False  # whether the block under way has words outside links
     stack: list[tuple[str, int, bool]] = [("", OPEN, True)]
     places: dict[str, list[int]] = {}
 
     def flush():
+        nonlocal loose
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((stack[-1][1], joined))
+                kind = stack[-1][1]
+                # an item of a list that is a link as a whole is an entry of a menu
+                out.append((NAMED_OUTSIDE if kind == OPEN and not loose and places.get("li") else kind, joined))
             text.clear()
+        loose = False
+
+    def add(part: str):
+        nonlocal loose
+        text.append(part)
+        loose = loose or not (places.get("a") or part.isspace())
 
     def last(names) -> int:
         """Where the innermost open element of one of the names is; 0 if none is open."""
@@ -128,7 +138,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
@@ -162,7 +172,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             places.setdefault(name, []).append(len(stack))
             stack.append((name, new, top and name in ("html", "body", "div")))
     if at < len(page):
-        text.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
