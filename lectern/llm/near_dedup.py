@@ -207,7 +207,8 @@ def linked(texts: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, percen
             # what shares a table key shares its first half key. A half key each, another text for each: a text meets several members of its group
             by_half = table(placed.drop("key").distinct())
             pick = F.struct(F.xxhash64(F.lit(turn), "id", "u").alias("rank"), "id", "size", "own", "comp")
-            pivots = by_half.groupBy("u").agg(F.min(pick).alias("p")).select("u", "p.*")
+            # a table: the join meets plain exchanges, which adaptive execution can split where a half key is hot
+            pivots = table(by_half.groupBy("u").agg(F.min(pick).alias("p")).select("u", "p.*"))
             met = by_half.alias("x").join(pivots.alias("y"), "u")
         met = met.where((F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         found = check(table(met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()))
