@@ -18,8 +18,9 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.search import first_match, read_search_cursor, search_cursor
 from lectern.stored import table
@@ -50,6 +51,10 @@ def grams_of(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return parts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(part, F.lit("(?s)(?=(...))"), 1))).alias("gram")).distinct()
 
 
+#: Schemas of the tables that were read, by their path.
+SCHEMAS: dict[str, T.StructType] = {}
+
+
 @dataclass(frozen=True)
 class GramIndex:
     """An index in the folder ``path``; it keeps the number of slices it was made with."""
@@ -86,7 +91,11 @@ class GramIndex:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; its schema is looked up once a process, since it never changes."""
+        at = f"{self.path}/{name}"
+        if at not in SCHEMAS:
+            SCHEMAS[at] = self.spark.read.parquet(at).schema
+        return self.spark.read.schema(SCHEMAS[at]).parquet(at)
 
     def postings(self, grams: list[str]) -> DataFrame:
         return self.read("postings").where(self._in_slice("gram", grams))
@@ -134,10 +143,14 @@ def search_page(chapters: DataFrame, index: GramIndex, variants: list[str], limi
     else:
         told = rows.join(indexed.withColumn("known", F.lit(True)), "key", "left").join(may.withColumn("may", F.lit(True)), "key", "left")
     told = told.withColumns({"known": F.coalesce("known", F.lit(False)), "may": F.coalesce("may", F.lit(False))})
-    told = table(told.where(F.col("may") | ~F.col("known") | title))
-
-    found, n_found, after, width = [], 0, None, FEW
-    while n_found <= limit:
+    told = told.where(F.col("may") | ~F.col("known") | title)
+    kind = rows.schema
+    out = T.StructType([kind["position"], kind["title"], *T.StructType.fromDDL("paragraph int, match_start int, snippet string").fields])
+
+    found: list[Row] = []
+    after, width = None, FEW
+    while len(found) <= limit:
+        # at most MANY rows without their bodies, and of their hits the snippets
         some = (told if after is None else told.where(F.col("position") > after)).orderBy("position").limit(width).collect()
         if not some:
             break
@@ -145,15 +158,14 @@ def search_page(chapters: DataFrame, index: GramIndex, variants: list[str], limi
         rest = [r.key for r in some if not r.known and r.key is not None]
         if rest and bodies is not None:
             held = held.unionByName(bodies.where(F.col("key").isin(rest)).dropDuplicates(["key"]).select("key", "body"))
-        part = told.where(F.col("position").between(some[0].position, some[-1].position)).join(held, "key", "left")
-        hits = table(part.withColumn("m", first_match(F.coalesce("body", F.lit("")), F.col("title"), variants, separator)).where("m IS NOT NULL").select("position", "title", "m.*"))
-        found.append(hits)
-        n_found += hits.count()
+        asked = index.spark.createDataFrame([(r.position, r.title, r.key) for r in some], kind)
+        hit = first_match(F.coalesce("body", F.lit("")), F.col("title"), variants, separator)
+        hits = asked.join(held, "key", "left").withColumn("m", hit).where("m IS NOT NULL").select("position", "title", "m.*")
+        found += sorted(hits.collect(), key=lambda r: r.position)
+        if len(some) < width:
+            break
         after, width = some[-1].position, min(4 * width, MANY)
-    if not found:
-        m = first_match(F.lit(""), F.col("title"), variants, separator)
-        return rows.where(F.lit(False)).withColumn("m", m).select("position", "title", "m.*")
-    return reduce(DataFrame.unionByName, found).orderBy("position").limit(limit + 1)
+    return index.spark.createDataFrame(found[: limit + 1], out)
 
 
 def search_next(chapters: DataFrame, index: GramIndex, variants: list[str], asked: str, revision: str, cursor: str | None = None, limit: int = 50, bodies: DataFrame | None = None, separator: str = "\n\n") -> tuple[DataFrame, str | None]:
@@ -163,8 +175,9 @@ def search_next(chapters: DataFrame, index: GramIndex, variants: list[str], aske
     cursor of another is refused (ValueError says why).
     """
     start, shown = read_search_cursor(cursor, asked, revision, chapters.count()) if cursor else (0, 0)
-    page = table(search_page(chapters, index, variants, limit, start, bodies, separator))
-    last = page.orderBy("position").offset(limit).limit(1).collect()
-    if not last:
-        return page.orderBy("position"), None
-    return page.where(F.col("position") < last[0].position).orderBy("position"), search_cursor(asked, revision, last[0].position, shown + limit)
+    # one row more than a page
+    page = search_page(chapters, index, variants, limit, start, bodies, separator)
+    shown_rows = page.collect()
+    if len(shown_rows) <= limit:
+        return page, None
+    return index.spark.createDataFrame(shown_rows[:limit], page.schema), search_cursor(asked, revision, shown_rows[limit].position, shown + limit)
