@@ -5,6 +5,12 @@ its nearest list and, near a boundary, to others too; a query walks a graph of
 the centroids in memory and takes the lists within a ratio of the nearest
 distance. Lists are cut into blocks, and blocks of a list meet blocks of the
 queries that probe it, so neither a long list nor a much-probed one is one task.
+
+The centroids in memory have a bound. Beyond it each list is cut into sublists by
+centroids of its own, which stay in Spark tables and grow in number with the
+vectors: sublists keep their size. A query meets the nearest sublists of its
+nearest lists first; what they give bounds the rest, and a sublist whose centroid
+and radius can't reach that bound is left out, exactly.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ COPIES, COPY_RATIO = 2, 1.10
 NEIGHBOURS, LONG, STARTS, BEAM = 20, 6, 64, 32
 #: Rows of a block of vectors or of queries.
 BLOCK = 1_024
+#: Rows of the sample that a list's sublists are fit on, for each sublist; and sublists of a list at most, which bounds the row that holds their centroids.
+SAMPLE_PER_SUBLIST, MAX_SUBLISTS = 24, 1 << 14
 #: Rows of a query's nearest lists that are compared first.
 FIRST = 2_048
 #: Recall on the sample that the probing ratio is set for.
@@ -167,6 +175,74 @@ def fit(x: np.ndarray, longest: float, n_lists: int, k: int, seed: int = 3) -> L
     return model
 
 
+def blocks(df: DataFrame, name: str, few_lists: bool = True) -> DataFrame:
+    """One row a block of at most about BLOCK rows of a list; the other columns are gathered as ``name``."""
+    parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    # a row a list: some MAX_LISTS, or as many as there are sublists
+    dealt = df.join(F.broadcast(parts) if few_lists else table(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
+    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
+
+
+class Sublists:
+    """Lists cut by centroids of their own. ``postings`` (list, id, v) numbers the parts list * MAX_SUBLISTS + part."""
+
+    def __init__(self, postings: DataFrame, longest: float, dim: int, kind: str, n_subs: int):
+        lift = Lists(np.zeros((1, dim + 1)), np.zeros((1, 1), np.int64), longest).lift
+        self.dim, self.kind = dim, kind
+
+        def cut(rows: pa.Table) -> pa.Table:
+            c = np.array(balanced(lift(matrix(rows["v"].combine_chunks(), dim)), SAMPLE_PER_SUBLIST, np.random.default_rng(7)))[:MAX_SUBLISTS]
+            return pa.table({"list": rows["list"][:1], "centroids": pa.array([c.ravel()], pa.list_(pa.float64()))})
+
+        def place(batches):
+            for b in batches:
+                for one, held, flat in zip(b.column("list"), b.column("held"), b.column("centroids")):
+                    h, c = held.values, flat.values.to_numpy().reshape(-1, dim + 1)
+                    y = lift(matrix(h.field("v"), dim))
+                    sub = ((c**2).sum(1) - 2 * y @ c.T).argmin(1)
+                    # how far a vector is from its centroid, a little rounded up: the radius has to hold
+                    away = np.sqrt(((y - c[sub]) ** 2).sum(1)) * (1 + 1e-9) + 1e-9
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), one.as_py(), np.int32)), pa.array(sub.astype(np.int32)), h.field("id"), h.field("v"), pa.array(away)], names=["list", "sub", "id", "v", "away"])
+
+        nth = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("id"), "id"))
+        sample = postings.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_PER_SUBLIST * n_subs).select("list", "v")
+        centroids = table(sample.groupBy("list").applyInArrow(cut, "list int, centroids array<double>"))
+        placed = table(blocks(postings, "held").join(centroids, "list").mapInArrow(place, f"list int, sub int, id long, v array<{kind}>, away double"))
+        sizes = placed.groupBy("list", "sub").agg(F.max("away").alias("radius"), F.count("*").alias("n")).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("sub", "radius", "n"))).alias("subs"))
+        # a row a list, with MAX_SUBLISTS centroids at most
+        self.bounds = table(centroids.join(sizes, "list"))
+        self.postings = placed.select(self.number(F.col("list"), F.col("sub")).alias("list"), "id", "v")
+
+    @staticmethod
+    def number(one, sub):
+        return one.cast("long") * MAX_SUBLISTS + sub
+
+    def probed(self, probes: DataFrame, nearest_ones: bool) -> DataFrame:
+        """``list, id, v, floor``: of the probed lists (list, id, v, first, floor) the nearest sublists, FIRST rows of a ``first`` list; or else the others that can reach the floor."""
+        dim = self.dim
+
+        def pick(batches):
+            for b in batches:
+                for one, asking, flat, subs in zip(b.column("list"), b.column("asking"), b.column("centroids"), b.column("subs")):
+                    a, held = asking.values, subs.values
+                    sub, radius, n = (held.field(f).to_numpy() for f in ("sub", "radius", "n"))
+                    c = flat.values.to_numpy().reshape(-1, dim + 1)[sub]
+                    q = matrix(a.field("v"), dim)
+                    product = q @ c[:, :dim].T
+                    order = ((c**2).sum(1) - 2 * product).argsort(axis=1, kind="stable")
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    near = np.zeros(product.shape, bool)
+                    np.put_along_axis(near, order, before < FIRST, axis=1)
+                    near &= a.field("first").to_numpy(zero_copy_only=False)[:, None]
+                    most = product + np.sqrt((q * q).sum(1))[:, None] * radius
+                    rows, subs_of = np.nonzero(near if nearest_ones else ~near & (most >= a.field("floor").to_numpy()[:, None]))
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(one.as_py() * MAX_SUBLISTS + sub[subs_of].astype(np.int64)), *[a.field(f).take(at) for f in ("id", "v", "floor")]], names=["list", "id", "v", "floor"])
+
+        met = blocks(probes, "asking").join(self.bounds, "list").select("list", "asking", "centroids", "subs")
+        return met.mapInArrow(pick, f"list long, id long, v array<{self.kind}>, floor double")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_list: int = PER_LIST) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` found, itself excepted.
 
@@ -224,12 +300,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     probes = table(asked.mapInArrow(ask, f"list int, id long, v array<{kind}>, first boolean"))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        """One row a block of at most about BLOCK rows of a list."""
-        # a row a list, of which there are some MAX_LISTS
-        parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        dealt = df.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
+    n_subs = min(MAX_SUBLISTS, n_total // (per_list * n_lists))
+    if n_subs > 1:
+        subs = Sublists(postings, model.longest, dim, kind, n_subs)
+        postings = subs.postings
 
     def compare(batches):
         for b in batches:
@@ -242,11 +316,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
 
-    held = table(blocks(postings, "held"))
+    held = table(blocks(postings, "held", n_subs == 1))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def search(asking: DataFrame) -> DataFrame:
-        met = held.join(table(blocks(asking, "asking")), "list")
+        met = held.join(table(blocks(asking, "asking", n_subs == 1)), "list")
         found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
         # a vector is found in several lists
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -255,9 +329,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     # what the nearest lists give is a bound for the rest
-    near = table(top(search(probes.where("first").select("list", "id", "v", F.lit(float("-inf")).alias("floor")))))
+    none = F.lit(float("-inf")).alias("floor")
+    near = table(top(search(subs.probed(probes.where("first").withColumn("floor", none), True) if n_subs > 1 else probes.where("first").select("list", "id", "v", none))))
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") - 1e-9 * (1 + F.abs("score"))).alias("floor"))
-    rest = probes.where("NOT first").join(floors, "id", "left").select("list", "id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    bounded = probes.join(floors, "id", "left").select("list", "id", "v", "first", F.coalesce("floor", none).alias("floor"))
+    rest = subs.probed(bounded, False) if n_subs > 1 else bounded.where("NOT first").select("list", "id", "v", "floor")
     found = near.drop("rank").unionByName(search(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return top(found).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
