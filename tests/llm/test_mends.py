@@ -225,3 +225,36 @@ def test_personal_data_of_long_texts(spark):
         finally:
             personal_data.PIECE = personal_data_piece
     assert spans[50] == spans[4000] and sum(map(len, spans[50].values())) > 1000
+
+
+def test_lists_that_grow_with_the_table(spark, monkeypatch):
+    """Beyond the centroids that memory holds, lists are cut into sublists of the same size: found as well, with fewer rows compared."""
+    from lectern.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(200, 12)) * 4
+    x = middles[np.arange(8_000) % 200] + rng.normal(size=(8_000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    met = []
+    monkeypatch.setattr(neighbours, "MAX_LISTS", 8)
+    monkeypatch.setattr(neighbours, "FIRST", 64)
+    keep = neighbours.Sublists.probed
+
+    def counted(self, probes, nearest_ones):
+        out = neighbours.table(keep(self, probes, nearest_ones))
+        met.append(out.join(self.postings.groupBy("list").count(), "list").agg(F.sum("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(neighbours.Sublists, "probed", counted)
+    by = {}
+    for r in neighbours.nearest(df, asked, per_list=32).collect():
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = []
+    for q in range(0, 8_000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len({i for i, _ in by[q]} & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert len(by[q]) == 20 and all(abs(score - s[i]) < 1e-9 for i, score in by[q])
+    assert np.mean(hits) >= 0.95 and len(met) == 2
+    assert sum(met) / 80 < 8_000 / 5
