@@ -29,8 +29,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Bytes of a pre-token above which places are kept by rank.
 LONG = 2_048
-#: Pre-tokens whose counts a task remembers, and bytes of pre-tokens merged in one array.
-REMEMBERED, TOGETHER = 1_000_000, 4_000_000
+#: Pre-tokens whose counts a task remembers, and characters of them; and bytes of pre-tokens merged in one array.
+REMEMBERED, REMEMBERED_CHARS, TOGETHER = 1_000_000, 16_000_000, 4_000_000
 #: The rank of a pair that does not merge.
 NEVER = np.int64(1) << 40
 
@@ -179,7 +179,7 @@ class Counter:
     """Token counts of texts; remembers the counts of pre-tokens met before."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.known = merges, {}
+        self.merges, self.known, self.chars = merges, {}, 0
 
     def __call__(self, texts: list[str]) -> list[int]:
         m, known = self.merges, self.known
@@ -190,6 +190,7 @@ class Counter:
             found = [t for part in parts for t in m.pattern.findall(part)]
             split.append(found)
             new |= dict.fromkeys(t for t in found if t not in known)
+        self.chars += sum(map(len, new))
         batch, held = [], 0
         for t in new:
             raw = t.encode()
@@ -203,8 +204,9 @@ class Counter:
                 batch, held = [], 0
         self._merge(batch)
         out = [n + sum(map(known.__getitem__, found)) for n, found in zip(specials, split)]
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             known.clear()
+            self.chars = 0
         return out
 
     def _merge(self, batch: list[tuple[str, bytes]]) -> None:
