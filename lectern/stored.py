@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,57 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The paths that tables were written to, for each :func:`temporary` under way.
+_MADE: list[list[str]] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _MADE:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a :func:`table` no later job reads."""
+    """Delete the files of a :func:`table`, or of a selection from one, that no later job reads; other frames' files stay."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lectern")
+    home = root.getFileSystem(conf).makeQualified(root).toString()
     for file in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/lectern/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if path.toString().startswith(f"{home}/"):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written within are deleted at its end, but for those given to the function it yields.
+
+    For whoever has written a result and reads nothing else of how it was made.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._lectern_path)
+        return df
+
+    _MADE.append(made)
+    try:
+        yield keep
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
