@@ -15,6 +15,7 @@ from lectern.llm.mixing import mixed
 from lectern.llm.near_dedup import keep_one_of_each
 from lectern.llm.shared import table
 from lectern.llm.toxicity import score_toxicity
+from lectern.stored import drop, temporary
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; of what they write on the way only the last one's rows stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir))
+        with temporary(spark) as keep:
+            after = keep(table(stage(spark, docs, sf_dir)))
+        drop(docs)
+        docs = after
     return docs
