@@ -61,3 +61,18 @@ def test_pipeline_edges(spark, tmp_path):
         got = [r.text for r in out.collect()]
         assert set(schema.replace(",", "").split()[::2]) <= set(out.columns)
         assert got == [] if name == "none" else set(got) <= {long, "another text of this id"} and got.count(long) <= 1
+
+
+def test_pipeline_leaves_its_result_only(spark, tmp_path):
+    from pathlib import Path
+
+    from lectern.stored import shared_folder
+
+    rows = [(i, f"text number {i} of these few words {i * 7}", "en", f"s{i % 2}", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    home = Path(shared_folder(spark).removeprefix("file://")) / "lectern"
+    before = set(home.iterdir()) if home.exists() else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(home.iterdir()) - before) == 1 and out.count() > 0
