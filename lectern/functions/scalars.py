@@ -12,6 +12,11 @@ from lectern.functions.normal import normalised
 SPACES = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def public_id(ident: Column) -> Column:
     """The first eight hex digits of a UUID."""
     return F.left(F.regexp_replace(ident, "-", ""), F.lit(8))

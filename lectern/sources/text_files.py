@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.labels import parse_label
-from lectern.functions.scalars import COMPLETED, ONGOING, SPACES
+from lectern.functions.scalars import COMPLETED, ONGOING, SPACES, let
 
 BLANKS = " \t\n\x0b\x0c\r\u00a0\u2002\u2003\u3000\ufeff"
 _S = r"[\s\u00a0\u3000]*"
@@ -204,14 +204,9 @@ def tidy(text: Column, trim: bool = True, collapse: bool = True, promotions: boo
     a book's work grows with its length. An empty text stays empty, null is null.
     """
     spaces = F.lit(SPACES)
-    given = F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"), "\n", -1)
-    kept = F.filter(given, lambda x: ~x.rlike(PROMOTION)) if promotions else given
-    lines = F.transform(kept, lambda x: F.btrim(x, spaces)) if trim else kept
-    trimmed = F.size(F.filter(kept, lambda x: F.btrim(x, spaces) != x)) if trim else F.lit(0)
     # a line beside the one before it; the first one's is null
     beside = lambda c: F.arrays_zip(c.alias("line"), F.concat(F.array(F.lit(None).cast("string")), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))).alias("before"))
     again = lambda p: F.coalesce((p["line"] == "") & (p["before"] == ""), F.lit(False))
-    spaced = F.transform(F.filter(beside(lines), lambda p: ~again(p)), lambda p: p["line"]) if collapse else lines
 
     def joins(p):
         fits = lambda c: F.length(c).between(1, MOST_WRAPPED) & ~c.rlike(HEADING) & ~c.rlike(NAMED_FIELD)
@@ -219,9 +214,32 @@ def tidy(text: Column, trim: bool = True, collapse: bool = True, promotions: boo
 
     def with_gap(p):
         ascii_ = p["line"].rlike(r"^[\x00-\x7f]") & p["before"].rlike(r"[\x00-\x7f]\z")
-        return F.concat(F.when(p["before"].isNull(), "").when(joins(p), F.when(ascii_, " ").otherwise("")).otherwise("\n"), p["line"])
+        gap = F.when(p["before"].isNull(), "").when(joins(p), F.when(ascii_, " ").otherwise("")).otherwise("\n")
+        return F.struct(gap.alias("gap"), p["line"].alias("line"))
+
+    def put_together(spaced, counts):
+        if not join:
+            return F.struct(F.btrim(F.array_join(spaced, "\n"), F.lit("\n")).alias("text"), *counts, F.lit(0).alias("joined"))
+
+        def whole(parts):
+            text = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], p["line"])), "")
+            # every line but the first was joined, or began anew
+            return F.struct(F.btrim(text, F.lit("\n")).alias("text"), *counts, F.size(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p["gap"] != "\n")).alias("joined"))
+
+        return let(F.transform(beside(spaced), with_gap), whole)
+
+    def tidied(given):
+        def of_kept(kept):
+            trimmed = F.size(F.filter(kept, lambda x: F.btrim(x, spaces) != x)) if trim else F.lit(0)
 
-    joined = F.size(F.filter(beside(spaced), joins)) if join else F.lit(0)
-    whole = F.array_join(F.transform(beside(spaced), with_gap), "") if join else F.array_join(spaced, "\n")
-    out = F.struct(F.btrim(whole, F.lit("\n")).alias("text"), trimmed.alias("trimmed"), (F.size(lines) - F.size(spaced)).alias("collapsed"), (F.size(given) - F.size(kept)).alias("promotions"), joined.alias("joined"))
-    return F.when(text.isNotNull(), out)
+            def of_lines(lines):
+                counts = lambda spaced: [trimmed.alias("trimmed"), (F.size(lines) - F.size(spaced)).alias("collapsed"), (F.size(given) - F.size(kept)).alias("promotions")]
+                spaced = F.transform(F.filter(beside(lines), lambda p: ~again(p)), lambda p: p["line"]) if collapse else lines
+                return let(spaced, lambda s: put_together(s, counts(s)))
+
+            return let(F.transform(kept, lambda x: F.btrim(x, spaces)) if trim else kept, of_lines)
+
+        return let(F.filter(given, lambda x: ~x.rlike(PROMOTION)) if promotions else given, of_kept)
+
+    given = F.split(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n"), "\n", -1)
+    return F.when(text.isNotNull(), let(given, tidied))
