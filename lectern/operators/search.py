@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.scalars import IMAGE, paragraphs
+from lectern.functions.scalars import IMAGE, let, paragraphs
 
 BEFORE, AFTER = 72, 112
 BLOOM_BITS, BLOOM_HASHES, MOST_GRAMS = 16 * 1024 * 8, 3, 100_000
@@ -33,18 +33,22 @@ def first_match(body: Column, title: Column, variants: list[str], separator: str
         hits = [F.when(f > 0, f) for f in found]
         return reduce(F.least, hits) if len(hits) > 1 else hits[0]
 
+    if not any(c.isspace() for v in vs for c in v):  # what no white space can make is there or isn't, before any paragraph is looked at
+        body = F.when(reduce(lambda a, b: a | b, [F.lower(body).contains(v) for v in vs]), body).otherwise("")
     tidy = F.transform(paragraphs(body, separator), lambda p, i: F.struct(i.alias("i"), F.when(~p.rlike(IMAGE), F.btrim(F.regexp_replace(p, r"\s+", " "))).alias("p")))
     hit = F.get(F.filter(tidy, lambda s: at(s["p"]).isNotNull()), F.lit(0))
 
     def shown(text: Column, index: Column) -> Column:
-        place = at(text) - 1
+        return let(at(text) - 1, lambda place: around(text, index, place))
+
+    def around(text: Column, index: Column, place: Column) -> Column:
         start = F.greatest(F.lit(0), place - BEFORE)
         end = F.least(F.length(text), place + AFTER)
         lead, tail = F.when(start > 0, "…").otherwise(""), F.when(end < F.length(text), "…").otherwise("")
         return F.struct(index.alias("paragraph"), (place - start + F.length(lead)).alias("match_start"), F.concat(lead, F.substring(text, start + 1, end - start), tail).alias("snippet"))
 
     name = F.btrim(F.regexp_replace(title, r"\s+", " "))
-    return F.when(hit.isNotNull(), shown(hit["p"], hit["i"])).when(at(name).isNotNull(), shown(name, F.lit(0)))
+    return let(hit, lambda h: F.when(h.isNotNull(), shown(h["p"], h["i"])).when(at(name).isNotNull(), shown(name, F.lit(0))))
 
 
 def _slots(text: str) -> np.ndarray:
