@@ -31,8 +31,8 @@ from lectern.operators.scan import running
 SHARED_BY, BORROWED = 20, 4
 #: Ids in one chunk of a node's hashed list.
 CHUNK = 4_096
-#: Code points of a text that tell rows of one turn apart before its digest does.
-HEAD = 64
+#: Code points of a text that rows of one turn are dealt out by, and further ones of texts that start alike.
+HEAD, NEXT = 64, 1_024
 NODE = ["n1", "n2"]
 LANES = [f"s{i}" for i in range(4)]
 
@@ -41,17 +41,23 @@ def turns_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     """``conv_id, at, t1, t2, words`` per turn: its place from 1 in its conversation, a 128-bit digest, its words.
 
     Turns come in the order of ``turn``, null first; rows of the same turn by
-    role, then text (its first 64 code points, then its digest). A null role or
-    text is empty. Rows that repeat others are turns of their own. Rows without
-    conversation belong to none and are left out. Texts end here: what follows
-    carries digests.
+    role, then text. A null role or text is empty. Rows that repeat others are
+    turns of their own. Rows without conversation belong to none and are left
+    out. Texts end here: what follows carries digests. The order needs a whole
+    text only where several of one turn and role start alike: rows are dealt out
+    by its first code points, and those that are still alike are sorted by it.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = conversations.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), F.substring(text, 1, HEAD).alias("head"),
-        F.xxhash64(role, text).alias("t1"), F.xxhash64(F.lit(7), role, text).alias("t2"), n_words(text).alias("words"), F.lit(1).cast("long").alias("one"),
-    )
-    return running(table(rows), ["conv_id"], ["turn", "role", "head", "t1", "t2"], {"at": "one"}).select("conv_id", "at", "t1", "t2", "words")
+        F.xxhash64(role, text).alias("t1"), F.xxhash64(F.lit(7), role, text).alias("t2"), n_words(text).alias("words"), F.lit(1).cast("long").alias("one"), text.alias("text"),
+    ).withColumn("slot", F.xxhash64("conv_id", "turn", "role", "head"))
+    alike = table(rows.groupBy("slot").agg(F.min("t1").alias("least"), F.max("t1").alias("most")).where("least < most").select("slot", F.lit(True).alias("alike")))
+    if alike.isEmpty():
+        return running(table(rows.drop("slot", "text")), ["conv_id"], ["turn", "role", "head"], {"at": "one"}).select("conv_id", "at", "t1", "t2", "words")
+    whole = F.when(F.col("alike"), F.col("text")).otherwise("")
+    rows = rows.join(alike, "slot", "left").withColumns({"next": F.substring(whole, HEAD + 1, NEXT), "text": whole}).drop("slot", "alike")
+    return running(table(rows), ["conv_id"], ["turn", "role", "head", "next"], {"at": "one"}, ["text"]).select("conv_id", "at", "t1", "t2", "words")
 
 
 def with_shared_start(turns: DataFrame, shared_by: int = SHARED_BY, most: int = BORROWED) -> tuple[DataFrame, DataFrame]:

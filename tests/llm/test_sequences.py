@@ -84,6 +84,14 @@ def test_prefix_tree_hot_rows(spark, monkeypatch):
     assert set(tree(df)) == tree_brute(rows)
 
 
+def test_prefix_tree_texts_that_start_alike(spark):
+    """Rows of one turn and role stand in the order of their whole texts, wherever these part."""
+    rng = random.Random(4)
+    starts = ["w " * n for n in (0, 40, 700)]
+    rows = [(c, rng.choice([None, 1, 2]), "u", rng.choice(starts) + rng.choice("abcdef")) for c in range(40) for _ in range(6)]
+    assert set(tree(spark.createDataFrame(rows, CONVERSATION))) == tree_brute(rows)
+
+
 def test_prefix_tree_empty(spark):
     assert tree(spark.createDataFrame([], CONVERSATION)) == []
 
