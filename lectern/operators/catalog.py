@@ -229,13 +229,15 @@ def resolve_works(refs: DataFrame, works: DataFrame) -> DataFrame:
 def resolve_chapters(refs: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:
     """``refs (work, segment)`` with ``chapter_id``: a whole UUID needs no work; a short id is looked up in the work that ``work`` refers to.
 
-    ``chapters``: id, a UUID, and work_id.
+    ``chapters``: id, a UUID, and work_id. Works may share a short id: it stands
+    for all of them, and the chapter's tells them apart.
     """
-    owned = resolve_works(refs.withColumnsRenamed({"segment": "_segment", "work": "segment"}), works).withColumnsRenamed({"segment": "work", "_segment": "segment", "work_id": "_work"})
-    owned = owned.withColumn("_ref", parse_ref(F.col("segment")))
-    short = chapters.groupBy("work_id", public_id(F.col("id")).alias("_short")).agg(F.min("id").alias("_id"))
-    out = owned.join(short, (F.col("_ref") == F.col("_short")) & (F.col("_work") == short["work_id"]), "left").drop(short["work_id"])
-    return out.withColumn("chapter_id", F.when(F.length("_ref") == 36, F.col("_ref")).otherwise(F.col("_id"))).drop("_ref", "_short", "_id", "_work")
+    owned = refs.withColumns({"_ref": parse_ref(F.col("segment")), "_work": parse_ref(F.col("work"))})
+    known = chapters.join(works.select(F.col("id").alias("work_id")), "work_id", "left_semi")
+    named = known.select(public_id(F.col("work_id")).alias("_of"), "id").unionByName(chapters.select(F.col("work_id").alias("_of"), "id"))
+    short = named.groupBy("_of", public_id(F.col("id")).alias("_short")).agg(F.min("id").alias("_id"))
+    out = owned.join(short, (F.col("_ref") == F.col("_short")) & (F.col("_work") == F.col("_of")), "left")
+    return out.withColumn("chapter_id", F.when(F.length("_ref") == 36, F.col("_ref")).otherwise(F.col("_id"))).drop("_ref", "_short", "_id", "_work", "_of")
 
 
 def ordinals(rows: DataFrame, bucket: Column, order: list, first: int | None = None, last: int | None = None) -> DataFrame:

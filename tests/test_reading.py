@@ -98,3 +98,13 @@ def test_leases(spark):
     assert rows[1].lease_expires_at == datetime(2024, 1, 1, 0, 5) and rows[2].lease_owner == "v" and rows[4].error_code == "old"
     ended = maintenance.fenced(jobs, spark.createDataFrame([(1, "w", "fail", at), (2, "v", "retry", at)], writes.schema))[1]
     assert {r.id: (r.status, r.lease_owner, r.error_code) for r in ended.collect() if r.id < 3} == {1: ("failed", None, "processing_failed"), 2: ("queued", None, "processing_retry")}
+
+
+def test_chapters_of_works_with_one_short_id(spark):
+    """Works that share their short id keep their chapters."""
+    tail = "-0000-4000-8000-00000000000"
+    works = spark.createDataFrame([(f"aaaaaaaa{tail}{n}",) for n in (1, 2)], "id string")
+    chapters = spark.createDataFrame([(f"{s}{tail}0", f"aaaaaaaa{tail}{n}") for s, n in (("11111111", 1), ("22222222", 2), ("33333333", 2))] + [(f"44444444{tail}0", f"bbbbbbbb{tail}0")], "id string, work_id string")
+    asked = spark.createDataFrame([("t-aaaaaaaa", "x-11111111"), ("t-aaaaaaaa", "x-22222222"), (f"aaaaaaaa{tail}1", "33333333"), (f"aaaaaaaa{tail}2", "33333333"), ("bbbbbbbb", "44444444")], "work string, segment string")
+    got = {(r.work, r.segment): r.chapter_id for r in catalog.resolve_chapters(asked, works, chapters).collect()}
+    assert list(map(got.get, [("t-aaaaaaaa", "x-11111111"), ("t-aaaaaaaa", "x-22222222"), (f"aaaaaaaa{tail}1", "33333333"), (f"aaaaaaaa{tail}2", "33333333"), ("bbbbbbbb", "44444444")])) == [f"11111111{tail}0", f"22222222{tail}0", None, f"33333333{tail}0", None]
