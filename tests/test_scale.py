@@ -177,3 +177,34 @@ def test_version_token_is_a_tree(spark):
     other = {r.work_id: r.toc_version for r in toc.version_token(changed, 8).collect()}
     assert other[4] != want[4] and {w: other[w] for w in (1, 2, 3)} == {w: want[w] for w in (1, 2, 3)}
     assert toc.version_token(df.limit(0)).count() == 0
+
+
+def test_small_files_go_together(tmp_path):
+    """Many small files are few partitions, and the driver holds their names packed."""
+    from lectern.sources.book_files import FileReader, unpacked
+
+    for i in range(900):
+        (tmp_path / f"{i}.txt").write_text("x")
+    parts = FileReader(str(tmp_path), ".txt").partitions()
+    assert len(parts) == 1 and len(parts[0].value) < 4_000 and sorted(unpacked(parts[0].value)) == sorted(f"{i}.txt" for i in range(900))
+
+
+def test_books_are_packed_together(spark):
+    """No call of Python for each book, and a book's pages in their order whatever row they come in."""
+    from lectern.sources import epub_files, exports
+
+    works = spark.createDataFrame([(i, f"t{i}", "a") for i in range(300)], "id long, title string, author string")
+    chapters = spark.createDataFrame([(i, p, f"Ch {p}", f"Ch {p}", f"text {i} {p}", f"{i}-{p}") for p in (2, 10, 1) for i in range(300)], "work_id long, position int, label_raw string, title string, body string, body_key string")
+    books = exports.epub(works, chapters)
+    assert "CoGroup" not in books._jdf.queryExecution().executedPlan().toString()
+    read = epub_files.chapters(books.selectExpr("cast(id as string) as path", "content"))
+    got = sorted((int(r.path), r.position, r.body) for r in read.select("path", "position", "body").collect())
+    assert got == [(i, n, f"Ch {p}\n\ntext {i} {p}") for i in range(300) for n, p in enumerate((1, 2, 10))]
+
+
+def test_pairs_of_labels_are_not_broadcast(spark):
+    """However small the file of labels is."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["same_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
