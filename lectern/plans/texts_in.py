@@ -50,7 +50,8 @@ def label_order(spark, d):
 def same_numbers(spark, d):
     """Labels of a book that are candidates for one number, however it is written."""
     rows = frame(spark, d, "labels_raw").select("id", "book", L.parse_label(F.col("raw"))["key"].alias("key"))
-    return rows.alias("a").join(rows.alias("b"), ["book", "key"]).where("a.id < b.id").select("a.id", F.col("b.id").alias("other"))
+    # both sides are one shuffle; a table that its file's size makes small is as large as any here, and isn't broadcast
+    return rows.alias("a").join(rows.alias("b").hint("merge"), ["book", "key"]).where("a.id < b.id").select("a.id", F.col("b.id").alias("other"))
 
 
 # A work's chapters as one plain-text book.
