@@ -1,11 +1,11 @@
 """Index-first search in bodies: an inverted index of trigrams, and bodies read for its candidates only.
 
-The index is a folder of tables. ``postings`` has a row for each gram and body that
-holds it, ``counts`` how many bodies a gram has, ``bodies`` the texts, ``indexed``
+The index is a folder of tables. ``postings`` has a gram's bodies in lists of at most
+LISTED keys, ``counts`` how many bodies a gram has, ``bodies`` the texts, ``indexed``
 the keys that are in the index. All but the last are in slices (a checksum of gram
 or key) and sorted, so that a look-up opens the slices of its grams or keys and,
-by Parquet's statistics, few pages of those. A posting is a row and no list holds
-all bodies of a gram, however common it is.
+by Parquet's statistics, few pages of those. No list holds all bodies of a gram,
+however common it is.
 
 A body is immutable under its key: adding bodies appends. ``indexed`` is written
 last, so that bodies of an unfinished addition count as not indexed, and those are
@@ -18,6 +18,8 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,8 @@ from lectern.stored import table
 SLICES = 64
 #: Code points of a text that are cut into grams at a time.
 STRETCH = 100_000
+#: Keys of a list of bodies at most, and grams with their bodies that a task gathers lists of at a time.
+LISTED, GATHERED = 1_024, 1 << 20
 #: Grams of a variant that are looked up, the rarest ones; the matcher sees to the rest.
 MOST_GRAMS = 12
 #: Candidates whose bodies are read together at first, and at most: their keys are what a page's search holds at the driver.
@@ -43,12 +47,48 @@ def slices_of(values: list, slices: int = SLICES) -> list[int]:
     return sorted({zlib.crc32(str(v).encode()) % slices for v in values})
 
 
-def grams_of(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """``gram, key``: the distinct runs of three code points of each text, taken stretch by stretch."""
+def codes_of(text: str, stretch: int) -> np.ndarray:
+    """The distinct runs of three code points of ``text``, 21 bits each, taken stretch by stretch."""
+    found = []
+    for at in range(0, len(text) - 2, stretch):
+        a = np.frombuffer(text[at : at + stretch + 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        found.append(np.unique((a[:-2] << np.uint64(42)) | (a[1:-1] << np.uint64(21)) | a[2:]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def listed(keys: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """``gram, keys`` of the bodies ``keys``, whose grams are ``codes``."""
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    code = np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    gram, begin = np.unique(code[order], return_index=True)
+    chars = np.stack([gram >> np.uint64(42), (gram >> np.uint64(21)) & np.uint64((1 << 21) - 1), gram & np.uint64((1 << 21) - 1)], 1)
+    text = chars.astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(code)), pa.int32()), keys.take(pa.array(row[order])))
+    return pa.RecordBatch.from_arrays([pa.array([text[k : k + 3] for k in range(0, len(text), 3)], pa.string()), lists], names=["gram", "keys"])
+
+
+def gram_lists(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """``gram, keys``: the bodies that hold a gram, those of some LISTED bodies together; no list repeats a key that ``bodies`` has once."""
+    stretch = STRETCH
+
+    def run(batches):
+        for batch in batches:
+            codes, first, n = [], 0, 0
+            for i, value in enumerate(batch.column(1), 1):
+                codes.append(codes_of(value.as_py(), stretch))
+                n += len(codes[-1])
+                if n >= GATHERED or len(codes) == LISTED or i == batch.num_rows:
+                    yield listed(batch.column(0).slice(first, len(codes)), codes)
+                    codes, first, n = [], i, 0
+
     text = bodies.select(F.col(key).alias("key"), normal(F.col(body)).alias("t")).where(F.length("t") >= 3)
-    parts = text.select("key", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2, F.lit(STRETCH))).alias("from"))
-    part = F.substring(F.col("t"), F.col("from"), F.lit(STRETCH + 2))
-    return parts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(part, F.lit("(?s)(?=(...))"), 1))).alias("gram")).distinct()
+    return text.mapInArrow(run, T.StructType().add("gram", "string").add("keys", T.ArrayType(text.schema["key"].dataType)))
+
+
+def grams_of(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """``gram, key``: the distinct runs of three code points of each text."""
+    return gram_lists(bodies, key, body).select(F.explode("keys").alias("key"), "gram").select("gram", "key").distinct()
 
 
 #: Schemas of the tables that were read, by their path.
@@ -75,15 +115,15 @@ class GramIndex:
         if self._has("indexed"):
             new = new.join(self.read("indexed").withColumnRenamed("key", key), key, "left_anti")
         new = table(new.select(F.col(key).alias("key"), F.coalesce(F.col(body), F.lit("")).alias("body")))
-        # ranges of (slice, gram, key): a gram of very many bodies spreads over tasks
-        grams = table(grams_of(new, "key", "body").select("*", self._slice("gram")))
-        self._append("postings", grams, ["slice", "gram", "key"])
-        self._append("counts", grams.groupBy("slice", "gram").agg(F.count("*").alias("n")), ["slice", "gram"])
+        # ranges of (slice, gram, first key): a gram of very many bodies spreads over tasks
+        grams = table(gram_lists(new, "key", "body").select("*", self._slice("gram")))
+        self._append("postings", grams, ["slice", "gram", F.get("keys", F.lit(0))])
+        self._append("counts", grams.groupBy("slice", "gram").agg(F.sum(F.size("keys")).alias("n")), ["slice", "gram"])
         self._append("bodies", new.select("*", self._slice("key")), ["slice", "key"])
         new.select("key").write.mode("append").parquet(f"{self.path}/indexed")
         return self
 
-    def _append(self, name: str, rows: DataFrame, order: list[str]) -> None:
+    def _append(self, name: str, rows: DataFrame, order: list[str | Column]) -> None:
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("slice").option("parquet.block.size", 4 << 20).parquet(f"{self.path}/{name}")
 
     def _has(self, name: str) -> bool:
@@ -98,7 +138,8 @@ class GramIndex:
         return self.spark.read.schema(SCHEMAS[at]).parquet(at)
 
     def postings(self, grams: list[str]) -> DataFrame:
-        return self.read("postings").where(self._in_slice("gram", grams))
+        """``gram, key`` of the bodies that hold one of ``grams``."""
+        return self.read("postings").where(self._in_slice("gram", grams)).select("gram", F.explode("keys").alias("key"))
 
     def bodies(self, keys: list) -> DataFrame:
         """The texts of ``keys``, from their slices alone."""
