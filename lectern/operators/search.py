@@ -6,10 +6,12 @@ import base64
 import hashlib
 import json
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +78,12 @@ def _opened(raw: bytes | None) -> np.ndarray | None:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=8))
 
 
-@F.pandas_udf(T.BinaryType())
-def body_index(body: pd.Series) -> pd.Series:
+#: Bodies whose indexes a task holds at a time.
+AT_A_TIME = 64
+
+
+@F.arrow_udf(T.BinaryType())
+def body_index(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A Bloom filter over trigrams; all ones for a body with too many."""
 
     def build(text):
@@ -88,7 +94,9 @@ def body_index(body: pd.Series) -> pd.Series:
             bits[:] = True
         return _sealed(np.packbits(bits).tobytes())
 
-    return body.map(build)
+    for batch in bodies:
+        for at in range(0, len(batch), AT_A_TIME):
+            yield pa.array([build(t.as_py()) for t in batch.slice(at, AT_A_TIME)], pa.binary())
 
 
 def may_contain(index: Column, variants: list[str]) -> Column:
