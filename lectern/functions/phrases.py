@@ -8,9 +8,9 @@ counterpart. The table's size is checked before it goes to the executors.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +78,8 @@ def _trie(to: str, pairs: list[tuple[str, str]]) -> Trie:
     return Trie(pairs if to == "simplified" else [(b, a) for a, b in pairs], characters)
 
 
+#: Texts that a task holds as strings at a time.
+AT_A_TIME = 64
 MARKER = re.compile(r"\[\[(?:img|note):")
 
 
@@ -90,12 +92,16 @@ def converter(to: str, phrases: DataFrame | None = None) -> Callable[[Column], C
     pairs = PHRASES if phrases is None else checked(phrases)
     made: list[Trie] = []
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        return None if text is None else "\n\n".join(p if MARKER.match(p) else made[0].convert(p) for p in text.split("\n\n"))
+
+    @F.arrow_udf("string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not made:
             made.append(_trie(to, pairs))
-        one = lambda t: None if t is None else "\n\n".join(p if MARKER.match(p) else made[0].convert(p) for p in t.split("\n\n"))
-        return texts.map(one)
+        for batch in texts:
+            for at in range(0, len(batch), AT_A_TIME):
+                yield pa.array([one(t.as_py()) for t in batch.slice(at, AT_A_TIME)], pa.string())
 
     return run
 
