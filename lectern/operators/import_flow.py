@@ -49,10 +49,15 @@ def stage(files: DataFrame, pattern: str | None = None) -> tuple[DataFrame, Data
     return items, jobs.select("job_id", status.alias("status"), "encoding", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), F.when(empty, "empty_source").alias("error_code"), "findings")
 
 
-def _revisions(rows: DataFrame, version: Column) -> DataFrame:
-    """New revisions of ``chapter_id, title, content_key, body_hash``; the id is the chapter's with the hash, so a repeated run makes no other."""
+def _revised(rows: DataFrame, version: Column) -> DataFrame:
+    """``rows`` with ``revision_hash, revision_id``; the id is the chapter's with the hash, so a repeated run makes no other."""
     digest = revision_hash(F.col("title"), F.col("body_hash"), version, F.col("resource_digest"))
-    return rows.withColumn("revision_hash", digest).select(F.sha2(F.concat_ws("/", F.col("chapter_id").cast("string"), "revision_hash", F.col("job_id").cast("string")), 256).alias("id"), "chapter_id", "title", "content_key", "body_hash", "revision_hash", "job_id")
+    return rows.withColumn("revision_hash", digest).withColumn("revision_id", F.sha2(F.concat_ws("/", F.col("chapter_id").cast("string"), "revision_hash", F.col("job_id").cast("string")), 256))
+
+
+def _revisions(rows: DataFrame, version: Column) -> DataFrame:
+    """New revisions of ``chapter_id, title, content_key, body_hash``."""
+    return _revised(rows, version).select(F.col("revision_id").alias("id"), "chapter_id", "title", "content_key", "body_hash", "revision_hash", "job_id")
 
 
 def first_commit(jobs: DataFrame, items: DataFrame, chapters: DataFrame, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,8 +76,8 @@ def first_commit(jobs: DataFrame, items: DataFrame, chapters: DataFrame, version
         rows = rows.withColumn("resource_digest", F.lit(""))
     rows = rows.withColumn("chapter_id", F.sha2(F.concat_ws("/", F.col("work_id").cast("string"), F.col("at").cast("string")), 256))
     revisions = _revisions(rows, F.lit(version))
-    heads = revisions.select("chapter_id", F.col("id").alias("head_revision_id"))
-    new = rows.select(F.col("chapter_id").alias("id"), "work_id", "label_raw", F.col("at").alias("position"), "chapter_id").join(heads, "chapter_id").drop("chapter_id")
+    # a head is its own row's revision, and needs no join
+    new = _revised(rows, F.lit(version)).select(F.col("chapter_id").alias("id"), "work_id", "label_raw", F.col("at").alias("position"), F.col("revision_id").alias("head_revision_id"))
     after = judged.withColumn("status", F.when(F.col("outcome") == "committed", "committed").otherwise(F.col("status")))
     return new, revisions, after
 
