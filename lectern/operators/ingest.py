@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of nothing
 MOST_NUMBER = 1_000_000
+#: Rows of a task of the matcher, on average: what its sorts hold stays the same however many rows there are.
+ROWS_A_TASK = 100_000
 
 
 def repeated(items: DataFrame, key: Column, where: Column, kind: str) -> DataFrame:
@@ -53,11 +56,13 @@ def match(existing: DataFrame, source: DataFrame) -> DataFrame:
     chapters that nothing matches lie between its anchors, or after its only one.
 
     Both sides are dealt out by work once; every window below is within a work.
+    The tasks are as many as the rows, which are counted first, demand.
     """
     side = lambda df, **more: df.select("work_id", "label_key", F.col("position").cast("long").alias("position"), "body_hash", F.coalesce("resource_digest", F.lit("")).alias("digest"), *[v.alias(k) for k, v in more.items()])
     chapters = side(existing, old=F.lit(True), id=F.col("id"))
     items = side(source, old=F.lit(False), item_id=F.col("item_id"))
-    rows = chapters.unionByName(items, allowMissingColumns=True).repartition("work_id")
+    tasks = max(existing.sparkSession.sparkContext.defaultParallelism, math.ceil((existing.count() + source.count()) / ROWS_A_TASK))
+    rows = chapters.unionByName(items, allowMissingColumns=True).repartition(tasks, "work_id")
 
     old, keyed = F.col("old"), F.col("label_key").isNotNull()
     key, body, work = Window.partitionBy("work_id", "label_key"), Window.partitionBy("work_id", "body_hash"), Window.partitionBy("work_id")
