@@ -9,6 +9,7 @@ seen. A weak number is in order if it is above all before it of its form.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.labels import parse_label
+from lectern.functions.labels import numeral_value, parse_label
 from lectern.functions.scalars import COMPLETED, ONGOING, SPACES, let
+from lectern.stored import table
 
 BLANKS = " \t\n\x0b\x0c\r\u00a0\u2002\u2003\u3000\ufeff"
 _S = r"[\s\u00a0\u3000]*"
@@ -33,6 +35,8 @@ NEEDS_BLANK = 4
 VOLUME = rf"^([第卷][0-9０-９零〇一二兩两三四五六七八九十百千]+[卷集部].{{0,20}})$"
 SENTENCE_END = "[。！？…；：，、]$"
 MOST_HEADING, MOST_VOLUME, MOST_BARE, MOST_TITLE = 60, 40, 30, 100
+#: Lines and bytes of text of a task, on average: what its sorts hold stays the same however many books there are.
+LINES_A_TASK, BYTES_A_TASK = 500_000, 32_000_000
 
 
 def check_pattern(pattern: str) -> str:
@@ -53,17 +57,23 @@ def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _weak_headings(lines: DataFrame) -> DataFrame:
-    """``path, at, accepted`` of the lines of a weak form: those in order if the form has two such, the rest refused."""
+def _with_weak_headings(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``accepted, weak_label, weak_title``: lines of a weak form in order, if the form has two such, are accepted, the rest of them
+    refused; for any other line the three are null. A running maximum for each form, so that the lines stay in their one order."""
+    book = Window.partitionBy("path")
+    before = book.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    forms = range(len(WEAK))
     fits = lambda k: F.col("t").rlike(WEAK[k]) & (F.col("opens") if k == NEEDS_BLANK else F.lit(True))
-    form = F.coalesce(*[F.when(fits(k), k) for k in range(len(WEAK))])
-    pick = lambda g: F.coalesce(*[F.when(F.col("form") == k, _trim(F.regexp_extract("t", p, g))) for k, p in enumerate(WEAK)])
-    hits = lines.where(F.length("t").between(1, MOST_HEADING)).withColumn("form", form).where("form IS NOT NULL").withColumns({"label": pick(1), "title": pick(2)})
-    hits = hits.where(~F.col("title").rlike(SENTENCE_END)).withColumn("n", F.get(parse_label("label")["parts"], F.lit(0)).cast("decimal(38,0)")).where("n IS NOT NULL")
-    of_form = Window.partitionBy("path", "form")
-    above = F.max("n").over(of_form.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    kept = hits.withColumn("kept", above.isNull() | (F.col("n") > above))
-    return kept.select("path", "at", (F.col("kept") & (F.count_if("kept").over(of_form) >= 2)).alias("accepted"), F.col("label").alias("weak_label"), F.col("title").alias("weak_title"))
+    of_form = lambda values: F.coalesce(*[F.when(F.col("form") == k, v) for k, v in enumerate(values)])
+    pick = lambda g: of_form([_trim(F.regexp_extract("t", p, g)) for p in WEAK])
+    lines = lines.withColumn("form", F.when(F.length("t").between(1, MOST_HEADING), F.coalesce(*[F.when(fits(k), k) for k in forms])))
+    lines = lines.withColumns({"weak_label": pick(1), "weak_title": pick(2)})
+    n = F.when(~F.col("weak_title").rlike(SENTENCE_END), numeral_value(F.regexp_extract("weak_label", f"{NUMERAL}+", 0)).cast("decimal(38,0)"))
+    lines = lines.withColumn("n", n).withColumns({f"above_{k}": F.max(F.when(F.col("form") == k, F.col("n"))).over(before) for k in forms})
+    above = of_form([F.col(f"above_{k}") for k in forms])
+    lines = lines.withColumn("kept", F.when(F.col("n").isNotNull(), above.isNull() | (F.col("n") > above)))
+    lines = lines.withColumns({f"kept_{k}": F.count_if(F.col("kept") & (F.col("form") == k)).over(book) for k in forms})
+    return lines.withColumn("accepted", F.when(F.col("kept").isNotNull(), F.col("kept") & (of_form([F.col(f"kept_{k}") for k in forms]) >= 2)))
 
 
 def chapters(books: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -74,9 +84,15 @@ def chapters(books: DataFrame, pattern: str | None = None) -> DataFrame:
     volumes name the chapters after them. Paragraphs are joined by a blank line.
     With a caller's ``pattern`` no weak form is looked for; its first two groups,
     if any, are label and title. Books without text give no rows.
+
+    Books are written first, and their lines counted: they are dealt out by path
+    once, to as many tasks as the lines demand, and all below is within a book.
     """
     order = Window.partitionBy("path").orderBy("at")
-    lines = books.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("at", "line")).withColumn("t", _trim(F.col("line")))
+    books = table(books.select("path", "text"))
+    demand = F.sum((F.regexp_count("text", F.lit("\r\n?|\n")) + 1) / LINES_A_TASK + F.octet_length("text") / BYTES_A_TASK)
+    tasks = max(books.sparkSession.sparkContext.defaultParallelism, math.ceil(books.agg(demand).first()[0] or 0))
+    lines = books.repartition(tasks, "path").select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("at", "line")).withColumn("t", _trim(F.col("line")))
     blank = F.col("t") == ""
     lines = lines.withColumn("opens", F.coalesce(F.lag(blank).over(order), F.lit(True)))
     volume = F.when(F.col("t").rlike(VOLUME) & (F.length(F.rtrim(F.col("line"), F.lit(BLANKS))) <= MOST_VOLUME), F.col("t"))
@@ -90,7 +106,7 @@ def chapters(books: DataFrame, pattern: str | None = None) -> DataFrame:
     else:
         found = short & F.col("t").rlike(STRONG) & ~_trim(F.regexp_extract("t", STRONG, 3)).rlike(SENTENCE_END)
         label, title = _trim(F.concat(F.regexp_extract("t", STRONG, 1), F.regexp_extract("t", STRONG, 2))), _trim(F.regexp_extract("t", STRONG, 3))
-        lines = lines.join(_weak_headings(lines), ["path", "at"], "left")
+        lines = _with_weak_headings(lines)
     lines = lines.withColumn("volume", volume).withColumn("strong", found & F.col("volume").isNull())
     marked = F.col("volume").isNull() & (F.col("strong") | F.coalesce("accepted", F.lit(False)))
     lines = lines.withColumn("marked", marked)

@@ -46,6 +46,13 @@ def test_encoding(raw, kind, reason):
     assert encoding.detect("ab".encode(), "utf-16-le")["confidence"] == "high" and encoding.detect(b"\xff", "utf-8")["confidence"] == "failed"
 
 
+def test_numbers_of_headings(spark):
+    """The column gives what :func:`numeric_parts` gives of a number that is one part."""
+    texts = ["12", "００７", "九", "十", "十二", "廿三", "卅", "百零五", "一千二百三十四", "兩百", "二三", "零", "〇〇", "零十", "十一2", "1二", "", "風", "9" * 38]
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", labels.numeral_value(F.col("t")).alias("n")).collect()}
+    assert got == {t: (labels.numeric_parts(t.translate(labels._WIDE_DIGITS)) or [None])[0] for t in texts} and got["一千二百三十四"] == "1234"
+
+
 def test_segmentation(spark, tmp_path):
     book = "書名：試書\n作者：某人\n\n第一卷 開始\n第一章 甲\n一\n二\n第二章 乙\n三\n第二卷 後來\n第三章 丙\n\n四。\n第三章 丙\n"
     weak = "intro\n【一】 first\naaa\n（二）一句話。\n【二】\nbbb\n【七】 far\n【三】 back\nccc\n三、四月間\n\n其五 alone"
