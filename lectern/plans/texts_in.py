@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,12 +58,21 @@ def same_numbers(spark, d):
 
 # A work's chapters as one plain-text book.
 VIEWS["book_lines"] = "SELECT work_id, position, '第' || CAST(position AS VARCHAR(5)) || '章 ' || volume AS head, 'Text of ' || label_raw || '.' AS first, status || ' ends.' AS second FROM chapters"
+#: Chapters of a task, on average, where they are numbered and put together.
+CHAPTERS_A_TASK = 500_000
+
+
+def book_lines(spark, d):
+    """The view, its chapters dealt out by work to as many tasks as they demand."""
+    orders = frame(spark, d, "orders")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(orders.count() / CHAPTERS_A_TASK))
+    return frame(spark, d, "book_lines", orders=orders.repartition(tasks, "o_custkey"))
 
 
 @query("headings", over("SELECT work_id, position - 1 AS position, '第' || position || '章' AS label_raw, substring(head, length('第' || position || '章') + 2) AS title, first || chr(10) || chr(10) || second AS body, 'ch:' || position AS key FROM book_lines"))
 def headings(spark, d):
     """Books cut at their headings."""
-    lines = frame(spark, d, "book_lines").withColumn("text", F.concat_ws("\n", "head", "first", F.lit(""), "second"))
+    lines = book_lines(spark, d).withColumn("text", F.concat_ws("\n", "head", "first", F.lit(""), "second"))
     books = lines.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\r\n").alias("text"))
     found = text_files.chapters(books.select(F.col("work_id").cast("string").alias("path"), "text"))
     return found.select(F.col("path").cast("long").alias("work_id"), "position", "label_raw", "title", "body", F.col("label.key").alias("key"))
@@ -69,7 +80,7 @@ def headings(spark, d):
 
 @query("heading_warnings", over("SELECT work_id, CASE WHEN count(*) = 1 THEN 'single_heading' ELSE '' END AS warning FROM book_lines GROUP BY work_id"))
 def heading_warnings(spark, d):
-    lines = frame(spark, d, "book_lines")
+    lines = book_lines(spark, d)
     books = lines.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "head"))), lambda x: x["head"]), "\n\n").alias("text")).select(F.col("work_id").cast("string").alias("path"), "text")
     return text_files.book_warnings(books, text_files.chapters(books)).select(F.col("path").cast("long").alias("work_id"), F.array_join("warnings", ",").alias("warning"))
 
