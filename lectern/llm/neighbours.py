@@ -3,8 +3,11 @@
 Balanced clustering of a bounded sample gives the lists; every vector goes to
 its nearest list and, near a boundary, to others too; a query walks a graph of
 the centroids in memory and takes the lists within a ratio of the nearest
-distance. Lists are cut into blocks, and blocks of a list meet blocks of the
-queries that probe it, so neither a long list nor a much-probed one is one task.
+distance. Lists that follow each other in the clustering's tree share a shelf. A
+query comes to a shelf once, with the numbers of the lists there that it probes,
+and streams past the shelf's vectors: a task holds one shelf, of bounded size, and
+queries are not repeated for each list, of which one without clusters to go by
+probes half.
 
 The centroids in memory have a bound. Beyond it each list is cut into sublists by
 centroids of its own, which stay in Spark tables and grow in number with the
@@ -15,11 +18,11 @@ and radius can't reach that bound is left out, exactly.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,12 @@ PER_LIST, MAX_LISTS, SAMPLE_PER_LIST, LEAST_SAMPLE = 256, 4_096, 24, 20_000
 COPIES, COPY_RATIO = 2, 1.10
 #: Edges of a centroid to its nearest, and to any; nodes a walk starts from, and steps that it takes at least.
 NEIGHBOURS, LONG, STARTS, BEAM = 20, 6, 64, 32
-#: Rows of a block of vectors or of queries.
-BLOCK = 1_024
+#: Vectors, and queries, that are compared at a time; queries whose lists are looked up at a time, and by one task.
+BLOCK, LOOKED_UP, ASKED_A_TASK = 1_024, 256, 512
+#: Shelves from which on lists share one, and lists (or sublists) of a shelf at most; bytes of vectors, as doubles, of a shelf's part.
+SHELVES, SHELF, PART_BYTES = 256, 16, 32 << 20
+#: Numbers of a matrix of distances or products, and rows that a task hands on at a time.
+CELLS, HANDED = 1 << 20, 1 << 15
 #: Rows of the sample that a list's sublists are fit on, for each sublist; and sublists of a list at most, which bounds the row that holds their centroids.
 SAMPLE_PER_SUBLIST, MAX_SUBLISTS = 24, 1 << 14
 #: Rows of a query's nearest lists that are compared first.
@@ -59,8 +66,9 @@ class Lists:
         c = self.centroids
         rows, lists = [], []
         width = min(COPIES, len(c))
-        for i in range(0, len(x), 2048):
-            y = self.lift(x[i : i + 2048])
+        step = max(1, CELLS // len(c))
+        for i in range(0, len(x), step):
+            y = self.lift(x[i : i + step])
             d = np.maximum((y**2).sum(1)[:, None] - 2 * y @ c.T + (c**2).sum(1), 0)
             near = np.argpartition(d, width - 1, axis=1)[:, :width] if width < len(c) else np.tile(np.arange(len(c)), (len(d), 1))
             near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
@@ -72,37 +80,43 @@ class Lists:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(lists)
 
-    def probe(self, q: np.ndarray, least_rows: int) -> list[int]:
-        """Lists for a query: a best-first walk over the graph, at least BEAM steps long, gives those within the ratio of the nearest, and more until enough rows are at hand."""
+    def probe(self, q: np.ndarray, least_rows: int) -> np.ndarray:
+        """Lists for a query, nearest first: a best-first walk over the graph, at least BEAM nodes long, gives those within the ratio of the nearest, and more until enough rows are at hand.
+
+        All nodes within the ratio that a step has reached are left in the next one together.
+        """
         y = np.append(q, 0.0)
-        c, seen = self.centroids, np.zeros(len(self.centroids), bool)
-        heap: list[tuple[float, int]] = []
+        c = self.centroids
+        away, seen = np.full(len(c), np.inf), np.zeros(len(c), bool)
 
-        def push(nodes):
-            nodes = nodes[~seen[nodes]]
+        def reach(nodes):
+            nodes = np.unique(nodes[~seen[nodes]])
             seen[nodes] = True
-            for d, n in zip((((c[nodes] - y) ** 2).sum(1)) ** 0.5, nodes):
-                heapq.heappush(heap, (float(d), int(n)))
-
-        push(np.arange(0, len(c), max(1, len(c) // STARTS)))
-        near, held, best = [], 0, heap[0][0]
-        while heap:
-            d, n = heapq.heappop(heap)
-            if d > (1 + self.ratio) * best + 1e-12 and len(near) >= BEAM and held >= least_rows:
-                break
-            best = min(best, d)
-            near.append((d, n))
-            held += least_rows if self.sizes is None else int(self.sizes[n])
-            push(self.graph[n])
-            if not heap and held < least_rows:
-                push(np.flatnonzero(~seen))
-        out, held = [], 0
-        for d, n in sorted(near):
-            if d > (1 + self.ratio) * best + 1e-12 and (self.sizes is None or held >= least_rows):
-                break
-            out.append(n)
-            held += 0 if self.sizes is None else int(self.sizes[n])
-        return out
+            away[nodes] = ((c[nodes] - y) ** 2).sum(1) ** 0.5
+            return nodes
+
+        def rows(nodes):
+            return least_rows * len(nodes) if self.sizes is None else int(self.sizes[nodes].sum())
+
+        edge = reach(np.arange(0, len(c), max(1, len(c) // STARTS)))
+        walked, held = np.zeros(0, np.int64), 0
+        while len(edge):
+            limit = (1 + self.ratio) * away.min() + 1e-12
+            near = away[edge] <= limit
+            if not near.any():
+                if len(walked) >= BEAM and held >= least_rows:
+                    break
+                near = np.arange(len(edge)) == away[edge].argmin()
+            go = edge[near]
+            walked, held = np.append(walked, go), held + rows(go)
+            edge = np.append(edge[~near], reach(self.graph[go].ravel()))
+            if not len(edge) and held < least_rows:
+                edge = reach(np.flatnonzero(~seen))
+        walked = walked[np.lexsort((walked, away[walked]))]
+        within = away[walked] <= limit
+        if self.sizes is not None:
+            within |= np.cumsum(self.sizes[walked]) - self.sizes[walked] < least_rows
+        return walked[within]
 
 
 def balanced(y: np.ndarray, leaf: int, random: np.random.Generator) -> list[np.ndarray]:
@@ -175,72 +189,133 @@ def fit(x: np.ndarray, longest: float, n_lists: int, k: int, seed: int = 3) -> L
     return model
 
 
-def blocks(df: DataFrame, name: str, few_lists: bool = True) -> DataFrame:
-    """One row a block of at most about BLOCK rows of a list; the other columns are gathered as ``name``."""
-    parts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    # a row a list: some MAX_LISTS, or as many as there are sublists
-    dealt = df.join(F.broadcast(parts) if few_lists else table(parts), "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name)).drop("part")
+def meet(kept: DataFrame, passing: DataFrame, work, schema: str, most: int = 0) -> DataFrame:
+    """``work`` gets the rows of one ``shelf`` after the other, the kept ones first, for :func:`shelves`; what it yields has ``schema``.
+
+    A shelf of more than ``most`` kept rows is cut into parts, if ``most`` is given, and the passing rows come to each.
+    """
+    part = first = F.lit(0)
+    if most:
+        # a row for each ``most`` vectors at most, and only for shelves that outgrew the others
+        crowded = F.broadcast(kept.groupBy("shelf").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1"))
+        kept, passing = (df.join(crowded, "shelf", "left") for df in (kept, passing))
+        parts = F.coalesce("parts", F.lit(1))
+        part, first = F.pmod(F.xxhash64("id", "v"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    both = kept.withColumn("part", part).withColumn("passes", F.lit(False)).unionByName(passing.withColumn("part", first).withColumn("passes", F.lit(True)), allowMissingColumns=True)
+    return both.repartition("shelf", "part").sortWithinPartitions("shelf", "part", "passes").mapInArrow(work, schema)
+
+
+def shelves(batches):
+    """The kept rows of a shelf, or of a part, with each batch of the rows that pass them; the same object for all of them."""
+    at, kept, whole = None, [], None
+    for b in batches:
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in ("shelf", "part", "passes")]
+        edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            here = int(keys[0][i]), int(keys[1][i])
+            if here != at:
+                at, kept, whole = here, [], None
+            if not keys[2][i]:
+                kept.append(b.slice(i, j - i))
+            elif kept:
+                whole = pa.Table.from_batches(kept).combine_chunks() if whole is None else whole
+                yield whole, b.slice(i, j - i)
+
+
+def probing(asking: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which row probes which list: the array in ``lists`` of every row, laid flat."""
+    lists = asking.column("lists")
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+
+
+def by_list(asking: pa.RecordBatch):
+    """(list, the rows that probe it)"""
+    rows, lists = probing(asking)
+    order = np.argsort(lists, kind="stable")
+    names, starts = np.unique(lists[order], return_index=True)
+    return zip(names.tolist(), np.split(rows[order], starts[1:]))
+
+
+def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
+
+
+def to_shelves(asking: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray, a_shelf: int) -> pa.RecordBatch:
+    """A row for each row of ``asking`` and each shelf of ``a_shelf`` lists: the lists that it probes there. ``lists`` ascend within a row."""
+    shelf = lists // a_shelf
+    starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (shelf[1:] != shelf[:-1]))[: len(rows)])
+    at = pa.array(rows[starts])
+    probed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(lists)), pa.int32()), pa.array(lists.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(shelf[starts].astype(np.int32)), *[asking.column(c).take(at) for c in ("id", "v", "floor")], probed], names=["shelf", "id", "v", "floor", "lists"])
 
 
 class Sublists:
     """Lists cut by centroids of their own. ``postings`` (list, id, v) numbers the parts list * MAX_SUBLISTS + part."""
 
-    def __init__(self, postings: DataFrame, longest: float, dim: int, kind: str, n_subs: int):
+    def __init__(self, postings: DataFrame, longest: float, dim: int, kind: str, n_subs: int, a_shelf: int):
         lift = Lists(np.zeros((1, dim + 1)), np.zeros((1, 1), np.int64), longest).lift
-        self.dim, self.kind = dim, kind
+        self.dim, self.kind, self.a_shelf = dim, kind, a_shelf
 
         def cut(rows: pa.Table) -> pa.Table:
             c = np.array(balanced(lift(matrix(rows["v"].combine_chunks(), dim)), SAMPLE_PER_SUBLIST, np.random.default_rng(7)))[:MAX_SUBLISTS]
             return pa.table({"list": rows["list"][:1], "centroids": pa.array([c.ravel()], pa.list_(pa.float64()))})
 
         def place(batches):
-            for b in batches:
-                for one, held, flat in zip(b.column("list"), b.column("held"), b.column("centroids")):
-                    h, c = held.values, flat.values.to_numpy().reshape(-1, dim + 1)
-                    y = lift(matrix(h.field("v"), dim))
+            for of, held in shelves(batches):
+                c = of["centroids"].combine_chunks().flatten().to_numpy().reshape(-1, dim + 1)
+                step = max(1, CELLS // len(c))
+                for i in range(0, held.num_rows, step):
+                    h = held.slice(i, step)
+                    y = lift(matrix(h.column("v"), dim))
                     sub = ((c**2).sum(1) - 2 * y @ c.T).argmin(1)
                     # how far a vector is from its centroid, a little rounded up: the radius has to hold
                     away = np.sqrt(((y - c[sub]) ** 2).sum(1)) * (1 + 1e-9) + 1e-9
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), one.as_py(), np.int32)), pa.array(sub.astype(np.int32)), h.field("id"), h.field("v"), pa.array(away)], names=["list", "sub", "id", "v", "away"])
+                    yield pa.RecordBatch.from_arrays([h.column("shelf"), pa.array(sub.astype(np.int32)), h.column("id"), h.column("v"), pa.array(away)], names=["list", "sub", "id", "v", "away"])
 
         nth = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("id"), "id"))
         sample = postings.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_PER_SUBLIST * n_subs).select("list", "v")
         centroids = table(sample.groupBy("list").applyInArrow(cut, "list int, centroids array<double>"))
-        placed = table(blocks(postings, "held").join(centroids, "list").mapInArrow(place, f"list int, sub int, id long, v array<{kind}>, away double"))
+        shelf = F.col("list").alias("shelf")
+        placed = table(meet(centroids.select(shelf, "centroids"), postings.select(shelf, "id", "v"), place, f"list int, sub int, id long, v array<{kind}>, away double"))
         sizes = placed.groupBy("list", "sub").agg(F.max("away").alias("radius"), F.count("*").alias("n")).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("sub", "radius", "n"))).alias("subs"))
         # a row a list, with MAX_SUBLISTS centroids at most
         self.bounds = table(centroids.join(sizes, "list"))
-        self.postings = placed.select(self.number(F.col("list"), F.col("sub")).alias("list"), "id", "v")
-
-    @staticmethod
-    def number(one, sub):
-        return one.cast("long") * MAX_SUBLISTS + sub
+        self.postings = placed.select((F.col("list") * MAX_SUBLISTS + F.col("sub")).alias("list"), "id", "v")
 
     def probed(self, probes: DataFrame, nearest_ones: bool) -> DataFrame:
-        """``list, id, v, floor``: of the probed lists (list, id, v, first, floor) the nearest sublists, FIRST rows of a ``first`` list; or else the others that can reach the floor."""
+        """``list, id, v, floor``: of the probed lists (shelf, id, v, floor, lists; first) the nearest sublists, FIRST rows of a ``first`` list; or else the others that can reach the floor."""
         dim = self.dim
 
         def pick(batches):
-            for b in batches:
-                for one, asking, flat, subs in zip(b.column("list"), b.column("asking"), b.column("centroids"), b.column("subs")):
-                    a, held = asking.values, subs.values
+            for bounds, asking in shelves(batches):
+                places = {one: i for i, one in enumerate(bounds["list"].to_pylist())}
+                for one, probing_it in by_list(asking):
+                    if one not in places:
+                        continue
+                    flat, held = (bounds[c][places[one]].values for c in ("centroids", "subs"))
                     sub, radius, n = (held.field(f).to_numpy() for f in ("sub", "radius", "n"))
-                    c = flat.values.to_numpy().reshape(-1, dim + 1)[sub]
-                    q = matrix(a.field("v"), dim)
-                    product = q @ c[:, :dim].T
-                    order = ((c**2).sum(1) - 2 * product).argsort(axis=1, kind="stable")
-                    before = np.cumsum(n[order], axis=1) - n[order]
-                    near = np.zeros(product.shape, bool)
-                    np.put_along_axis(near, order, before < FIRST, axis=1)
-                    near &= a.field("first").to_numpy(zero_copy_only=False)[:, None]
-                    most = product + np.sqrt((q * q).sum(1))[:, None] * radius
-                    rows, subs_of = np.nonzero(near if nearest_ones else ~near & (most >= a.field("floor").to_numpy()[:, None]))
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.as_py() * MAX_SUBLISTS + sub[subs_of].astype(np.int64)), *[a.field(f).take(at) for f in ("id", "v", "floor")]], names=["list", "id", "v", "floor"])
-
-        met = blocks(probes, "asking").join(self.bounds, "list").select("list", "asking", "centroids", "subs")
-        return met.mapInArrow(pick, f"list long, id long, v array<{self.kind}>, floor double")
+                    c = flat.to_numpy().reshape(-1, dim + 1)[sub]
+                    step = min(LOOKED_UP, max(1, CELLS // len(sub)))
+                    for i in range(0, len(probing_it), step):
+                        a = asking.take(pa.array(probing_it[i : i + step]))
+                        q = matrix(a.column("v"), dim)
+                        product = q @ c[:, :dim].T
+                        order = ((c**2).sum(1) - 2 * product).argsort(axis=1, kind="stable")
+                        before = np.cumsum(n[order], axis=1) - n[order]
+                        near = np.zeros(product.shape, bool)
+                        np.put_along_axis(near, order, before < FIRST, axis=1)
+                        near &= a.column("first").to_numpy(zero_copy_only=False)[:, None].astype(bool)
+                        most = product + np.sqrt((q * q).sum(1))[:, None] * radius
+                        rows, subs_of = np.nonzero(near if nearest_ones else ~near & (most >= a.column("floor").to_numpy()[:, None]))
+                        for m in range(0, len(rows), HANDED):
+                            at = pa.array(rows[m : m + HANDED])
+                            numbers = pa.array(one * MAX_SUBLISTS + sub[subs_of[m : m + HANDED]], pa.int32())
+                            yield pa.RecordBatch.from_arrays([numbers, *[a.column(f).take(at) for f in ("id", "v", "floor")]], names=["list", "id", "v", "floor"])
+
+        bounds = self.bounds.withColumn("shelf", F.floor(F.col("list") / self.a_shelf).cast("int"))
+        return meet(bounds, probes, pick, f"list int, id long, v array<{self.kind}>, floor double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_list: int = PER_LIST) -> DataFrame:
@@ -270,7 +345,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     dim = dims["dim"]
     of_equal = Window.partitionBy("v").orderBy("id")
     index = table(good.where(F.size("v") == dim).dropDuplicates(["id", "v"]).withColumn("nth", F.row_number().over(of_equal)).where(F.col("nth") <= k + 1).drop("nth"))
-    asked = usable(queries).where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    asked = table(usable(queries).where(F.size("v") == dim).dropDuplicates(["id", "v"]))
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     n_total, longest = index.agg(F.count("*"), F.max(F.sqrt(square))).first()
     n_lists = int(np.clip(n_total // per_list, 1, MAX_LISTS))
@@ -291,37 +366,70 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def ask(batches):
         for b in batches:
-            probes = [np.array(sized.value.probe(x, enough), np.int32) for x in matrix(b.column(1), dim)]
-            rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
-            # the nearest lists, as far as FIRST rows go and one at least
-            first = [np.cumsum(sized.value.sizes[p]) - sized.value.sizes[p] < FIRST for p in probes]
-            lists, first = (np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int32, probes), (bool, first)))
-            yield pa.RecordBatch.from_arrays([pa.array(lists), *[c.take(pa.array(rows)) for c in b.columns], pa.array(first)], names=["list", "id", "v", "first"])
+            for i in range(0, b.num_rows, LOOKED_UP):
+                a = b.slice(i, LOOKED_UP)
+                lists = [sized.value.probe(x, enough) for x in matrix(a.column(1), dim)]
+                # the nearest lists, as far as FIRST rows go and one at least
+                first = [int((np.cumsum(sized.value.sizes[p]) - sized.value.sizes[p] < FIRST).sum()) for p in lists]
+                near, far = (lists_of([np.sort(p[cut]) for p, cut in zip(lists, cuts)]) for cuts in ([slice(n) for n in first], [slice(n, None) for n in first]))
+                yield pa.RecordBatch.from_arrays([*a.columns, near, far], names=["id", "v", "near", "far"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asked.count() // ASKED_A_TASK))
+    probes = table(asked.repartition(tasks).mapInArrow(ask, f"id long, v array<{kind}>, near array<int>, far array<int>"))
+    a_shelf = int(np.clip(len(model.centroids) // SHELVES, 1, SHELF))
+
+    def deal(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, step := max(1, HANDED // len(sized.value.centroids))):
+                a = b.slice(i, step)
+                yield to_shelves(a, *probing(a), a_shelf)
 
-    probes = table(asked.mapInArrow(ask, f"list int, id long, v array<{kind}>, first boolean"))
+    def dealt(rows: DataFrame, lists: str) -> DataFrame:
+        return rows.select("id", "v", "floor", F.col(lists).alias("lists")).mapInArrow(deal, f"shelf int, id long, v array<{kind}>, floor double, lists array<int>")
 
     n_subs = min(MAX_SUBLISTS, n_total // (per_list * n_lists))
     if n_subs > 1:
-        subs = Sublists(postings, model.longest, dim, kind, n_subs)
+        subs = Sublists(postings, model.longest, dim, kind, n_subs, a_shelf)
         postings = subs.postings
+    of_shelf = F.floor(F.col("list") / (SHELF if n_subs > 1 else a_shelf)).cast("int").alias("shelf")
+    held = postings.select(of_shelf, "list", "id", "v")
 
     def compare(batches):
-        for b in batches:
-            for held, asking in zip(b.column("held"), b.column("asking")):
-                h, a = held.values, asking.values
-                ids, qids = h.field("id").to_numpy(), a.field("id").to_numpy()
-                x, q = matrix(h.field("v"), dim), matrix(a.field("v"), dim)
-                score = q @ x.T
-                may = top_ids(score, ids, k + 1) & (score >= a.field("floor").to_numpy()[:, None])
-                qi, xi = np.nonzero(may & (qids[:, None] != ids[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[xi]), pa.array((q[qi] * x[xi]).sum(1))], names=["query_id", "vec_id", "score"])
-
-    held = table(blocks(postings, "held", n_subs == 1))
+        last, out, n_out = None, [], 0
+        for shelf, asking in shelves(batches):
+            if shelf is not last:
+                last, on, ids = shelf, shelf["list"].to_numpy(), shelf["id"].to_numpy()
+                order = np.argsort(on, kind="stable")
+                on, ids, x = on[order], ids[order], matrix(shelf["v"].combine_chunks(), dim)[order]
+            for i in range(0, asking.num_rows, BLOCK):
+                a = asking.slice(i, BLOCK)
+                qids, floor, q = a.column("id").to_numpy(), a.column("floor").to_numpy(), matrix(a.column("v"), dim)
+                for one, rows in by_list(a):
+                    start, end = np.searchsorted(on, [one, one + 1])
+                    for j in range(start, end, BLOCK):
+                        some = slice(j, min(j + BLOCK, end))
+                        score = q[rows] @ x[some].T
+                        may = score >= floor[rows][:, None]
+                        if may.sum() > (k + 1) * len(rows):
+                            may &= top_ids(score, ids[some], k + 1)
+                        qi, xi = np.nonzero(may & (qids[rows][:, None] != ids[some][None]))
+                        qi, xi = rows[qi], j + xi
+                        for m in range(0, len(qi), step := max(1, CELLS // dim)):
+                            of, to = qi[m : m + step], xi[m : m + step]
+                            out.append((qids[of], ids[to], (q[of] * x[to]).sum(1)))
+                            n_out += len(of)
+                            if n_out >= HANDED:
+                                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                                out, n_out = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def search(asking: DataFrame) -> DataFrame:
-        met = held.join(table(blocks(asking, "asking", n_subs == 1)), "list")
-        found = met.select("held", "asking").mapInArrow(compare, "query_id long, vec_id long, score double")
+        if n_subs > 1:
+            asking = asking.select(of_shelf, "id", "v", "floor", F.array("list").alias("lists"))
+        found = meet(held, asking, compare, "query_id long, vec_id long, score double", max(BLOCK, PART_BYTES // (8 * dim)))
         # a vector is found in several lists
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
@@ -330,10 +438,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     # what the nearest lists give is a bound for the rest
     none = F.lit(float("-inf")).alias("floor")
-    near = table(top(search(subs.probed(probes.where("first").withColumn("floor", none), True) if n_subs > 1 else probes.where("first").select("list", "id", "v", none))))
+    first = dealt(probes.withColumn("floor", none), "near")
+    near = table(top(search(subs.probed(first.withColumn("first", F.lit(True)), True) if n_subs > 1 else first)))
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") - 1e-9 * (1 + F.abs("score"))).alias("floor"))
-    bounded = probes.join(floors, "id", "left").select("list", "id", "v", "first", F.coalesce("floor", none).alias("floor"))
-    rest = subs.probed(bounded, False) if n_subs > 1 else bounded.where("NOT first").select("list", "id", "v", "floor")
+    bounded = probes.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    rest = dealt(bounded, "far")
+    if n_subs > 1:
+        rest = subs.probed(rest.withColumn("first", F.lit(False)).unionByName(dealt(bounded, "near").withColumn("first", F.lit(True))), False)
     found = near.drop("rank").unionByName(search(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return top(found).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -258,3 +258,40 @@ def test_lists_that_grow_with_the_table(spark, monkeypatch):
         assert len(by[q]) == 20 and all(abs(score - s[i]) < 1e-9 for i, score in by[q])
     assert np.mean(hits) >= 0.95 and len(met) == 2
     assert sum(met) / 80 < 8_000 / 5
+
+
+def test_queries_that_probe_half_of_the_lists(spark, monkeypatch):
+    """Without clusters a query probes very many lists: it is not repeated for each, and a shelf that outgrew the others is cut, with the same neighbours."""
+    from lectern.llm import neighbours
+
+    x = np.random.default_rng(6).normal(size=(2_000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 4 = 0")
+    write, rows = neighbours.table, []
+
+    def counted(made):
+        out = write(made)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "table", counted)
+
+    def found():
+        by = {}
+        for r in neighbours.nearest(df, asked, per_list=10).collect():
+            by.setdefault(r.query_id, {})[r.vec_id] = r.score
+        return by
+
+    whole = found()
+    # no table has more rows than the vectors' copies, or than the neighbours
+    assert rows and max(rows) <= max(neighbours.COPIES * 2_000, 20 * 500)
+    hits = []
+    for q in range(0, 2_000, 4):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(whole[q]) & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert len(whole[q]) == 20 and all(abs(score - s[i]) < 1e-9 for i, score in whole[q].items())
+    assert np.mean(hits) >= 0.9
+    for bound, at in (("PART_BYTES", 0), ("BLOCK", 64), ("SHELVES", 8), ("HANDED", 500), ("LOOKED_UP", 7), ("CELLS", 2_000)):
+        monkeypatch.setattr(neighbours, bound, at)
+    assert found() == whole
